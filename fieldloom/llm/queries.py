@@ -3,16 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import exact_dedup, mixing, url_filter, warc
+from .bpe import Tokenizer, n_tokens
 from .common import table
-from .exact_dedup import exact_dedup
+from .pii import BASE, find_pii, listed
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("at_file", "at_row")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("at_file", "at_row")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.judged(url_filter.dated_captures(pages), url_filter.list_log(pages))
+    return found.select("page_id", "url", "fetched_at", "verdict.*")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_rows(warc.captures(table(spark, sf_dir, "pages")))
+
+
+def multilingual_tokenizer(spark: SparkSession) -> Tokenizer:
+    import public_tokenizers
+
+    return Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = multilingual_tokenizer(spark)
+    ids = table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    decoded = ids.withColumn("decoded", codec.decode(F.col("ids")))
+    return decoded.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", find_pii(F.col("text")).alias("found"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_url_filter": op3_url_filter,
+    "op4_warc": op4_warc,
+    "op5_bpe": op5_bpe,
+    "op8_pii": op8_pii,
+}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -26,4 +70,7 @@ SELECT doc_id,
        sha256(plain) AS text_sha256
 FROM t
 """,
+    "op2_source_mixing": mixing.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
