@@ -19,6 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stretches of text that a worker's memo holds, and the characters of the longest one it takes.
 MEMO, MEMO_CHARS = 400_000, 48
@@ -157,12 +158,12 @@ class Tokenizer:
         with open(path, "rb") as f:
             shared = spark.sparkContext.broadcast(f.read())
 
-        @F.arrow_udf("binary")
+        @F.arrow_udf(T.BinaryType())
         def encode(texts: pa.Array) -> pa.Array:
             codec = codec_of(shared.value, pattern)
             return pa.array((codec.encode(x.as_py() or "") for x in texts), pa.binary())
 
-        @F.arrow_udf("binary")
+        @F.arrow_udf(T.BinaryType())
         def decode(ids: pa.Array) -> pa.Array:
             codec = codec_of(shared.value, pattern)
             return pa.array((codec.decode(x.as_py() or b"") for x in ids), pa.binary())

@@ -1,0 +1,28 @@
+"""Connected components of an edge table by minimum labels and pointer jumping, all in joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """One row (node, component) for each node of ``edges`` (a, b): component is the smallest node reachable.
+
+    Each round takes the least label of the neighbours, then the label's label; it is written to the shared
+    folder, so lineage stays short. A hub's edges are joined, never gathered: its least label is pre-aggregated
+    before the shuffle. Rounds grow with the logarithm of a component's diameter, not with its size.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "cc-labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        best = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        after = best.join(root, "component", "left").select("node", "was", F.least("component", "root").alias("component"))
+        after = written(after, "cc-labels")
+        labels = after.select("node", "component")
+        if after.where("was != component").isEmpty():
+            return labels

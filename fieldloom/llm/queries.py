@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter, warc
+from . import exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc
 from .bpe import Tokenizer, n_tokens
 from .common import table
 from .pii import BASE, find_pii, listed
@@ -42,6 +42,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", find_pii(F.col("text")).alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -49,13 +57,25 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"), k=2).drop("at_file", "at_row")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_media_columns": op7_media_columns,
     "op8_pii": op8_pii,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
