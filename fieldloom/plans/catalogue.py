@@ -1,6 +1,493 @@
-"""All registered queries of the library."""
+"""All registered queries of the library, and the SQL that DuckDB runs for those that SQL can express.
+
+Float aggregates are rounded to six digits on both sides, since sums depend on their order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.functions import geometry as G
+from fieldloom.functions import spectral
+from fieldloom.operators import catalog, components, plots, vision, zonal, zones
+from fieldloom.plans import formats
+from fieldloom.plans import inputs as I
+from fieldloom.plans.inputs import BOXES_SQL, DIAMONDS_SQL, PIXELS_SQL, PLOTS_SQL, RGB_SQL
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def six(*names: str) -> dict:
+    return {n: F.round(n, 6) for n in names}
+
+
+PIX = ["boundary_id", "px_row", "px_col"]
+STATS = "round(avg({v}), 6) AS mean, round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(stddev_pop({v}), 6) AS std, count({v}) AS pixel_count"
+
+
+def ratio_sql(n: str, d: str) -> str:
+    x = f"(({n}) / CASE WHEN abs({d}) < 1e-8 THEN 1e-8 ELSE {d} END)"
+    return f"CASE WHEN {x} < -1 THEN -1e0 WHEN {x} > 1 THEN 1e0 ELSE {x} END"
+
+
+INDEX_SQL = {
+    "ndvi": ratio_sql("nir - red", "nir + red"), "ndre": ratio_sql("nir - rededge", "nir + rededge"), "ndwi": ratio_sql("green - nir", "green + nir"),
+    "ndmi": ratio_sql("nir - swir1", "nir + swir1"), "savi": ratio_sql("(nir - red) * 1.5e0", "(nir + red + 0.5e0)"), "evi": ratio_sql("(nir - red) * 2.5e0", "(nir + red * 6e0 - blue * 7.5e0 + 1e0)"),
+}
+
+for _name in INDEX_SQL:
+    query(f"index_{_name}", f"WITH {PIXELS_SQL} SELECT boundary_id, px_row, px_col, round({INDEX_SQL[_name]}, 9) AS value FROM pixels")(
+        lambda spark, sf, name=_name: I.pixels(spark, sf).select(*PIX, F.round(spectral.index_column(name), 9).alias("value"))
+    )
+
+
+@query("index_dispatch", f"WITH {PIXELS_SQL}, v AS (SELECT boundary_id, unnest(['ndvi', 'ndre', 'ndwi', 'ndmi', 'savi', 'evi']) AS name, unnest([{', '.join(INDEX_SQL[n] for n in ('ndvi', 'ndre', 'ndwi', 'ndmi', 'savi', 'evi'))}]) AS value FROM pixels) SELECT boundary_id, name, {STATS.format(v='value')} FROM v GROUP BY 1, 2")
+def index_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("ndvi", "ndre", "ndwi", "ndmi", "savi", "evi")
+    long = I.pixels(spark, sf).select("boundary_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), spectral.index_column(n).alias("value")) for n in names])).alias("i"))
+    return zonal.by_key(long.select("boundary_id", "i.*"), F.col("value"), "boundary_id", "name").withColumns(six("mean", "min", "max", "std"))
+
+
+@query("index_registry", "SELECT * FROM (VALUES ('ndvi', 'NDVI (Vegetation)', ['red', 'nir'], -0.2e0, 0.9e0), ('ndre', 'NDRE (Crop Vigor / Nitrogen)', ['rededge', 'nir'], -0.1e0, 0.6e0), ('ndwi', 'NDWI (Surface Water)', ['green', 'nir'], -0.3e0, 0.6e0), ('ndmi', 'NDMI (Crop Water Stress)', ['nir', 'swir1'], -0.4e0, 0.5e0), ('savi', 'SAVI (Soil-Adjusted Vegetation)', ['red', 'nir'], -0.2e0, 0.7e0), ('evi', 'EVI (Enhanced Vegetation)', ['blue', 'red', 'nir'], -0.2e0, 0.8e0)) t(name, label, bands, low, high)")
+def index_registry(spark: SparkSession, sf: str) -> DataFrame:
+    return spectral.registry(spark).where(F.col("name").isin(*INDEX_SQL))
+
+
+def _channel(k: int) -> str:
+    a, b, c = (s[k] for s in spectral.RAMPS["RdYlGn"])
+    return f"coalesce(floor(CASE WHEN t < 0.5 THEN {a} + ({b - a}) * (t / 0.5e0) ELSE {b} + ({c - b}) * ((t - 0.5e0) / 0.5e0) END), 0)::int"
+
+
+@query("colorize", f"WITH {PIXELS_SQL}, v AS (SELECT *, {INDEX_SQL['ndvi']} AS value FROM pixels), s AS (SELECT *, CASE WHEN value IS NULL THEN NULL ELSE least(greatest((value - -0.2e0) / (0.9e0 - -0.2e0), 0), 1) END AS t FROM v) SELECT boundary_id, px_row, px_col, {_channel(0)} AS r, {_channel(1)} AS g, {_channel(2)} AS b, CASE WHEN value IS NULL THEN 0 ELSE 255 END AS a FROM s")
+def colorize(spark: SparkSession, sf: str) -> DataFrame:
+    spec = spectral.index_of("ndvi")
+    colours = spectral.colorize(spectral.index_column("ndvi"), spec.ramp, spec.low, spec.high)
+    return I.pixels(spark, sf).select(*PIX, *[c.alias(n) for n, c in colours.items()])
+
+
+@query("zonal_stats_field", f"WITH {PIXELS_SQL}, v AS (SELECT boundary_id, {INDEX_SQL['ndvi']} AS value FROM pixels) SELECT boundary_id, {STATS.format(v='value')} FROM v GROUP BY 1")
+def zonal_stats_field(spark: SparkSession, sf: str) -> DataFrame:
+    return zonal.by_key(I.pixels(spark, sf), spectral.index_column("ndvi"), "boundary_id").withColumns(six("mean", "min", "max", "std"))
+
+
+@query("zonal_stats_plots", f"WITH {PIXELS_SQL}, v AS (SELECT boundary_id, px_row // 25 AS plot_row, px_col // 25 AS plot_col, {INDEX_SQL['ndvi']} AS value FROM pixels) SELECT boundary_id, plot_row, plot_col, {STATS.format(v='value')}, count(*) FILTER (value IS NULL) AS no_data_count, CASE WHEN count(value) = 0 THEN 'no valid pixels' END AS no_data_reason FROM v GROUP BY 1, 2, 3")
+def zonal_stats_plots(spark: SparkSession, sf: str) -> DataFrame:
+    return zonal.by_cell(I.pixels(spark, sf), spectral.index_column("ndvi"), 25, 25).withColumns(six("mean", "min", "max", "std"))
+
+
+# A diamond's half-open inside by the even-odd rule, written out side by side.
+_SIDES = (("cx", "cy - rad", "cx + rad", "cy"), ("cx + rad", "cy", "cx", "cy + rad"), ("cx", "cy + rad", "cx - rad", "cy"), ("cx - rad", "cy", "cx", "cy - rad"))
+_CROSS = " + ".join(f"(CASE WHEN (({b}) > y) != (({d}) > y) AND x < ({a}) + (y - ({b})) / (({d}) - ({b})) * (({c}) - ({a})) THEN 1 ELSE 0 END)" for a, b, c, d in _SIDES)
+
+
+@query("zonal_stats_polygons", f"WITH {PIXELS_SQL}, {DIAMONDS_SQL}, v AS (SELECT boundary_id, px_col + 0.5e0 AS x, px_row + 0.5e0 AS y, {INDEX_SQL['ndvi']} AS value FROM pixels), b AS (SELECT DISTINCT boundary_id FROM pixels), h AS (SELECT boundary_id, plot_id, value FROM v JOIN shapes ON ({_CROSS}) % 2 = 1) SELECT b.boundary_id, s.plot_id, {STATS.format(v='value')}, count(h.boundary_id) FILTER (value IS NULL) AS no_data_count, CASE WHEN count(value) = 0 THEN 'no valid pixels' END AS no_data_reason FROM b CROSS JOIN shapes s LEFT JOIN h ON h.boundary_id = b.boundary_id AND h.plot_id = s.plot_id GROUP BY 1, 2")
+def zonal_stats_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    pix = I.pixels(spark, sf)
+    return zonal.by_polygon(pix, I.diamonds(pix), spectral.index_column("ndvi")).withColumns(six("mean", "min", "max", "std"))
+
+
+@query("field_mask", f"WITH {PIXELS_SQL}, {DIAMONDS_SQL}, v AS (SELECT boundary_id, px_row, px_col, px_col + 0.5e0 AS x, px_row + 0.5e0 AS y FROM pixels) SELECT boundary_id, px_row, px_col, (({_CROSS}) % 2 = 1) AS inside FROM v CROSS JOIN (SELECT * FROM shapes WHERE plot_id = 0)")
+def field_mask(spark: SparkSession, sf: str) -> DataFrame:
+    pix = I.pixels(spark, sf)
+    one = I.diamonds(pix).where("plot_id = 0").select("boundary_id", "ring")
+    return pix.join(one, "boundary_id").select(*PIX, G.inside(F.col("px_col") + 0.5, F.col("px_row") + 0.5, F.col("ring")).alias("inside"))
+
+
+_PLANTS = "plants AS (SELECT event_id // 2500 AS boundary_id, event_id % 50 + 0.5e0 AS x, (event_id % 2500) // 50 + 0.5e0 AS y, value FROM events WHERE event_type = 'purchase')"
+
+
+@query("plants_per_plot", f"WITH {_PLANTS}, {DIAMONDS_SQL}, b AS (SELECT DISTINCT event_id // 2500 AS boundary_id FROM events), h AS (SELECT boundary_id, plot_id, value FROM plants JOIN shapes ON abs(x - cx) + abs(y - cy) < rad) SELECT b.boundary_id::bigint AS boundary_id, s.plot_id, count(h.boundary_id) AS plant_count, round(avg(value), 4) AS mean_canopy_area_m2 FROM b CROSS JOIN shapes s LEFT JOIN h ON h.boundary_id = b.boundary_id AND h.plot_id = s.plot_id GROUP BY 1, 2")
+def plants_per_plot(spark: SparkSession, sf: str) -> DataFrame:
+    events = I.table(spark, sf, "events")
+    plants = I._place(events.where("event_type = 'purchase'"), "boundary_id", F.col("value").alias("canopy_area_m2")).withColumns({"x": F.col("px_col") + 0.5, "y": F.col("px_row") + 0.5}).drop("px_row", "px_col")
+    return zonal.plants_per_plot(plants, I.diamonds(I.pixels(spark, sf)))
+
+
+@query("reflectance_scale", "SELECT event_id, CASE WHEN event_id * 31 % 10001 = 0 THEN NULL ELSE (event_id * 31 % 10001)::double END / 10000e0 AS reflectance FROM events")
+def reflectance_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select("event_id", catalog.reflectance(F.col("event_id") * 31 % 10001).alias("reflectance"))
+
+
+@query("drone_bands", "SELECT event_id, CASE WHEN event_id % 256 = 0 THEN NULL ELSE (event_id % 256)::double END / 255e0 AS red, CASE WHEN event_id % 65536 = 0 THEN NULL ELSE (event_id % 65536)::double END / 65535e0 AS nir FROM events")
+def drone_bands(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    return I.table(spark, sf, "events").select("event_id", catalog.reflectance(e % 256, 255.0).alias("red"), catalog.reflectance(e % 65536, 65535.0).alias("nir"))
+
+
+def _scenes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    keys = F.array(*[F.lit(v) for v in catalog.ASSETS.values()])
+    has = F.filter(keys, lambda a, i: (k + i) % 4 != 0)
+    hrefs = F.map_from_arrays(has, F.transform(has, lambda a: F.concat(F.lit("s3/"), k.cast("string"), F.lit("/"), a)))
+    return I.table(spark, sf, "orders").select(k.alias("scene_id"), F.col("o_orderdate").alias("date"), (k * 37 % 101).cast("double").alias("cloud_cover"), F.col("o_orderpriority").alias("platform"), hrefs.alias("hrefs"), (k % 20).cast("double").alias("minx"), (k % 20 + 1).cast("double").alias("maxx"), (k % 10).cast("double").alias("miny"), (k % 10 + 1).cast("double").alias("maxy"))
+
+
+@query("scene_search", "SELECT o_orderkey AS scene_id, o_orderdate AS date, (o_orderkey * 37 % 101)::double AS cloud_cover, o_orderpriority AS platform FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31' AND o_orderkey * 37 % 101 < 30 AND o_orderkey % 20 <= 9 AND o_orderkey % 20 + 1 >= 5 AND o_orderkey % 10 <= 6 AND o_orderkey % 10 + 1 >= 2 ORDER BY cloud_cover, scene_id LIMIT 12")
+def scene_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = catalog.search_scenes(_scenes(spark, sf), F.to_timestamp(F.lit("1996-01-01")), F.to_timestamp(F.lit("1996-12-31")), 30.0, 12, (5.0, 2.0, 9.0, 6.0))
+    return found.select("scene_id", "date", "cloud_cover", "platform")
+
+
+@query("scene_assets", "WITH r(role, key, i) AS (VALUES ('blue', 'B02', 0), ('green', 'B03', 1), ('red', 'B04', 2), ('rededge', 'B05', 3), ('nir', 'B08', 4), ('swir1', 'B11', 5)) SELECT o_orderkey AS scene_id, role, 's3/' || o_orderkey || '/' || key AS href FROM orders, r WHERE (o_orderkey + i) % 4 != 0")
+def scene_assets(spark: SparkSession, sf: str) -> DataFrame:
+    return _scenes(spark, sf).select("scene_id", F.explode(catalog.scene_assets(F.col("hrefs"))).alias("role", "href"))
+
+
+@query("band_align", f"WITH {PIXELS_SQL}, c AS (SELECT boundary_id, px_row AS r, px_col AS c, swir1 FROM pixels WHERE px_row < 25 AND px_col < 25) SELECT p.boundary_id, px_row, px_col, nir, c.swir1 FROM pixels p LEFT JOIN c ON c.boundary_id = p.boundary_id AND c.r = px_row // 2 AND c.c = px_col // 2")
+def band_align(spark: SparkSession, sf: str) -> DataFrame:
+    pix = I.pixels(spark, sf)
+    return catalog.align_bands(pix.select(*PIX, "nir"), pix.where("px_row < 25 AND px_col < 25").select(*PIX, "swir1"), 2, "swir1", ["boundary_id"])
+
+
+_METRIC = "(maxx - minx) * (maxy - miny) * 111320e0 * (111320e0 * cos(radians((miny + maxy) / 2)))"
+
+
+@query("boundary_area", f"WITH {BOXES_SQL} SELECT boundary_id, round({_METRIC} / 10000, 2) AS area_ha, round((miny + maxy) / 2, 9) AS centroid_y FROM boxes")
+def boundary_area(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.boxes(spark, sf).withColumn("ring", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
+    b = b.withColumn("c", G.centroid(F.col("ring")))
+    return b.select("boundary_id", F.round(G.metric_area(G.ring_area(F.col("ring")), F.col("c.y")) / 10_000, 2).alias("area_ha"), F.round("c.y", 9).alias("centroid_y"))
+
+
+@query("boundary_ingest", f"WITH {BOXES_SQL} SELECT boundary_id, round({_METRIC} / 10000, 2) AS area_ha, round((minx + maxx) / 2, 6) AS x, round((miny + maxy) / 2, 6) AS y, NULL::varchar AS problem FROM boxes")
+def boundary_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.boxes(spark, sf)
+    num = lambda c: F.col(c).cast("string")
+    point = lambda x, y: F.concat(F.lit("["), num(x), F.lit(","), num(y), F.lit("]"))
+    coords = F.concat(F.lit("[["), F.concat_ws(",", point("minx", "miny"), point("maxx", "miny"), point("maxx", "maxy"), point("minx", "maxy"), point("minx", "miny")), F.lit("]]"))
+    geometry = F.concat(F.lit('{"type":"Polygon","coordinates":'), coords, F.lit("}"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), geometry, F.lit("}"))
+    many = F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}"))
+    text = F.when(F.col("boundary_id") % 3 == 0, geometry).when(F.col("boundary_id") % 3 == 1, feature).otherwise(many)
+    rows = catalog.ingest_boundaries(b.select("boundary_id", text.alias("geojson")))
+    return rows.select("boundary_id", F.round("area_ha", 2).alias("area_ha"), F.round("centroid.x", 6).alias("x"), F.round("centroid.y", 6).alias("y"), "problem")
+
+
+@query("canopy_area", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * abs(0.25e0 * -0.25e0), 4) AS canopy_area_m2 FROM lineitem")
+def canopy_area(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", vision.canopy_area(F.col("l_quantity"), F.lit(0.25), F.lit(-0.25)).alias("canopy_area_m2"))
+
+
+@query("grid_estimate", f"WITH {BOXES_SQL}, e AS (SELECT *, greatest(1, round_even(sqrt((10 + boundary_id * 3) * ((maxx - minx) / greatest(maxy - miny, 1e-9))), 0)::bigint) AS cols FROM boxes) SELECT boundary_id, cols, greatest(1, round_even((10 + boundary_id * 3) / cols, 0)::bigint) AS rows FROM e")
+def grid_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    e = plots.grid_estimate(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(10) + F.col("boundary_id") * 3)
+    return I.boxes(spark, sf).select("boundary_id", e["cols"].alias("cols"), e["rows"].alias("rows"))
+
+
+@query("grid_plots", f"""WITH {BOXES_SQL}, g AS (
+  SELECT boundary_id, r.r, c.c, (maxx - minx) / 4 AS w, (maxy - miny) / 3 AS h, minx, miny, 111320e0 * cos(radians((miny + maxy) / 2)) AS per_lon FROM boxes, range(3) r(r), range(4) c(c)
+), k AS (
+  SELECT *, minx + c * w + 5e0 / per_lon / 2 AS x0, minx + (c + 1) * w - 5e0 / per_lon / 2 AS x1, miny + r * h + 8e0 / 111320e0 / 2 AS y0, miny + (r + 1) * h - 8e0 / 111320e0 / 2 AS y1 FROM g
+) SELECT boundary_id, (row_number() OVER (PARTITION BY boundary_id ORDER BY r, c) - 1)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, round((x1 - x0) * (y1 - y0) * 111320e0 * per_lon, 0) AS area_m2 FROM k WHERE x1 > x0 AND y1 > y0""")
+def grid_plots(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
+    return plots.grid_plots(b, 3, 4, 8.0, 5.0).drop("ring").withColumn("area_m2", F.round("area_m2", 0))
+
+
+@query("grid_positions", """WITH c AS (
+  SELECT p_size % 5 AS grp, p_partkey AS cand_id, p_retailprice AS x, p_size // 5 * 3 + (p_partkey % 3) * 0.1e0 AS y, p_retailprice / 3 AS area_m2, p_partkey % 7 AS area_px FROM part
+), m AS (SELECT grp, greatest(sqrt(coalesce(median(area_m2) FILTER (area_m2 > 0), 1)) / 111320e0 * 0.6e0, 1e-9) AS lim FROM c GROUP BY grp
+), f AS (SELECT c.*, CASE WHEN lag(y) OVER w - y > lim THEN 1 ELSE 0 END AS new FROM c JOIN m USING (grp) WINDOW w AS (PARTITION BY grp ORDER BY y DESC, area_px DESC, cand_id)
+), r AS (SELECT *, (sum(new) OVER (PARTITION BY grp ORDER BY y DESC, area_px DESC, cand_id))::int AS row_idx FROM f
+), q AS (SELECT *, (row_number() OVER (PARTITION BY grp, row_idx ORDER BY x, y DESC, area_px DESC, cand_id) - 1)::int AS col_idx FROM r)
+SELECT grp, cand_id, row_idx, col_idx, (row_number() OVER (PARTITION BY grp ORDER BY row_idx, col_idx) - 1)::int AS plot_id FROM q""")
+def grid_positions(spark: SparkSession, sf: str) -> DataFrame:
+    c = I.table(spark, sf, "part").select((F.col("p_size") % 5).alias("grp"), F.col("p_partkey").alias("cand_id"), F.col("p_retailprice").alias("x"), (F.expr("p_size div 5") * 3 + (F.col("p_partkey") % 3) * F.lit(0.1)).alias("y"), (F.col("p_retailprice") / 3).alias("area_m2"), (F.col("p_partkey") % 7).alias("area_px"))
+    return plots.grid_positions(c, ["grp"]).select("grp", "cand_id", "row_idx", "col_idx", "plot_id")
+
+
+@query("next_plot_id", f"WITH {PLOTS_SQL} SELECT boundary_id, (coalesce(max(plot_id), -1) + 1)::bigint AS next_plot_id FROM plots GROUP BY 1")
+def next_plot_id(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.next_plot_id(I.plots(spark, sf))
+
+
+@query("plot_count", f"WITH {PLOTS_SQL} SELECT boundary_id, count(*) AS plot_count FROM plots GROUP BY 1")
+def plot_count(spark: SparkSession, sf: str) -> DataFrame:
+    return I.plots(spark, sf).groupBy("boundary_id").agg(F.count(F.lit(1)).alias("plot_count"))
+
+
+@query("plot_edits", f"""WITH {PLOTS_SQL}, log AS (
+  SELECT plot_key, boundary_id, area_m2, 1 AS version, false AS deleted FROM plots
+  UNION ALL SELECT plot_key, boundary_id, area_m2 * 2, 2, false FROM plots WHERE plot_key % 3 = 0
+  UNION ALL SELECT plot_key, boundary_id, area_m2, 3, true FROM plots WHERE plot_key % 5 = 0
+) SELECT plot_key, boundary_id, area_m2 FROM (SELECT *, row_number() OVER (PARTITION BY plot_key ORDER BY version DESC) AS k FROM log) WHERE k = 1 AND NOT deleted""")
+def plot_edits(spark: SparkSession, sf: str) -> DataFrame:
+    base = I.plots(spark, sf).select("plot_key", "boundary_id", "area_m2")
+    step = lambda df, v, gone: df.withColumns({"version": F.lit(v), "deleted": F.lit(gone)})
+    log = step(base, 1, False).unionByName(step(base.where("plot_key % 3 = 0").withColumn("area_m2", F.col("area_m2") * 2), 2, False)).unionByName(step(base.where("plot_key % 5 = 0"), 3, True))
+    return catalog.current(log, ["plot_key"])
+
+
+@query("plot_replace", f"WITH {PLOTS_SQL} SELECT plot_key, boundary_id, plot_id FROM plots WHERE boundary_id NOT IN (3, 4) UNION ALL SELECT plot_key + 1000000, boundary_id, plot_id FROM plots WHERE boundary_id = 3 AND plot_id < 10")
+def plot_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Boundary 3 gets a new set, boundary 4 an empty one."""
+    base = I.plots(spark, sf).select("plot_key", "boundary_id", "plot_id")
+    put = base.where("boundary_id = 3 AND plot_id < 10").withColumn("plot_key", F.col("plot_key") + 1_000_000)
+    log = base.withColumns({"version": F.lit(1), "deleted": F.lit(False)}).unionByName(catalog.replaced(base.where("boundary_id IN (3, 4)"), put, "boundary_id", 2))
+    return catalog.current(log, ["plot_key"])
+
+
+_BOUNDS = "b AS (SELECT n_nationkey::bigint AS id, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_name END AS name, TIMESTAMP '2024-01-01' + to_seconds(n_nationkey % 9 * 60) AS created_at FROM nation)"
+
+
+def _boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return I.table(spark, sf, "nation").select(k.cast("long").alias("id"), F.when(k % 6 == 0, None).otherwise(F.col("n_name")).alias("name"), F.timestamp_seconds(F.lit(1_704_067_200) + k % 9 * 60).alias("created_at"))
+
+
+@query("list_boundaries", f"WITH {_BOUNDS} SELECT * FROM b ORDER BY created_at DESC, id")
+def list_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.list_boundaries(_boundaries(spark, sf))
+
+
+@query("list_plots", f'WITH {PLOTS_SQL} SELECT plot_id, row_idx AS row, col_idx AS col, area_m2 FROM plots WHERE boundary_id = 7 ORDER BY plot_id')
+def list_plots(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.list_plots(I.plots(spark, sf), 7)
+
+
+@query("list_annotations", "SELECT event_id AS id, user_id AS boundary_id, event_type AS comment, ts AS created_at FROM events WHERE user_id = 11 ORDER BY created_at DESC, id")
+def list_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    notes = I.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("boundary_id"), F.col("event_type").alias("comment"), F.col("ts").alias("created_at"))
+    return catalog.list_annotations(notes, 11)
+
+
+@query("share_resolve", f"WITH {PIXELS_SQL}, {_BOUNDS}, l AS (SELECT c_custkey AS token, c_nationkey::bigint AS boundary_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'ndvi' END AS index_name FROM customer), r AS (SELECT boundary_id, 'ndvi' AS index_name, count(*) AS pixels FROM pixels GROUP BY 1) SELECT token, l.boundary_id, l.index_name, b.name, r.pixels FROM l JOIN b ON b.id = l.boundary_id LEFT JOIN r ON r.boundary_id = l.boundary_id AND r.index_name = l.index_name")
+def share_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    links = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("token"), F.col("c_nationkey").cast("long").alias("boundary_id"), F.when(F.col("c_custkey") % 3 == 0, None).otherwise("ndvi").alias("index_name"))
+    results = I.pixels(spark, sf).groupBy("boundary_id").agg(F.count(F.lit(1)).alias("pixels")).withColumn("index_name", F.lit("ndvi"))
+    return catalog.resolve_shares(links, _boundaries(spark, sf), results)
+
+
+@query("report_row", f"WITH {PIXELS_SQL}, {PLOTS_SQL}, {_BOUNDS}, c AS (SELECT boundary_id, count(*) AS n FROM plots GROUP BY 1), s AS (SELECT boundary_id, {STATS.format(v='value')} FROM (SELECT boundary_id, {INDEX_SQL['ndvi']} AS value FROM pixels) GROUP BY 1) SELECT b.id AS boundary_id, coalesce(b.name, 'Unnamed Farm') AS name, coalesce(c.n, 0) AS plot_count, s.* EXCLUDE (boundary_id) FROM b LEFT JOIN c ON c.boundary_id = b.id LEFT JOIN s ON s.boundary_id = b.id")
+def report_row(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.report_rows(_boundaries(spark, sf), I.plots(spark, sf), zonal_stats_field(spark, sf))
+
+
+_EXG = "e AS (SELECT *, 2 * (g / s) - r / s - b / s AS exg FROM (SELECT *, CASE WHEN max(greatest(r, g, b)) OVER (PARTITION BY raster_id) > 1 THEN 255e0 ELSE 1e0 END AS s FROM rgb))"
+_LEVEL = "n AS (SELECT *, coalesce(floor((exg - min(exg) OVER p) / nullif(max(exg) OVER p - min(exg) OVER p, 0) * 255e0), 0)::int AS level FROM e WINDOW p AS (PARTITION BY raster_id))"
+_OTSU = "o AS (SELECT raster_id, level AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY coalesce(w0::double * (w - w0)::double * (s0 / w0 - (s - s0) / nullif(w - w0, 0)) ** 2, 0) DESC, level) AS k FROM (SELECT raster_id, level, sum(n) OVER l AS w0, sum(n * level) OVER l AS s0, sum(n) OVER a AS w, sum(n * level) OVER a AS s FROM (SELECT raster_id, level, count(*) AS n FROM n GROUP BY 1, 2) WINDOW l AS (PARTITION BY raster_id ORDER BY level), a AS (PARTITION BY raster_id))) WHERE k = 1)"
+RC = "raster_id, px_row, px_col"
+
+
+@query("excess_green", f"WITH {RGB_SQL}, {_EXG} SELECT {RC}, round(exg, 9) AS exg FROM e")
+def excess_green(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.excess_green(I.rgb(spark, sf)).select("raster_id", "px_row", "px_col", F.round("exg", 9).alias("exg"))
+
+
+@query("exg_normalize", f"WITH {RGB_SQL}, {_EXG}, {_LEVEL} SELECT {RC}, level FROM n")
+def exg_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.normalize(vision.excess_green(I.rgb(spark, sf)), "exg", "level").select("raster_id", "px_row", "px_col", "level")
+
+
+@query("otsu_threshold", f"WITH {RGB_SQL}, {_EXG}, {_LEVEL}, {_OTSU} SELECT * FROM o")
+def otsu_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.otsu(exg_normalize(spark, sf), "level")
+
+
+@query("exg_mask", f"WITH {RGB_SQL}, {_EXG}, {_LEVEL}, {_OTSU} SELECT {RC}, level > threshold AS plant FROM n JOIN o USING (raster_id)")
+def exg_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.exg_mask(I.rgb(spark, sf)).select("raster_id", "px_row", "px_col", "plant")
+
+
+@query("drone_rgb", f"WITH {RGB_SQL} SELECT {RC}, CASE WHEN px_row < 40 THEN r ELSE 0 END AS r, CASE WHEN px_row < 40 THEN g ELSE 0 END AS g, CASE WHEN px_row < 40 THEN b ELSE 0 END AS b FROM rgb")
+def drone_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    """Outside the clip all channels are 0."""
+    rgb = I.rgb(spark, sf)
+    ring = G.box(F.lit(0.0), F.lit(0.0), F.lit(50.0), F.lit(40.0))
+    inside = G.inside(F.col("px_col") + 0.5, F.col("px_row") + 0.5, ring)
+    return rgb.select("raster_id", "px_row", "px_col", *[F.when(inside, F.col(c)).otherwise(0).alias(c) for c in "rgb"])
+
+
+@query("percentile_stretch", "WITH v AS (SELECT event_id // 2500 AS raster_id, event_id, value FROM events), p AS (SELECT raster_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM v GROUP BY 1) SELECT event_id, floor(least(greatest((value - lo) / greatest(hi - lo, 1e-6), 0), 1) * 255e0)::int AS level FROM v JOIN p USING (raster_id)")
+def percentile_stretch(spark: SparkSession, sf: str) -> DataFrame:
+    e = I.table(spark, sf, "events").select(F.expr("event_id div 2500").alias("raster_id"), "event_id", "value")
+    return vision.percentile_stretch(e, "value", "level").select("event_id", "level")
+
+
+@query("raster_preview", f"WITH {RGB_SQL} SELECT raster_id, px_row // 5 AS px_row, px_col // 5 AS px_col, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM rgb GROUP BY 1, 2, 3")
+def raster_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.block_average(I.rgb(spark, sf), ["r", "g", "b"], 5).withColumns(six("r", "g", "b"))
+
+
+# Masks for the neighbourhood operators: NDVI above 0.3, missing pixels out.
+_MASK = f"m AS (SELECT boundary_id, px_row, px_col, CASE WHEN coalesce({INDEX_SQL['ndvi']}, -1) > 0.3 THEN 1 ELSE 0 END AS v FROM pixels)"
+
+
+def _near(name: str, source: str, fn: str, reach: int) -> str:
+    return f"{name} AS (SELECT a.boundary_id, a.px_row, a.px_col, {fn}(b.v) AS v FROM {source} a JOIN {source} b ON b.boundary_id = a.boundary_id AND b.px_row BETWEEN a.px_row - {reach} AND a.px_row + {reach} AND b.px_col BETWEEN a.px_col - {reach} AND a.px_col + {reach} GROUP BY 1, 2, 3)"
+
+
+def _vegetation(spark: SparkSession, sf: str) -> DataFrame:
+    return I.pixels(spark, sf).withColumn("ndvi", spectral.index_column("ndvi")).select(*PIX, vision.threshold_mask("ndvi", 0.3).cast("int").alias("v"))
+
+
+@query("vegetation_mask", f"WITH {PIXELS_SQL}, {_MASK} SELECT boundary_id, px_row, px_col, v FROM m")
+def vegetation_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return _vegetation(spark, sf)
+
+
+@query("morph_open", f"WITH {PIXELS_SQL}, {_MASK}, {_near('e', 'm', 'min', 1)}, {_near('d', 'e', 'max', 1)} SELECT * FROM d")
+def morph_open(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.morph_open(_vegetation(spark, sf), "v", 3)
+
+
+@query("morph_close_open", f"WITH {PIXELS_SQL}, {_MASK}, {_near('d1', 'm', 'max', 4)}, {_near('e1', 'd1', 'min', 4)}, {_near('e2', 'e1', 'min', 2)}, {_near('d2', 'e2', 'max', 2)} SELECT * FROM d2")
+def morph_close_open(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.morph_open(vision.morph_close(_vegetation(spark, sf), "v", 5, 2), "v", 5)
+
+
+@query("local_maxima", f"WITH {PIXELS_SQL}, m AS (SELECT boundary_id, px_row, px_col, nir AS v FROM pixels), {_near('t', 'm', 'max', 8)} SELECT m.boundary_id, m.px_row, m.px_col, m.v > 0 AND m.v = t.v AS peak FROM m JOIN t USING (boundary_id, px_row, px_col)")
+def local_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.local_maxima(I.pixels(spark, sf), "nir", 8).select(*PIX, "peak")
+
+
+@query("distance_transform", f"WITH {PIXELS_SQL}, {_MASK}, z AS (SELECT * FROM m WHERE v = 0) SELECT m.boundary_id, m.px_row, m.px_col, round(sqrt(min((m.px_row - z.px_row) ** 2 + (m.px_col - z.px_col) ** 2)), 9) AS distance FROM m JOIN z USING (boundary_id) GROUP BY 1, 2, 3")
+def distance_transform(spark: SparkSession, sf: str) -> DataFrame:
+    mask = _vegetation(spark, sf).withColumn("plant", F.col("v") == 1)
+    return vision.distance_transform(mask, "boundary_id").withColumn("distance", F.round("distance", 9))
+
+
+_REGIONS = """RECURSIVE {pixels}, {mask}, on_px AS (SELECT boundary_id AS g, px_row AS r, px_col AS c, {value} AS v FROM m WHERE {where}),
+e AS (SELECT a.g, a.r, a.c, b.r AS r2, b.c AS c2 FROM on_px a JOIN on_px b ON a.g = b.g AND a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+walk AS (SELECT g, r, c, r AS r0, c AS c0 FROM on_px UNION SELECT e.g, e.r2, e.c2, w.r0, w.c0 FROM walk w JOIN e ON e.g = w.g AND e.r = w.r AND e.c = w.c WHERE (w.r0, w.c0) < (e.r2, e.c2)),
+lab AS (SELECT g, r, c, min(r0 * 1000 + c0) AS region FROM walk GROUP BY 1, 2, 3)"""
+
+
+@query("markers", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_MASK, value="0", where="v = 1 AND px_row < 24") + " SELECT g AS boundary_id, r AS px_row, c AS px_col, region FROM lab")
+def markers(spark: SparkSession, sf: str) -> DataFrame:
+    """4-connected labels of the vegetation mask in the upper half of each raster."""
+    found = components.label_regions(_vegetation(spark, sf).where("v = 1 AND px_row < 24"))
+    return found.select(*PIX, (F.col("region.row") * 1000 + F.col("region.col")).alias("region"))
+
+
+def _lloyd(rounds: int) -> str:
+    centre = lambda k: f"lo + (hi - lo) * ({2 * k + 1} / 6e0)"
+    parts = ["s AS (SELECT boundary_id, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1)", f"c0 AS (SELECT boundary_id, {centre(0)} AS a, {centre(1)} AS b, {centre(2)} AS c FROM s WHERE n >= 3)"]
+    zone = "CASE WHEN abs(value - c) < CASE WHEN abs(value - b) < abs(value - a) THEN abs(value - b) ELSE abs(value - a) END THEN 2 WHEN abs(value - b) < abs(value - a) THEN 1 ELSE 0 END"
+    for k in range(rounds):
+        parts.append(f"z{k} AS (SELECT v.*, {zone} AS zone FROM v JOIN c{k} USING (boundary_id) WHERE value IS NOT NULL)")
+        parts.append(f"c{k + 1} AS (SELECT boundary_id, coalesce(avg(value) FILTER (zone = 0), any_value(a)) AS a, coalesce(avg(value) FILTER (zone = 1), any_value(b)) AS b, coalesce(avg(value) FILTER (zone = 2), any_value(c)) AS c FROM z{k} JOIN c{k} USING (boundary_id) GROUP BY 1)")
+    parts.append(f"zoned AS (SELECT v.boundary_id, px_row, px_col, CASE WHEN value IS NOT NULL AND a IS NOT NULL THEN {zone} END AS zone FROM v LEFT JOIN c{rounds} USING (boundary_id))")
+    return ", ".join(parts)
+
+
+_ZONED = f"v AS (SELECT boundary_id, px_row, px_col, {INDEX_SQL['ndvi']} AS value FROM pixels), {_lloyd(8)}"
+
+
+def _zoned(spark: SparkSession, sf: str) -> DataFrame:
+    return zones.classify(I.pixels(spark, sf).select(*PIX, spectral.index_column("ndvi").alias("value")), "value", "boundary_id", 3, 8)
+
+
+@query("zone_classify", f"WITH {PIXELS_SQL}, {_ZONED} SELECT * FROM zoned")
+def zone_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return _zoned(spark, sf).select(*PIX, "zone")
+
+
+@query("zone_rates", "SELECT n, z AS zone, CASE WHEN n = 3 THEN ['High (low vigor -> more input)', 'Standard', 'Low (already vigorous)'][z + 1] WHEN n = 5 THEN ['Very high', 'High', 'Standard', 'Low', 'Very low'][z + 1] ELSE 'Zone ' || z END AS suggested_rate FROM (VALUES (3), (4), (5)) t(n), (VALUES (0), (1), (2), (3), (4)) u(z) WHERE z < n")
+def zone_rates(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda n: spark.range(n).select(F.lit(n).alias("n"), F.col("id").cast("int").alias("zone")).withColumn("suggested_rate", zones.rate_of(F.col("zone"), n))
+    return one(3).unionByName(one(4)).unionByName(one(5))
+
+
+@query("zone_summary", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_ZONED + ", m AS (SELECT * FROM zoned)", value="zone", where="zone IS NOT NULL") + ", t AS (SELECT m.boundary_id, zone, region FROM m JOIN lab ON g = m.boundary_id AND r = px_row AND c = px_col) SELECT boundary_id, zone, count(*) AS pixel_count, count(DISTINCT region) AS region_count, ['High (low vigor -> more input)', 'Standard', 'Low (already vigorous)'][zone + 1] AS suggested_rate FROM t GROUP BY 1, 2")
+def zone_summary(spark: SparkSession, sf: str) -> DataFrame:
+    regions = components.label_regions(_zoned(spark, sf).where("zone IS NOT NULL").select(*PIX, "zone"), "boundary_id", "zone")
+    return zones.summary(regions, "boundary_id", 3, "region")
+
+
+_ZONE_COUNTS = f"WITH {PIXELS_SQL}, {_ZONED} SELECT boundary_id, zone, count(*) AS pixel_count, count(*)::double AS area_px FROM zoned WHERE zone IS NOT NULL GROUP BY 1, 2"
+
+
+@query("zone_polygons", _ZONE_COUNTS)
+def zone_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """The rings' signed areas add up to the number of pixels."""
+    found = vision.zone_polygons(_zoned(spark, sf))
+    area = F.abs(F.aggregate(F.transform("rings", G.signed_area), F.lit(0.0), lambda s, v: s + v))
+    return found.select("boundary_id", "zone", "pixel_count", area.alias("area_px"))
+
+
+@query("segment_filter", """WITH s AS (SELECT event_id // 2500 AS raster_id, (user_id % 6)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events WHERE user_id % 6 > 0 OR event_id % 50 = 0),
+f AS (SELECT raster_id, segment, count(*) / 2500e0 AS area_frac, sum((r = 0)::int + (r = 49)::int + (c = 0)::int + (c = 49)::int) / 200e0 AS border_frac FROM s GROUP BY 1, 2)
+SELECT raster_id, segment, round(area_frac, 9) AS area_frac, round(border_frac, 9) AS border_frac FROM f WHERE area_frac BETWEEN 0.004 AND 0.3 AND border_frac <= 0.5""")
+def segment_filter(spark: SparkSession, sf: str) -> DataFrame:
+    e = I.table(spark, sf, "events").where("user_id % 6 > 0 OR event_id % 50 = 0")
+    s = I._place(e, "raster_id", (F.col("user_id") % 6).cast("int").alias("segment"))
+    shapes = s.select("raster_id").distinct().withColumns({"height": F.lit(50), "width": F.lit(50)})
+    return vision.segment_filter(s, shapes).withColumns({n: F.round(n, 9) for n in ("area_frac", "border_frac")})
+
+
+@query("extraction_methods", "SELECT * FROM (VALUES ('vegetation', true, NULL), ('segmenter', false, 'no segmenter is registered')) t(method, available, reason)")
+def extraction_methods(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([("vegetation", True, None), ("segmenter", False, "no segmenter is registered")], "method string, available boolean, reason string")
+
+
+# Composites, tested on analytic fixtures: two discs that touch, blocks and rings.
+
+
+def _discs(spark: SparkSession) -> DataFrame:
+    px = spark.range(3600).select(F.expr("cast(id div 60 as int)").alias("px_row"), F.expr("cast(id % 60 as int)").alias("px_col"))
+    near = lambda y, x, rad: (F.col("px_row") - y) * (F.col("px_row") - y) + (F.col("px_col") - x) * (F.col("px_col") - x) <= rad * rad
+    green = near(15, 15, 6) | near(15, 26, 6) | near(40, 40, 7)
+    return px.select(F.lit(1).cast("long").alias("raster_id"), "px_row", "px_col", F.lit(60).alias("r"), F.when(green, 220).otherwise(60).alias("g"), F.lit(60).alias("b"))
+
+
+@query("watershed")
+def watershed(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.watershed(vision.exg_mask(_discs(spark)), "raster_id", "plant")
+
+
+@query("plant_blobs")
+def plant_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.plant_blobs(watershed(spark, sf))
+
+
+@query("plant_count")
+def plant_count(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.plant_summary(_discs(spark).unionByName(I.rgb(spark, sf).withColumn("raster_id", F.col("raster_id") + 100)))
+
+
+@query("plant_points")
+def plant_points(spark: SparkSession, sf: str) -> DataFrame:
+    affine = F.struct(F.lit(0.25).alias("a"), F.lit(0.0).alias("b"), F.lit(500_000.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-0.25).alias("e"), F.lit(1_000_000.0).alias("f"))
+    blobs = vision.count_plants(_discs(spark)).withColumn("at", G.pixel_to_map(F.col("row"), F.col("col"), affine))
+    blobs = blobs.withColumn("lonlat", G.to_wgs84(F.col("at.x"), F.col("at.y"), "EPSG:32632"))
+    return blobs.select("raster_id", "plant_id", F.col("lonlat.x").alias("lon"), F.col("lonlat.y").alias("lat"), vision.canopy_area(F.col("area_px"), F.lit(0.25), F.lit(-0.25)).alias("canopy_area_m2"))
+
+
+@query("field_boundaries")
+def field_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    mask = _vegetation(spark, sf).withColumn("plant", F.col("v") == 1)
+    return vision.field_boundaries(mask, least=20.0).select("boundary_id", "ring", "area_px", "confidence")
+
+
+@query("plots_from_mask")
+def plots_from_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Contours of the mask, numbered by rows and columns."""
+    found = field_boundaries(spark, sf)
+    c = found.withColumn("c", G.centroid(F.col("ring")))
+    rows = c.select("boundary_id", "ring", "area_px", "confidence", F.col("c.x").alias("x"), (-F.col("c.y")).alias("y"), (F.col("area_px") * 1e10).alias("area_m2"), F.xxhash64("boundary_id", F.col("c.x"), F.col("c.y")).alias("cand_id"))
+    return plots.grid_positions(rows, ["boundary_id"]).select("boundary_id", "plot_id", "row_idx", "col_idx", "ring", "area_px", "confidence")
+
+
+@query("synthetic_bands")
+def synthetic_bands(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
+    from fieldloom.sources.synthetic import synthetic_bands as made
+
+    return made(b, 32)
+
+
+QUERIES.update(formats.QUERIES)
+ORACLES.update(formats.ORACLES)
