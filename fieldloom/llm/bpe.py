@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stretches of text that a worker's memo holds, and the characters of the longest one it takes.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Stretches of text that each of a worker's memos holds, and the characters of the longest one they take.
+MEMO, MEMO_CHARS = 500_000, 48
+#: Children of a node of the segment tree.
+FAN = 32
 _NONE = 1 << 62
 #: A space that white space or the end follows: then spaces alone don't show where matches begin.
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -30,71 +33,67 @@ _SPLIT = re.compile(r" (?=\S)")
 _CODECS: dict[tuple[bytes, str], "Codec"] = {}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match."""
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
+    """Ids of one match.
+
+    The tree's nodes have FAN children, so that a node's minimum is one call; matches of up to FAN + 1 bytes,
+    nearly all, have a root and leaves only.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get = len(piece), ranks.get
     if n < 2:
         return [ranks[piece]] if n else []
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * width)
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            tree[width + i] = rank << 32 | i
-    for i in range(width - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-    after, before = list(range(1, n + 2)), list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        i += width
-        if tree[i] == value:
-            return
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    def pair(i: int) -> int:
-        j = after[i]
-        if j >= n:
-            return _NONE
-        rank = ranks.get(piece[i : after[j]])
-        return _NONE if rank is None else rank << 32 | i
-
-    while tree[1] != _NONE:
-        i = tree[1] & 0xFFFFFFFF
+    leaves = [x + i for i, x in enumerate([pairs[x << 8 | y] for x, y in zip(piece, piece[1:])])]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top = levels[-1]
+    after, before = [*range(1, n + 2)], [*range(-1, n)]
+    while (least := min(top)) < _NONE:
+        i = least & 0xFFFFFFFF
         j = after[i]
-        k = after[j]
-        after[i] = k
-        if k <= n:
-            before[k] = i
-        put(j, _NONE) if j < n - 1 else None
-        put(i, pair(i)) if i < n - 1 else None
+        k = after[i] = after[j]
+        before[k] = i
+        if k < n:
+            rank = get(piece[i : after[k]])
+            leaves[i] = _NONE if rank is None else rank << 32 | i
+            leaves[j] = _NONE
+        else:
+            leaves[i] = _NONE
+            if j < n - 1:
+                leaves[j] = _NONE
         h = before[i]
         if h >= 0:
-            put(h, pair(h))
+            rank = get(piece[h:k])
+            leaves[h] = _NONE if rank is None else rank << 32 | h
+        if top is not leaves:
+            for at in (i, j, h):
+                if 0 <= at < n - 1:
+                    for low, high in zip(levels, levels[1:]):
+                        at //= FAN
+                        least = min(low[at * FAN : at * FAN + FAN])
+                        if high[at] == least:
+                            break
+                        high[at] = least
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
 class _Memo(dict):
-    def __init__(self, codec: "Codec", lead: str):
-        self.codec, self.lead = codec, lead
+    """Results of ``make`` for short stretches, bounded."""
+
+    def __init__(self, make):
+        self.make = make
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.codec.stretch(self.lead + part)
+        ids = self.make(part)
         if len(part) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
@@ -114,13 +113,16 @@ class Codec:
         self.known = bytearray(len(self.bytes_of))
         for rank in ranks.values():
             self.known[rank] = 1
-        self.first, self.spaced = _Memo(self, ""), _Memo(self, " ")
+        self.pairs = [_NONE if (rank := ranks.get(bytes((x >> 8, x & 255)))) is None else rank << 32 for x in range(1 << 16)]
+        self.matches = _Memo(self.match)
+        self.first, self.spaced = _Memo(self.stretch), _Memo(lambda part: self.stretch(" " + part))
+
+    def match(self, text: str) -> bytes:
+        ids = merge(text.encode(), self.ranks, self.pairs)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def stretch(self, text: str) -> bytes:
-        out: list[int] = []
-        for match in self.find(text):
-            out += merge(match.encode(), self.ranks)
-        return b"".join(x.to_bytes(4, "little") for x in out)
+        return b"".join(map(self.matches.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
         """Matches never cross a space before a visible character, so the text may be cut there."""
@@ -168,7 +170,8 @@ class Tokenizer:
             codec = codec_of(shared.value, pattern)
             return pa.array((codec.decode(x.as_py() or b"") for x in ids), pa.binary())
 
-        self._encode, self._decode = encode, decode
+        # else the optimizer would write out encode again inside decode(encode(text)) and run it twice
+        self._encode, self._decode = encode.asNondeterministic(), decode
 
     def encode(self, text: Column) -> Column:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
