@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, word_count, written
+from .common import located, maybe_broadcast, word_count, written
 
 SEED, REPEATS, WEIGHTS = "mix-1", 3, (1, 2, 3)
 
@@ -83,10 +83,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return each.select("source", "source_rank", "weight", "source_size", "budget", target.alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken and passes (times that it is taken)."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken, passes (times that it is taken) and ``also``."""
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))))
-    sizes = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), hashed.alias("place"))
+    sizes = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), hashed.alias("place"), *also)
     sizes = written(sizes, "mix-sizes")
     sources = written(source_targets(sizes, weights, repeats), "mix-sources")
     docs = sizes.join(maybe_broadcast(sources), sizes["source"].eqNullSafe(sources["source"])).drop("source")
@@ -102,7 +102,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cut = inside.agg(F.max(F.struct(*order)).alias("cut"))
     passes = sum((F.when(F.struct(finish(F.lit(t)).alias("finish"), F.col("source_rank"), F.lit(t).alias("turn"), F.col("position").alias("at")) <= F.col("cut"), 1).otherwise(0) for t in range(2, repeats + 1)), F.when(F.struct(finish(F.lit(1)).alias("finish"), F.col("source_rank"), F.lit(1).alias("turn"), F.col("position").alias("at")) <= F.col("cut"), 1).otherwise(0))
     out = queued.join(F.broadcast(cut)).withColumn("passes", passes)  # the cut is one row
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *also)
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    rows = located(docs, {c: F.col(f"`{c}`") for c in docs.columns}, "mix-rows")
+    found = mix(rows, doc_id, text, source, also=("at_file", "at_row"))
+    # most rows are taken once: only the others are looked up
+    other = written(found.where("passes != 1").select("at_file", "at_row", "passes"), "mix-other")
+    times = F.coalesce("passes", F.lit(1))
+    taken = rows.join(maybe_broadcast(other), ["at_file", "at_row"], "left").where(times > 0)
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

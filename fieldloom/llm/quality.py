@@ -26,6 +26,9 @@ from . import linear
 TRAIN_ROWS, WIDTH, L2, KEEP_FROM = 8_000, 2_048, 1e-5, 0.5
 LABELLERS = ("symbols", "capitals", "separators", "variety", "stutter", "sentences", "lines", "length", "marks")
 GOOD, BAD, ABSTAIN = 2, 1, 0
+#: Bounds that keep the classes apart: how often a labeller may call a good document bad, and how much likelier a
+#: vote for good may be for a good document than for a bad one.
+FALSE_ALARMS, GOOD_RATIO = 0.002, 1.15
 _CLASS = np.full(256, 9, np.uint16)  # the rest of ASCII
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", b".,;:'\"?-()", b"!", b"|", b"#$%&*+/<=>@[\\]^_`{}~")):
     _CLASS[np.frombuffer(_set, np.uint8)] = _i
@@ -113,6 +116,11 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, fl
                 here = n * (v[:, k] == vote)
                 table[k, 1, vote] = ((here * post).sum() + 0.1) / ((n * post).sum() + 0.3)
                 table[k, 0, vote] = ((here * (1 - post)).sum() + 0.1) / ((n * (1 - post)).sum() + 0.3)
+        # each labeller knows one kind of bad document: it rarely says bad of a good one
+        table[:, 1, BAD] = np.minimum(table[:, 1, BAD], FALSE_ALARMS)
+        table[:, 0, BAD] = np.maximum(table[:, 0, BAD], 20 * FALSE_ALARMS)
+        # and that it finds no fault of its kind says little of the other kinds
+        table[:, 0, GOOD] = np.maximum(table[:, 0, GOOD], table[:, 1, GOOD] / GOOD_RATIO)
         log = np.log(table)
         each = lambda y: sum(np.where(v[:, k] == ABSTAIN, 0.0, log[k, y, v[:, k]]) for k in range(len(LABELLERS)))
         post = linear.sigmoid(np.log(share / (1 - share)) + each(1) - each(0))
