@@ -1,0 +1,47 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from fieldloom.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    count = lambda m: sum(c.isdigit() for c in m.group())
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= count(m) <= 19 and pii.luhn(re.sub("[ -]", "", m.group()))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= count(m) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(3)
+    for signs in ("ab@.-+ 1", "12 .-+()@a", "0123456789.- ", "a@b.c%_ é"):
+        for _ in range(3000):
+            text = "".join(rng.choice(signs) for _ in range(rng.randrange(40)))
+            assert [s[:3] for s in pii.spans(text) if s[1] < 4] == brute(text), text
+
+
+def test_kinds():
+    text = "write to a.b@c.de, host 10.0.0.255 or 10.0.0.256; card 4111 1111 1111 1111, call +49 (30) 1234-5678; GB82 WEST 1234 5698 7654 32; ssn 078-05-1120, 078-05-1120"
+    found = [(pii.KINDS[k], text[a:b]) for a, k, b, _ in pii.spans(text)]
+    assert ("email", "a.b@c.de") in found and ("ip", "10.0.0.255") in found and ("card", "4111 1111 1111 1111") in found
+    assert ("phone", "+49 (30) 1234-5678") in found and ("iban", "GB82 WEST 1234 5698 7654 32") in found and ("ssn", "078-05-1120") in found
+    assert not any(k == "ssn" for k, _ in [(pii.KINDS[k], 0) for _, k, _, _ in pii.spans("number 078-05-1120")])
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1.1." * 50_000, "+1 " * 50_000, "a@" * 50_000, "A0" * 100_000):
+        pii.spans(text)
+
+
+def test_columns(spark):
+    docs = spark.createDataFrame([(1, "mail x@y.zz ok"), (2, None), (3, "")], "doc_id long, text string")
+    rows = docs.withColumn("found", pii.find_pii(F.col("text"))).select("doc_id", pii.listed(F.col("found")).alias("l"), pii.redact(F.coalesce("text", F.lit("")), F.col("found")).alias("r")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "email:5:11", "mail [email] ok"), (2, "", ""), (3, "", "")]
