@@ -7,9 +7,10 @@ registers, and two sets agree in a register with about their Jaccard similarity.
 a bucket's sets are candidates. At the threshold of 0.8 a pair shares no bucket with a probability of 1e-7.
 
 No bucket is expanded into its pairs. Every member is compared with the bucket's leader (its smallest set), the
-links found are made components, and only buckets that still hold several components are looked at again: there the
-members outside the leader's component are compared with the members of other components. Sets that are linked
-are thus never compared among themselves, and no candidate pair that could join two components is left out.
+links found are made components, and only buckets that still hold several components are looked at again: for TURNS
+rounds with another leader each; then the members outside a bucket's largest component look for sets of other
+components by an exact prefix filter over rare shingles. Sets of one component are never compared among themselves,
+and no candidate pair that could join two components is left out.
 
 Candidates are estimated by the joint likelihood of the registers, given both set sizes; a pair more than six
 standard deviations below the threshold goes. The rest are verified on the full sets, computed from whole texts.
@@ -36,6 +37,10 @@ from .components import connected_components
 
 BANDS, ROWS, BASE, RATE, TOP = 40, 5, 1.001, 20.0, 65_534
 REGISTERS = BANDS * ROWS
+#: Rounds of further leaders before what is left is compared across components.
+TURNS = 2
+#: Slots of the table of shingle counts that orders shingles by rarity, and the ratio of neighbouring size classes.
+ORDER_SLOTS, CLASS_RATIO = 1 << 18, 1.1
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 6.0
 WORDS_KEPT, SETS_KEPT = 300_000, 256
@@ -43,6 +48,21 @@ _ODD64 = np.random.default_rng(20_240_101).integers(0, 2**63, 64, dtype=np.uint6
 _ODD32 = np.random.default_rng(77).integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def size_class(n: int) -> int:
+    """Class of a set size; sizes of a class are within about CLASS_RATIO."""
+    c = int(np.log(max(n, 1)) / np.log(CLASS_RATIO))
+    while class_start(c + 1) <= n:
+        c += 1
+    while c > 0 and class_start(c) > n:
+        c -= 1
+    return c
+
+
+def class_start(c: int) -> int:
+    """Smallest size of a class."""
+    return int(np.ceil(CLASS_RATIO**c - 1e-9))
+
+
 class _Words(dict):
     """Word to 64-bit hash, bounded."""
 
@@ -176,6 +196,62 @@ class _Corpus:
         self.source, self.sets, self.k, self.percent = source, sets, k, percent
         self.shared = _shared(k)
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(sid, text) of the sets in ``wanted``, written."""
+        wanted = written(self.sets.join(wanted, "sid", "left_semi").select("sid", "at_file", "at_row"), "near-wanted")
+        return written(self.source.select("at_file", "at_row", "text").join(maybe_broadcast(wanted), ["at_file", "at_row"]).select("sid", "text"), "near-texts")
+
+    def exact_candidates(self, rest: DataFrame) -> DataFrame | None:
+        """Pairs of the open buckets' sets that may be linked across components, none left out: prefix filtering.
+
+        Of two linked sets, sorted by any common order, the first shared shingle stands among the first few of both.
+        The order puts rare shingles first, so that sets which differ from a crowd meet only those that differ alike.
+        Only sets outside the largest component that is in their bucket are looked up.
+        """
+        sizes = rest.select("sid", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        tops = rest.select("band", "component").distinct().join(sizes, "component").groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"))
+        marked = rest.join(tops, "band").groupBy("sid").agg(F.max(F.col("component") != F.col("top.component")).alias("stray"), F.min("component").alias("component"))
+        marked = written(marked, "near-marked")
+        if marked.isEmpty():
+            return None
+        texts, k, percent = self.texts(marked.select("sid")), self.k, self.percent
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(ORDER_SLOTS, np.int64)
+            for b in batches:
+                for t in b.column("text"):
+                    np.add.at(total, (shingles(t.as_py(), k) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
+            slots = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+
+        common = np.zeros(ORDER_SLOTS, np.int64)
+        seen = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ORDER_SLOTS rows
+        common[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+        shared = texts.sparkSession.sparkContext.broadcast(common)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, t in zip(b.column("sid"), b.column("text")):
+                    h = shingles(t.as_py(), k)
+                    n = len(h)
+                    h = h[np.lexsort((h, shared.value[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)]))]
+                    own, parts, classes = size_class(n), [], []
+                    for other in range(size_class(-(-n * percent // 100)), size_class(n * 100 // percent) + 1):
+                        least = max(-(-n * percent // 100), class_start(other))
+                        need = -(-percent * (n + least) // (100 + percent))
+                        if need <= n:
+                            parts.append(h[: n - need + 1])
+                            classes.append(np.full(len(parts[-1]), other, np.int32))
+                    if parts:
+                        m = sum(map(len, parts))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i.as_py(), np.int64)), pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.full(m, own, np.int32)), pa.array(np.concatenate(classes))], ["sid", "shingle", "own", "other"])
+
+        rows = written(texts.mapInArrow(prefixes, "sid long, shingle long, own int, other int").join(marked, "sid"), "near-prefixes")
+        left = rows.where("stray").select("shingle", "own", "other", F.col("sid").alias("s"), F.col("component").alias("s_component"))
+        right = rows.select("shingle", F.col("other").alias("own"), F.col("own").alias("other"), F.col("sid").alias("o"), F.col("component").alias("o_component"), "stray")
+        met = left.join(right, ["shingle", "own", "other"]).where("s_component != o_component AND (NOT stray OR s < o)")
+        return written(met.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), "near-crossed")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of the candidate pairs (a, b), written."""
         side = lambda c: self.sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -185,8 +261,7 @@ class _Corpus:
         cutoff = t - SIGMAS * (t * (1 - t) / REGISTERS) ** 0.5
         likely = written(pairs.where(_estimated("s_a", "s_b", "n_a", "n_b") >= cutoff).select("a", "b", "n_a", "n_b"), "near-likely")
         wanted = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
-        wanted = written(self.sets.join(wanted, "sid", "left_semi").select("sid", "at_file", "at_row"), "near-wanted")
-        texts = written(self.source.select("at_file", "at_row", "text").join(maybe_broadcast(wanted), ["at_file", "at_row"]).select("sid", "text"), "near-texts")
+        texts = self.texts(wanted)
         both = likely.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.withColumn("shared", self.shared("a", "text_a", "b", "text_b"))
         return written(both.where(100 * F.col("shared") >= self.percent * (n_a + n_b - F.col("shared"))).select("a", "b"), "near-links")
@@ -213,19 +288,26 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     links = corpus.verified(written(pairs, "near-pairs"))
     labels = connected_components(links)
 
-    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
-        mine = labels.select(F.col("node").alias(node), F.col("component").alias(name))
-        return rows.join(mine, node, "left").withColumn(name, F.coalesce(name, node))
-
-    members = labelled(labelled(members, "sid", "component"), "leader", "lead")
-    open_bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = written(members.join(maybe_broadcast(written(open_bands, "near-open")), "band", "left_semi"), "near-rest")
-    strays = rest.where("component != lead").select("band", F.col("sid").alias("s"), F.col("component").alias("s_component"))
-    others = rest.where("sid != leader").select("band", F.col("sid").alias("o"), F.col("component").alias("o_component"), (F.col("component") != F.col("lead")).alias("stray"))
-    # two strays meet once; a stray and a member of the leader's component too
-    crossed = strays.join(others, "band").where("s_component != o_component AND (NOT stray OR s < o)")
-    crossed = written(crossed.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), "near-crossed")
-    if not crossed.isEmpty():
+    def open_buckets() -> DataFrame:
+        """Members of the buckets that still hold several components."""
+        mine = labels.select(F.col("node").alias("sid"), "component")
+        named = members.join(mine, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        return written(named.join(maybe_broadcast(written(several, "near-open")), "band", "left_semi"), "near-rest")
+
+    rest = open_buckets()
+    for turn in range(TURNS):  # another leader of each bucket, by a hash: most components that can be joined are
+        leaders = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("sid", "band", F.lit(turn)).alias("h"), "sid", "component")).alias("lead"))
+        met = rest.join(leaders, "band").where("component != lead.component").select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+        met = written(met, "near-met")
+        if met.isEmpty():
+            break
+        links = links.union(corpus.verified(met))
+        labels = connected_components(links)
+        rest = open_buckets()
+
+    crossed = corpus.exact_candidates(rest)
+    if crossed is not None and not crossed.isEmpty():
         links = links.union(corpus.verified(crossed))
         labels = connected_components(links)
 
