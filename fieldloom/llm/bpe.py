@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Stretches of text that each of a worker's memos holds, and the characters of the longest one they take.
-MEMO, MEMO_CHARS = 500_000, 48
+MEMO, MEMO_CHARS = 250_000, 48
 #: Children of a node of the segment tree.
 FAN = 32
 _NONE = 1 << 62
