@@ -29,6 +29,8 @@ from . import linear
 #: Bounds of the training sample (rows of each label) and of the model.
 TRAIN_ROWS, MAX_FEATURES, HASH_BITS = 4_000, 4_096, 22
 PREFIXES = (4, 5)
+#: Tokens that a batch's memo holds; it only saves time.
+MEMO = 300_000
 L2, PAIR_PENALTY, THRESHOLD = 2e-5, 0.5, 0.7
 MIN_ROWS, MIN_RATIO = 4, 12.0
 #: Sets of identity terms that may stand for one another, and the word that stands for none.
@@ -87,6 +89,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+class _Known(dict):
+    """Token to those of its features that have a weight, bounded."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[token] = tuple(f for f in word_features(token) if f in self.weights)
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[int, float]
@@ -98,14 +113,10 @@ class Model:
 
         @F.arrow_udf(T.DoubleType())
         def score(texts: pa.Array) -> pa.Array:
-            memo: dict[str, tuple[int, ...]] = {}
+            memo = _Known(weights)
             out = []
             for x in texts:
                 tokens = set((x.as_py() or "").lower().split())
-                if len(memo) > 300_000:
-                    memo.clear()
-                for t in tokens - memo.keys():
-                    memo[t] = tuple(f for f in word_features(t) if f in weights)
                 found = set().union(*filter(None, map(memo.__getitem__, tokens)))
                 out.append(bias + sum(weights[f] for f in sorted(found)))
             return pa.array(linear.sigmoid(np.array(out, float)), pa.float64())
