@@ -21,10 +21,18 @@ def rint(x: Column, digits: int) -> Column:
     return F.rint(x * float(10**digits)) / float(10**digits)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _edges(ring: Column) -> Column:
     """(a, b) of each side, the closing one included."""
-    n = F.size(ring)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i % n + 1).alias("b")))
+
+    def sides(r: Column) -> Column:
+        return F.transform(r, lambda p, i: F.struct(p.alias("a"), F.element_at(r, (i + 1) % F.size(r) + 1).alias("b")))
+
+    return let(ring, sides)
 
 
 def _total(values: Column) -> Column:
@@ -47,6 +55,10 @@ def polygon_area(rings: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Struct (x, y); the mean of the vertices if the area is 0."""
+    return let(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     part = lambda axis: _total(F.transform(_edges(ring), lambda e: (e["a"][axis] + e["b"][axis]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])))
     mean = lambda axis: _total(F.transform(ring, lambda p: p[axis])) / F.nullif(F.size(ring).cast("double"), F.lit(0.0))
     six = F.nullif(signed_area(ring) * 6, F.lit(0.0))
@@ -54,6 +66,10 @@ def centroid(ring: Column) -> Column:
 
 
 def bounds(ring: Column) -> Column:
+    return let(ring, _bounds)
+
+
+def _bounds(ring: Column) -> Column:
     axis = lambda a: F.transform(ring, lambda p: p[a])
     return F.struct(F.array_min(axis("x")).alias("minx"), F.array_min(axis("y")).alias("miny"), F.array_max(axis("x")).alias("maxx"), F.array_max(axis("y")).alias("maxy"))
 
@@ -109,7 +125,7 @@ def clip_to_box(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Co
             none = F.array().cast(RING)
             return F.concat(F.when(ok(a) != ok(b), F.array(point)).otherwise(none), F.when(ok(b), F.array(b)).otherwise(none))
 
-        return F.when(F.size(points) > 0, F.flatten(F.transform(_edges(points), cut))).otherwise(points)
+        return let(points, lambda p: F.flatten(F.transform(_edges(p), cut)))
 
     for axis, bound, above in (("x", minx, True), ("x", maxx, False), ("y", miny, True), ("y", maxy, False)):
         ring = half(ring, axis, bound, above)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.storage import written
+
 #: Suggested rates of three and of five zones, from the lowest value to the highest.
 RATES = {
     3: ("High (low vigor -> more input)", "Standard", "Low (already vigorous)"),
@@ -23,7 +25,7 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, rounds
     """``pixels`` with ``zone``: 0 is the zone of the lowest centre, NULL where the value is.
 
     Lloyd's algorithm from centres spread evenly over the range: each round is one aggregation over the pixels that
-    combines before its shuffle, and its n_zones centres per group are joined back. Groups with fewer values than
+    combines before its shuffle, and its n_zones centres per group are written and joined back. Groups with fewer values than
     zones get no zone. Ties go to the lower centre.
     """
     seen = pixels.where(F.col(value).isNotNull())
@@ -33,7 +35,8 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, rounds
     for _ in range(rounds):
         near = seen.join(centres, group).withColumn("zone", nearest(F.col(value), F.col("centres"), n_zones))
         means = near.groupBy(group, "zone").agg(F.avg(value).alias("mean")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("zone", "mean"))).alias("means"))
-        centres = centres.join(means, group).select(group, F.array(*[F.coalesce(F.try_element_at("means", F.lit(k)), F.col("centres")[k]) for k in range(n_zones)]).alias("centres"))
+        moved = F.array(*[F.coalesce(F.try_element_at("means", F.lit(k)), F.col("centres")[k]) for k in range(n_zones)])
+        centres = written(centres.join(means, group).select(group, moved.alias("centres")), "zone-centres")
     labelled = pixels.join(centres, group, "left")
     return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("centres").isNotNull(), nearest(F.col(value), F.col("centres"), n_zones))).drop("centres")
 

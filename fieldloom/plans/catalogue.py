@@ -108,11 +108,11 @@ def field_mask(spark: SparkSession, sf: str) -> DataFrame:
 _PLANTS = "plants AS (SELECT event_id // 2500 AS boundary_id, event_id % 50 + 0.5e0 AS x, (event_id % 2500) // 50 + 0.5e0 AS y, value FROM events WHERE event_type = 'purchase')"
 
 
-@query("plants_per_plot", f"WITH {_PLANTS}, {DIAMONDS_SQL}, b AS (SELECT DISTINCT event_id // 2500 AS boundary_id FROM events), h AS (SELECT boundary_id, plot_id, value FROM plants JOIN shapes ON abs(x - cx) + abs(y - cy) < rad) SELECT b.boundary_id::bigint AS boundary_id, s.plot_id, count(h.boundary_id) AS plant_count, round(avg(value), 4) AS mean_canopy_area_m2 FROM b CROSS JOIN shapes s LEFT JOIN h ON h.boundary_id = b.boundary_id AND h.plot_id = s.plot_id GROUP BY 1, 2")
+@query("plants_per_plot", f"WITH {_PLANTS}, {DIAMONDS_SQL}, b AS (SELECT DISTINCT event_id // 2500 AS boundary_id FROM events), h AS (SELECT boundary_id, plot_id, value FROM plants JOIN shapes ON abs(x - cx) + abs(y - cy) < rad) SELECT b.boundary_id::bigint AS boundary_id, s.plot_id, count(h.boundary_id) AS plant_count, round(avg(value), 2) AS mean_canopy_area_m2 FROM b CROSS JOIN shapes s LEFT JOIN h ON h.boundary_id = b.boundary_id AND h.plot_id = s.plot_id GROUP BY 1, 2")
 def plants_per_plot(spark: SparkSession, sf: str) -> DataFrame:
     events = I.table(spark, sf, "events")
     plants = I._place(events.where("event_type = 'purchase'"), "boundary_id", F.col("value").alias("canopy_area_m2")).withColumns({"x": F.col("px_col") + 0.5, "y": F.col("px_row") + 0.5}).drop("px_row", "px_col")
-    return zonal.plants_per_plot(plants, I.diamonds(I.pixels(spark, sf)))
+    return zonal.plants_per_plot(plants, I.diamonds(I.pixels(spark, sf))).withColumn("mean_canopy_area_m2", F.round("mean_canopy_area_m2", 2))
 
 
 @query("reflectance_scale", "SELECT event_id, CASE WHEN event_id * 31 % 10001 = 0 THEN NULL ELSE (event_id * 31 % 10001)::double END / 10000e0 AS reflectance FROM events")
@@ -190,7 +190,7 @@ def grid_estimate(spark: SparkSession, sf: str) -> DataFrame:
   SELECT boundary_id, r.r, c.c, (maxx - minx) / 4 AS w, (maxy - miny) / 3 AS h, minx, miny, 111320e0 * cos(radians((miny + maxy) / 2)) AS per_lon FROM boxes, range(3) r(r), range(4) c(c)
 ), k AS (
   SELECT *, minx + c * w + 5e0 / per_lon / 2 AS x0, minx + (c + 1) * w - 5e0 / per_lon / 2 AS x1, miny + r * h + 8e0 / 111320e0 / 2 AS y0, miny + (r + 1) * h - 8e0 / 111320e0 / 2 AS y1 FROM g
-) SELECT boundary_id, (row_number() OVER (PARTITION BY boundary_id ORDER BY r, c) - 1)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, round((x1 - x0) * (y1 - y0) * 111320e0 * per_lon, 0) AS area_m2 FROM k WHERE x1 > x0 AND y1 > y0""")
+) SELECT boundary_id, (row_number() OVER (PARTITION BY boundary_id ORDER BY r, c) - 1)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, round(round_even((x1 - x0) * (y1 - y0) * 111320e0 * per_lon * 10, 0) / 10, 0) AS area_m2 FROM k WHERE x1 > x0 AND y1 > y0""")
 def grid_plots(spark: SparkSession, sf: str) -> DataFrame:
     b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
     return plots.grid_plots(b, 3, 4, 8.0, 5.0).drop("ring").withColumn("area_m2", F.round("area_m2", 0))

@@ -1,6 +1,68 @@
-"""Queries over the file formats."""
+"""Queries over the file formats: each writes files as bytes and reads them back with the library's own readers."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.functions import geometry as G
+from fieldloom.functions import spectral
+from fieldloom.operators import catalog, plots, zonal
+from fieldloom.plans import inputs as I
+from fieldloom.plans.inputs import BOXES_SQL, PIXELS_SQL
+from fieldloom.sources import reports, shapefile, tiff
+
+_NDVI = "CASE WHEN abs(nir + red) < 1e-8 THEN (nir - red) / 1e-8 ELSE (nir - red) / (nir + red) END"
+
+
+def _geotiffs(spark: SparkSession, sf: str) -> DataFrame:
+    pix = I.pixels(spark, sf).select("boundary_id", "px_row", "px_col", spectral.index_column("ndvi").alias("ndvi"))
+    return tiff.export_geotiff(pix, "ndvi", x=7.0, y=9.5, step=0.01)
+
+
+def export_geotiff(spark: SparkSession, sf: str) -> DataFrame:
+    back = tiff.pixels_of(_geotiffs(spark, sf), "boundary_id", {"ndvi": 1})
+    return back.groupBy("boundary_id").agg(F.count("ndvi").alias("n"), F.round(F.sum("ndvi"), 3).alias("total"), F.round(F.min("ndvi"), 6).alias("low"), F.round(F.max("ndvi"), 6).alias("high"))
+
+
+def raster_inspect(spark: SparkSession, sf: str) -> DataFrame:
+    return tiff.inspect(_geotiffs(spark, sf), "boundary_id").withColumns({c: F.round(c, 6) for c in ("minx", "miny", "maxx", "maxy")})
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
+    return plots.grid_plots(b, 2, 3)
+
+
+def plot_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid plots written as zipped shapefiles and imported again."""
+    grid = _grid(spark, sf).withColumns({"rings": F.array("ring"), "ROW": F.col("row_idx"), "Col_Idx": F.col("col_idx")})
+    files = shapefile.export_shapefile(grid, "boundary_id", "rings", ["plot_id", "ROW", "Col_Idx"], "plots", "plot_id")
+    back = shapefile.imported_plots(shapefile.read_shapefiles(files, "boundary_id"), "boundary_id")
+    return back.select("boundary_id", "plot_id", "row_idx", "col_idx", F.round("area_m2", 0).alias("area_m2"))
+
+
+def export_xlsx(spark: SparkSession, sf: str) -> DataFrame:
+    stats = zonal.by_cell(I.pixels(spark, sf), spectral.index_column("ndvi"), 25, 25).withColumn("plot_id", F.col("plot_row") * 2 + F.col("plot_col"))
+    return reports.export_xlsx(stats.select("boundary_id", "plot_id", "mean", "min", "max", "std", "pixel_count"), "boundary_id", "plot_id")
+
+
+def export_png(spark: SparkSession, sf: str) -> DataFrame:
+    spec = spectral.index_of("ndvi")
+    colours = spectral.colorize(spectral.index_column("ndvi"), spec.ramp, spec.low, spec.high)
+    return reports.export_png(I.pixels(spark, sf).select("boundary_id", "px_row", "px_col", *[c.alias(n) for n, c in colours.items()]), "boundary_id")
+
+
+def export_report(spark: SparkSession, sf: str) -> DataFrame:
+    stats = zonal.by_key(I.pixels(spark, sf), spectral.index_column("ndvi"), "boundary_id")
+    names = I.boxes(spark, sf).select(F.col("boundary_id").alias("id"), "name")
+    return reports.export_pdf(catalog.report_rows(names, I.plots(spark, sf), stats))
+
+
+QUERIES = {f.__name__: f for f in (export_geotiff, raster_inspect, plot_import, export_xlsx, export_png, export_report)}
+
+ORACLES = {
+    "export_geotiff": f"WITH {PIXELS_SQL}, v AS (SELECT boundary_id, ({_NDVI})::float::double AS v FROM pixels) SELECT boundary_id, count(v) AS n, round(sum(v), 3) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY 1",
+    "raster_inspect": f"WITH {PIXELS_SQL} SELECT boundary_id, 1::int AS band_count, (max(px_col) + 1)::int AS width, (max(px_row) + 1)::int AS height, 'EPSG:4326' AS crs, 0.01e0 AS resolution, 7e0 AS minx, round(9.5e0 - 0.01e0 * (max(px_row) + 1), 6) AS miny, round(7e0 + 0.01e0 * (max(px_col) + 1), 6) AS maxx, 9.5e0 AS maxy, 'float32' AS dtype, 'nan' AS nodata FROM pixels GROUP BY 1",
+    "plot_import": f"WITH {BOXES_SQL} SELECT boundary_id, (r * 3 + c)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, round((maxx - minx) / 3 * (maxy - miny) / 2 * 111320e0 * (111320e0 * cos(radians(miny + (r + 0.5e0) * (maxy - miny) / 2))), 0) AS area_m2 FROM boxes, range(2) r(r), range(3) c(c)",
+}
