@@ -29,6 +29,8 @@ GOOD, BAD, ABSTAIN = 2, 1, 0
 #: Bounds that keep the classes apart: how often a labeller may call a good document bad, and how much likelier a
 #: vote for good may be for a good document than for a bad one.
 FALSE_ALARMS, GOOD_RATIO = 0.002, 1.15
+#: Least share of good documents: votes for good say little, so that the share alone could drift.
+LEAST_GOOD = 0.75
 _CLASS = np.full(256, 9, np.uint16)  # the rest of ASCII
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", b".,;:'\"?-()", b"!", b"|", b"#$%&*+/<=>@[\\]^_`{}~")):
     _CLASS[np.frombuffer(_set, np.uint8)] = _i
@@ -104,13 +106,13 @@ def unpacked(pattern: int) -> list[int]:
 def label_model(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of good for each vote pattern, and P(vote | class) of each labeller, by expectation-maximisation."""
     patterns = sorted(counts)
-    v = np.array([unpacked(p) for p in patterns]).reshape(len(patterns), len(LABELLERS))
+    v = np.array([unpacked(p) for p in patterns], int).reshape(len(patterns), len(LABELLERS))
     n = np.array([counts[p] for p in patterns], float)
     # start: a document is bad as soon as a labeller says so; heuristics are written to say so rarely
     post = np.where((v == BAD).any(1), 0.1, np.where((v == GOOD).any(1), 0.95, 0.5))
     table = np.ones((len(LABELLERS), 2, 3)) / 3
     for _ in range(rounds):
-        share = ((n * post).sum() + 1) / (n.sum() + 2)
+        share = max(LEAST_GOOD, ((n * post).sum() + 1) / (n.sum() + 2))
         for k in range(len(LABELLERS)):
             for vote in (ABSTAIN, BAD, GOOD):
                 here = n * (v[:, k] == vote)

@@ -35,8 +35,11 @@ def test_mix(spark):
     for r in got:
         assert r.taken <= 3 * r.size and r.taken == r.size * r.passes
         by_target[round(r.target, 6)] += r.taken
-    for s, t in want.items():
-        assert abs(by_target[round(t, 6)] - t) <= 40
+    expected = defaultdict(float)  # sources may share a target
+    for t in want.values():
+        expected[round(t, 6)] += t
+    for t, words in expected.items():
+        assert abs(by_target[t] - words) <= 40
     assert sum(r.taken for r in got) <= sum(sizes.values())
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.passes for r in got)
