@@ -32,7 +32,7 @@ def test_accuracies_of_labellers():
     n = len(quality.LABELLERS)
     good, bad = one(*[2] * n), one(1, *[2] * (n - 1))
     post, table = quality.label_model({good: 900, bad: 50, one(*[0] * n): 1})
-    assert post[good] > 0.85 > 0.5 > post[bad]
+    assert post[good] > 0.7 > 0.5 > post[bad]  # the least share of good documents is 0.75
     assert table[0, 0, quality.BAD] > 10 * table[0, 1, quality.BAD]
 
 
