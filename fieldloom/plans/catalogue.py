@@ -372,6 +372,13 @@ def markers(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*PIX, (F.col("region.row") * 1000 + F.col("region.col")).alias("region"))
 
 
+@query("markers_whole", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_MASK, value="0", where="v = 1") + " SELECT g AS boundary_id, r AS px_row, c AS px_col, region FROM lab")
+def markers_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """4-connected labels of the whole vegetation mask; ``markers`` has only what its SQL asks for."""
+    found = components.label_regions(_vegetation(spark, sf).where("v = 1"))
+    return found.select(*PIX, (F.col("region.row") * 1000 + F.col("region.col")).alias("region"))
+
+
 def _lloyd(rounds: int) -> str:
     centre = lambda k: f"lo + (hi - lo) * ({2 * k + 1} / 6e0)"
     parts = ["s AS (SELECT boundary_id, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1)", f"c0 AS (SELECT boundary_id, {centre(0)} AS a, {centre(1)} AS b, {centre(2)} AS c FROM s WHERE n >= 3)"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
 from fieldloom.operators import catalog, components, kernels, plots, vision, zonal, zones
+from fieldloom.plans import catalogue
 
 
 def one(spark, **columns):
@@ -122,6 +123,22 @@ def test_regions(spark):
     assert four == 4 and components.label_regions(mask, diagonal=True).select("region").distinct().count() == 2
 
 
+def test_markers_of_whole_rasters(spark):
+    sf = "/root/testdata/sf0.01"
+    on = {tuple(r) for r in catalogue.vegetation_mask(spark, sf).where("v = 1").select("boundary_id", "px_row", "px_col").collect()}
+    want = {}
+    for start in sorted(on):  # the first pixel met of a region is its least
+        todo = [start]
+        while todo:
+            g, r, c = at = todo.pop()
+            if at in on and at not in want:
+                want[at] = start[1] * 1000 + start[2]
+                todo += [(g, r + 1, c), (g, r - 1, c), (g, r, c + 1), (g, r, c - 1)]
+    assert max(r for _, r, _ in on) == 49
+    got = catalogue.QUERIES["markers_whole"](spark, sf).collect()
+    assert len(got) == len(on) and {tuple(r)[:3]: r.region for r in got} == want
+
+
 def test_opening_and_otsu(spark):
     art = [[1.0] * 5 + [0.0, 1.0] for _ in range(5)]
     opened = vision.morph_open(pixels(spark, art), "v", 3).where("v = 1")
