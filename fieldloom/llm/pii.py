@@ -2,7 +2,8 @@
 
 Kinds, in this order: email, ip, card (Luhn), phone, iban (mod-97), ssn. The first four are the base: leftmost
 non-overlapping matches of their patterns, dropped when their check fails. The others are added by the method:
-an IBAN when its remainder is 1, a social security number only when words near it raise its score to ADD_SCORE.
+an IBAN when its remainder is 1 at its country's length (at any end of 15 to 34 characters, the longest first, for
+countries without a known length), a social security number only when words near it raise its score to ADD_SCORE.
 A base span stays whatever its score. Offsets count code points, the end is exclusive.
 
 Patterns are scanned in linear time: runs of digits are consumed whole and an address is found from its ``@``.
@@ -38,7 +39,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}|[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){0,30}")
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NEAR = {k: re.compile(r"(?<![a-z])(?:" + "|".join(v) + r")(?![a-z])") if k != "email" else re.compile("|".join(v)) for k, v in CONTEXT.items()}
 
@@ -66,6 +76,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        code, ends = m.group(), {}
+        stop = _IBAN_REST.match(text, m.end()).end()
+        for k in range(m.end(), stop):
+            if text[k] != " ":
+                code += text[k]
+                if not (text[k + 1 : k + 2].isascii() and text[k + 1 : k + 2].isalnum()):
+                    ends[len(code)] = k + 1
+        known = IBAN_LENGTH.get(code[:2])
+        for n in [known] if known else sorted(ends, reverse=True):
+            if n >= 15 and n in ends and mod97(code[:n]):
+                done = ends[n]
+                yield start, done
+                break
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -84,10 +115,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, float]]:
             found.append((m.start(), 2, m.end()))
     if "+" in text:
         found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
-    for m in _IBAN.finditer(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            found.append((m.start(), 4, m.end()))
+    found += [(a, 4, b) for a, b in _ibans(text)]
     found += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
     out = []
     for a, k, b in sorted(found):

@@ -36,6 +36,20 @@ def test_kinds():
     assert not any(k == "ssn" for k, _ in [(pii.KINDS[k], 0) for _, k, _, _ in pii.spans("number 078-05-1120")])
 
 
+def test_ibans_end_before_what_follows():
+    de, gb, no, ma = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "MA64 0115 1900 0001 2050 0053 4921"
+    for text, want in (
+        (f"IBAN {de} BIC COBADEFFXXX", [de]), (f"{gb} I paid", [gb]), (f"{gb} 2024", [gb]), (f"{de} {gb} {no}", [de, gb, no]), (f"AB12 {de}. {no}, {gb}", [de, no, gb]),
+        (f"{ma} OK 7", [ma]), (f"{no} PAID 2024", [no]), (f"{gb}X", []), (f"{gb}x", []), (f"x{gb}", []), (de.replace("89", "88", 1), []), (gb, [gb]),
+    ):
+        assert [text[a:b] for a, k, b, _ in pii.spans(text) if pii.KINDS[k] == "iban"] == want, text
+
+
+def test_redacted_iban_before_a_bic(spark):
+    docs = spark.createDataFrame([("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",)], "text string")
+    assert docs.select(pii.redact(F.col("text"), pii.find_pii(F.col("text")))).first()[0] == "IBAN [iban] BIC COBADEFFXXX"
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1.1." * 50_000, "+1 " * 50_000, "a@" * 50_000, "A0" * 100_000):
         pii.spans(text)
