@@ -450,9 +450,14 @@ def _discs(spark: SparkSession) -> DataFrame:
     return px.select(F.lit(1).cast("long").alias("raster_id"), "px_row", "px_col", F.lit(60).alias("r"), F.when(green, 220).otherwise(60).alias("g"), F.lit(60).alias("b"))
 
 
+def _rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """The discs as raster 1, and the rasters of events from 100 on."""
+    return _discs(spark).unionByName(I.rgb(spark, sf).withColumn("raster_id", F.col("raster_id") + 100))
+
+
 @query("watershed")
 def watershed(spark: SparkSession, sf: str) -> DataFrame:
-    return vision.watershed(vision.exg_mask(_discs(spark)), "raster_id", "plant")
+    return vision.watershed(vision.exg_mask(_rasters(spark, sf)), "raster_id", "plant")
 
 
 @query("plant_blobs")
@@ -462,13 +467,13 @@ def plant_blobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("plant_count")
 def plant_count(spark: SparkSession, sf: str) -> DataFrame:
-    return vision.plant_summary(_discs(spark).unionByName(I.rgb(spark, sf).withColumn("raster_id", F.col("raster_id") + 100)))
+    return vision.plant_summary(_rasters(spark, sf))
 
 
 @query("plant_points")
 def plant_points(spark: SparkSession, sf: str) -> DataFrame:
     affine = F.struct(F.lit(0.25).alias("a"), F.lit(0.0).alias("b"), F.lit(500_000.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-0.25).alias("e"), F.lit(1_000_000.0).alias("f"))
-    blobs = vision.count_plants(_discs(spark)).withColumn("at", G.pixel_to_map(F.col("row"), F.col("col"), affine))
+    blobs = vision.count_plants(_rasters(spark, sf)).withColumn("at", G.pixel_to_map(F.col("row"), F.col("col"), affine))
     blobs = blobs.withColumn("lonlat", G.to_wgs84(F.col("at.x"), F.col("at.y"), "EPSG:32632"))
     return blobs.select("raster_id", "plant_id", F.col("lonlat.x").alias("lon"), F.col("lonlat.y").alias("lat"), vision.canopy_area(F.col("area_px"), F.lit(0.25), F.lit(-0.25)).alias("canopy_area_m2"))
 

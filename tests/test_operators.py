@@ -182,6 +182,26 @@ def test_contours():
     assert kernels.outer_contour(np.ones((1, 1), bool)) == [(0, 0)]
 
 
+def test_plant_queries_read_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    masks = {}
+    for g, r, c in catalogue.exg_mask(spark, sf).where("plant").select("raster_id", "px_row", "px_col").collect():
+        masks.setdefault(g + 100, np.zeros((50, 50), bool))[r, c] = True
+    want = {(g, r, c): labels[r, c] for g, m in masks.items() for labels in [kernels.watershed_labels(m, 8)] for r, c in np.argwhere(labels)}
+    flooded = catalogue.watershed(spark, sf).collect()
+    got = {(r.raster_id, r.px_row, r.px_col): r.plant_id for r in flooded}
+    assert len(flooded) == len(got) and {k: v for k, v in got.items() if k[0] >= 100} == want and want
+    assert len({v for k, v in got.items() if k[0] == 1}) == 3
+    sizes = {}
+    for (g, _, _), p in got.items():
+        sizes[g, p] = sizes.get((g, p), 0) + 1
+    blobs = {(r.raster_id, r.plant_id): r.area_px for r in catalogue.plant_blobs(spark, sf).collect()}
+    assert blobs == {k: n for k, n in sizes.items() if n >= 15} and {g for g, _ in blobs} > {1}
+    points = catalogue.plant_points(spark, sf).groupBy("raster_id").count().collect()
+    counts = {r.raster_id: r.plant_count for r in catalogue.plant_count(spark, sf).collect()}
+    assert {r.raster_id: r["count"] for r in points} == {g: n for g, n in counts.items() if n} and counts[1] == 3
+
+
 def test_change_log(spark):
     log = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (2, "c", 1, False), (2, "c", 2, True)], "k int, v string, version int, deleted boolean")
     now = catalog.current(log, ["k"])
