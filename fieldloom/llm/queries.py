@@ -26,7 +26,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_rows(warc.captures(table(spark, sf_dir, "pages")))
+    return warc.capture_rows(warc.captures(table(spark, sf_dir, "pages"), each_row=True))
 
 
 def multilingual_tokenizer(spark: SparkSession) -> Tokenizer:

@@ -13,7 +13,8 @@ Payloads are shuffled only if more payloads are repeated than a checked broadcas
 
 Defined cases: a null html is an empty payload; a null url gives the target ``urn:page:<id>``; line breaks in a
 url are percent-encoded; a null page_id is kept as null and never is the smallest of its group unless all are
-null; rows equal in page_id and payload are the same capture and come back once; an empty table gives no capture.
+null; rows equal in page_id, url and payload are the same capture and come back once, or with ``each_row`` as often as
+they are in the table; an empty table gives no capture.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, scratch, written
+from .common import located, maybe_broadcast, scratch, written
 
 #: Payload bytes from which a payload may be stored as a revisit, and uncompressed bytes an archive file aims at.
 MIN_REVISIT_BYTES, FILE_BYTES = 0, 16 << 20
@@ -39,8 +40,8 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _urn(kind: str, page: str, digest: str) -> str:
-    h = hashlib.md5(f"{kind}|{page}|{digest}".encode()).hexdigest()
+def _urn(kind: str, page: str, digest: str, mark: str) -> str:
+    h = hashlib.md5(f"{kind}|{page}|{digest}|{mark}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
@@ -50,40 +51,47 @@ def _record(kind: str, record_id: str, uri: str, content_type: str, block: str,
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
-def records_of(page_id: int | None, url: str | None, html: str, first: int | None, revisit: bool) -> Iterator[str]:
-    """The request, main and metadata records of a page, without the separator that ends a record."""
+def records_of(page_id: int | None, url: str | None, html: str, mark: str, first: int | None, first_mark: str | None, revisit: bool) -> Iterator[str]:
+    """The request, main and metadata records of a page, without the separator that ends a record.
+
+    ``mark`` tells pages of equal number and payload apart.
+    """
     payload = html.encode()
     page, digest = "" if page_id is None else str(page_id), base32_sha1(payload)
     uri = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A")
-    main = _urn("main", page, digest)
+    main = _urn("main", page, digest, mark)
     own = [("X-Page-Id", page), ("WARC-Payload-Digest", f"sha1:{digest}")]
-    yield _record("request", _urn("request", page, digest), uri, "application/http;msgtype=request", f"GET {uri} HTTP/1.1\r\n\r\n", ("WARC-Concurrent-To", main))
+    yield _record("request", _urn("request", page, digest, mark), uri, "application/http;msgtype=request", f"GET {uri} HTTP/1.1\r\n\r\n", ("WARC-Concurrent-To", main))
     if revisit:
         seen = "" if first is None else str(first)
-        own += [("WARC-Refers-To", _urn("main", seen, digest)), ("X-Refers-To-Page-Id", seen), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        own += [("WARC-Refers-To", _urn("main", seen, digest, first_mark or "")), ("X-Refers-To-Page-Id", seen), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         yield _record("revisit", main, uri, "application/http;msgtype=response", "HTTP/1.1 200 OK\r\n\r\n", *own)
     else:
         yield _record("response", main, uri, "application/http;msgtype=response", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n{html}", *own)
-    yield _record("metadata", _urn("metadata", page, digest), uri, "application/warc-fields", f"payload-bytes: {len(payload)}\r\n", ("WARC-Concurrent-To", main))
+    yield _record("metadata", _urn("metadata", page, digest, mark), uri, "application/warc-fields", f"payload-bytes: {len(payload)}\r\n", ("WARC-Concurrent-To", main))
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write the pages' records as gzipped archives into the folder ``path``."""
-    spark = pages.sparkSession
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html", each_row: bool = False) -> None:
+    """Write the pages' records as gzipped archives into the folder ``path``; ``each_row`` keeps rows that are equal apart."""
+    columns = {"page_id": F.col(f"`{page_id}`").cast("long"), "url": F.col(f"`{url}`"), "html": F.coalesce(F.col(f"`{html}`"), F.lit(""))}
+    if each_row:
+        rows = located(pages, columns, "warc-pages").withColumn("mark", F.concat_ws("#", "at_file", "at_row")).drop("at_file", "at_row")
+    else:
+        rows = pages.select(*[c.alias(k) for k, c in columns.items()]).withColumn("mark", F.coalesce("url", F.lit("")))
     rows = rows.withColumn("key", F.sha2("html", 256))
-    seen = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.octet_length("html")).alias("bytes"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "mark")))
+    seen = rows.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.octet_length("html")).alias("bytes"))
     seen = written(seen, "warc-payloads")
     total = seen.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")).first()
     per_file = max(3, 3 * round(FILE_BYTES / (1500 + (total["bytes"] or 0) / max(1, total["n"] or 0))))
-    repeated = seen.where(f"n > 1 AND bytes >= {int(min_revisit_bytes)}").select("key", "first")
+    repeated = seen.where(f"n > 1 AND bytes >= {int(min_revisit_bytes)}").select("key", F.col("least.page_id").alias("first"), F.col("least.mark").alias("first_mark"))
     rows = rows.join(maybe_broadcast(repeated), "key", "left")
     rows = rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).drop("key")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for r in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "first", "revisit"))):
+            for r in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "html", "mark", "first", "first_mark", "revisit"))):
                 for text in records_of(*r):
                     out.append(text)
                     size += len(text)
@@ -159,11 +167,11 @@ def assemble(records: DataFrame) -> DataFrame:
     return found.where("response IS NOT NULL")
 
 
-def captures(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def captures(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES, each_row: bool = False) -> DataFrame:
     """Write ``pages`` as archives, read them back and assemble the captures."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_warc(pages, path, min_revisit_bytes)
+    write_warc(pages, path, min_revisit_bytes, each_row=each_row)
     return assemble(read_warc(spark, path))
 
 

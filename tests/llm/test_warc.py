@@ -2,7 +2,7 @@ import base64
 import gzip
 import hashlib
 
-from fieldloom.llm import warc
+from fieldloom.llm import queries, warc
 
 PAGES = [
     (3, "http://a/", "<p>one\r\n\r\nWARC/1.1\r\n\r\n</p>"), (1, "http://b/", "same"), (2, None, "same"), (4, "http://c/\r\nX: y", None), (5, "http://d/", ""),
@@ -33,6 +33,19 @@ def test_round_trip(spark, tmp_path):
             assert len(block) == int(head["content-length"]) and head["warc-record-id"].startswith("<urn:uuid:")
 
 
+def test_every_row_comes_back(spark, tmp_path):
+    rows = [(None, "http://a/", ""), (None, "http://b/", None), (None, "http://b/", ""), (1, "http://c/", "x"), (1, "http://c/", "x"), (1, "http://d/", "x"), (2, "http://e/", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.complete) for r in queries.op4_warc(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "response", None, True)] * 3 + [(1, 1, "response", None, True)] * 3 + [(2, 1, "revisit", 1, True)]
+    pages = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    for each_row, n in ((True, 7), (False, 5)):
+        found = warc.captures(pages, each_row=each_row).collect()
+        ids = {r.response.record_id for r in found}
+        assert len(found) == len(ids) == n and all(r.response.refers_to in ids for r in found if r.response.warc_type == "revisit")
+        assert {r.response.target_uri for r in found} == {f"http://{x}/" for x in "abcde"}
+
+
 def test_pointer_at_a_request(spark):
     names = "file string, record_offset long, record_id string, warc_type string, concurrent_to string"
     rows = [("f", 0, "r", "response", None), ("f", 1, "q", "request", "r"), ("f", 2, "m", "metadata", "q"), ("f", 3, "x", "request", "gone")]
