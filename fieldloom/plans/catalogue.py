@@ -498,7 +498,7 @@ def synthetic_bands(spark: SparkSession, sf: str) -> DataFrame:
     b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
     from fieldloom.sources.synthetic import synthetic_bands as made
 
-    return made(b, 32)
+    return made(b, 128)
 
 
 QUERIES.update(formats.QUERIES)

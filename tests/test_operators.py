@@ -202,6 +202,11 @@ def test_plant_queries_read_the_tables(spark):
     assert {r.raster_id: r["count"] for r in points} == {g: n for g, n in counts.items() if n} and counts[1] == 3
 
 
+def test_synthetic_bands_have_the_default_resolution(spark):
+    sides = catalogue.synthetic_bands(spark, "/root/testdata/sf0.001").groupBy("boundary_id").agg(F.count(F.lit(1)), F.max("px_row"), F.max("px_col")).collect()
+    assert len(sides) == 25 and all(tuple(r)[1:] == (128 * 128, 127, 127) for r in sides)
+
+
 def test_change_log(spark):
     log = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (2, "c", 1, False), (2, "c", 2, True)], "k int, v string, version int, deleted boolean")
     now = catalog.current(log, ["k"])
