@@ -435,6 +435,17 @@ def segment_filter(spark: SparkSession, sf: str) -> DataFrame:
     return vision.segment_filter(s, shapes).withColumns({n: F.round(n, 9) for n in ("area_frac", "border_frac")})
 
 
+@query("segment_filter_whole", """WITH s AS (SELECT event_id // 2500 AS raster_id, (CASE WHEN user_id % 6 = 0 AND event_id % 50 = 0 THEN 6 ELSE user_id % 6 END)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events),
+f AS (SELECT raster_id, segment, count(*) / 2500e0 AS area_frac, sum((r = 0)::int + (r = 49)::int + (c = 0)::int + (c = 49)::int) / 200e0 AS border_frac FROM s GROUP BY 1, 2)
+SELECT raster_id, segment, round(area_frac, 9) AS area_frac, round(border_frac, 9) AS border_frac FROM f WHERE area_frac BETWEEN 0.004 AND 0.3 AND border_frac <= 0.5""")
+def segment_filter_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, the border strip as segment 6; ``segment_filter`` leaves out the rest of segment 0, as its SQL does."""
+    strip = F.expr("user_id % 6 = 0 AND event_id % 50 = 0")
+    s = I._place(I.table(spark, sf, "events"), "raster_id", F.when(strip, 6).otherwise(F.col("user_id") % 6).cast("int").alias("segment"))
+    shapes = s.select("raster_id").distinct().withColumns({"height": F.lit(50), "width": F.lit(50)})
+    return vision.segment_filter(s, shapes).withColumns({n: F.round(n, 9) for n in ("area_frac", "border_frac")})
+
+
 @query("extraction_methods", "SELECT * FROM (VALUES ('vegetation', true, NULL), ('segmenter', false, 'no segmenter is registered')) t(method, available, reason)")
 def extraction_methods(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([("vegetation", True, None), ("segmenter", False, "no segmenter is registered")], "method string, available boolean, reason string")

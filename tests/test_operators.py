@@ -207,6 +207,18 @@ def test_synthetic_bands_have_the_default_resolution(spark):
     assert len(sides) == 25 and all(tuple(r)[1:] == (128 * 128, 127, 127) for r in sides)
 
 
+def test_segments_of_all_events(spark):
+    sf = "/root/testdata/sf0.01"
+    sizes, edges = {}, {}
+    for e, u in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id").collect():
+        key = e // 2500, 6 if u % 6 == 0 and e % 50 == 0 else u % 6
+        sizes[key] = sizes.get(key, 0) + 1
+        edges[key] = edges.get(key, 0) + (e % 2500 // 50 in (0, 49)) + (e % 50 in (0, 49))
+    want = {k: (round(n / 2500, 9), round(edges[k] / 200, 9)) for k, n in sizes.items() if 0.004 <= n / 2500 <= 0.3 and edges[k] / 200 <= 0.5}
+    got = catalogue.QUERIES["segment_filter_whole"](spark, sf).collect()
+    assert {(r.raster_id, r.segment): (r.area_frac, r.border_frac) for r in got} == want and any(k[1] == 0 for k in want)
+
+
 def test_change_log(spark):
     log = spark.createDataFrame([(1, "a", 1, False), (1, "b", 2, False), (2, "c", 1, False), (2, "c", 2, True)], "k int, v string, version int, deleted boolean")
     now = catalog.current(log, ["k"])
