@@ -36,11 +36,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and whether decoding gives the text back."""
+    """Token ids of every row, and whether decoding gives the text back; an empty or null text has no ids."""
     codec = multilingual_tokenizer(spark)
-    ids = docs.select("doc_id", "lang", "source", "text", codec.encode(F.col("text")).alias("ids"))
-    same = codec.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
-    return ids.select("doc_id", "lang", "source", "ids", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+    done = docs.select("doc_id", "lang", "source", "text", codec.round_trip(F.col("text")).alias("done"))
+    done = done.select("doc_id", "lang", "source", "text", "done.ids", "done.decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return done.select("doc_id", "lang", "source", "ids", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -6,15 +6,16 @@ the next merge; a merge changes the pairs of at most three positions, each a log
 neighbours. So one match of n bytes costs O(n log n), also when a text has no space at all.
 
 Ids are carried as BINARY, little-endian unsigned 32-bit each (``octet_length / 4`` is their number). Every
-worker keeps a bounded memo of the ids of short stretches of text; the memo only saves time.
+worker keeps one bounded memo of the ids of short matches; the memo only saves time.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; an id outside the vocabulary raises.
+Defined cases: a null or empty text has no ids and decodes to no bytes; an id outside the vocabulary raises; a text is
+encoded whole however long it is; repeated rows get equal ids; an empty table gives an empty result; other columns
+are not looked at, whatever their names, since the tokenizer maps one column to another.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import struct
 
 import pyarrow as pa
@@ -22,14 +23,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stretches of text that each of a worker's memos holds, and the characters of the longest one they take.
-MEMO, MEMO_CHARS = 250_000, 48
+#: Matches that the older and the newer half of a worker's memo hold each, and the bytes of ids of the longest one kept:
+#: at most about 60 MB in all.
+MEMO, MEMO_BYTES = 160_000, 64
 #: Children of a node of the segment tree.
 FAN = 32
 _NONE = 1 << 62
-#: A space that white space or the end follows: then spaces alone don't show where matches begin.
-_ODD = re.compile(r" (?:\s|\Z)")
-_SPLIT = re.compile(r" (?=\S)")
 _CODECS: dict[tuple[bytes, str], "Codec"] = {}
 
 
@@ -87,17 +86,21 @@ def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Results of ``make`` for short stretches, bounded."""
+    """Ids of short matches. When it is full, it becomes the older half, and what is asked for again moves back."""
 
     def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.make(part)
-        if len(part) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[part] = ids
+        self.make, self.older = make, {}
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.older.get(match)
+        if ids is None:
+            ids = self.make(match)
+            if len(ids) > MEMO_BYTES or len(match) > MEMO_BYTES:
+                return ids
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[match] = ids
         return ids
 
 
@@ -107,37 +110,24 @@ class Codec:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
-        self.known = bytearray(len(self.bytes_of))
-        for rank in ranks.values():
-            self.known[rank] = 1
         self.pairs = [_NONE if (rank := ranks.get(bytes((x >> 8, x & 255)))) is None else rank << 32 for x in range(1 << 16)]
-        self.matches = _Memo(self.match)
-        self.first, self.spaced = _Memo(self.stretch), _Memo(lambda part: self.stretch(" " + part))
+        self.memo = _Memo(self.match)
 
     def match(self, text: str) -> bytes:
         ids = merge(text.encode(), self.ranks, self.pairs)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def stretch(self, text: str) -> bytes:
-        return b"".join(map(self.matches.__getitem__, self.find(text)))
-
     def encode(self, text: str) -> bytes:
-        """Matches never cross a space before a visible character, so the text may be cut there."""
-        if not text:
-            return b""
-        parts = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
+        return b"".join(map(self.memo.__getitem__, self.find(text))) if text else b""
 
     def decode(self, ids: bytes) -> bytes:
-        import numpy as np
-
-        values = np.frombuffer(ids, "<u4").tolist()
-        if values and (max(values) >= len(self.known) or not all(map(self.known.__getitem__, set(values)))):
-            raise ValueError("an id is outside the vocabulary")
-        return b"".join(map(self.bytes_of.__getitem__, values))
+        try:
+            return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
+        except (IndexError, TypeError):
+            raise ValueError("an id is outside the vocabulary") from None
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -154,7 +144,7 @@ def codec_of(raw: bytes, pattern: str) -> Codec:
 
 
 class Tokenizer:
-    """``encode`` and ``decode`` as Columns. The vocabulary (fixed, under 1 MB) is broadcast once."""
+    """``encode`` and ``decode`` as Columns, and ``round_trip`` for both in one pass. The vocabulary (fixed, under 1 MB) is broadcast once."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -170,8 +160,14 @@ class Tokenizer:
             codec = codec_of(shared.value, pattern)
             return pa.array((codec.decode(x.as_py() or b"") for x in ids), pa.binary())
 
-        # else the optimizer would write out encode again inside decode(encode(text)) and run it twice
-        self._encode, self._decode = encode.asNondeterministic(), decode
+        @F.arrow_udf(T.StructType().add("ids", "binary").add("decoded", "binary"))
+        def round_trip(texts: pa.Array) -> pa.Array:
+            codec = codec_of(shared.value, pattern)
+            ids = pa.array((codec.encode(x.as_py() or "") for x in texts), pa.binary())
+            return pa.StructArray.from_arrays([ids, pa.array((codec.decode(x.as_py()) for x in ids), pa.binary())], ["ids", "decoded"])
+
+        # else the optimizer would write the call out again for each use of its result
+        self._encode, self._decode, self._both = encode.asNondeterministic(), decode, round_trip.asNondeterministic()
 
     def encode(self, text: Column) -> Column:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
@@ -181,6 +177,10 @@ class Tokenizer:
         """Bytes of ids."""
         return self._decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of a text's ``ids`` and of what they decode to, ``decoded``: one worker, and the ids cross once."""
+        return self._both(text)
+
 
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

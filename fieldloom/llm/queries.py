@@ -37,9 +37,8 @@ def multilingual_tokenizer(spark: SparkSession) -> Tokenizer:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = multilingual_tokenizer(spark)
-    ids = table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    decoded = ids.withColumn("decoded", codec.decode(F.col("ids")))
-    return decoded.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("done")).select("doc_id", "done.ids", "done.decoded")
+    return done.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
