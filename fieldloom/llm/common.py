@@ -2,45 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow table (a few dozen bytes a row) is sent to every executor.
-BROADCAST_ROWS = 300_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; only where the cluster names none, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+from fieldloom.storage import scratch, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Measured bytes up to which a table is sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast when its counted rows are within ``limit``; else it is shuffled."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a joined row."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(F.transform(value, lambda x: _width(x, kind.elementType)), F.lit(16).cast("long"), lambda s, x: s + x), F.lit(16))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    return F.lit(8).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast when its measured bytes are within ``limit``; else the join shuffles it."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
 
 
 def located(docs: DataFrame, columns: dict[str, Column], name: str) -> DataFrame:
@@ -57,6 +48,27 @@ def located(docs: DataFrame, columns: dict[str, Column], name: str) -> DataFrame
         return located(kept, {k: F.col(k) for k in columns}, name)
 
 
+class Rows:
+    """All rows of ``docs`` under names of our own (c0, c1, ...), so that no column's name clashes, with locators."""
+
+    def __init__(self, docs: DataFrame, name: str):
+        self.names = docs.columns
+        own = [f"c{i}" for i in range(len(self.names))]
+        self.located = located(docs.toDF(*own), {c: F.col(c) for c in own}, name)
+        self.plain = self.located.drop("at_file", "at_row")
+
+    def own(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the columns and names of ``docs``."""
+        return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)])
+
+    def without(self, dropped: DataFrame) -> DataFrame:
+        """The rows whose locators aren't in ``dropped``."""
+        return self.back(self.located.join(maybe_broadcast(dropped.select("at_file", "at_row")), ["at_file", "at_row"], "left_anti"))
+
+
 def words_pattern() -> str:
     """Java pattern of a word: a run of anything but space and the controls from tab to carriage return."""
     return "[^ \\t-\\r]+"

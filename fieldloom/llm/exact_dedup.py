@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, maybe_broadcast, scratch
+from .common import Rows, located, maybe_broadcast, scratch, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -117,9 +117,7 @@ def exact_dedup(
     texts = texts.join(maybe_broadcast(hits), "key", "left_semi")
     classes = texts.groupBy("key", "plain").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
     split = classes.where("texts > 1").select("key")
-    path = scratch(spark, "dedup-split")
-    split.write.parquet(path)
-    split = spark.read.schema(split.schema).parquet(path)
+    split = written(split, "dedup-split")
 
     found = prints.join(state, "key")
     if not split.isEmpty():
@@ -133,12 +131,7 @@ def exact_dedup(
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    columns = docs.columns
-    named = docs.toDF(*[f"c{i}" for i in range(len(columns))]) if len(set(columns)) < len(columns) else docs
-    source = located(named, {c: F.col(f"`{c}`") for c in named.columns}, "dedup-rows")
-    dropped = exact_dedup(source.drop("at_file", "at_row"), doc_id, text)
-    path = scratch(docs.sparkSession, "dedup-dropped")
-    dropped.where(~F.col("kept")).select("at_file", "at_row").write.parquet(path)
-    dropped = docs.sparkSession.read.schema("at_file string, at_row long").parquet(path)
-    return source.join(maybe_broadcast(dropped), ["at_file", "at_row"], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    rows = Rows(docs, "dedup-rows")
+    found = exact_dedup(rows.plain, rows.own(doc_id), rows.own(text))
+    return rows.without(written(found.where(~F.col("kept")).select("at_file", "at_row"), "dedup-dropped"))

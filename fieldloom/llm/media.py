@@ -10,7 +10,8 @@ the bytes it owns itself. Reading back, a row that owns all its chunks is put to
 others fetch chunks by digest. Every medium's digest is verified after reconstruction.
 
 Defined cases: a null or empty text is a payload of padding only; equal texts share one store row; a chunk that
-repeats within a medium is stored once; identifiers may be null or repeated; other columns are ignored.
+repeats within a medium is stored once; a long text is a long medium and reconstructed in time proportional to it;
+identifiers may be of any type, null or repeated; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _manifest(source: DataFrame) -> DataFrame:
             own = [b.column(n) for n in ("doc_id", "at_file", "at_row")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, _CHUNKS)], ["doc_id", "at_file", "at_row", "n_bytes", "medium", "chunks"])
 
-    return source.mapInArrow(scan, "doc_id long, at_file string, at_row long, n_bytes long, medium binary, chunks array<struct<digest binary, size int>>")
+    return source.mapInArrow(scan, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, at_file string, at_row long, n_bytes long, medium binary, chunks array<struct<digest binary, size int>>")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the store to ``path``; the manifest: doc_id, n_bytes and medium of each document."""
     spark = docs.sparkSession
-    source = located(docs, {"doc_id": F.col(f"`{doc_id}`").cast("long"), "text": F.col(f"`{text}`")}, "media-input")
+    source = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": F.col(f"`{text}`")}, "media-input")
     manifest = written(_manifest(source), "media-manifest")
     place = F.struct("at_file", "at_row")
     repeated = manifest.groupBy("medium").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -180,10 +181,23 @@ def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _facts_schema())
 
 
-def _piece(pos: Column) -> Column:
-    """Bytes of the owned chunk at ``pos``: its offset is the sum of the owned chunks before it."""
-    at = F.aggregate(F.sequence(F.lit(0), pos), F.lit(0), lambda acc, k: acc + F.when((k < pos) & ~F.array_contains("away", k), F.element_at("chunks", k + 1)["size"]).otherwise(0))
-    return F.substring("data", at + 1, F.element_at("chunks", pos + 1)["size"])
+def _slices(packs: DataFrame) -> DataFrame:
+    """(medium, pos, digest, piece) for each place in ``give``: owned chunks, cut out of ``data`` in one pass over its offsets."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for medium, chunks, away, data, give in zip(*(b.column(n) for n in ("medium", "chunks", "away", "data", "give"))):
+                not_own, wanted, whole, rows, at = set(away.as_py()), set(give.as_py()), data.as_buffer(), [], 0
+                for k, chunk in enumerate(chunks.as_py()):
+                    if k not in not_own:
+                        if k in wanted:
+                            rows.append((k, chunk["digest"], whole.slice(at, chunk["size"]).to_pybytes()))
+                        at += chunk["size"]
+                if rows:
+                    places, digests, pieces = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([medium.as_py()] * len(rows), pa.binary()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(pieces, pa.binary())], ["medium", "pos", "digest", "piece"])
+
+    return packs.select("medium", "chunks", "away", "data", "give").mapInArrow(cut, "medium binary, pos int, digest binary, piece binary")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -193,14 +207,13 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     partial = packs.where(F.size("away") > 0)
     wanted = partial.select("medium", F.explode("away").alias("pos"), "chunks").select("medium", "pos", F.element_at("chunks", F.col("pos") + 1)["digest"].alias("digest"))
     wanted = written(wanted, "media-wanted")
-    owned = packs.select(F.col("medium").alias("owner"), "away", F.posexplode("chunks").alias("pos", "chunk")).where(~F.array_contains("away", F.col("pos")))
-    found = owned.select("owner", "pos", "chunk.digest").join(maybe_broadcast(written(wanted.select("digest").distinct(), "media-digests")), "digest", "left_semi")
-    found = written(found.groupBy(F.col("owner").alias("medium")).agg(F.collect_list(F.struct("pos", "digest")).alias("give")), "media-give")
-    given = packs.join(maybe_broadcast(found), "medium").select("chunks", "away", "data", F.explode("give").alias("g"))
-    given = given.select("g.digest", _piece(F.col("g.pos")).alias("piece"))
+    owned = packs.select("medium", "away", F.posexplode("chunks").alias("pos", "chunk")).where(~F.array_contains("away", F.col("pos")))
+    found = owned.select("medium", "pos", "chunk.digest").join(maybe_broadcast(written(wanted.select("digest").distinct(), "media-digests")), "digest", "left_semi")
+    found = written(found.groupBy("medium").agg(F.collect_list("pos").alias("give")), "media-give")
+    given = _slices(packs.join(maybe_broadcast(found), "medium")).select("digest", "piece")
     fetched = wanted.join(given, "digest").select("medium", "pos", "piece")
-    own = partial.select("medium", "chunks", "away", "data", F.explode(F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("away"))).alias("pos"))
-    pieces = fetched.unionByName(own.select("medium", "pos", _piece(F.col("pos")).alias("piece")))
+    own = _slices(partial.withColumn("give", F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("away")))).select("medium", "pos", "piece")
+    pieces = fetched.unionByName(own)
     joined = pieces.groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
     return whole.unionByName(joined.select("medium", F.transform("p", lambda x: x["piece"]).alias("pieces")).mapInArrow(_read_pieces, _FACTS))
 

@@ -9,8 +9,13 @@ each source gives come near the targets, which are found by the same water-filli
 Running sums are made over range partitions: sort by range, sum within each partition, add the partitions'
 offsets (one row for each partition and source). No task ever holds a whole source.
 
+The shuffled order is by a seeded hash of identifier and text, then by the row's place in its file, so reruns over
+the same files agree, and rows without an identifier are spread by their texts.
+
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last; a
-null identifier is mixed like any other; repeated rows are separate passes; an empty table gives an empty mix.
+null identifier is mixed like any other; rows of equal identifier and text may stand for one another, others of equal
+identifier are told apart by their texts; repeated rows are separate passes; an empty table gives an empty mix; other
+columns are ignored, or with ``mixed`` passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import located, maybe_broadcast, word_count, written
+from .common import Rows, located, maybe_broadcast, word_count, written
 
 SEED, REPEATS, WEIGHTS = "mix-1", 3, (1, 2, 3)
 
@@ -64,33 +69,38 @@ def running_sum(df: DataFrame, key: str | None, order: list[str], value: str, na
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """One row for each source: rank, weight, source_size, budget and target."""
-    each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = W.orderBy(F.col("source").isNull(), "source")
-    each = each.withColumn("source_rank", F.row_number().over(by_name))
+    """One row for each source: rank, weight, source_size, budget and target.
+
+    Sources are numbered over range partitions. The level that fills the budget is found in rounds: a source above
+    its top is held there and the others share the rest, until no more are; each round is one aggregation.
+    """
+    each = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"last": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    each = running_sum(each, None, ["last", "source"], "one", "mix-ranks").withColumnRenamed("position", "source_rank")
     cycle = F.array(*[F.lit(w).cast("long") for w in weights])
-    each = each.withColumn("weight", F.element_at(cycle, (F.col("source_rank") - 1) % len(weights) + 1))
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    each = each.withColumns({"budget": F.sum("source_size").over(everything), "top": F.col("source_size") * repeats})
-    fill = W.orderBy(F.col("top") / F.col("weight"), "source_rank")
-    each = each.withColumns({
-        "full": F.sum("top").over(fill.rowsBetween(W.unboundedPreceding, 0)) - F.col("top"),
-        "open": F.sum("weight").over(everything) - F.sum("weight").over(fill.rowsBetween(W.unboundedPreceding, 0)) + F.col("weight"),
-    }).withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
-    fits = F.when(F.col("weight") * F.col("level") <= F.col("top"), F.struct(F.col("top") / F.col("weight"), "source_rank", "level"))
-    each = each.withColumn("level", F.min(fits).over(everything)["level"])
-    target = F.least(F.col("weight") * F.col("level"), F.col("top").cast("double"))
-    return each.select("source", "source_rank", "weight", "source_size", "budget", target.alias("target"))
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, passes (times that it is taken) and ``also``."""
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))))
-    sizes = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), hashed.alias("place"), *also)
+    each = each.withColumn("weight", F.element_at(cycle, ((F.col("source_rank") - 1) % len(weights) + 1).cast("int")))
+    each = written(each.select("source", "source_rank", "weight", "source_size", (F.col("source_size") * repeats).alias("top")), "mix-sources")
+    all_of = each.agg(F.sum("source_size").alias("budget"), F.sum("weight").alias("weight")).first()
+    budget, held, level = all_of["budget"] or 0, 0, (all_of["budget"] or 0) / (all_of["weight"] or 1)
+    while True:
+        above = F.col("weight") * F.lit(level) > F.col("top")
+        now = each.agg(F.count_if(above).alias("held"), F.sum(F.when(above, F.col("top"))).alias("full"), F.sum(F.when(~above, F.col("weight"))).alias("open")).first()
+        if now["held"] == held or not now["open"]:
+            break
+        held, level = now["held"], (budget - now["full"]) / now["open"]
+    target = F.least(F.col("weight") * F.lit(level), F.col("top").cast("double"))
+    return each.select("source", "source_rank", "weight", "source_size", F.lit(budget).cast("long").alias("budget"), target.alias("target"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, with_file: bool = False) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken, passes (times that it is taken) and, ``with_file``, its locator."""
+    rows = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "source": F.col(f"`{source}`"), "text": F.col(f"`{text}`")}, "mix-input")
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    file = ["at_file"] if with_file else []
+    sizes = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(name).alias("place"), F.xxhash64("at_file").alias("file"), "at_row", *file)
     sizes = written(sizes, "mix-sizes")
-    sources = written(source_targets(sizes, weights, repeats), "mix-sources")
+    sources = source_targets(sizes, weights, repeats)
     docs = sizes.join(maybe_broadcast(sources), sizes["source"].eqNullSafe(sources["source"])).drop("source")
-    queued = running_sum(docs, "source_rank", ["place", "doc_id"], "size", "mix-queue")
+    queued = running_sum(docs, "source_rank", ["place", "file", "at_row"], "size", "mix-queue")
 
     def finish(turn):
         return ((turn - 1) * F.col("source_size") + F.col("running")) / F.col("weight")
@@ -102,23 +112,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     cut = inside.agg(F.max(F.struct(*order)).alias("cut"))
     passes = sum((F.when(F.struct(finish(F.lit(t)).alias("finish"), F.col("source_rank"), F.lit(t).alias("turn"), F.col("position").alias("at")) <= F.col("cut"), 1).otherwise(0) for t in range(2, repeats + 1)), F.when(F.struct(finish(F.lit(1)).alias("finish"), F.col("source_rank"), F.lit(1).alias("turn"), F.col("position").alias("at")) <= F.col("cut"), 1).otherwise(0))
     out = queued.join(F.broadcast(cut)).withColumn("passes", passes)  # the cut is one row
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *also)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", *(["at_file", "at_row"] if with_file else []))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
-    rows = located(docs, {c: F.col(f"`{c}`") for c in docs.columns}, "mix-rows")
-    found = mix(rows, doc_id, text, source, also=("at_file", "at_row"))
+    rows = Rows(docs, "mix-rows")
+    found = mix(rows.plain, rows.own(doc_id), rows.own(text), rows.own(source), with_file=True)
     # most rows are taken once: only the others are looked up
     other = written(found.where("passes != 1").select("at_file", "at_row", "passes"), "mix-other")
     times = F.coalesce("passes", F.lit(1))
-    taken = rows.join(maybe_broadcast(other), ["at_file", "at_row"], "left").where(times > 0)
-    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = rows.located.join(maybe_broadcast(other), ["at_file", "at_row"], "left").where(times > 0)
+    return rows.back(taken.withColumn("turn", F.explode(F.sequence(F.lit(1), times))))
 
 
 ORACLE = """
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size, md5('mix-1:' || coalesce(doc_id::varchar, '')) AS place FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size, md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS place FROM documents
 ), named AS (
   SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM sizes GROUP BY source
 ), weighed AS (
@@ -132,8 +142,8 @@ WITH sizes AS (
 ), targets AS (
   SELECT source, rk, w, source_size, budget, least(w * chosen_level, top::double) AS target FROM chosen
 ), queued AS (
-  SELECT s.doc_id, s.size, t.*, (sum(s.size) OVER (PARTITION BY t.rk ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING))::bigint AS running,
-         row_number() OVER (PARTITION BY t.rk ORDER BY place, doc_id) AS pos
+  SELECT s.doc_id, s.size, t.*, (sum(s.size) OVER (PARTITION BY t.rk ORDER BY place ROWS UNBOUNDED PRECEDING))::bigint AS running,
+         row_number() OVER (PARTITION BY t.rk ORDER BY place) AS pos
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), passes AS (
   SELECT q.*, turn, ((turn - 1) * source_size + running) / w AS finish FROM queued q, (VALUES (1), (2), (3)) v(turn)

@@ -8,22 +8,24 @@ a bucket's sets are candidates. At the threshold of 0.8 a pair shares no bucket
 
 No bucket is expanded into its pairs. Every member is compared with the bucket's leader (its smallest set), the
 links found are made components, and only buckets that still hold several components are looked at again: for TURNS
-rounds with another leader each; then the members outside a bucket's largest component look for sets of other
-components by an exact prefix filter over rare shingles. Sets of one component are never compared among themselves,
-and no candidate pair that could join two components is left out.
+rounds with another leader each; then the members outside a bucket's largest component, the strays, are compared with
+everything that may be linked with them: sets are packed into blocks of bounded size, an exact prefix filter over rare
+shingles says which blocks may hold a link, and two blocks are compared inside one task, which gives back one link for
+each pair of components. So no row is ever made for a pair that isn't a link, and no link across components is left out.
 
-Candidates are estimated by the joint likelihood of the registers, given both set sizes; a pair more than six
-standard deviations below the threshold goes. The rest are verified on the full sets, computed from whole texts.
+Candidates of leaders are estimated by the joint likelihood of the registers, given both set sizes; a pair more than six
+standard deviations below the threshold goes. The rest are verified on the full sets, computed from whole texts. A
+shingle stands in its set as a 64-bit hash of its words: sizes and links are exact but for collisions of that hash
+within one document or pair, about 1e-14 for texts of a thousand words.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; fewer than k words make one
 shingle; a null identifier never is a component's smallest unless all are null; repeated rows fall into one
-component; other columns are ignored.
+component; identifiers may be of any ordered type; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,37 +34,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import located, maybe_broadcast, written
-from .components import connected_components
+from fieldloom.operators.components import components as connected_components
+
+from .common import Rows, located, maybe_broadcast, written
 
 BANDS, ROWS, BASE, RATE, TOP = 40, 5, 1.001, 20.0, 65_534
 REGISTERS = BANDS * ROWS
 #: Rounds of further leaders before what is left is compared across components.
 TURNS = 2
-#: Slots of the table of shingle counts that orders shingles by rarity, and the ratio of neighbouring size classes.
-ORDER_SLOTS, CLASS_RATIO = 1 << 18, 1.1
+#: Slots of the table of shingle counts that orders shingles by rarity, and the shingles that a block aims at.
+ORDER_SLOTS, BLOCK = 1 << 18, 16_384
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 6.0
-WORDS_KEPT, SETS_KEPT = 300_000, 256
+#: Words and set keys that a task's memos hold; they only save time.
+WORDS_KEPT, KEYS_KEPT = 60_000, 200_000
 _ODD64 = np.random.default_rng(20_240_101).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD32 = np.random.default_rng(77).integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def size_class(n: int) -> int:
-    """Class of a set size; sizes of a class are within about CLASS_RATIO."""
-    c = int(np.log(max(n, 1)) / np.log(CLASS_RATIO))
-    while class_start(c + 1) <= n:
-        c += 1
-    while c > 0 and class_start(c) > n:
-        c -= 1
-    return c
-
-
-def class_start(c: int) -> int:
-    """Smallest size of a class."""
-    return int(np.ceil(CLASS_RATIO**c - 1e-9))
-
-
 class _Words(dict):
     """Word to 64-bit hash, bounded."""
 
@@ -135,29 +124,29 @@ def _estimated(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Arr
     return pa.array(joint_estimate(rows(a), rows(b), n_a.to_numpy(False).astype(float), n_b.to_numpy(False).astype(float)))
 
 
-def _shared(k: int):
-    """Number of shingles that two texts share; the last sets are kept by their ids."""
+@F.arrow_udf(T.LongType())
+def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Number of shingles that two packed sets share."""
+    return pa.array((len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(a, b)), pa.int64())
 
-    @F.arrow_udf(T.LongType())
-    def shared(a: pa.Array, text_a: pa.Array, b: pa.Array, text_b: pa.Array) -> pa.Array:
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(key: int, text: str) -> np.ndarray:
-            if key in kept:
-                kept.move_to_end(key)
-            else:
-                kept[key] = shingles(text, k)
-                if len(kept) > SETS_KEPT:
-                    kept.popitem(last=False)
-            return kept[key]
-
-        out = []
-        for x, s, y, t in zip(a, text_a, b, text_b):
-            one, two = of(x.as_py(), s.as_py()), of(y.as_py(), t.as_py())
-            out.append(len(np.intersect1d(one, two, assume_unique=True)))
-        return pa.array(out, pa.int64())
-
-    return shared
+def across(one: list[dict], two: list[dict], percent: int) -> list[tuple[int, int]]:
+    """A link (sid, sid) for each pair of components that sets of block ``one`` and sets of block ``two`` link."""
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in two]
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(two)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    components, found = np.array([m["component"] for m in two]), {}
+    for m in one:
+        own = np.frombuffer(m["shingles"], np.uint64)
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        many = high - low
+        places = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(owner[places], minlength=len(two))
+        for k in np.flatnonzero((100 * shared >= percent * (len(own) + sizes - shared)) & (components != m["component"])).tolist():
+            found.setdefault((m["component"], two[k]["component"]), (m["sid"], two[k]["sid"]))
+    return list(found.values())
 
 
 def _marks(docs: DataFrame, k: int) -> DataFrame:
@@ -172,7 +161,7 @@ def _marks(docs: DataFrame, k: int) -> DataFrame:
                 key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
                 first = key is not None and key not in seen
                 if first:
-                    if len(seen) >= WORDS_KEPT:
+                    if len(seen) >= KEYS_KEPT:
                         seen.clear()
                     seen.add(key)
                 sizes.append(len(h))
@@ -180,8 +169,20 @@ def _marks(docs: DataFrame, k: int) -> DataFrame:
                 sketches.append(registers(h).tobytes() if first else None)
             own = [b.column(n) for n in ("doc_id", "at_file", "at_row")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "at_file", "at_row", "n", "set_key", "sketch"])
+        _WORDS.clear()
 
-    return docs.mapInArrow(scan, "doc_id long, at_file string, at_row long, n long, set_key binary, sketch binary")
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at_file string, at_row long, n long, set_key binary, sketch binary")
+
+
+def _packed(texts: DataFrame, k: int) -> DataFrame:
+    """(sid, shingles): the sorted hashes of each text's set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array((shingles(t.as_py(), k).tobytes() for t in b.column("text")), pa.binary())], ["sid", "shingles"])
+        _WORDS.clear()
+
+    return texts.mapInArrow(scan, "sid long, shingles binary")
 
 
 def _like(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -190,81 +191,81 @@ def _like(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 class _Corpus:
-    """The sets, their sketches and where their texts are."""
+    """The sets' sketches, and the full sets of those that share a bucket with another, written once."""
 
-    def __init__(self, source: DataFrame, sets: DataFrame, k: int, percent: int):
-        self.source, self.sets, self.k, self.percent = source, sets, k, percent
-        self.shared = _shared(k)
+    def __init__(self, sets: DataFrame, packed: DataFrame, percent: int):
+        self.sets, self.packed, self.percent = sets, packed, percent
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(sid, text) of the sets in ``wanted``, written."""
-        wanted = written(self.sets.join(wanted, "sid", "left_semi").select("sid", "at_file", "at_row"), "near-wanted")
-        return written(self.source.select("at_file", "at_row", "text").join(maybe_broadcast(wanted), ["at_file", "at_row"]).select("sid", "text"), "near-texts")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of the candidate pairs (a, b), written."""
+        side = lambda c: self.sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        whole = lambda c: self.packed.select(F.col("sid").alias(c), F.col("shingles").alias(f"all_{c}"))
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_like(n_a, n_b, self.percent))
+        t = self.percent / 100
+        cutoff = t - SIGMAS * (t * (1 - t) / REGISTERS) ** 0.5
+        likely = written(pairs.where(_estimated("s_a", "s_b", "n_a", "n_b") >= cutoff).select("a", "b", "n_a", "n_b"), "near-likely")
+        both = likely.join(whole("b"), "b").join(whole("a"), "a").withColumn("shared", _shared("all_a", "all_b"))
+        return written(both.where(100 * F.col("shared") >= self.percent * (n_a + n_b - F.col("shared"))).select("a", "b"), "near-links")
 
-    def exact_candidates(self, rest: DataFrame) -> DataFrame | None:
-        """Pairs of the open buckets' sets that may be linked across components, none left out: prefix filtering.
+    def stray_links(self, rest: DataFrame) -> DataFrame | None:
+        """Links across components among the open buckets' sets, one for each pair of blocks and components.
 
-        Of two linked sets, sorted by any common order, the first shared shingle stands among the first few of both.
-        The order puts rare shingles first, so that sets which differ from a crowd meet only those that differ alike.
-        Only sets outside the largest component that is in their bucket are looked up.
+        A set's home is its most crowded open bucket. A home's sets are dealt into blocks of about BLOCK shingles,
+        strays and others apart. Of two linked sets, sorted by any common order, the first shared shingle stands
+        among the first few of both: blocks that share no such prefix shingle hold no link. The order puts rare
+        shingles first, so that a crowd's own shingles come last.
         """
         sizes = rest.select("sid", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        tops = rest.select("band", "component").distinct().join(sizes, "component").groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"))
-        marked = rest.join(tops, "band").groupBy("sid").agg(F.max(F.col("component") != F.col("top.component")).alias("stray"), F.min("component").alias("component"))
-        marked = written(marked, "near-marked")
+        tops = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("members")).join(sizes, "component").groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("members").alias("crowd"))
+        home = F.max(F.struct("crowd", "band"))["band"].alias("home")
+        marked = rest.join(tops, "band").groupBy("sid").agg(F.max(F.col("component") != F.col("top.component")).alias("stray"), F.min("component").alias("component"), home)
+        marked = written(marked.join(self.packed, "sid"), "near-marked")
         if marked.isEmpty():
             return None
-        texts, k, percent = self.texts(marked.select("sid")), self.k, self.percent
+        percent = self.percent
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(ORDER_SLOTS, np.int64)
             for b in batches:
-                for t in b.column("text"):
-                    np.add.at(total, (shingles(t.as_py(), k) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
+                for s in b.column("shingles"):
+                    np.add.at(total, (np.frombuffer(s.as_py(), np.uint64) % np.uint64(ORDER_SLOTS)).astype(np.int64), 1)
             slots = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
         common = np.zeros(ORDER_SLOTS, np.int64)
-        seen = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ORDER_SLOTS rows
+        seen = marked.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most ORDER_SLOTS rows
         common[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
-        shared = texts.sparkSession.sparkContext.broadcast(common)
-
-        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = rest.sparkSession.sparkContext.broadcast(common)
+
+        @F.arrow_udf(T.ArrayType(T.LongType()))
+        def prefix(sets: pa.Array) -> pa.Array:
+            out = []
+            for s in sets:
+                h = np.frombuffer(s.as_py(), np.uint64)
+                h = h[np.lexsort((h, shared.value[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)]))]
+                out.append(h[: len(h) - -(-len(h) * percent // 100) + 1].view(np.int64))
+            return pa.array(out, pa.list_(pa.int64()))
+
+        deals = marked.groupBy("home", "stray").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK)).alias("deals"))
+        place = F.struct("home", "stray", F.pmod(F.xxhash64("sid"), "deals").alias("deal")).alias("block")
+        dealt = marked.join(deals, ["home", "stray"]).select(place, "sid", "component", "shingles")
+        blocks = written(dealt.groupBy("block").agg(F.collect_list(F.struct("sid", "component", "shingles")).alias("members")), "near-blocks")
+        begins = written(dealt.select("block", F.explode(prefix("shingles")).alias("shingle")).distinct(), "near-begins")
+        left = begins.where("block.stray").select("shingle", F.col("block").alias("one"))
+        right = begins.select("shingle", F.col("block").alias("two"))
+        met = left.join(right, "shingle").where("NOT two.stray OR one <= two").select("one", "two").distinct()
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, t in zip(b.column("sid"), b.column("text")):
-                    h = shingles(t.as_py(), k)
-                    n = len(h)
-                    h = h[np.lexsort((h, shared.value[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)]))]
-                    own, parts, classes = size_class(n), [], []
-                    for other in range(size_class(-(-n * percent // 100)), size_class(n * 100 // percent) + 1):
-                        least = max(-(-n * percent // 100), class_start(other))
-                        need = -(-percent * (n + least) // (100 + percent))
-                        if need <= n:
-                            parts.append(h[: n - need + 1])
-                            classes.append(np.full(len(parts[-1]), other, np.int32))
-                    if parts:
-                        m = sum(map(len, parts))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, i.as_py(), np.int64)), pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.full(m, own, np.int32)), pa.array(np.concatenate(classes))], ["sid", "shingle", "own", "other"])
-
-        rows = written(texts.mapInArrow(prefixes, "sid long, shingle long, own int, other int").join(marked, "sid"), "near-prefixes")
-        left = rows.where("stray").select("shingle", "own", "other", F.col("sid").alias("s"), F.col("component").alias("s_component"))
-        right = rows.select("shingle", F.col("other").alias("own"), F.col("own").alias("other"), F.col("sid").alias("o"), F.col("component").alias("o_component"), "stray")
-        met = left.join(right, ["shingle", "own", "other"]).where("s_component != o_component AND (NOT stray OR s < o)")
-        return written(met.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct(), "near-crossed")
+                for one, two in zip(b.column("strays"), b.column("others")):
+                    found = across(one.as_py(), two.as_py(), percent)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of the candidate pairs (a, b), written."""
-        side = lambda c: self.sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-        n_a, n_b = F.col("n_a"), F.col("n_b")
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_like(n_a, n_b, self.percent))
-        t = self.percent / 100
-        cutoff = t - SIGMAS * (t * (1 - t) / REGISTERS) ** 0.5
-        likely = written(pairs.where(_estimated("s_a", "s_b", "n_a", "n_b") >= cutoff).select("a", "b", "n_a", "n_b"), "near-likely")
-        wanted = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
-        texts = self.texts(wanted)
-        both = likely.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-        both = both.withColumn("shared", self.shared("a", "text_a", "b", "text_b"))
-        return written(both.where(100 * F.col("shared") >= self.percent * (n_a + n_b - F.col("shared"))).select("a", "b"), "near-links")
+        pairs = written(met, "near-met-blocks").join(blocks.select(F.col("block").alias("one"), F.col("members").alias("strays")), "one").join(blocks.select(F.col("block").alias("two"), F.col("members").alias("others")), "two")
+        found = pairs.select("strays", "others").mapInArrow(compare, "a long, b long")
+        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crossed")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -272,7 +273,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     ``component_id`` is the smallest identifier reachable over links, sets that share at least ``percent`` hundredths.
     """
-    source = located(docs, {"doc_id": F.col(f"`{doc_id}`").cast("long"), "text": F.col(f"`{text}`")}, "near-input")
+    source = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": F.col(f"`{text}`")}, "near-input")
     marks = written(_marks(source, k), "near-marks")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at_file", "at_row")
     sets = marks.where("set_key IS NOT NULL").groupBy("set_key").agg(F.max("sketch").alias("sketch"), F.first("n").alias("n"), F.min(place).alias("least"))
@@ -283,7 +284,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     buckets = written(bands.groupBy("band").agg(F.min("sid").alias("leader"), F.max("sid").alias("last")).where("leader < last").select("band", "leader"), "near-buckets")
     members = written(bands.join(maybe_broadcast(buckets), "band"), "near-members")
 
-    corpus = _Corpus(source, sets, k, percent)
+    wanted = written(sets.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "at_file", "at_row"), "near-wanted")
+    texts = source.select("at_file", "at_row", "text").join(maybe_broadcast(wanted), ["at_file", "at_row"]).select("sid", "text")
+    corpus = _Corpus(sets, written(_packed(texts, k), "near-packed"), percent)
     pairs = members.where("sid > leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
     links = corpus.verified(written(pairs, "near-pairs"))
     labels = connected_components(links)
@@ -306,10 +309,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         labels = connected_components(links)
         rest = open_buckets()
 
-    crossed = corpus.exact_candidates(rest)
+    crossed = corpus.stray_links(rest)
     if crossed is not None and not crossed.isEmpty():
-        links = links.union(corpus.verified(crossed))
-        labels = connected_components(links)
+        labels = connected_components(links.union(crossed))
 
     named = sets.select("sid", "set_key", "least").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
@@ -321,8 +323,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    source = located(docs, {c: F.col(f"`{c}`") for c in docs.columns}, "near-rows")
-    found = near_classes(source.drop("at_file", "at_row"), doc_id, text, k, percent)
-    dropped = written(found.where(~F.col("kept")).select("at_file", "at_row"), "near-dropped")
-    return source.join(maybe_broadcast(dropped), ["at_file", "at_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, one of each class, with all their columns, whatever their names."""
+    rows = Rows(docs, "near-rows")
+    found = near_classes(rows.plain, rows.own(doc_id), rows.own(text), k, percent)
+    return rows.without(written(found.where(~F.col("kept")).select("at_file", "at_row"), "near-dropped"))

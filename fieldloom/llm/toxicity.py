@@ -1,21 +1,26 @@
 """Toxicity: a counterfactual-regularised hashed linear classifier.
 
-A text's features are its distinct words and their leading letters, hashed. Training texts that name a group get
-counterfactual twins, in which every identity term is swapped for another of its set or for a neutral word; the
-change of the score between a text and its twins is penalised, so that the mere mention of a group doesn't move it.
+A text's features are its distinct words and their leading letters, hashed. In every sentence of a training text that
+names an identity term, the term is swapped for another of its set; the change of the score between the sentence and
+its twin is penalised, so that the mere mention of a group doesn't move it. The sets are a parameter (IDENTITIES has some
+in four languages). As corpora name groups by words that no list has, further terms are derived from the labelled
+rows: frequent words that toxic and other rows use about equally, and which thus name what is talked about.
 
 It is fitted on a bounded sample of labelled rows: at most TRAIN_ROWS of each label, those with the smallest hash
 of their identifier, and at most MAX_FEATURES features, chosen by the likelihood ratio of their presence. Rows
 whose crc32 of the identifier leaves remainder 1 by 3 are held out. Every text is scored whole.
 
 Defined cases: null and empty texts have no features and get the score of the bias; a null identifier is the text
-"" for the hold-out; repeated labels of a document count as toxic if one is; with no usable labels every score is
-0.5; other columns are ignored.
+"" for the hold-out; repeated labels of a document count as toxic if one is; of labelled documents with equal identifiers
+the one with the smallest hash of its text trains; repeated texts get equal scores; with no usable labels every score is
+0.5; an empty table gives no row; a long text is scored by all its words; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
+from .common import written
 
 #: Bounds of the training sample (rows of each label) and of the model.
 TRAIN_ROWS, MAX_FEATURES, HASH_BITS = 4_000, 4_096, 22
@@ -33,15 +39,19 @@ PREFIXES = (4, 5)
 MEMO = 300_000
 L2, PAIR_PENALTY, THRESHOLD = 2e-5, 0.5, 0.7
 MIN_ROWS, MIN_RATIO = 4, 12.0
-#: Sets of identity terms that may stand for one another, and the word that stands for none.
+#: Derived terms: how many at most, the least share of toxic and of other rows that have one, and how much the shares may differ.
+DERIVED, DERIVED_SHARE, DERIVED_RATIO = 64, 0.02, 1.25
+#: Sets of identity terms that may stand for one another; the last of a set is neutral and isn't looked for.
 IDENTITIES = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "foreigners", "refugees", "citizens"), ("old", "young", "disabled", "deaf", "blind"),
+    ("women", "men", "girls", "boys", "people"), ("woman", "man", "girl", "boy", "person"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "people"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "local"),
+    ("black", "white", "asian", "latino", "arab", "local"), ("gay", "straight", "lesbian", "bisexual", "transgender", "young"),
+    ("immigrants", "foreigners", "refugees", "citizens"), ("old", "disabled", "deaf", "blind", "tall"),
+    ("frauen", "männer", "mädchen", "jungen", "leute"), ("christen", "muslime", "juden", "atheisten", "leute"), ("ausländer", "flüchtlinge", "einwanderer", "bürger"),
+    ("femmes", "hommes", "filles", "garçons", "gens"), ("chrétiens", "musulmans", "juifs", "athées", "gens"), ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("mujeres", "hombres", "chicas", "chicos", "personas"), ("cristianos", "musulmanes", "judíos", "ateos", "personas"), ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
-NEUTRAL = "people"
-_SETS = {term: [t for t in (*group, NEUTRAL) if t != term] for group in IDENTITIES for term in group}
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -62,27 +72,50 @@ def features(text: str | None) -> set[int]:
     return found
 
 
-def twins(text: str | None) -> list[set[int]]:
-    """Features of a text's counterfactual twins; none if it names no group."""
-    tokens = (text or "").lower().split()
-    named = sorted({w for w in (t.strip(_STRIP) for t in tokens) if w in _SETS})
-    if not named:
-        return []
-    out = []
-    for turn in range(max(len(_SETS[w]) for w in named)):
-        swap = {w: _SETS[w][turn % len(_SETS[w])] for w in named}
-        out.append(features(" ".join(swap.get(t.strip(_STRIP), t) for t in tokens)))
-    return out
-
-
-@F.arrow_udf(T.BinaryType())
-def _packed(texts: pa.Array) -> pa.Array:
-    """Features of each text and of its twins, as one run of 32-bit numbers: count, features, count, features..."""
-    out = []
-    for x in texts:
-        parts = [features(x.as_py()), *twins(x.as_py())]
-        out.append(b"".join(np.array([len(p), *sorted(p)], "<u4").tobytes() for p in parts))
-    return pa.array(out, pa.binary())
+def swaps(groups: tuple[tuple[str, ...], ...], derived: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """Each identity term with what it may be swapped for."""
+    found = {term: [t for t in group if t != term] for group in groups for term in group[:-1]}
+    return found | {t: [x for x in derived if x != t] for t in derived if t not in found and len(derived) > 1}
+
+
+def twins(text: str | None, terms: dict[str, list[str]]) -> list[tuple[set[int], set[int]]]:
+    """For each sentence and identity term in it: the features that go and those that come when the term is swapped."""
+    found: dict[tuple[str, str], tuple[set[int], set[int]]] = {}
+    for sentence in _SENTENCE.split((text or "").lower()):
+        words = {t.strip(_STRIP) for t in sentence.split()}
+        for w in sorted(words & terms.keys()):
+            other = [t for t in terms[w] if t not in words]
+            if other:
+                twin = other[zlib.crc32(sentence.encode()) % len(other)]
+                if (w, twin) not in found:
+                    gone, come = set(word_features(w)), set(word_features(twin))
+                    found[w, twin] = (gone - come, come - gone)
+    return [found[k] for k in sorted(found)]
+
+
+def _packed(terms: dict[str, list[str]]):
+    @F.arrow_udf(T.BinaryType())
+    def packed(texts: pa.Array) -> pa.Array:
+        """Features of each text, then what goes and what comes with each of its twins, as one run of 32-bit numbers: count, features, count, ..."""
+        out = []
+        for x in texts:
+            parts = [features(x.as_py()), *(s for pair in twins(x.as_py(), terms) for s in pair)]
+            out.append(b"".join(np.array([len(p), *sorted(p)], "<u4").tobytes() for p in parts))
+        return pa.array(out, pa.binary())
+
+    return packed
+
+
+def derived_terms(sample: DataFrame, most: int = DERIVED) -> tuple[str, ...]:
+    """Frequent words of a labelled sample (toxic, text) that toxic and other rows use about equally, most frequent first."""
+    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("word")).where("length(word) > 1")
+    total = sample.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    if not total["toxic"] or total["toxic"] == total["n"]:
+        return ()
+    counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    one, two = F.col("toxic") / total["toxic"], (F.col("n") - F.col("toxic")) / (total["n"] - total["toxic"])
+    kept = counts.where((F.least(one, two) >= DERIVED_SHARE) & (F.greatest(one, two) <= DERIVED_RATIO * F.least(one, two)))
+    return tuple(r["word"] for r in kept.orderBy(F.desc("n"), "word").limit(most).collect())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,6 +139,9 @@ class _Known(dict):
 class Model:
     weights: dict[int, float]
     bias: float
+    #: Counterfactual twins that the fit penalised, and the identity terms that were looked for.
+    n_twins: int = 0
+    terms: tuple[str, ...] = ()
 
     def score(self, text: Column) -> Column:
         """Probability of toxicity of each whole text."""
@@ -125,7 +161,7 @@ class Model:
 
 
 def fit_rows(rows: list[list[np.ndarray]], y: np.ndarray, pair_penalty: float = PAIR_PENALTY) -> Model:
-    """A model from each row's features, followed by those of its twins."""
+    """A model from each row's features, followed by what goes and what comes with each of its twins."""
     if len(y) == 0 or y.min() == y.max():
         return Model({}, 0.0)
     every = np.concatenate([r[0] for r in rows])
@@ -138,34 +174,37 @@ def fit_rows(rows: list[list[np.ndarray]], y: np.ndarray, pair_penalty: float =
         ratio += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
     good = np.flatnonzero((df >= MIN_ROWS) & (ratio >= MIN_RATIO))
     good = good[np.lexsort((ids[good], -ratio[good]))][:MAX_FEATURES]
-    named = {f for w in [*_SETS, NEUTRAL] for f in word_features(w)}
-    chosen = np.unique(np.concatenate([ids[good], np.array(sorted(named & set(ids.tolist())), ids.dtype)]))
+    swapped = [s for r in rows for s in r[1:]]
+    chosen = np.unique(np.concatenate([ids[good], *swapped])).astype(np.int64)
 
     def kept(a: np.ndarray) -> np.ndarray:
         at = np.searchsorted(chosen, a)
         at[at == len(chosen)] = 0
         return at[chosen[at] == a] if len(chosen) else at[:0]
 
-    columns = [kept(r[0]) for r in rows]
-    x = linear.Rows(columns, None, len(chosen))
-    diffs, signs = [], []
-    for r, c in zip(rows, columns):
-        for twin in r[1:]:
-            t = kept(twin)
-            gone, come = np.setdiff1d(c, t), np.setdiff1d(t, c)
-            diffs.append(np.concatenate([gone, come]))
-            signs.append(np.concatenate([np.ones(len(gone)), -np.ones(len(come))]))
+    x = linear.Rows([kept(r[0]) for r in rows], None, len(chosen))
+    # equal twins once, with the root of their number as weight
+    times = Counter(zip((g.tobytes() for g in swapped[::2]), (c.tobytes() for c in swapped[1::2])))
+    total, diffs, signs = sum(times.values()), [], []
+    for (gone, come), n_equal in sorted(times.items()):
+        gone, come = kept(np.frombuffer(gone, np.int64)), kept(np.frombuffer(come, np.int64))
+        diffs.append(np.concatenate([gone, come]))
+        signs.append(np.concatenate([np.ones(len(gone)), -np.ones(len(come))]) * (n_equal * len(times) / total) ** 0.5)
     w, b = linear.fit(x, y, L2, pairs=linear.Rows(diffs, signs, len(chosen)), pair_penalty=pair_penalty)
-    return Model({int(f): float(v) for f, v in zip(chosen, w) if v}, b)
+    return Model({int(f): float(v) for f, v in zip(chosen, w) if v}, b, total)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pair_penalty: float = PAIR_PENALTY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pair_penalty: float = PAIR_PENALTY, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
     """Fit on a bounded sample of ``documents`` (doc_id, text) with ``labels`` (doc_id, toxic), held-out rows excluded."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = first(0).unionByName(first(1))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * rows narrow rows
-    got = texts.select("doc_id", "toxic", _packed("text").alias("packed")).orderBy("doc_id", "packed").toPandas()
+    texts = texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = written(texts, "toxic-sample")
+    derived = derived_terms(texts)
+    terms = swaps(identities, derived)
+    got = texts.select("doc_id", "toxic", _packed(terms)("text").alias("packed")).orderBy("doc_id").toPandas()  # at most 2 * rows rows
     parts = []
     for packed in got["packed"]:
         a, at, each = np.frombuffer(packed, "<u4").astype(np.int64), 0, []
@@ -173,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pair_penal
             each.append(a[at + 1 : at + 1 + a[at]])
             at += 1 + a[at]
         parts.append(each)
-    return fit_rows(parts, got["toxic"].to_numpy(float), pair_penalty)
+    model = fit_rows(parts, got["toxic"].to_numpy(float), pair_penalty)
+    model.terms = tuple(terms)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,15 +3,18 @@
 A list is a log of dated entries: (list_name, kind, pattern, listed_at, action). Entries become validity
 intervals: an ``add`` holds from its date to the next entry of the same list, kind and pattern. Every capture is
 judged by the entries active at its fetch time: its host, the host's parent domains and its path prefixes are
-looked up by equality, and the interval must contain the fetch time. Kinds: ``host`` (the whole host),
-``domain`` (the host or any parent domain), ``url`` (host and leading path segments).
-
-Captures are reduced to distinct (url, fetch time) first. A pattern that very many captures share makes a skewed
-equi-join, which adaptive execution splits on the captures' side; no task needs a pattern's rows together.
-
-Defined cases: a null or unparsable url and a null fetch time match nothing; entries with a null field are
-ignored; of entries at the same instant, a ``remove`` counts; repeated captures get equal rows; an empty list
-leaves every capture unblocked; other columns of either table are ignored.
+looked up by equality, and an as-of join finds the last interval of each list that began by the fetch time; it counts
+if it hasn't ended. Kinds: ``host`` (the whole host), ``domain`` (the host or any parent domain), ``url`` (host and
+leading path segments).
+
+The as-of join is a window over captures and intervals together, sorted by time: a row for each capture, list and
+pattern, however long the pattern's history is. Captures are reduced to distinct (url, fetch time) first. A pattern
+with more than SALT_ROWS captures is dealt into as many windows as it takes, each with all the pattern's intervals.
+
+Defined cases: a null or unparsable url and a null fetch time match nothing, nor does a url longer than any pattern do
+so but by its leading segments; entries with a null field are ignored; of entries at the same instant, a ``remove``
+counts; repeated captures get equal rows; an empty list leaves every capture unblocked; other columns of either table
+are ignored, or passed through by ``judged``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, written
+
+#: Captures of a pattern that one window takes.
+SALT_ROWS = 1_000
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -57,20 +64,35 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     base = base.withColumn("host", host_of(F.col("url")))
     sought = base.where("host != '' AND fetched_at IS NOT NULL").select("url", "fetched_at", F.explode(F.array_distinct(lookups(F.col("host"), path_of(F.col("url"))))).alias("at")).select("url", "fetched_at", "at.*")
     spans = validity_intervals(entries)
-    active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    hits = sought.join(spans, ["kind", "pattern"]).where(active)
-    hits = hits.groupBy("url", "fetched_at").agg(F.count(F.lit(1)).alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("lists"))
+    at = ["list_name", "kind", "pattern"]
+    listed = written(sought.join(spans.select(*at).distinct(), ["kind", "pattern"]), "url-listed")
+    crowds = listed.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS)
+    salts = maybe_broadcast(written(crowds.select("kind", "pattern", F.ceil(F.col("n") / SALT_ROWS).alias("salts")), "url-salts"))
+    own = listed.join(salts, ["kind", "pattern"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("url", "fetched_at"), "salts"), F.lit(0)))
+    theirs = spans.join(salts, ["kind", "pattern"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
+    begun = F.struct("valid_from", "valid_to")
+    both = own.select(*at, "salt", F.col("fetched_at").alias("time"), F.lit(1).alias("capture"), "url", F.lit(None).cast(spans.select(begun.alias("s")).schema["s"].dataType).alias("span"))
+    both = both.unionByName(theirs.select(*at, "salt", F.col("valid_from").alias("time"), F.lit(0).alias("capture"), F.lit(None).cast("string").alias("url"), begun.alias("span")))
+    last = F.last("span", ignorenulls=True).over(W.partitionBy(*at, "salt").orderBy("time", "capture"))
+    found = both.withColumn("span", last).where("capture = 1 AND span IS NOT NULL AND (span.valid_to IS NULL OR time < span.valid_to)")
+    hits = found.groupBy("url", F.col("time").alias("fetched_at")).agg(F.count(F.lit(1)).alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("lists"))
     out = base.join(hits, ["url", "fetched_at"], "left")
     n = F.coalesce("n_entries", F.lit(0).cast("long"))
     return out.select("url", "fetched_at", "host", n.alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"), (n > 0).alias("blocked"))
 
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
-    """``captures`` with the columns of ``url_filter`` in a struct ``verdict``: one row for each capture."""
+    """``captures`` with the columns of ``url_filter`` in a struct ``verdict``: one row for each capture.
+
+    A column of that name in ``captures`` stays: the struct then is the first of ``verdict_2``, ``verdict_3``, ... that is free.
+    """
     found = url_filter(captures, entries, url, fetched_at)
-    found = found.select(F.col("url").alias("_u"), F.col("fetched_at").alias("_t"), F.struct("host", "n_entries", "lists", "blocked").alias("verdict"))
-    same = captures[url].eqNullSafe(found["_u"]) & captures[fetched_at].eqNullSafe(found["_t"])
-    return captures.join(found, same, "left").drop("_u", "_t")
+    names, taken = captures.columns, {c.lower() for c in captures.columns}
+    name = next(n for n in ("verdict", *(f"verdict_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
+    rows = captures.toDF(*[f"c{i}" for i in range(len(names))])
+    same = rows[f"c{names.index(url)}"].eqNullSafe(found["url"]) & rows[f"c{names.index(fetched_at)}"].eqNullSafe(found["fetched_at"])
+    own = [rows[f"c{i}"].alias(n) for i, n in enumerate(names)]
+    return rows.join(found, same, "left").select(*own, F.struct(*[found[c] for c in ("host", "n_entries", "lists", "blocked")]).alias(name))
 
 
 # The registered query: captures are the rows of ``pages``, fetched at times made from page_id; the list log is

@@ -9,12 +9,13 @@ Reading: each archive is parsed by the lengths in its record headers; payload le
 the stored bytes. Assembly joins request, response (or revisit) and metadata through WARC-Concurrent-To and gives
 one nested row per capture. A pointer at a request or metadata record is followed once more.
 
-Payloads are shuffled only if more payloads are repeated than a checked broadcast takes.
+Payloads are shuffled only if more payloads are repeated than a checked broadcast takes. Pages of LARGE bytes and more
+get a file each, so that no archive is much larger than FILE_BYTES or its only page.
 
 Defined cases: a null html is an empty payload; a null url gives the target ``urn:page:<id>``; line breaks in a
 url are percent-encoded; a null page_id is kept as null and never is the smallest of its group unless all are
-null; rows equal in page_id, url and payload are the same capture and come back once, or with ``each_row`` as often as
-they are in the table; an empty table gives no capture.
+null; record identifiers hold the row's place in its table, so repeated rows are captures of their own, of which the
+first is the response; an empty table gives no capture; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import located, maybe_broadcast, scratch, written
 
 #: Payload bytes from which a payload may be stored as a revisit, and uncompressed bytes an archive file aims at.
-MIN_REVISIT_BYTES, FILE_BYTES = 0, 16 << 20
+MIN_REVISIT_BYTES, FILE_BYTES, LARGE = 0, 16 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PARSED = "file string, record_offset long, record_id string, warc_type string, concurrent_to string, refers_to string, target_uri string, page_id long, refers_to_page long, payload_bytes long, payload_digest string, digest_ok boolean, fields string"
 
@@ -54,7 +55,7 @@ def _record(kind: str, record_id: str, uri: str, content_type: str, block: str,
 def records_of(page_id: int | None, url: str | None, html: str, mark: str, first: int | None, first_mark: str | None, revisit: bool) -> Iterator[str]:
     """The request, main and metadata records of a page, without the separator that ends a record.
 
-    ``mark`` tells pages of equal number and payload apart.
+    ``mark`` is the row's place in its table: it tells pages of equal number and payload apart.
     """
     payload = html.encode()
     page, digest = "" if page_id is None else str(page_id), base32_sha1(payload)
@@ -71,22 +72,19 @@ def records_of(page_id: int | None, url: str | None, html: str, mark: str, first
     yield _record("metadata", _urn("metadata", page, digest, mark), uri, "application/warc-fields", f"payload-bytes: {len(payload)}\r\n", ("WARC-Concurrent-To", main))
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html", each_row: bool = False) -> None:
-    """Write the pages' records as gzipped archives into the folder ``path``; ``each_row`` keeps rows that are equal apart."""
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Write the pages' records as gzipped archives into the folder ``path``."""
     columns = {"page_id": F.col(f"`{page_id}`").cast("long"), "url": F.col(f"`{url}`"), "html": F.coalesce(F.col(f"`{html}`"), F.lit(""))}
-    if each_row:
-        rows = located(pages, columns, "warc-pages").withColumn("mark", F.concat_ws("#", "at_file", "at_row")).drop("at_file", "at_row")
-    else:
-        rows = pages.select(*[c.alias(k) for k, c in columns.items()]).withColumn("mark", F.coalesce("url", F.lit("")))
+    rows = located(pages, columns, "warc-pages").withColumn("mark", F.concat_ws("#", "at_file", "at_row")).drop("at_file", "at_row")
     rows = rows.withColumn("key", F.sha2("html", 256))
-    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "mark")))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "mark"))
     seen = rows.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.octet_length("html")).alias("bytes"))
     seen = written(seen, "warc-payloads")
-    total = seen.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")).first()
-    per_file = max(3, 3 * round(FILE_BYTES / (1500 + (total["bytes"] or 0) / max(1, total["n"] or 0))))
+    total = seen.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes"), F.max("bytes").alias("most")).first()
+    mean = 1500 + (total["bytes"] or 0) / max(1, total["n"] or 0)
     repeated = seen.where(f"n > 1 AND bytes >= {int(min_revisit_bytes)}").select("key", F.col("least.page_id").alias("first"), F.col("least.mark").alias("first_mark"))
     rows = rows.join(maybe_broadcast(repeated), "key", "left")
-    rows = rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).drop("key")
+    rows = rows.withColumn("revisit", F.col("first_mark").isNotNull() & (F.col("mark") != F.col("first_mark"))).drop("key")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,8 +98,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    made = rows.mapInArrow(emit, "value string")
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    large = F.octet_length("html") >= LARGE
+    for part, most in ((rows.where(~large), min(FILE_BYTES / mean, 1000)), *([(rows.where(large), 1)] if (total["most"] or 0) >= LARGE else [])):
+        made = part.mapInArrow(emit, "value string").write.mode("append").option("lineSep", "\r\n\r\n")
+        made.option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, round(most))).text(path)
 
 
 def inflated(data: bytes) -> bytes:
@@ -167,12 +167,12 @@ def assemble(records: DataFrame) -> DataFrame:
     return found.where("response IS NOT NULL")
 
 
-def captures(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES, each_row: bool = False) -> DataFrame:
-    """Write ``pages`` as archives, read them back and assemble the captures."""
+def captures(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """Write ``pages`` as archives, read them back once and assemble the captures."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_warc(pages, path, min_revisit_bytes, each_row=each_row)
-    return assemble(read_warc(spark, path))
+    write_warc(pages, path, min_revisit_bytes)
+    return assemble(written(read_warc(spark, path), "warc-records"))
 
 
 def capture_rows(found: DataFrame) -> DataFrame:
@@ -191,13 +191,14 @@ def capture_rows(found: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place FROM pages
 ), b AS (
   SELECT *, list_aggregate(list_transform(string_split(hex, ''), lambda x: lpad(bin(strpos('0123456789abcdef', x) - 1), 4, '0')), 'string_agg', '') AS bits FROM p
 )
 SELECT page_id, strlen(html)::bigint AS payload_bytes,
        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5), lambda j: substr(bits, (i * 5 + j + 1)::bigint, 1)::bigint * (16 >> j::integer))))::bigint, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, true AS digest_ok, true AS complete
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place = 1 THEN NULL ELSE first_id END AS refers_to, true AS digest_ok, true AS complete
 FROM b
 """

@@ -27,13 +27,93 @@ def test_quality(spark):
     assert quality.scored(docs.where("false")).count() == 0
 
 
-def test_accuracies_of_labellers():
-    one = lambda *v: int("".join(map(str, v)), 3)
+def packed(v):
+    return int("".join(map(str, v)), 3)
+
+
+def test_few_bad_documents_and_none():
     n = len(quality.LABELLERS)
-    good, bad = one(*[2] * n), one(1, *[2] * (n - 1))
-    post, table = quality.label_model({good: 900, bad: 50, one(*[0] * n): 1})
-    assert post[good] > 0.7 > 0.5 > post[bad]  # the least share of good documents is 0.75
+    good, bad = packed([2] * n), packed([1, 1, *[2] * (n - 2)])
+    post, table, share = quality.label_model({good: 900, bad: 50, packed([0] * n): 1})
+    assert post[good] > 0.9 > 0.1 > post[bad] and 0.92 < share < 0.98
     assert table[0, 0, quality.BAD] > 10 * table[0, 1, quality.BAD]
+    post, _, share = quality.label_model({good: 900, packed([2] * (n - 1) + [1]): 100})
+    assert min(post.values()) > 0.5 and share > 0.95
+    assert quality.label_model({})[0] == {}
+
+
+def simulated(seed, n, share, tables):
+    """Votes drawn from known P(vote | class)."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < share
+    v = np.empty((n, len(tables)), int)
+    for k, t in enumerate(tables):
+        u = rng.random(n)
+        p = np.array(t)[good.astype(int)]
+        v[:, k] = np.where(u < p[:, 0], quality.ABSTAIN, np.where(u < p[:, 0] + p[:, 1], quality.BAD, quality.GOOD))
+    return good, v
+
+
+def test_accuracies_of_simulated_labellers():
+    """Estimates against the truth, and posteriors against Bayes' rule with the true tables; poor labellers get no say."""
+    strong, weak, none = ((0.1, 0.6, 0.3), (0.1, 0.02, 0.88)), ((0.2, 0.4, 0.4), (0.2, 0.1, 0.7)), ((0.3, 0.3, 0.4), (0.3, 0.3, 0.4))
+    tables = [strong] * 5 + [weak] * 5 + [none] * 4
+    good, v = simulated(4, 40_000, 0.8, tables)
+    counts, keys = {}, [packed(r) for r in v]
+    for k in keys:
+        counts[k] = counts.get(k, 0) + 1
+    post, table, share = quality.label_model(counts)
+    assert abs(share - 0.8) < 0.02
+    # the prior of 3 % of all documents is 13 % of the bad ones: it moves their shares by up to 0.06
+    assert max(abs(table[k, 1, vote] - tables[k][1][vote]) for k in range(10) for vote in range(3)) < 0.03
+    assert max(abs(table[k, 0, vote] - tables[k][0][vote]) for k in range(10) for vote in range(3)) < 0.08
+    assert max(abs(np.log(table[k, 1, 1] / table[k, 0, 1])) for k in range(10, 14)) < 0.12
+    t = np.array(tables)
+    lift = sum(np.where(v[:, k] == 0, 0, np.log(t[k, 1, v[:, k]] / t[k, 0, v[:, k]])) for k in range(14))
+    exact = 1 / (1 + np.exp(-(np.log(4) + lift)))
+    got = np.array([post[k] for k in keys])
+    assert np.abs(got - exact).mean() < 0.02
+    any_bad = (v == quality.BAD).any(1)
+    assert ((got >= 0.5) == good).mean() > 0.95 > (~any_bad == good).mean()
+
+
+def brute_estimate(v, rounds):
+    """The same estimate written out document by document."""
+    rate = [sum(r[k] == 1 for r in v) / len(v) for k in range(v.shape[1])]
+    surprise = [sum(-np.log(rate[k]) for k, x in enumerate(r) if x == 1) for r in v]
+    post = [0.05 if s >= quality.SURPRISE else 0.5 if s >= quality.SURPRISE / 2 else 0.95 for s in surprise]
+    strength = max(quality.PRIOR_LEAST, quality.PRIOR_SHARE * len(v))
+    for _ in range(rounds):
+        share, table = (sum(post) + 1) / (len(v) + 2), {}
+        for k in range(v.shape[1]):
+            for y in (0, 1):
+                weight = [p if y else 1 - p for p in post]
+                told = [sum(w for w, r in zip(weight, v) if r[k] == x) + strength * quality.PRIOR[y][x] for x in range(3)]
+                table[k, y] = [x / sum(told) for x in told]
+        after = []
+        for r in v:
+            odds = share / (1 - share)
+            for k, x in enumerate(r):
+                odds *= table[k, 1][x] / table[k, 0][x] if x else 1
+            after.append(odds / (1 + odds))
+        post = after
+    return post
+
+
+def test_label_model_against_a_plain_one():
+    strong = ((0.1, 0.6, 0.3), (0.1, 0.02, 0.88))
+    _, v = simulated(6, 150, 0.7, [strong] * len(quality.LABELLERS))
+    keys = [packed(r) for r in v]
+    post, _, _ = quality.label_model({k: keys.count(k) for k in keys}, rounds=12)
+    assert np.allclose([post[k] for k in keys], brute_estimate(v, 12), atol=1e-9)
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rng = random.Random(3)
+    rows = [(None, "buy " * 60)] * 400 + [(i, prose(rng)) for i in range(200)]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), rows=150)
+    good = spark.createDataFrame([(prose(rng),), ("buy " * 60,)], "text string").select(model.score(F.col("text")).alias("s")).collect()
+    assert good[0].s > 0.5 and model.accuracies.shape == (len(quality.LABELLERS), 2, 3)
 
 
 def labelled(rng, n):
@@ -61,14 +141,55 @@ def test_toxicity(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def packed_rows(rows, terms):
+    return [[np.array(sorted(s), np.int64) for s in (toxicity.features(t), *(x for pair in toxicity.twins(t, terms) for x in pair))] for _, t, _ in rows]
+
+
 def test_counterfactual_penalty():
-    rows = labelled(random.Random(3), 1500)
-    parts = [[np.array(sorted(s)) for s in (toxicity.features(t), *toxicity.twins(t))] for _, t, _ in rows]
+    """At the shipped strength a mention moves the score little, and the insults still do."""
+    rows, terms = labelled(random.Random(3), 1500), toxicity.swaps(toxicity.IDENTITIES)
     y = np.array([r[2] for r in rows], float)
-    mention = toxicity.features(" ".join(["muslims", *prose(random.Random(9), 20).split()]))
-    without = toxicity.features(prose(random.Random(9), 20))
-    change = []
-    for penalty in (0.0, 5.0):
-        w = toxicity.fit_rows(parts, y, penalty).weights
-        change.append(sum(w.get(f, 0) for f in mention) - sum(w.get(f, 0) for f in without))
-    assert change[0] > 1 and abs(change[1]) < 0.4 * change[0]
+    gain = lambda w, word: sum(w.get(f, 0) for f in toxicity.word_features(word))
+    plain, held = (toxicity.fit_rows(packed_rows(rows, terms), y, p) for p in (0.0, toxicity.PAIR_PENALTY))
+    other = lambda w: np.mean([gain(w, t) for t in terms["muslims"]])
+    assert gain(plain.weights, "muslims") > 1 and held.n_twins > 100
+    assert abs(gain(held.weights, "muslims") - other(held.weights)) < 0.25 * abs(gain(plain.weights, "muslims") - other(plain.weights))
+    assert gain(held.weights, "idiot") > 1
+
+
+def test_fit_against_a_brute_force_one():
+    """The sparse fit with collapsed twins against dense gradient descent on the same loss."""
+    rows, terms = labelled(random.Random(5), 200), toxicity.swaps(toxicity.IDENTITIES)
+    parts, y = packed_rows(rows, terms), np.array([r[2] for r in rows], float)
+    model = toxicity.fit_rows(parts, y)
+    ids = sorted(model.weights)
+    dense = np.array([[float(f in set(r[0].tolist())) for f in ids] for r in parts])
+    pairs = np.array([[float(f in set(g.tolist())) - float(f in set(c.tolist())) for f in ids] for r in parts for g, c in zip(r[1::2], r[2::2])])
+    loss = lambda w, b: np.mean(np.log1p(np.exp(dense @ w + b)) - y * (dense @ w + b)) + toxicity.L2 / 2 * w @ w + toxicity.PAIR_PENALTY * np.mean((pairs @ w) ** 2)
+    w, b = np.zeros(len(ids)), 0.0
+    for _ in range(20_000):
+        r = (1 / (1 + np.exp(-(dense @ w + b))) - y) / len(y)
+        w, b = w - 0.2 * (dense.T @ r + toxicity.L2 * w + 2 * toxicity.PAIR_PENALTY / len(pairs) * pairs.T @ (pairs @ w)), b - 0.2 * r.sum()
+    assert loss(np.array([model.weights[f] for f in ids]), model.bias) <= loss(w, b) + 2e-3
+    assert len(pairs) == model.n_twins > 0
+
+
+def test_swaps_stay_within_a_sentence():
+    terms = toxicity.swaps((("aaa", "bbb", "ccc"),))
+    assert toxicity.twins("Xyz aaa. Other words", terms) and not toxicity.twins("no group here. ccc", terms) and toxicity.twins(None, terms) == []
+    gone, come = toxicity.twins("the aaa and bbb", terms)[0]
+    assert gone == set(toxicity.word_features("aaa")) and come == set(toxicity.word_features("ccc"))
+
+
+def test_derived_terms_and_edge_cases(spark):
+    rng = random.Random(7)
+    rows = [(i, f"alpha beta{' idiot' if i % 2 else ' gamma'} {rng.choice('xyz') * 3}", i % 2) for i in range(300)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {"alpha", "beta"} <= set(toxicity.derived_terms(sample)) and not {"idiot", "gamma"} & set(toxicity.derived_terms(sample))
+    docs, labels = sample.select("doc_id", "text"), sample.select("doc_id", "toxic")
+    assert toxicity.scored(docs.where("false"), labels).count() == 0
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert toxicity.train(twice, labels).n_twins <= 2 * 300
+    long = spark.createDataFrame([(1, "word " * 200_000 + "idiot"), (2, "alpha gamma")], "doc_id long, text string").withColumns({"score": F.lit("own"), "toxic": F.lit(9)})
+    got = {r.doc_id: r.predicted for r in toxicity.scored(long, labels).collect()}
+    assert got[2] == 0 and len(got) == 2

@@ -45,6 +45,24 @@ def test_mix(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.passes for r in got)
 
 
+def test_order_of_input_does_not_count(spark):
+    """Equal and missing identifiers with texts of different sizes."""
+    rows = [(k % 4 if k % 4 else None, " ".join(["w"] * (1 + k % 13)), f"s{k % 2}") for k in range(400)]
+    one, two = (sorted(map(str, mixing.mix(spark.createDataFrame(r, "doc_id long, text string, source string").repartition(n)).collect())) for r, n in ((rows, 3), (rows[::-1], 7)))
+    assert one == two
+
+
+def test_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None if k % 5 == 0 else k % 60, None if k % 11 == 0 else " ".join(["w"] * (k % 17)), None if k % 13 == 0 else f"s{k % 40 // 3}") for k in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(map(str, db.execute(mixing.ORACLE).fetchall())) == sorted(str(tuple(r)) for r in got)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == 0 and mixing.mixed(docs).count() == 0

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import exact_dedup, near_dedup, quality
+from fieldloom.llm import exact_dedup, media, mixing, near_dedup, quality
 
 WORDS = [a + b for a in ("lo", "mi", "ta", "re", "ku", "pe") for b in ("na", "so", "di", "ve", "gor", "lim")]
 
@@ -40,6 +40,19 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_extra_columns_with_clashing_names(spark):
-    docs = spark.createDataFrame([(1, "a b c", "x", 1, 2), (2, "a b c", "x", 3, 4)], "doc_id long, text string, source string, sid long, at_row2 long")
-    for f in (exact_dedup.without_copies, near_dedup.without_near_copies, quality.without_bad):
-        assert f(docs).columns == docs.columns
+    names = "doc_id long, text string, source string, at_file string, at_row long, turn int, passes int, sid long, c0 string, place int, size int"
+    rows = [(i, f"{WORDS[i % 30]} b c {i % 30} and more of the same kind of words", "x", f"f{i}", i, i + 1, i + 2, -i, f"c{i}", 7, 8) for i in range(40)]
+    docs = spark.createDataFrame(rows, names)
+    for f in (exact_dedup.without_copies, near_dedup.without_near_copies, quality.without_bad, mixing.mixed):
+        out = f(docs)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= set(rows)
+    assert sorted(tuple(r) for r in exact_dedup.without_copies(docs).collect()) == rows[:30]
+
+
+def test_identifiers_of_another_type(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), (None, "x")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_classes(docs).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+    assert {r.doc_id for r in media.media_columns(docs).collect()} == {"a", "b", None}

@@ -24,3 +24,18 @@ def test_validity(spark):
     assert sorted(map(str, [(r.page_id, r.url, r.lists, r.blocked) for r in got])) == sorted(map(str, [(i, u, l, l != "") for i, u, _, l in CAPTURES]))
     none = url_filter.judged(captures, entries.where("false")).where("verdict.blocked").count()
     assert none == 0 and url_filter.url_filter(captures.where("false"), entries).count() == 0
+
+
+def test_crowded_patterns_and_clashing_names(spark, monkeypatch):
+    """Windows of few captures give the same verdicts, and the captures' own columns stay."""
+    entries = spark.createDataFrame(ENTRIES, "list_name string, kind string, pattern string, listed_at timestamp, action string")
+    rows = [(i, f"http://example.com/{'p' * (10_000 if i == 7 else i)}", DAY[i % 25], "u", "t", "own", 5) for i in range(200)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, _u string, _t string, verdict string, c0 int")
+    found = {}
+    for most in (7, 10_000):
+        monkeypatch.setattr(url_filter, "SALT_ROWS", most)
+        found[most] = sorted(map(str, url_filter.judged(captures, entries).collect()))
+    assert found[7] == found[10_000] and len(found[7]) == 200
+    for r in url_filter.judged(captures, entries).collect():
+        assert (r._u, r._t, r.verdict, r.c0) == ("u", "t", "own", 5)
+        assert r.verdict_2.blocked == (DAY[2] <= r.fetched_at < DAY[6] or DAY[9] <= r.fetched_at)
