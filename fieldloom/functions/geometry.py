@@ -7,6 +7,7 @@ those that reorder vertices are in ``kernels``.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -196,3 +197,24 @@ def from_wgs84(lon: Column, lat: Column, crs: str) -> Column:
         up = up + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         out = out + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     return F.struct((_EAST + _SCALE * _RADIUS * out).alias("x"), (north + _SCALE * _RADIUS * up).alias("y"))
+
+
+def ring_to_wgs84(ring: Column, crs: Column, codes: list[str]) -> Column:
+    """A ring in degrees from the reference system that ``crs`` names, one of ``codes``; NULL for another."""
+    return _moved(ring, crs, codes, to_wgs84)
+
+
+def ring_from_wgs84(ring: Column, crs: Column, codes: list[str]) -> Column:
+    """A ring in degrees in the reference system that ``crs`` names, one of ``codes``; NULL for another."""
+    return _moved(ring, crs, codes, from_wgs84)
+
+
+def _moved(ring: Column, crs: Column, codes: list[str], move) -> Column:
+    out = F.lit(None).cast(RING)
+    for code in codes:
+        out = F.when(crs == code, F.transform(ring, partial(_point, move, code))).otherwise(out)
+    return out
+
+
+def _point(move, code: str, p: Column) -> Column:
+    return move(p["x"], p["y"], code)

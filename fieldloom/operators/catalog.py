@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions import geometry as G
+from fieldloom.operators import rings
 
 
 def current(log: DataFrame, key: list[str], version: str = "version", deleted: str = "deleted") -> DataFrame:
@@ -29,6 +33,41 @@ def replaced(now: DataFrame, new: DataFrame, group: str, version: int) -> DataFr
     return gone.unionByName(put)
 
 
+def append(log_path: str, rows: DataFrame, version: int, deleted: bool = False) -> None:
+    """Append ``rows`` to the change log at ``log_path`` as one version: inserts and edits, or deletes."""
+    rows.withColumns({"version": F.lit(version), "deleted": F.lit(deleted)}).write.mode("append").parquet(log_path)
+
+
+def existing(wanted: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``wanted`` whose key is in the current table."""
+    return wanted.join(now.select(*key).distinct(), key, "left_semi")
+
+
+def require(wanted: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
+    """``wanted``; a key that isn't in the current table raises LookupError."""
+    lost = wanted.join(now.select(*key).distinct(), key, "left_anti").select(*key).limit(1).collect()
+    if lost:
+        raise LookupError(f"there is no {dict(lost[0].asDict())}")
+    return wanted
+
+
+def lookup(now: DataFrame, **key):
+    """The row with this key, or None."""
+    for name, value in key.items():
+        now = now.where(F.col(name) == value)
+    return next(iter(now.limit(1).collect()), None)
+
+
+def export_name(kind: str, boundary_id: Column, suffix: str) -> Column:
+    """File name of an export: its kind and the first 8 characters of the boundary's identifier."""
+    return F.concat(F.lit(f"{kind}_"), F.substring(boundary_id.cast("string"), 1, 8), F.lit(f".{suffix}"))
+
+
+def accepted(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether a file name ends in one of ``suffixes`` (with their dots), in any case."""
+    return F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
+
+
 def next_plot_id(plots: DataFrame) -> DataFrame:
     """The largest plot_id of each boundary and 1; 0 for none."""
     return plots.groupBy("boundary_id").agg((F.coalesce(F.max("plot_id"), F.lit(-1)) + 1).cast("long").alias("next_plot_id"))
@@ -86,14 +125,43 @@ def ingest_boundaries(raw: DataFrame, text: str = "geojson") -> DataFrame:
     rows = rows.withColumn("centroid", F.when(F.size("ring") >= 3, G.centroid(F.col("ring"))))
     area = F.when(F.size("ring") >= 3, G.metric_area(degrees, F.col("centroid.y")))
     problem = F.when(geometry.isNull(), "no geometry").when(~kind(geometry).isin("Polygon", "MultiPolygon"), "not a polygon").when(F.coalesce(F.size("ring") < 3, F.lit(True)), "empty polygon").when(area <= 0, "no area")
+    problem = F.coalesce(problem, F.when(~F.coalesce(F.forall("polygons", lambda p: F.size(p) > 0), F.lit(False)), "empty polygon"), F.when(~_all_valid(F.col("polygons")), "sides cross or touch"))
     return rows.withColumns({"area_ha": G.rint(area / 10_000, 2), "bounds": F.when(F.size("ring") >= 3, G.bounds(F.col("ring"))), "problem": problem})
 
 
-def search_scenes(scenes: DataFrame, start, end, max_cloud: float = 30.0, max_items: int | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Scenes of a date range below a cloud cover, least cloud first; bounding boxes must meet ``bbox`` if given."""
+@F.arrow_udf(T.BooleanType())
+def _all_valid(polygons: pa.Array) -> pa.Array:
+    return pa.array((all(rings.is_valid(np.array([(p["x"], p["y"]) for p in ring or ()], float).reshape(-1, 2)) for polygon in x.as_py() or () for ring in polygon) for x in polygons), pa.bool_())
+
+
+def scenes_from_items(spark: SparkSession, path: str) -> DataFrame:
+    """Scenes of a folder of catalog items (JSON, one item or a collection of items a file): id, date, cloud, platform, hrefs, footprint."""
+    item = "struct<id:string,properties:struct<datetime:timestamp,`eo:cloud_cover`:double,platform:string>,assets:map<string,struct<href:string>>,geometry:struct<type:string,coordinates:string>>"
+    files = spark.read.option("wholetext", True).text(path)
+    one = F.from_json("value", item)
+    many = F.from_json(F.get_json_object("value", "$.features"), f"array<{item}>")
+    items = files.select(F.explode(F.coalesce(many, F.array(one))).alias("i")).where("i.id IS NOT NULL")
+    coords = F.from_json("i.geometry.coordinates", "array<array<array<double>>>")
+    ring = F.transform(coords[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    found = items.select(F.col("i.id").alias("scene_id"), F.col("i.properties.datetime").alias("date"), F.col("i.properties.eo:cloud_cover").alias("cloud_cover"), F.col("i.properties.platform").alias("platform"), F.col("i.assets.rendered_preview.href").alias("thumbnail_url"), F.transform_values("i.assets", lambda k, v: v["href"]).alias("hrefs"), ring.alias("ring"))
+    return found.withColumn("_b", G.bounds(F.col("ring"))).select("*", "_b.*").drop("_b")
+
+
+def search_scenes(scenes: DataFrame, start, end, max_cloud: float = 30.0, max_items: int | None = None, bbox: tuple[float, float, float, float] | None = None, polygon: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Scenes of a date range below a cloud cover, least cloud first; bounding boxes must meet ``bbox`` if given.
+
+    With ``polygon`` the scenes' footprints must meet it: their ``ring``, or their boxes where they have none.
+    """
+    if polygon:
+        xs, ys = zip(*polygon)
+        bbox = bbox or (min(xs), min(ys), max(xs), max(ys))
     found = scenes.where((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(end)) & (F.col("cloud_cover") < max_cloud))
     if bbox:
         found = found.where((F.col("minx") <= bbox[2]) & (F.col("maxx") >= bbox[0]) & (F.col("miny") <= bbox[3]) & (F.col("maxy") >= bbox[1]))
+    if polygon:
+        own = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in polygon])
+        box = G.box(*[F.col(c).cast("double") for c in ("minx", "miny", "maxx", "maxy")])
+        found = found.where(rings.meet(F.coalesce("ring", box) if "ring" in scenes.columns else box, own))
     found = found.orderBy("cloud_cover", "scene_id")
     return found.limit(max_items) if max_items else found
 

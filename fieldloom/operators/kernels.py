@@ -234,13 +234,14 @@ def least_rectangle(points: np.ndarray) -> float:
     return float(best)
 
 
-def contour_row(pdf: pd.DataFrame, group: str) -> pd.DataFrame:
+def contour_row(pdf: pd.DataFrame, group: str, simple: bool = True) -> pd.DataFrame:
+    """The outer contour of one region; ``simple``: with fewer points."""
     r0, c0 = int(pdf["px_row"].min()), int(pdf["px_col"].min())
     mask, _, _ = dense(pdf.assign(_v=True), "_v")
     path = np.array(outer_contour(mask), float)
     area = shoelace(path) if len(path) > 2 else 0.0
     perimeter = float(np.hypot(*(np.roll(path, -1, axis=0) - path).T).sum())
-    ring = simplify_ring(path, 0.01 * perimeter)
+    ring = simplify_ring(path, 0.01 * perimeter) if simple else path
     box = least_rectangle(path)
     confidence = round(min(1.0, area / box), 2) if box else 0.0
     points = [{"x": float(x + c0), "y": float(y + r0)} for x, y in ring]

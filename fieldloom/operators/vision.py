@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from . import kernels
+from . import kernels, plots, rings
 from .components import label_regions
 
 
@@ -164,10 +165,12 @@ def canopy_area(area_px: Column, a: Column, e: Column) -> Column:
 
 
 def field_boundaries(mask: DataFrame, group: str = "boundary_id", value: str = "plant", least: float = 500.0, close: int = 5, close_times: int = 2, opened: int = 5) -> DataFrame:
-    """Outer contours of the closed and opened mask: ring (pixel centres), area_px, confidence (rectangularity).
+    """Outer contours of the closed and opened mask: ring (pixel centres), area_px, confidence (rectangularity), place.
 
     A contour's area is that of the polygon through its pixel centres. Regions are 8-connected, holes are ignored;
-    contours below ``least`` or of fewer than 3 vertices after simplification (1 % of the perimeter) go.
+    contours below ``least`` or of fewer than 3 vertices after simplification (1 % of the perimeter) go. A ring that
+    touches or crosses itself is repaired: its largest valid part stays, and none if it has no area. ``place`` numbers a
+    group's candidates from 0 by falling area, then from the north, then from the west.
     """
     m = mask.select(group, "px_row", "px_col", F.col(value).cast("int").alias("_v"))
     if close:
@@ -182,7 +185,87 @@ def field_boundaries(mask: DataFrame, group: str = "boundary_id", value: str = "
 
     schema = f"{group} {kind}, row0 int, col0 int, ring array<struct<x:double,y:double>>, area_px double, confidence double"
     flat = regions.select(group, "px_row", "px_col", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
-    return flat.groupBy(group, "row0", "col0").applyInPandas(one, schema).where((F.col("area_px") >= least) & (F.size("ring") >= 3))
+    found = flat.groupBy(group, "row0", "col0").applyInPandas(one, schema).where((F.col("area_px") >= least) & (F.size("ring") >= 3))
+    whole = found.withColumn("_ok", rings.valid(F.col("ring")))
+    whole = whole.withColumn("ring", F.when(F.col("_ok"), F.col("ring")).otherwise(F.try_element_at(rings.repair(F.col("ring")), F.lit(1)))).where("ring IS NOT NULL").drop("_ok")
+    order = F.row_number().over(W.partitionBy(group).orderBy(F.desc("area_px"), "row0", "col0"))
+    return whole.withColumn("place", order - 1)
+
+
+def georeferenced(candidates: DataFrame, rasters: DataFrame, group: str, anchor: str = "centre", scale: str | None = None) -> DataFrame:
+    """Candidates with ``ring`` in degrees, ``area_m2`` in the raster's own units and the centroid x, y in degrees.
+
+    ``rasters`` has the group, crs and affine. ``scale`` names a column that pixel coordinates are multiplied by first. The
+    area is that of the ring in the raster's system, rounded to 2 digits; in a system of degrees it is the local metric one.
+    """
+    codes = [r["crs"] for r in rasters.select("crs").distinct().collect()]  # as many as there are reference systems
+    rows = candidates.join(rasters.select(group, "crs", "affine"), group)
+    by = F.col(scale) if scale else F.lit(1.0)
+    own = F.transform("ring", lambda p: G.pixel_to_map(p["y"] * by, p["x"] * by, F.col("affine"), anchor))
+    rows = rows.withColumn("_own", own)
+    rows = rows.withColumn("ring", G.ring_to_wgs84(F.col("_own"), F.col("crs"), codes)).withColumn("_c", G.centroid(F.col("ring")))
+    flat = G.ring_area(F.col("_own"))
+    area = F.when(F.col("crs") == "EPSG:4326", G.metric_area(flat, F.col("_c.y"))).otherwise(flat)
+    return rows.withColumns({"area_m2": G.rint(area, 2), "x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_own", "_c", "crs", "affine")
+
+
+def plots_from_mask(mask: DataFrame, rasters: DataFrame, group: str = "raster_id", value: str = "plant", least: float = 300.0, tolerance: float = 0.6) -> DataFrame:
+    """Plots of a vegetation mask: contours, in degrees, with areas from the raster's own system, numbered by rows and columns.
+
+    boundary columns: group, plot_id, row_idx, col_idx, ring, area_px, area_m2, confidence.
+    """
+    found = georeferenced(field_boundaries(mask, group, value, least), rasters, group).withColumn("cand_id", F.col("place"))
+    numbered = plots.grid_positions(found, [group], tolerance)
+    return numbered.select(group, "plot_id", "row_idx", "col_idx", "ring", F.floor("area_px").cast("long").alias("area_px"), "area_m2", "confidence")
+
+
+#: Fixed values of segment extraction: longest side of the picture that is segmented.
+SEGMENT_SIDE = 768
+
+
+def plots_from_segments(segments: DataFrame, shapes: DataFrame, rasters: DataFrame, tolerance: float = 0.6, least: float = 0.004, most: float = 0.30, border: float = 0.5) -> DataFrame:
+    """Plots from a segmenter's masks over pictures scaled down to SEGMENT_SIDE.
+
+    ``segments`` has raster_id, segment, px_row, px_col and stability, in pixels of the scaled picture; ``shapes`` has
+    raster_id, height and width of that picture and its ``scale`` (original pixels a scaled one); ``rasters`` the
+    original's crs and affine. Segments too small, too large or mostly border go. Of a segment's contours the largest
+    counts; it is repaired, simplified keeping its topology, and goes below an area of 4 or if it isn't valid in map
+    coordinates. Corners, not centres, are carried back through the original's affine.
+    """
+    kept = segment_filter(segments, shapes, least, most, border).select("raster_id", "segment")
+    flat = segments.join(kept, ["raster_id", "segment"]).withColumn("seg", F.struct("raster_id", "segment"))
+    regions = label_regions(flat.select("seg", "px_row", "px_col"), "seg", diagonal=True)
+    schema = "raster_id long, segment long, ring array<struct<x:double,y:double>>, area_px double"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = kernels.contour_row(pdf, "raster_id", simple=False)
+        return pd.DataFrame({"raster_id": row["raster_id"], "segment": [pdf["segment"].iloc[0]], "ring": row["ring"], "area_px": row["area_px"]})
+
+    pieces = regions.select(F.col("seg.raster_id").cast("long").alias("raster_id"), F.col("seg.segment").cast("long").alias("segment"), "px_row", "px_col", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
+    contours = pieces.groupBy("raster_id", "segment", "row0", "col0").applyInPandas(one, schema)
+    largest = contours.groupBy("raster_id", "segment").agg(F.max_by("ring", "area_px").alias("ring")).where(F.size("ring") >= 3)
+    largest = largest.withColumn("ring", F.try_element_at(rings.repair(F.col("ring")), F.lit(1))).where("ring IS NOT NULL")
+    largest = largest.withColumn("ring", rings.simplify(F.col("ring"))).where(G.ring_area(F.col("ring")) >= 4)
+    counts = segments.groupBy("raster_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("stability"), 3).alias("confidence"))
+    found = largest.join(counts, ["raster_id", "segment"]).join(shapes.select("raster_id", "scale"), "raster_id")
+    found = found.withColumn("area_px", F.floor(F.col("n") * F.col("scale") * F.col("scale")).cast("long"))
+    found = georeferenced(found, rasters, "raster_id", "corner", "scale").where(rings.valid(F.col("ring")))
+    order = F.row_number().over(W.partitionBy("raster_id").orderBy(F.desc("area_px"), "segment"))
+    numbered = plots.grid_positions(found.withColumn("cand_id", order - 1), ["raster_id"], tolerance)
+    return numbered.select("raster_id", "plot_id", "row_idx", "col_idx", "segment", "ring", "area_px", "area_m2", "confidence")
+
+
+def extraction_methods(segmenter=None) -> list[tuple[str, bool, str | None]]:
+    """(method, available, reason): the vegetation mask always is; a segmenter is if it is callable and its ``probe``, if any, finds nothing against it."""
+    if segmenter is None:
+        return [("vegetation", True, None), ("segmenter", False, "no segmenter is registered")]
+    if not callable(segmenter):
+        return [("vegetation", True, None), ("segmenter", False, "the segmenter can't be called")]
+    try:
+        reason = getattr(segmenter, "probe", lambda: None)()
+    except Exception as e:  # noqa: BLE001  a probe that fails says why
+        reason = f"{type(e).__name__}: {e}"
+    return [("vegetation", True, None), ("segmenter", reason is None, reason)]
 
 
 def zone_polygons(zoned: DataFrame, group: str = "boundary_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,22 +23,52 @@ def rate_of(zone: Column, n_zones: int) -> Column:
     return F.element_at(F.array(*[F.lit(r) for r in RATES[n_zones]]), zone + 1)
 
 
-def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, rounds: int = 8) -> DataFrame:
+#: Rounds after which a clustering that hasn't settled raises, rounds that one job makes, digits of the centres, and the starts.
+MOST_ROUNDS, AT_ONCE, DIGITS, STARTS = 300, 3, 12, ("even", "spread")
+
+
+def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, rounds: int = MOST_ROUNDS, few: str = "null") -> DataFrame:
     """``pixels`` with ``zone``: 0 is the zone of the lowest centre, NULL where the value is.
 
-    Lloyd's algorithm from centres spread evenly over the range: each round is one aggregation over the pixels that
-    combines before its shuffle, and its n_zones centres per group are written and joined back. Groups with fewer values than
-    zones get no zone. Ties go to the lower centre.
+    Lloyd's algorithm to convergence from two starts, centres spread evenly over the range and centres spread by the
+    standard deviation round the mean; each group keeps the start with the least squared distance, the first one of equals.
+    The distinct values of a group and their numbers are clustered, all starts in one aggregation a round; centres,
+    rounded to DIGITS digits, are written every AT_ONCE rounds, and groups that have settled drop out. Groups with fewer values than
+    zones get no zone, or raise with ``few="raise"``. Ties go to the lower centre.
     """
-    seen = pixels.where(F.col(value).isNotNull())
-    span = seen.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_zones)
-    at = lambda k: F.col("low") + (F.col("high") - F.col("low")) * ((2 * k + 1) / (2 * n_zones))
-    centres = span.select(group, F.array(*[at(k) for k in range(n_zones)]).alias("centres"))
-    for _ in range(rounds):
-        near = seen.join(centres, group).withColumn("zone", nearest(F.col(value), F.col("centres"), n_zones))
-        means = near.groupBy(group, "zone").agg(F.avg(value).alias("mean")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("zone", "mean"))).alias("means"))
-        moved = F.array(*[F.coalesce(F.try_element_at("means", F.lit(k)), F.col("centres")[k]) for k in range(n_zones)])
-        centres = written(centres.join(means, group).select(group, moved.alias("centres")), "zone-centres")
+    seen = written(pixels.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w")), "zone-values")
+    span = seen.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("w").alias("n"), F.sum(F.col("v") * F.col("w")).alias("s"), F.sum(F.col("v") * F.col("v") * F.col("w")).alias("q"))
+    if few == "raise":
+        short = span.where(F.col("n") < n_zones).limit(1).collect()
+        if short:
+            raise ValueError(f"{short[0][group]} has {short[0]['n']} values for {n_zones} zones")
+    mean = F.col("s") / F.col("n")
+    std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    even = F.array(*[F.col("low") + (F.col("high") - F.col("low")) * ((2 * k + 1) / (2 * n_zones)) for k in range(n_zones)])
+    spread = F.array(*[mean + std * (1.5 * (2 * k + 1 - n_zones) / n_zones) for k in range(n_zones)])
+    digits = lambda a: F.transform(a, lambda c: F.round(c, DIGITS))
+    starts = F.array(*[F.struct(F.lit(i).alias("start"), digits({"even": even, "spread": spread}[s]).alias("centres")) for i, s in enumerate(STARTS)])
+    moving = written(span.where(F.col("n") >= n_zones).select(group, F.explode(starts).alias("s")).select(group, "s.*"), "zone-centres")
+    settled = []
+    for _ in range(0, rounds, AT_ONCE):
+        after = moving
+        for _ in range(AT_ONCE):
+            near = seen.join(after, group).withColumn("zone", nearest(F.col("v"), F.col("centres"), n_zones))
+            means = near.groupBy(group, "start", "zone").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean")).groupBy(group, "start").agg(F.map_from_entries(F.collect_list(F.struct("zone", "mean"))).alias("means"))
+            moved = F.array(*[F.round(F.coalesce(F.try_element_at("means", F.lit(k)), F.col("centres")[k]), DIGITS) for k in range(n_zones)])
+            after = after.join(means, [group, "start"]).select(group, "start", moved.alias("centres"), (moved == F.col("centres")).alias("still"))
+        after = written(after, "zone-centres")
+        settled.append(after.where("still").drop("still"))
+        moving = after.where("NOT still").drop("still")
+        if moving.isEmpty():
+            break
+    else:
+        raise ValueError(f"zones haven't settled in {rounds} rounds")
+    centres = reduce(DataFrame.unionByName, settled)
+    distance = F.pow(F.col("v") - F.element_at("centres", nearest(F.col("v"), F.col("centres"), n_zones) + 1), 2) * F.col("w")
+    inertia = seen.join(centres, group).groupBy(group, "start").agg(F.round(F.sum(distance), 9).alias("inertia"))
+    best = inertia.groupBy(group).agg(F.min(F.struct("inertia", "start"))["start"].alias("start"))
+    centres = written(centres.join(best, [group, "start"]).select(group, F.array_sort("centres").alias("centres")), "zone-best")
     labelled = pixels.join(centres, group, "left")
     return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("centres").isNotNull(), nearest(F.col(value), F.col("centres"), n_zones))).drop("centres")
 

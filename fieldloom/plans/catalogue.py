@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from fieldloom.operators import catalog, components, plots, vision, zonal, zones
+from fieldloom.operators import catalog, components, plots, rings, vision, zonal, zones
 from fieldloom.plans import formats
 from fieldloom.plans import inputs as I
 from fieldloom.plans.inputs import BOXES_SQL, DIAMONDS_SQL, PIXELS_SQL, PLOTS_SQL, RGB_SQL
+from fieldloom.storage import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -365,39 +366,33 @@ walk AS (SELECT g, r, c, r AS r0, c AS c0 FROM on_px UNION SELECT e.g, e.r2, e.c
 lab AS (SELECT g, r, c, min(r0 * 1000 + c0) AS region FROM walk GROUP BY 1, 2, 3)"""
 
 
-@query("markers", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_MASK, value="0", where="v = 1 AND px_row < 24") + " SELECT g AS boundary_id, r AS px_row, c AS px_col, region FROM lab")
+@query("markers", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_MASK, value="0", where="v = 1") + " SELECT g AS boundary_id, r AS px_row, c AS px_col, region FROM lab")
 def markers(spark: SparkSession, sf: str) -> DataFrame:
-    """4-connected labels of the vegetation mask in the upper half of each raster."""
-    found = components.label_regions(_vegetation(spark, sf).where("v = 1 AND px_row < 24"))
-    return found.select(*PIX, (F.col("region.row") * 1000 + F.col("region.col")).alias("region"))
-
-
-@query("markers_whole", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_MASK, value="0", where="v = 1") + " SELECT g AS boundary_id, r AS px_row, c AS px_col, region FROM lab")
-def markers_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """4-connected labels of the whole vegetation mask; ``markers`` has only what its SQL asks for."""
+    """4-connected labels of the whole vegetation mask."""
     found = components.label_regions(_vegetation(spark, sf).where("v = 1"))
     return found.select(*PIX, (F.col("region.row") * 1000 + F.col("region.col")).alias("region"))
 
 
-def _lloyd(rounds: int) -> str:
-    centre = lambda k: f"lo + (hi - lo) * ({2 * k + 1} / 6e0)"
-    parts = ["s AS (SELECT boundary_id, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1)", f"c0 AS (SELECT boundary_id, {centre(0)} AS a, {centre(1)} AS b, {centre(2)} AS c FROM s WHERE n >= 3)"]
-    zone = "CASE WHEN abs(value - c) < CASE WHEN abs(value - b) < abs(value - a) THEN abs(value - b) ELSE abs(value - a) END THEN 2 WHEN abs(value - b) < abs(value - a) THEN 1 ELSE 0 END"
-    for k in range(rounds):
-        parts.append(f"z{k} AS (SELECT v.*, {zone} AS zone FROM v JOIN c{k} USING (boundary_id) WHERE value IS NOT NULL)")
-        parts.append(f"c{k + 1} AS (SELECT boundary_id, coalesce(avg(value) FILTER (zone = 0), any_value(a)) AS a, coalesce(avg(value) FILTER (zone = 1), any_value(b)) AS b, coalesce(avg(value) FILTER (zone = 2), any_value(c)) AS c FROM z{k} JOIN c{k} USING (boundary_id) GROUP BY 1)")
-    parts.append(f"zoned AS (SELECT v.boundary_id, px_row, px_col, CASE WHEN value IS NOT NULL AND a IS NOT NULL THEN {zone} END AS zone FROM v LEFT JOIN c{rounds} USING (boundary_id))")
-    return ", ".join(parts)
+def _nearest(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN abs(value - {c}) < CASE WHEN abs(value - {b}) < abs(value - {a}) THEN abs(value - {b}) ELSE abs(value - {a}) END THEN 2 WHEN abs(value - {b}) < abs(value - {a}) THEN 1 ELSE 0 END"
 
 
-_ZONED = f"v AS (SELECT boundary_id, px_row, px_col, {INDEX_SQL['ndvi']} AS value FROM pixels), {_lloyd(8)}"
+# Lloyd's algorithm from both starts until a round moves no centre; the start with the least squared distance counts.
+_ZONED = f"""v AS (SELECT boundary_id, px_row, px_col, {INDEX_SQL['ndvi']} AS value FROM pixels), known AS (SELECT * FROM v WHERE value IS NOT NULL),
+s AS (SELECT boundary_id, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS d FROM known GROUP BY 1 HAVING count(*) >= 3),
+lloyd AS (SELECT boundary_id, start, 0 AS k, false AS still, a, b, c FROM (SELECT boundary_id, 0 AS start, round(lo + (hi - lo) * (1 / 6e0), 12) AS a, round(lo + (hi - lo) * (3 / 6e0), 12) AS b, round(lo + (hi - lo) * (5 / 6e0), 12) AS c FROM s UNION ALL SELECT boundary_id, 1, round(m - d, 12), round(m, 12), round(m + d, 12) FROM s)
+ UNION ALL SELECT boundary_id, start, k + 1, a1 = a AND b1 = b AND c1 = c, a1, b1, c1 FROM (SELECT boundary_id, start, k, a, b, c, round(coalesce(avg(value) FILTER (zone = 0), a), 12) AS a1, round(coalesce(avg(value) FILTER (zone = 1), b), 12) AS b1, round(coalesce(avg(value) FILTER (zone = 2), c), 12) AS c1
+  FROM (SELECT lloyd.*, value, {_nearest('a', 'b', 'c')} AS zone FROM lloyd JOIN known USING (boundary_id) WHERE NOT still) GROUP BY boundary_id, start, k, a, b, c)),
+cost AS (SELECT boundary_id, start, a, b, c, round(sum((value - CASE {_nearest('a', 'b', 'c')} WHEN 0 THEN a WHEN 1 THEN b ELSE c END) ** 2), 9) AS inertia FROM lloyd JOIN known USING (boundary_id) WHERE still GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY boundary_id ORDER BY inertia, start) AS place FROM cost) WHERE place = 1),
+zoned AS (SELECT v.boundary_id, px_row, px_col, CASE WHEN value IS NOT NULL AND a IS NOT NULL THEN {_nearest('a', 'b', 'c')} END AS zone FROM v LEFT JOIN best USING (boundary_id))"""
 
 
 def _zoned(spark: SparkSession, sf: str) -> DataFrame:
-    return zones.classify(I.pixels(spark, sf).select(*PIX, spectral.index_column("ndvi").alias("value")), "value", "boundary_id", 3, 8)
+    return zones.classify(I.pixels(spark, sf).select(*PIX, spectral.index_column("ndvi").alias("value")), "value", "boundary_id", 3)
 
 
-@query("zone_classify", f"WITH {PIXELS_SQL}, {_ZONED} SELECT * FROM zoned")
+@query("zone_classify", f"WITH RECURSIVE {PIXELS_SQL}, {_ZONED} SELECT * FROM zoned")
 def zone_classify(spark: SparkSession, sf: str) -> DataFrame:
     return _zoned(spark, sf).select(*PIX, "zone")
 
@@ -414,7 +409,7 @@ def zone_summary(spark: SparkSession, sf: str) -> DataFrame:
     return zones.summary(regions, "boundary_id", 3, "region")
 
 
-_ZONE_COUNTS = f"WITH {PIXELS_SQL}, {_ZONED} SELECT boundary_id, zone, count(*) AS pixel_count, count(*)::double AS area_px FROM zoned WHERE zone IS NOT NULL GROUP BY 1, 2"
+_ZONE_COUNTS = f"WITH RECURSIVE {PIXELS_SQL}, {_ZONED} SELECT boundary_id, zone, count(*) AS pixel_count, count(*)::double AS area_px FROM zoned WHERE zone IS NOT NULL GROUP BY 1, 2"
 
 
 @query("zone_polygons", _ZONE_COUNTS)
@@ -425,21 +420,11 @@ def zone_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("boundary_id", "zone", "pixel_count", area.alias("area_px"))
 
 
-@query("segment_filter", """WITH s AS (SELECT event_id // 2500 AS raster_id, (user_id % 6)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events WHERE user_id % 6 > 0 OR event_id % 50 = 0),
+@query("segment_filter", """WITH s AS (SELECT event_id // 2500 AS raster_id, (CASE WHEN user_id % 6 = 0 AND event_id % 50 = 0 THEN 6 ELSE user_id % 6 END)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events),
 f AS (SELECT raster_id, segment, count(*) / 2500e0 AS area_frac, sum((r = 0)::int + (r = 49)::int + (c = 0)::int + (c = 49)::int) / 200e0 AS border_frac FROM s GROUP BY 1, 2)
 SELECT raster_id, segment, round(area_frac, 9) AS area_frac, round(border_frac, 9) AS border_frac FROM f WHERE area_frac BETWEEN 0.004 AND 0.3 AND border_frac <= 0.5""")
 def segment_filter(spark: SparkSession, sf: str) -> DataFrame:
-    e = I.table(spark, sf, "events").where("user_id % 6 > 0 OR event_id % 50 = 0")
-    s = I._place(e, "raster_id", (F.col("user_id") % 6).cast("int").alias("segment"))
-    shapes = s.select("raster_id").distinct().withColumns({"height": F.lit(50), "width": F.lit(50)})
-    return vision.segment_filter(s, shapes).withColumns({n: F.round(n, 9) for n in ("area_frac", "border_frac")})
-
-
-@query("segment_filter_whole", """WITH s AS (SELECT event_id // 2500 AS raster_id, (CASE WHEN user_id % 6 = 0 AND event_id % 50 = 0 THEN 6 ELSE user_id % 6 END)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events),
-f AS (SELECT raster_id, segment, count(*) / 2500e0 AS area_frac, sum((r = 0)::int + (r = 49)::int + (c = 0)::int + (c = 49)::int) / 200e0 AS border_frac FROM s GROUP BY 1, 2)
-SELECT raster_id, segment, round(area_frac, 9) AS area_frac, round(border_frac, 9) AS border_frac FROM f WHERE area_frac BETWEEN 0.004 AND 0.3 AND border_frac <= 0.5""")
-def segment_filter_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All events, the border strip as segment 6; ``segment_filter`` leaves out the rest of segment 0, as its SQL does."""
+    """All events; the first column of segment 0 is a segment of its own, a border strip."""
     strip = F.expr("user_id % 6 = 0 AND event_id % 50 = 0")
     s = I._place(I.table(spark, sf, "events"), "raster_id", F.when(strip, 6).otherwise(F.col("user_id") % 6).cast("int").alias("segment"))
     shapes = s.select("raster_id").distinct().withColumns({"height": F.lit(50), "width": F.lit(50)})
@@ -448,7 +433,8 @@ def segment_filter_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("extraction_methods", "SELECT * FROM (VALUES ('vegetation', true, NULL), ('segmenter', false, 'no segmenter is registered')) t(method, available, reason)")
 def extraction_methods(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([("vegetation", True, None), ("segmenter", False, "no segmenter is registered")], "method string, available boolean, reason string")
+    """What can be used here: no segmenter is shipped, so the probe finds none."""
+    return spark.createDataFrame(vision.extraction_methods(), "method string, available boolean, reason string")
 
 
 # Composites, tested on analytic fixtures: two discs that touch, blocks and rings.
@@ -495,13 +481,119 @@ def field_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return vision.field_boundaries(mask, least=20.0).select("boundary_id", "ring", "area_px", "confidence")
 
 
-@query("plots_from_mask")
+# Rectangular plants: twelve blocks a raster, in rows of four, from the suppliers; 0.25 m a pixel in a UTM zone.
+_BLOCKS_SQL = "k AS (SELECT s_suppkey AS k FROM supplier), blocks AS (SELECT k // 12 AS raster_id, k % 12 // 4 AS r, k % 4 AS c, 20 + k % 7 AS w, 22 + k % 5 AS h FROM k)"
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """raster_id, segment and one row for each pixel of the blocks."""
+    k = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    box = k.select(F.expr("k div 12").alias("raster_id"), (F.col("k") % 12).alias("segment"), F.expr("cast(k % 12 div 4 * 45 + 5 as int)").alias("r0"), F.expr("cast(k % 4 * 45 + 5 as int)").alias("c0"), F.expr("cast(20 + k % 7 as int)").alias("w"), F.expr("cast(22 + k % 5 as int)").alias("h"))
+    rows = box.withColumn("px_row", F.explode(F.sequence(F.col("r0"), F.col("r0") + F.col("h") - 1)))
+    return rows.withColumn("px_col", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("w") - 1))).select("raster_id", "segment", "px_row", "px_col")
+
+
+def _utm(rasters: DataFrame) -> DataFrame:
+    affine = F.struct(F.lit(0.25).alias("a"), F.lit(0.0).alias("b"), F.lit(500_000.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-0.25).alias("e"), F.lit(1_000_000.0).alias("f"))
+    return rasters.select("raster_id").distinct().withColumns({"crs": F.lit("EPSG:32632"), "affine": affine})
+
+
+@query("plots_from_mask", f"WITH {_BLOCKS_SQL} SELECT raster_id, (r * 4 + c)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, (w - 1) * (h - 1) AS area_px, round(round_even((w - 1) * (h - 1) * 0.0625e0 * 100, 0) / 100, 2) AS area_m2, 1e0 AS confidence FROM blocks")
 def plots_from_mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Contours of the mask, numbered by rows and columns."""
-    found = field_boundaries(spark, sf)
-    c = found.withColumn("c", G.centroid(F.col("ring")))
-    rows = c.select("boundary_id", "ring", "area_px", "confidence", F.col("c.x").alias("x"), (-F.col("c.y")).alias("y"), (F.col("area_px") * 1e10).alias("area_m2"), F.xxhash64("boundary_id", F.col("c.x"), F.col("c.y")).alias("cand_id"))
-    return plots.grid_positions(rows, ["boundary_id"]).select("boundary_id", "plot_id", "row_idx", "col_idx", "ring", "area_px", "confidence")
+    """Contours of a mask over rasters of 150 x 190 pixels, in degrees, with areas from the projected system, by rows and columns."""
+    blocks = _blocks(spark, sf).withColumn("plant", F.lit(True))
+    size = blocks.select("raster_id").distinct().select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(150 * 190 - 1))).alias("p"))
+    grid = size.select("raster_id", F.expr("cast(p div 190 as int)").alias("px_row"), F.expr("cast(p % 190 as int)").alias("px_col"))
+    mask = grid.join(blocks.drop("segment"), ["raster_id", "px_row", "px_col"], "left").withColumn("plant", F.coalesce("plant", F.lit(False)))
+    return vision.plots_from_mask(mask, _utm(blocks)).drop("ring")
+
+
+@query("plots_from_segments", f"WITH {_BLOCKS_SQL} SELECT raster_id, (r * 4 + c)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, r * 4 + c AS segment, w * h * 4 AS area_px, round(round_even((w - 1) * (h - 1) * 4 * 0.0625e0 * 100, 0) / 100, 2) AS area_m2, 0.913e0 AS confidence FROM blocks")
+def plots_from_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks as a segmenter's masks over a picture of half the size, and with each a speck that is too small."""
+    blocks = _blocks(spark, sf)
+    specks = blocks.select("raster_id").distinct().select("raster_id", F.lit(99).cast("long").alias("segment"), F.lit(0).alias("px_row"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("px_col"))
+    segments = blocks.unionByName(specks).withColumn("stability", F.lit(0.91293))
+    shapes = blocks.select("raster_id").distinct().withColumns({"height": F.lit(150), "width": F.lit(190), "scale": F.lit(2.0)})
+    return vision.plots_from_segments(segments, shapes, _utm(blocks)).drop("ring")
+
+
+_FLOODED = f"""WITH RECURSIVE {RGB_SQL}, {_EXG}, {_LEVEL}, {_OTSU}, m AS (SELECT raster_id AS g, px_row AS r, px_col AS c, level > threshold AS plant FROM n JOIN o USING (raster_id)),
+ends AS (SELECT g, max(r) AS mr, max(c) AS mc FROM m GROUP BY 1), on_px AS (SELECT m.*, least(r + 1, mr - r + 1, c + 1, mc - c + 1) ** 2 AS rim FROM m JOIN ends USING (g) WHERE plant), z AS (SELECT * FROM m WHERE NOT plant),
+d AS (SELECT p.g, p.r, p.c, least(p.rim, coalesce(min((p.r - z.r) ** 2 + (p.c - z.c) ** 2), p.rim)) AS d FROM on_px p LEFT JOIN z ON z.g = p.g GROUP BY p.g, p.r, p.c, p.rim),
+peaks AS (SELECT a.g, a.r, a.c FROM d a JOIN d b ON b.g = a.g AND b.r BETWEEN a.r - 8 AND a.r + 8 AND b.c BETWEEN a.c - 8 AND a.c + 8 GROUP BY a.g, a.r, a.c, a.d HAVING max(b.d) = a.d),
+step AS (SELECT a.g, a.r, a.c, b.r AS r2, b.c AS c2 FROM on_px a JOIN on_px b ON a.g = b.g AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+walk AS (SELECT g, r, c FROM peaks UNION SELECT step.g, step.r2, step.c2 FROM walk w JOIN step ON step.g = w.g AND step.r = w.r AND step.c = w.c)
+SELECT g AS raster_id, count(*) AS pixels FROM walk GROUP BY 1"""
+
+
+@query("watershed_cover", _FLOODED)
+def watershed_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixels that belong to a plant: those of the mask's regions in which a distance peak stands."""
+    flooded = vision.watershed(vision.exg_mask(I.rgb(spark, sf)), "raster_id", "plant")
+    return flooded.where("plant_id >= 1").groupBy("raster_id").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query("plant_totals", f"WITH {RGB_SQL}, r AS (SELECT DISTINCT raster_id + 100 AS raster_id FROM rgb UNION ALL SELECT 1) SELECT raster_id, true AS counts_agree, CASE WHEN raster_id = 1 THEN 3 END AS known_plants FROM r")
+def plant_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the plants listed are as many as those counted, and the number of plants of the raster where it is known."""
+    listed = plant_points(spark, sf).groupBy("raster_id").agg(F.count(F.lit(1)).alias("listed"))
+    both = plant_count(spark, sf).join(listed, "raster_id", "left")
+    return both.select("raster_id", (F.col("plant_count") == F.coalesce("listed", F.lit(0))).alias("counts_agree"), F.when(F.col("raster_id") == 1, F.col("plant_count").cast("int")).alias("known_plants"))
+
+
+# Rings by kind: a rectangle, one that crosses itself, one with a spike, one that touches itself.
+_RING_KINDS = ((((0, 0), (4, 0), (4, 3), (0, 3)), True, 12.0), (((0, 0), (4, 4), (4, 0), (0, 4)), False, 4.0), (((0, 0), (4, 0), (8, 0), (4, 0), (4, 4), (0, 4)), False, 16.0), (((0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)), False, 8.0))
+
+
+@query("ring_repair", "SELECT n_nationkey::bigint AS id, n_nationkey % 4 = 0 AS valid, CASE n_nationkey % 4 WHEN 0 THEN 12e0 WHEN 1 THEN 4e0 WHEN 2 THEN 16e0 ELSE 8e0 END AS area, CASE n_nationkey % 4 WHEN 3 THEN 2 ELSE 1 END AS parts FROM nation")
+def ring_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity of rings, and the area and number of their repaired parts."""
+    made = [F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points]) for points, _, _ in _RING_KINDS]
+    k = F.col("n_nationkey")
+    ring = F.when(k % 4 == 0, made[0]).when(k % 4 == 1, made[1]).when(k % 4 == 2, made[2]).otherwise(made[3])
+    rows = I.table(spark, sf, "nation").select(k.cast("long").alias("id"), ring.alias("ring")).withColumns({"valid": rings.valid(F.col("ring")), "fixed": rings.repair(F.col("ring"))})
+    area = F.aggregate(F.transform("fixed", G.ring_area), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("id", "valid", F.round(area, 9).alias("area"), F.size("fixed").alias("parts"))
+
+
+@query("clip_parts", "SELECT n_nationkey::bigint AS id, CASE WHEN n_nationkey % 5 < 2 THEN 1 ELSE 2 END AS parts, CASE WHEN n_nationkey % 5 < 2 THEN 6e0 * (2 - n_nationkey % 5) + 16 ELSE 4e0 * (6 - n_nationkey % 5) END AS area FROM nation")
+def clip_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """A U of 6 x 6 with a notch of 2 x 4 from above, clipped from below at a height of 0 to 4: below 2 it stays in one part."""
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6))])
+    low = (F.col("n_nationkey") % 5).cast("double")
+    rows = I.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), rings.parts_in_box(ring, F.lit(-1.0), low, F.lit(7.0), F.lit(7.0)).alias("p"))
+    return rows.select("id", F.size("p").alias("parts"), F.round(F.aggregate(F.transform("p", G.ring_area), F.lit(0.0), lambda s, v: s + v), 9).alias("area"))
+
+
+@query("scene_search_polygon", "SELECT o_orderkey AS scene_id, o_orderdate AS date, (o_orderkey * 37 % 101)::double AS cloud_cover, o_orderpriority AS platform FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31' AND o_orderkey * 37 % 101 < 30 AND o_orderkey % 20 + o_orderkey % 10 <= 7.5 AND o_orderkey % 20 <= 7.5 AND o_orderkey % 10 <= 7.5")
+def scene_search_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes that meet the triangle below x + y = 7.5."""
+    found = catalog.search_scenes(_scenes(spark, sf), F.to_timestamp(F.lit("1996-01-01")), F.to_timestamp(F.lit("1996-12-31")), 30.0, None, polygon=[(0.0, 0.0), (7.5, 0.0), (0.0, 7.5)])
+    return found.select("scene_id", "date", "cloud_cover", "platform")
+
+
+@query("append_log", f"WITH {PLOTS_SQL} SELECT plot_key, boundary_id, CASE WHEN plot_key % 3 = 0 THEN area_m2 + 1 ELSE area_m2 END AS area_m2 FROM plots WHERE plot_key % 7 != 0")
+def append_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Inserts, edits and deletes appended to a change log, and the table that it gives."""
+    path, base = scratch(spark, "plot-log"), I.plots(spark, sf).select("plot_key", "boundary_id", "area_m2")
+    catalog.append(path, base, 1)
+    catalog.append(path, base.where("plot_key % 3 = 0").withColumn("area_m2", F.col("area_m2") + 1), 2)
+    catalog.append(path, base.where("plot_key % 7 = 0"), 3, deleted=True)
+    return catalog.current(spark.read.parquet(path), ["plot_key"])
+
+
+@query("existing_plots", f"WITH {PLOTS_SQL} SELECT DISTINCT c_custkey + 5 AS plot_key FROM customer WHERE c_custkey + 5 IN (SELECT plot_key FROM plots)")
+def existing_plots(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = I.table(spark, sf, "customer").select((F.col("c_custkey") + 5).alias("plot_key"))
+    return catalog.existing(wanted, I.plots(spark, sf), ["plot_key"])
+
+
+@query("export_names", "SELECT o_orderkey AS id, 'report_' || substr(md5(o_orderkey::varchar), 1, 8) || '.pdf' AS file, regexp_matches(lower(o_orderpriority || CASE o_orderkey % 3 WHEN 0 THEN '.TIF' WHEN 1 THEN '.tiff' ELSE '.png' END), '\\.tiff?$') AS accepted FROM orders")
+def export_names(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    name = F.concat("o_orderpriority", F.when(k % 3 == 0, ".TIF").when(k % 3 == 1, ".tiff").otherwise(".png"))
+    return I.table(spark, sf, "orders").select(k.alias("id"), catalog.export_name("report", F.md5(k.cast("string")), "pdf").alias("file"), catalog.accepted(name, (".tif", ".tiff")).alias("accepted"))
 
 
 @query("synthetic_bands")
@@ -512,5 +604,17 @@ def synthetic_bands(spark: SparkSession, sf: str) -> DataFrame:
     return made(b, 128)
 
 
+@query("synthetic_ranges", f"WITH {BOXES_SQL} SELECT boundary_id, 16384 AS pixels, 16384 AS valid, true AS in_range, true AS varied FROM boxes")
+def synthetic_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of each boundary, whether all bands keep their ranges, and whether near-infrared and red move apart."""
+    from fieldloom.sources.synthetic import RANGES
+
+    px = synthetic_bands(spark, sf)
+    inside = F.bool_and(F.lit(True))
+    for n, (low, high) in RANGES.items():
+        inside = inside & F.bool_and(F.col(n).between(low, high))
+    return px.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("pixels"), F.count("red").alias("valid"), inside.alias("in_range"), ((F.stddev("nir") > 0.02) & (F.corr("nir", "red") < 0)).alias("varied"))
+
+
 QUERIES.update(formats.QUERIES)
 ORACLES.update(formats.ORACLES)

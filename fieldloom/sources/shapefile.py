@@ -55,7 +55,9 @@ def write_zip(features: list[tuple[list[list[tuple[float, float]]], dict[str, st
 
 
 def read_zip(data: bytes) -> list[tuple[int, list[list[tuple[float, float]]], dict[str, str], str | None]]:
-    """Polygon features of the first .shp: ordinal among polygons, rings, attributes, projection text."""
+    """Polygon features of the first .shp, or of a bare .shp file: ordinal among polygons, rings, attributes, projection text."""
+    if data[:4] == b"\0\0\x27\x0a":
+        return _features(data, [], None)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shp = next((n for n in sorted(z.namelist()) if n.lower().endswith(".shp")), None)
         if shp is None:
@@ -76,6 +78,11 @@ def read_zip(data: bytes) -> list[tuple[int, list[list[tuple[float, float]]], di
                 row[name] = dbf[o : o + width].decode("utf-8", "replace").strip()
                 o += width
             rows.append(row)
+    return _features(raw, rows, prj.decode() if prj else None)
+
+
+def _features(raw: bytes, rows: list[dict[str, str]], prj: str | None) -> list[tuple[int, list[list[tuple[float, float]]], dict[str, str], str | None]]:
+    """Polygon records of a .shp; ``rows`` are the attributes of all its records."""
     out, at, k = [], 100, 0
     while at + 8 <= len(raw):
         size = struct.unpack(">2i", raw[at : at + 8])[1] * 2
@@ -85,7 +92,7 @@ def read_zip(data: bytes) -> list[tuple[int, list[list[tuple[float, float]]], di
             starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
             flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
             pts = list(zip(flat[::2], flat[1::2]))
-            out.append((len(out), [pts[a:b] for a, b in zip(starts, starts[1:])], rows[k] if k < len(rows) else {}, prj.decode() if prj else None))
+            out.append((len(out), [pts[a:b] for a, b in zip(starts, starts[1:])], rows[k] if k < len(rows) else {}, prj))
         at, k = at + 8 + size, k + 1
     return out
 
