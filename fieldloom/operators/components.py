@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 from fieldloom.storage import written
 
 
+#: Rounds that one job makes.
+AT_ONCE = 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b), any ordered type: component is the smallest node reachable.
 
-    Rounds of least neighbour label and pointer jumping; each round is written, so lineage stays short.
+    Rounds of least neighbour label and pointer jumping, AT_ONCE of them in one job whose result is written, so lineage
+    stays short. A hub's edges are joined, never gathered: its least label is pre-aggregated before the shuffle.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "cc-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        best = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        after = written(best.join(root, "component", "left").select("node", "was", F.least("component", "root").alias("component")), "cc-labels")
+        after = labels.withColumn("was", F.col("component"))
+        for _ in range(AT_ONCE):
+            near = both.join(after.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+            best = after.join(near, "node", "left").select("node", "was", F.least("component", "near").alias("component"))
+            root = after.select(F.col("node").alias("component"), F.col("component").alias("root"))
+            after = best.join(root, "component", "left").select("node", "was", F.least("component", "root").alias("component"))
+        after = written(after, "cc-labels")
         labels = after.select("node", "component")
         if after.where("was != component").isEmpty():
             return labels

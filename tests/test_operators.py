@@ -111,7 +111,7 @@ def test_row_chaining(spark):
 
 def test_zones(spark):
     px = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([1, 1.1, 5, 5.2, 9, 9.1])] + [(1, 9, None), (2, 0, 1.0)], "boundary_id long, i int, v double")
-    got = {(r.boundary_id, r.i): r.zone for r in zones.classify(px, "v", "boundary_id", 3, 3).collect()}
+    got = {(r.boundary_id, r.i): r.zone for r in zones.classify(px, "v", "boundary_id", 3).collect()}
     assert [got[1, i] for i in range(6)] == [0, 0, 1, 1, 2, 2] and got[1, 9] is None and got[2, 0] is None
     assert one(spark, a=zones.rate_of(F.lit(3), 4), b=zones.rate_of(F.lit(4), 5)) == ("Zone 3", "Very low")
 
@@ -135,7 +135,7 @@ def test_markers_of_whole_rasters(spark):
                 want[at] = start[1] * 1000 + start[2]
                 todo += [(g, r + 1, c), (g, r - 1, c), (g, r, c + 1), (g, r, c - 1)]
     assert max(r for _, r, _ in on) == 49
-    got = catalogue.QUERIES["markers_whole"](spark, sf).collect()
+    got = catalogue.QUERIES["markers"](spark, sf).collect()
     assert len(got) == len(on) and {tuple(r)[:3]: r.region for r in got} == want
 
 
@@ -215,7 +215,7 @@ def test_segments_of_all_events(spark):
         sizes[key] = sizes.get(key, 0) + 1
         edges[key] = edges.get(key, 0) + (e % 2500 // 50 in (0, 49)) + (e % 50 in (0, 49))
     want = {k: (round(n / 2500, 9), round(edges[k] / 200, 9)) for k, n in sizes.items() if 0.004 <= n / 2500 <= 0.3 and edges[k] / 200 <= 0.5}
-    got = catalogue.QUERIES["segment_filter_whole"](spark, sf).collect()
+    got = catalogue.QUERIES["segment_filter"](spark, sf).collect()
     assert {(r.raster_id, r.segment): (r.area_frac, r.border_frac) for r in got} == want and any(k[1] == 0 for k in want)
 
 
