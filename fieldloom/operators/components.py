@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.storage import written
+from fieldloom.storage import maybe_broadcast, written
 
 
 #: Rounds that one job makes.
-AT_ONCE = 2
+AT_ONCE = 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "cc-labels")
+    sent = F.broadcast if maybe_broadcast(both) is not both else lambda df: df  # there are no more labels than edges
     while True:
         after = labels.withColumn("was", F.col("component"))
         for _ in range(AT_ONCE):
-            near = both.join(after.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-            best = after.join(near, "node", "left").select("node", "was", F.least("component", "near").alias("component"))
+            near = both.join(sent(after.select(F.col("node").alias("b"), "component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+            best = after.join(sent(near), "node", "left").select("node", "was", F.least("component", "near").alias("component"))
             root = after.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            after = best.join(root, "component", "left").select("node", "was", F.least("component", "root").alias("component"))
+            after = best.join(sent(root), "component", "left").select("node", "was", F.least("component", "root").alias("component"))
         after = written(after, "cc-labels")
         labels = after.select("node", "component")
         if after.where("was != component").isEmpty():

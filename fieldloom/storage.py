@@ -1,11 +1,15 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share, and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Measured bytes up to which a table is sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+#: Paths made since each ``cleared`` that is open began, innermost last.
+_MADE: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,3 +47,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that writes a result as a table that stays; all other paths made meanwhile are deleted in the end."""
+    _MADE.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        own = _MADE.pop()
+        try:
+            return written(df, name)
+        finally:
+            _MADE.append(own)
+
+    try:
+        yield keep
+    finally:
+        for path in _MADE.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a joined row."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(F.transform(value, lambda x: _width(x, kind.elementType)), F.lit(16).cast("long"), lambda s, x: s + x), F.lit(16))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    return F.lit(8).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast when its measured bytes are within ``limit``; else the join shuffles it."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
