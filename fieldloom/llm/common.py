@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from fieldloom.storage import scratch, written
-
-#: Measured bytes up to which a table is sent to every executor.
-BROADCAST_BYTES = 16 << 20
 
+from fieldloom.storage import maybe_broadcast, scratch, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _width(value: Column, kind: T.DataType) -> Column:
-    """About the bytes that a value takes in a joined row."""
-    if isinstance(kind, T.StructType):
-        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
-    if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.aggregate(F.transform(value, lambda x: _width(x, kind.elementType)), F.lit(16).cast("long"), lambda s, x: s + x), F.lit(16))
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
-    return F.lit(8).cast("long")
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a table for broadcast when its measured bytes are within ``limit``; else the join shuffles it."""
-    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
-    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written meanwhile goes to Python in batches of ``rows`` rows: rows that hold much must not meet by the thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def located(docs: DataFrame, columns: dict[str, Column], name: str) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.storage import cleared
+
 from .common import Rows, located, maybe_broadcast, scratch, written
 
 _STATE = {
@@ -100,6 +102,11 @@ def exact_dedup(
     ``digest`` gives the key of the state from the normalised text. A short one makes collisions, which the
     comparison of full bytes takes apart.
     """
+    with cleared(docs.sparkSession) as keep:
+        return keep(_classes(docs, doc_id, text, digest), "dedup")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
     spark = docs.sparkSession
     source = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": F.col(f"`{text}`")}, "dedup-input")
     plain = normalised(F.col("text"))

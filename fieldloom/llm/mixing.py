@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.storage import cleared
+
 from .common import Rows, located, maybe_broadcast, word_count, written
 
 SEED, REPEATS, WEIGHTS = "mix-1", 3, (1, 2, 3)
@@ -93,6 +95,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, with_file: bool = False) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, passes (times that it is taken) and, ``with_file``, its locator."""
+    with cleared(docs.sparkSession) as keep:
+        return keep(_mix(docs, doc_id, text, source, seed, weights, repeats, with_file), "mix")
+
+
+def _mix(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, weights: tuple[int, ...], repeats: int, with_file: bool) -> DataFrame:
     rows = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "source": F.col(f"`{source}`"), "text": F.col(f"`{text}`")}, "mix-input")
     name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     file = ["at_file"] if with_file else []

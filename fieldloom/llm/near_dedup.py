@@ -35,19 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.operators.components import components as connected_components
+from fieldloom.storage import cleared
 
-from .common import Rows, located, maybe_broadcast, written
+from .common import Rows, located, maybe_broadcast, small_batches, written
 
 BANDS, ROWS, BASE, RATE, TOP = 40, 5, 1.001, 20.0, 65_534
 REGISTERS = BANDS * ROWS
 #: Rounds of further leaders before what is left is compared across components.
-TURNS = 2
-#: Slots of the table of shingle counts that orders shingles by rarity, and the shingles that a block aims at.
-ORDER_SLOTS, BLOCK = 1 << 18, 16_384
+TURNS = 1
+#: Slots of the table of shingle counts that orders shingles by rarity, the shingles that a block aims at, and the ratio of
+#: the sizes of its sets.
+ORDER_SLOTS, BLOCK, CLASS_RATIO = 1 << 18, 16_384, 1.1
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SIGMAS = 6.0
 #: Words and set keys that a task's memos hold; they only save time.
 WORDS_KEPT, KEYS_KEPT = 60_000, 200_000
+PLACE = ("home", "stray", "class", "deal", "n")
 _ODD64 = np.random.default_rng(20_240_101).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD32 = np.random.default_rng(77).integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -238,23 +241,35 @@ class _Corpus:
         common[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
         shared = rest.sparkSession.sparkContext.broadcast(common)
 
-        @F.arrow_udf(T.ArrayType(T.LongType()))
-        def prefix(sets: pa.Array) -> pa.Array:
-            out = []
-            for s in sets:
-                h = np.frombuffer(s.as_py(), np.uint64)
-                h = h[np.lexsort((h, shared.value[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)]))]
-                out.append(h[: len(h) - -(-len(h) * percent // 100) + 1].view(np.int64))
-            return pa.array(out, pa.list_(pa.int64()))
-
-        deals = marked.groupBy("home", "stray").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK)).alias("deals"))
-        place = F.struct("home", "stray", F.pmod(F.xxhash64("sid"), "deals").alias("deal")).alias("block")
-        dealt = marked.join(deals, ["home", "stray"]).select(place, "sid", "component", "shingles")
-        blocks = written(dealt.groupBy("block").agg(F.collect_list(F.struct("sid", "component", "shingles")).alias("members")), "near-blocks")
-        begins = written(dealt.select("block", F.explode(prefix("shingles")).alias("shingle")).distinct(), "near-begins")
-        left = begins.where("block.stray").select("shingle", F.col("block").alias("one"))
-        right = begins.select("shingle", F.col("block").alias("two"))
-        met = left.join(right, "shingle").where("NOT two.stray OR one <= two").select("one", "two").distinct()
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The first shingles of each set, each with the number of shingles from it on."""
+            for b in batches:
+                rows, parts, rests = [], [], []
+                for k, s in enumerate(b.column("shingles")):
+                    h = np.frombuffer(s.as_py(), np.uint64)
+                    first = np.lexsort((h, shared.value[(h % np.uint64(ORDER_SLOTS)).astype(np.int64)]))[: len(h) - -(-len(h) * percent // 100) + 1]
+                    parts.append(h[first].view(np.int64))
+                    rests.append(len(h) - np.arange(len(first), dtype=np.int32))
+                    rows.append(np.full(len(first), k))
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in PLACE), pa.array(np.concatenate(parts)), pa.array(np.concatenate(rests))], [*PLACE, "shingle", "rest"])
+
+        n = (F.octet_length("shingles") / 8).cast("int")
+        sized = marked.withColumns({"n": n, "class": F.floor(F.log(n.cast("double")) / np.log(CLASS_RATIO)).cast("int")})
+        deals = sized.groupBy("home", "stray", "class").agg(F.ceil(F.sum("n") / BLOCK).alias("deals"))
+        dealt = sized.join(deals, ["home", "stray", "class"]).withColumn("deal", F.pmod(F.xxhash64("sid"), "deals"))
+        place = F.struct("home", "stray", "class", "deal").alias("block")
+        blocks = written(dealt.groupBy(place).agg(F.collect_list(F.struct("sid", "component", "shingles")).alias("members")), "near-blocks")
+        flat = dealt.select(*PLACE, "shingles").mapInArrow(prefixes, "home long, stray boolean, class int, deal long, n int, shingle long, rest int")
+        begins = flat.groupBy(place, "shingle").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+        begins = written(begins, "near-begins")
+        side = lambda name: [F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("low", "high", "rest")]]
+        left, right = begins.where("block.stray").select("shingle", *side("one")), begins.select("shingle", *side("two"))
+        # of two linked sets, the rest of either from the first shared shingle on holds all that they share
+        sizes_fit = f"{percent} * one_low <= 100 * two_high AND {percent} * two_low <= 100 * one_high"
+        enough_left = f"{100 + percent} * least(one_rest, two_rest) >= {percent} * (one_low + two_low)"
+        met = left.join(right, "shingle").where(f"(NOT two.stray OR one <= two) AND {sizes_fit} AND {enough_left}").select("one", "two").distinct()
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -265,7 +280,8 @@ class _Corpus:
 
         pairs = written(met, "near-met-blocks").join(blocks.select(F.col("block").alias("one"), F.col("members").alias("strays")), "one").join(blocks.select(F.col("block").alias("two"), F.col("members").alias("others")), "two")
         found = pairs.select("strays", "others").mapInArrow(compare, "a long, b long")
-        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crossed")
+        with small_batches(rest.sparkSession, 32):
+            return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crossed")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -273,6 +289,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     ``component_id`` is the smallest identifier reachable over links, sets that share at least ``percent`` hundredths.
     """
+    with cleared(docs.sparkSession) as keep, small_batches(docs.sparkSession, 2_000):
+        return keep(_near_classes(docs, doc_id, text, k, percent), "near-classes")
+
+
+def _near_classes(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     source = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": F.col(f"`{text}`")}, "near-input")
     marks = written(_marks(source, k), "near-marks")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at_file", "at_row")
@@ -288,16 +309,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     texts = source.select("at_file", "at_row", "text").join(maybe_broadcast(wanted), ["at_file", "at_row"]).select("sid", "text")
     corpus = _Corpus(sets, written(_packed(texts, k), "near-packed"), percent)
     pairs = members.where("sid > leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
-    links = corpus.verified(written(pairs, "near-pairs"))
-    labels = connected_components(links)
+    links = connected_components(corpus.verified(written(pairs, "near-pairs")))
+    mine = members.select("sid").distinct().join(links.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    labels = written(mine.select("sid", F.coalesce("component", "sid").alias("component")), "near-labels")
 
     def open_buckets() -> DataFrame:
         """Members of the buckets that still hold several components."""
-        mine = labels.select(F.col("node").alias("sid"), "component")
-        named = members.join(mine, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        named = members.join(labels, "sid")
         several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
         return written(named.join(maybe_broadcast(written(several, "near-open")), "band", "left_semi"), "near-rest")
 
+    def joined(found: DataFrame) -> DataFrame:
+        """The labels after further links: whole components are joined, so the graph has one only for each that is linked."""
+        end = lambda c: labels.select(F.col("sid").alias(c), F.col("component").alias(f"{c}_component"))
+        found = maybe_broadcast(found)
+        both = end("a").join(found, "a").join(end("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a != b").distinct()
+        roots = connected_components(both).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        renamed = labels.join(maybe_broadcast(roots), "component", "left").select("sid", F.coalesce("root", "component").alias("component"))
+        return written(renamed, "near-labels")
+
     rest = open_buckets()
     for turn in range(TURNS):  # another leader of each bucket, by a hash: most components that can be joined are
         leaders = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("sid", "band", F.lit(turn)).alias("h"), "sid", "component")).alias("lead"))
@@ -305,15 +335,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         met = written(met, "near-met")
         if met.isEmpty():
             break
-        links = links.union(corpus.verified(met))
-        labels = connected_components(links)
+        labels = joined(corpus.verified(met))
         rest = open_buckets()
 
     crossed = corpus.stray_links(rest)
     if crossed is not None and not crossed.isEmpty():
-        labels = connected_components(links.union(crossed))
+        labels = joined(crossed)
 
-    named = sets.select("sid", "set_key", "least").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = sets.select("sid", "set_key", "least").join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
     named = named.join(first, "component").select("set_key", "first")
     out = marks.drop("sketch").join(named, "set_key", "left")
