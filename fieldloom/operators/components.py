@@ -11,6 +11,8 @@ from fieldloom.storage import maybe_broadcast, written
 
 #: Rounds that one job makes.
 AT_ONCE = 1
+#: Columns of a stretch by which runs of neighbouring rows meet.
+STRETCH = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,13 +50,15 @@ def runs(mask: DataFrame, group: str, value: str | None = None) -> DataFrame:
 def label_regions(mask: DataFrame, group: str = "boundary_id", value: str | None = None, diagonal: bool = False) -> DataFrame:
     """``mask`` pixels with ``region``: the least pixel (row, col) of their connected region, 4- or 8-connected.
 
-    Runs, not pixels, are the nodes; the runs of adjacent rows are joined by row where their columns overlap.
+    Runs, not pixels, are the nodes; the runs of adjacent rows are joined by row and stretch of columns where they overlap.
     """
     table = written(runs(mask, group, value), "cc-runs")
     reach = 1 if diagonal else 0
-    up, down = table.alias("u"), table.alias("d")
-    on = (F.col(f"u.{group}") == F.col(f"d.{group}")) & (F.col("u.px_row") + 1 == F.col("d.px_row")) & (F.col("u.value") == F.col("d.value")) & (F.col("u.c0") <= F.col("d.c1") + reach) & (F.col("d.c0") <= F.col("u.c1") + reach)
-    edges = up.join(down, on).select(F.col("u.run").alias("a"), F.col("d.run").alias("b"))
+    # runs meet by stretches of columns, so a row of many runs isn't compared with all of the next
+    stretch = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH).cast("int"), F.floor(high / STRETCH).cast("int")))
+    up = table.select(F.col("run").alias("a"), group, "value", "px_row", F.col("c0").alias("u0"), F.col("c1").alias("u1")).withColumn("_s", stretch(F.col("u0") - reach, F.col("u1") + reach))
+    down = table.select(F.col("run").alias("b"), group, "value", (F.col("px_row") - 1).alias("px_row"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).withColumn("_s", stretch(F.col("d0"), F.col("d1")))
+    edges = up.join(down, [group, "value", "px_row", "_s"]).where((F.col("u0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("u1") + reach)).select("a", "b")
     labels = components(edges)
     named = table.join(labels.withColumnRenamed("node", "run"), "run", "left").withColumn("region", F.coalesce("component", "run"))
     pixels = named.select(group, "px_row", F.explode(F.sequence("c0", "c1")).alias("px_col"), F.struct(F.col("region.px_row").alias("row"), F.col("region.c0").alias("col")).alias("region"))

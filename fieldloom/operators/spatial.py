@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 
 
-def tiles_of(ring: Column, size: float) -> Column:
-    """The tiles (tx, ty) that a ring's bounding box meets."""
+#: Tiles a side that a polygon's box may meet before larger tiles are taken.
+ACROSS = 4
+
+
+def tiles_of(ring: Column, size: Column) -> Column:
+    """The tiles (tx, ty) of a side ``size`` that a ring's bounding box meets."""
     box = G.bounds(ring)
     span = lambda low, high: F.sequence(F.floor(box[low] / size).cast("long"), F.floor(box[high] / size).cast("long"))
     return F.flatten(F.transform(span("minx", "maxx"), lambda i: F.transform(span("miny", "maxy"), lambda j: F.struct(i.alias("tx"), j.alias("ty")))))
@@ -22,13 +26,21 @@ def tiles_of(ring: Column, size: float) -> Column:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, group: list[str], tile: float, strict: bool = False) -> DataFrame:
     """Pairs of ``points`` (x, y, columns ``group``) and ``polygons`` (ring, ``group``): every polygon that holds a point.
 
-    ``strict`` leaves out points on a boundary. Points and polygons without coordinates match nothing.
+    A polygon is spread over tiles of its own level: their side is ``tile`` times a power of two such that its box is at most
+    ACROSS of them wide and high, so a large polygon makes no more rows than a small one. Points look at each level there
+    is. ``strict`` leaves out points on a boundary. Points and polygons without coordinates match nothing.
     """
-    spread = polygons.where("ring IS NOT NULL AND size(ring) >= 3").withColumn("_t", F.explode(tiles_of(F.col("ring"), tile)))
+    known = polygons.where("ring IS NOT NULL AND size(ring) >= 3").withColumn("_box", G.bounds(F.col("ring")))
+    side = F.greatest(F.col("_box.maxx") - F.col("_box.minx"), F.col("_box.maxy") - F.col("_box.miny"), F.lit(tile))
+    known = known.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(side / (ACROSS * tile)))).cast("int")).drop("_box")
+    levels = [r["_level"] for r in known.select("_level").distinct().collect()]  # a few dozen at most
+    size = lambda level: F.lit(tile) * F.pow(F.lit(2.0), level)
+    spread = known.withColumn("_t", F.explode(tiles_of(F.col("ring"), size(F.col("_level")))))
     spread = spread.withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t")
-    placed = points.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_tx": F.floor(F.col("x") / tile).cast("long"), "_ty": F.floor(F.col("y") / tile).cast("long")})
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")))
+    placed = placed.withColumns({"_tx": F.floor(F.col("x") / size(F.col("_level"))).cast("long"), "_ty": F.floor(F.col("y") / size(F.col("_level"))).cast("long")})
     test = G.strictly_inside if strict else G.inside
-    return placed.join(spread, [*group, "_tx", "_ty"]).where(test(F.col("x"), F.col("y"), F.col("ring"))).drop("_tx", "_ty")
+    return placed.join(spread, [*group, "_level", "_tx", "_ty"]).where(test(F.col("x"), F.col("y"), F.col("ring"))).drop("_level", "_tx", "_ty")
 
 
 def box_intersects(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
