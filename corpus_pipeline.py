@@ -2,6 +2,9 @@
 
 STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
+
+Defined cases, for all stages: nulls in any column pass through where a row stays; an empty table gives an empty table; equal
+rows count as documents of their own; columns beyond those of documents pass through under their names, but for the last stage.
 """
 
 from __future__ import annotations
@@ -16,22 +19,22 @@ from fieldloom.llm.queries import multilingual_tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps: those of a score of 0.5 at least; null and empty texts have the score of the bias."""
     return quality.without_bad(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts equal but for white space: the longest, then the smallest doc_id, nulls last, then the first row."""
     return exact_dedup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each class of near-duplicates: five-word shingles, similarity 0.8. Texts without words all stay."""
     return near_dedup.without_near_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, up to three times; a null source is a source, and texts without words go with the time at which they stand."""
     return mixing.mixed(docs)
 
 

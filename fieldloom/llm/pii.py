@@ -1,14 +1,15 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
-Kinds, in this order: email, ip, card (Luhn), phone, iban (mod-97), ssn. The first four are the base: leftmost
+Kinds, in this order: email, ip, card (Luhn), phone, iban (mod-97), ssn, key. The first four are the base: leftmost
 non-overlapping matches of their patterns, dropped when their check fails. The others are added by the method:
 an IBAN when its remainder is 1 at its country's length (at any end of 15 to 34 characters, the longest first, for
-countries without a known length), a social security number only when words near it raise its score to ADD_SCORE.
-A base span stays whatever its score. Offsets count code points, the end is exclusive.
+countries without a known length), a social security number or a run of 32, 40 or 64 hexadecimal digits (key) only when
+words near it raise its score to ADD_SCORE; a key with a well-known prefix needs none. A base span stays whatever its score. Offsets count code points, the end is exclusive.
 
 Patterns are scanned in linear time: runs of digits are consumed whole and an address is found from its ``@``.
 
-Defined cases: a null or empty text has no spans; repeated rows give equal results; other columns stay untouched.
+Defined cases: a null or empty text has no spans; repeated rows give equal results; a long text is scanned whole; an empty
+table gives an empty result; other columns stay untouched, since the finder maps one column to another.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key")
 BASE = KINDS[:4]
 #: Score of a kind without any context, what a context word near it adds, and how near (code points) it must be.
-START = {"email": 0.9, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+START = {"email": 0.9, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "key": 0.3}
 CONTEXT_ADDS, NEAR, ADD_SCORE = 0.3, 40, 0.5
 CONTEXT = {
     "email": ("mail", "contact", "write to"),
@@ -33,6 +34,7 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "taxpayer"),
+    "key": ("token", "key", "secret", "password", "api"),
 }
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,6 +52,9 @@ IBAN_LENGTH = {
     ).split()
 }
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32}(?:[0-9a-f]{8}(?:[0-9a-f]{24})?)?)(?![A-Za-z0-9])")
+#: Score that a well-known prefix adds.
+PREFIX_ADDS = 0.5
 _NEAR = {k: re.compile(r"(?<![a-z])(?:" + "|".join(v) + r")(?![a-z])") if k != "email" else re.compile("|".join(v)) for k, v in CONTEXT.items()}
 
 
@@ -117,11 +122,12 @@ def spans(text: str | None) -> list[tuple[int, int, int, float]]:
         found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     found += [(a, 4, b) for a, b in _ibans(text)]
     found += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
+    found += [(m.start(), 6, m.end()) for m in _KEY.finditer(text)]
     out = []
     for a, k, b in sorted(found):
         kind = KINDS[k]
         near = (text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]).lower()
-        score = min(1.0, START[kind] + CONTEXT_ADDS * bool(_NEAR[kind].search(near)))
+        score = min(1.0, START[kind] + CONTEXT_ADDS * bool(_NEAR[kind].search(near)) + PREFIX_ADDS * (k == 6 and text[a] in "Ag"))
         if k < len(BASE) or score >= ADD_SCORE:
             out.append((a, k, b, round(score, 3)))
     return out
