@@ -182,8 +182,20 @@ def reflectance(dn: Column, scale: float = 10_000.0) -> Column:
     return F.when(F.isnan(x) | (x == 0), None).otherwise(x) / scale
 
 
-def align_bands(fine: DataFrame, coarse: DataFrame, factor: int, band: str, keys: list[str]) -> DataFrame:
-    """Coarse band resampled to the fine grid by nearest pixel."""
+def require_aligned(fine: DataFrame, coarse: DataFrame, factor: int, keys: list[str]) -> None:
+    """Raise ValueError if a raster's coarse grid isn't its fine one divided by ``factor``, or is missing."""
+    size = lambda df, name, by: df.groupBy(*keys).agg(*[F.ceil((F.max(c) + 1) / by).alias(f"{name}_{c}") for c in ("px_row", "px_col")])
+    both = size(fine, "fine", factor).join(size(coarse, "coarse", 1), keys, "left")
+    odd = both.where("NOT (fine_px_row <=> coarse_px_row AND fine_px_col <=> coarse_px_col)").limit(1).collect()
+    if odd:
+        r = odd[0]
+        raise ValueError(f"the bands of {[r[k] for k in keys]} differ in shape: {r['coarse_px_row']} x {r['coarse_px_col']}, not {r['fine_px_row']} x {r['fine_px_col']}")
+
+
+def align_bands(fine: DataFrame, coarse: DataFrame, factor: int, band: str, keys: list[str], strict: bool = False) -> DataFrame:
+    """Coarse band resampled to the fine grid by nearest pixel; ``strict``: grids that don't fit raise, else they give NULLs."""
+    if strict:
+        require_aligned(fine, coarse, factor, keys)
     low = coarse.select(*keys, F.col("px_row").alias("_r"), F.col("px_col").alias("_c"), band)
     on = fine.withColumns({"_r": F.floor(F.col("px_row") / factor).cast("int"), "_c": F.floor(F.col("px_col") / factor).cast("int")})
     return on.join(low, [*keys, "_r", "_c"], "left").drop("_r", "_c")

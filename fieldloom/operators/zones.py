@@ -81,9 +81,9 @@ def nearest(value: Column, centres: Column, n: int) -> Column:
 
 
 def summary(zoned: DataFrame, group: str, n_zones: int, region: str | None = None) -> DataFrame:
-    """pixel_count, region_count (if a region column is given) and suggested rate of each zone."""
+    """pixel_count, region_count (if a region column is given) and suggested rate of each zone, in order."""
     counts = [F.count(F.lit(1)).alias("pixel_count")] + ([F.countDistinct(region).alias("region_count")] if region else [])
-    return zoned.where("zone IS NOT NULL").groupBy(group, "zone").agg(*counts).withColumn("suggested_rate", rate_of(F.col("zone"), n_zones))
+    return zoned.where("zone IS NOT NULL").groupBy(group, "zone").agg(*counts).withColumn("suggested_rate", rate_of(F.col("zone"), n_zones)).orderBy(group, "zone")
 
 
 def classify_kmeans(pixels: DataFrame, value: str, n_zones: int = 3, seed: int = 42) -> DataFrame:

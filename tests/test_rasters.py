@@ -222,3 +222,18 @@ def test_columns_of_rings(spark):
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in BOW])
     r = spark.range(1).select(rings.valid(ring).alias("v"), F.size(rings.repair(ring)).alias("n"), F.size(rings.parts_in_box(ring, F.lit(-1.0), F.lit(-1.0), F.lit(9.0), F.lit(9.0))).alias("p"), rings.valid(F.lit(None).cast(G.RING)).alias("none")).first()
     assert (r.v, r.n, r.none) == (False, 1, False)
+
+
+def test_grids_that_do_not_fit(spark):
+    grid = lambda n, name: spark.range(n * n).select(F.lit(1).alias("g"), F.expr(f"cast(id div {n} as int)").alias("px_row"), F.expr(f"cast(id % {n} as int)").alias("px_col"), F.lit(0.5).alias(name))
+    got = catalog.align_bands(grid(6, "nir"), grid(3, "swir1"), 2, "swir1", ["g"], strict=True)
+    assert got.where("swir1 = 0.5").count() == 36
+    with pytest.raises(ValueError, match="4 x 4, not 3 x 3"):
+        catalog.align_bands(grid(6, "nir"), grid(4, "swir1"), 2, "swir1", ["g"], strict=True)
+    with pytest.raises(ValueError, match="differ in shape"):
+        catalog.require_aligned(grid(6, "nir"), grid(3, "swir1").where("false"), 2, ["g"])
+
+
+def test_zones_come_in_order(spark):
+    px = spark.createDataFrame([(g, z) for g in (2, 1) for z in (2, 0, 1, 1)], "g int, zone int")
+    assert [(r.g, r.zone) for r in zones.summary(px, "g", 3).collect()] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
