@@ -23,9 +23,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Matches that the older and the newer half of a worker's memo hold each, and the bytes of ids of the longest one kept:
-#: at most about 60 MB in all.
-MEMO, MEMO_BYTES = 160_000, 64
+#: at most about 50 MB in all.
+MEMO, MEMO_BYTES = 120_000, 64
 #: Children of a node of the segment tree.
 FAN = 32
 _NONE = 1 << 62
@@ -147,6 +149,7 @@ class Tokenizer:
     """``encode`` and ``decode`` as Columns, and ``round_trip`` for both in one pass. The vocabulary (fixed, under 1 MB) is broadcast once."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        bounded_batches(spark)
         with open(path, "rb") as f:
             shared = spark.sparkContext.broadcast(f.read())
 

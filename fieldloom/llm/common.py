@@ -12,19 +12,33 @@ from pyspark.sql import functions as F
 from fieldloom.storage import maybe_broadcast, scratch, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of documents that a Python worker is given at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python to BATCH_ROWS: rows here hold whole documents, in the JVM and the worker.
+
+    It stays lowered, since a lazy result is planned only when its user writes it.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is written meanwhile goes to Python in batches of ``rows`` rows: rows that hold much must not meet by the thousand."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)
 
 
 def located(docs: DataFrame, columns: dict[str, Column], name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, maybe_broadcast, scratch, written
+from .common import bounded_batches, located, maybe_broadcast, scratch, written
 
 WIDTH, PAD = 24, b"\xff"
 UNIT = WIDTH * WIDTH
@@ -129,6 +129,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the store to ``path``; the manifest: doc_id, n_bytes and medium of each document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = located(docs, {"doc_id": F.col(f"`{doc_id}`"), "text": F.col(f"`{text}`")}, "media-input")
     manifest = written(_manifest(source), "media-manifest")
     place = F.struct("at_file", "at_row")

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from fieldloom.operators.components import components as connected_components
 from fieldloom.storage import cleared
 
-from .common import Rows, located, maybe_broadcast, small_batches, written
+from .common import BATCH_ROWS, Rows, located, maybe_broadcast, small_batches, written
 
 BANDS, ROWS, BASE, RATE, TOP = 40, 5, 1.001, 20.0, 65_534
 REGISTERS = BANDS * ROWS
@@ -289,7 +289,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     ``component_id`` is the smallest identifier reachable over links, sets that share at least ``percent`` hundredths.
     """
-    with cleared(docs.sparkSession) as keep, small_batches(docs.sparkSession, 2_000):
+    with cleared(docs.sparkSession) as keep, small_batches(docs.sparkSession, BATCH_ROWS):
         return keep(_near_classes(docs, doc_id, text, k, percent), "near-classes")
 
 

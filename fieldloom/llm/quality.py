@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
+from .common import bounded_batches
 
 TRAIN_ROWS, WIDTH, L2, KEEP_FROM = 8_000, 2_048, 1e-5, 0.5
 LABELLERS = ("symbols", "odd_words", "bars", "bar_lines", "capitals", "marks", "variety", "stutter", "pairs", "same_lines", "ends", "length", "short", "one_line")
@@ -167,6 +168,7 @@ class Model:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """The label model over all documents, and the scorer on a bounded sample of them."""
+    bounded_batches(docs.sparkSession)
     seen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     patterns = seen.select(_pattern("text").alias("pattern")).groupBy("pattern").count()
     counts = {r["pattern"]: r["count"] for r in patterns.collect()}  # at most a row for each possible pattern

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .common import written
+from .common import bounded_batches, written
 
 #: Bounds of the training sample (rows of each label) and of the model.
 TRAIN_ROWS, MAX_FEATURES, HASH_BITS = 4_000, 4_096, 22
@@ -196,6 +196,7 @@ def fit_rows(rows: list[list[np.ndarray]], y: np.ndarray, pair_penalty: float =
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pair_penalty: float = PAIR_PENALTY, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
     """Fit on a bounded sample of ``documents`` (doc_id, text) with ``labels`` (doc_id, toxic), held-out rows excluded."""
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = first(0).unionByName(first(1))
