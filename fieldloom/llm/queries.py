@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc
+from . import alignment, exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc
 from .bpe import Tokenizer, n_tokens
 from .common import table
 from .pii import BASE, find_pii, listed
@@ -64,6 +64,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), k=2).drop("at_file", "at_row")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return alignment.aligned(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -75,6 +82,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES = {
