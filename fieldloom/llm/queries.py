@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc
+from . import alignment, exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc, whitening
 from .bpe import Tokenizer, n_tokens
 from .common import table
 from .pii import BASE, find_pii, listed
@@ -71,6 +71,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
