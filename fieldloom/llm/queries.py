@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, media, mixing, near_dedup, quality, toxicity, url_filter, warc, whitening
+from . import alignment, exact_dedup, media, mixing, near_dedup, neighbours, quality, toxicity, url_filter, warc, whitening
 from .bpe import Tokenizer, n_tokens
 from .common import table
 from .pii import BASE, find_pii, listed
@@ -64,6 +64,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), k=2).drop("at_file", "at_row")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_neighbours": op11_neighbours,
     "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
