@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
 BROADCAST_BYTES = 16 << 20
 
 
-#: Paths made since each ``cleared`` that is open began, innermost last.
-_MADE: list[list[str]] = []
+#: Paths made since the innermost ``cleared`` of this thread began; other threads have their own.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
-    if _MADE:
-        _MADE[-1].append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -52,21 +54,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a function that writes a result as a table that stays; all other paths made meanwhile are deleted in the end."""
-    _MADE.append([])
+    outer = _MADE.get()
+    made: list[str] = []
+    token = _MADE.set(made)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        own = _MADE.pop()
+        inner = _MADE.set(outer)
         try:
             return written(df, name)
         finally:
-            _MADE.append(own)
+            _MADE.reset(inner)
 
     try:
         yield keep
     finally:
-        for path in _MADE.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.reset(token)
+        for path in made:
+            deleted(spark, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _width(value: Column, kind: T.DataType) -> Column:

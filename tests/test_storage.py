@@ -1,4 +1,5 @@
 import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -55,3 +56,23 @@ def test_components(spark, monkeypatch, limit):
     pairs = [(k, k + 1) for k in range(40, 0, -1)] + [(100, k) for k in range(101, 130)] + [(7, 200), (300, 301)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 42)}, 200: 1, **{k: 100 for k in range(100, 130)}, 300: 300, 301: 300}
+
+
+def test_threads_clear_their_own_tables(spark):
+    """Two results at once in one session: neither block deletes what the other made."""
+    before, barrier, kept = files(spark), threading.Barrier(2), {}
+
+    def run(name, last):
+        with storage.cleared(spark) as keep:
+            one = storage.written(spark.range(50), f"{name}-one")
+            barrier.wait(60)
+            if last:  # the other block has ended by now
+                other.join(60)
+            kept[name] = keep(one.where("id > 9"), f"{name}-kept").count()
+
+    other = threading.Thread(target=run, args=("a", False))
+    mine = threading.Thread(target=run, args=("b", True))
+    other.start(), mine.start()
+    other.join(120), mine.join(120)
+    assert kept == {"a": 40, "b": 40}
+    assert sorted(x.split("-")[0] for x in files(spark) - before) == ["a", "b"]
