@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from fieldloom.storage import cleared
 
-from .common import BATCH_ROWS, small_batches, written
+from .common import bounded_batches, written
 
 #: Bytes of a stripe's dense block of counts.
 STRIPE_BYTES = 192 << 20
@@ -405,7 +405,8 @@ def aligned(docs: DataFrame, bpe_path: str, pattern: str, model_path: str, doc_i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *done.columns], schema.names)
         gc.enable()
 
-    with cleared(spark) as keep, small_batches(spark, BATCH_ROWS):
+    bounded_batches(spark)
+    with cleared(spark) as keep:
         found = written(own.mapInArrow(scan, schema), "align-docs")
         counts = written(_blocks(_tallied(found, stripes), stripes), "align-counts")
         entries = {r["stripe"]: r["n"] for r in counts.groupBy("stripe").agg(F.sum("entries").alias("n")).collect()}  # a row for each stripe

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,29 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of documents that a Python worker is given at once.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that a Python worker is given at once, at most (a row that is larger goes alone).
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size for Python to BATCH_ROWS: rows here hold whole documents, in the JVM and the worker.
+    """Lower the session's batch sizes for Python: rows here hold whole documents or packed sets, in the JVM and the worker.
 
-    It stays lowered, since a lazy result is planned only when its user writes it.
+    They stay lowered, since a lazy result is planned only when its user writes it, and are never raised, so queries
+    that run at the same time don't change each other's batches.
     """
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is written meanwhile goes to Python in batches of ``rows`` rows: rows that hold much must not meet by the thousand."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    bound = spark.conf.get(_BYTES)
+    if not (bound.isdigit() and 0 < int(bound) <= BATCH_BYTES):
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def located(docs: DataFrame, columns: dict[str, Column], name: str) -> DataFrame:

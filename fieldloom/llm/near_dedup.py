@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from fieldloom.operators.components import components as connected_components
 from fieldloom.storage import cleared
 
-from .common import BATCH_ROWS, Rows, located, maybe_broadcast, small_batches, written
+from .common import Rows, bounded_batches, located, maybe_broadcast, written
 
 BANDS, ROWS, BASE, RATE, TOP = 40, 5, 1.001, 20.0, 65_534
 REGISTERS = BANDS * ROWS
@@ -280,8 +280,7 @@ class _Corpus:
 
         pairs = written(met, "near-met-blocks").join(blocks.select(F.col("block").alias("one"), F.col("members").alias("strays")), "one").join(blocks.select(F.col("block").alias("two"), F.col("members").alias("others")), "two")
         found = pairs.select("strays", "others").mapInArrow(compare, "a long, b long")
-        with small_batches(rest.sparkSession, 32):
-            return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crossed")
+        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crossed")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -289,7 +288,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     ``component_id`` is the smallest identifier reachable over links, sets that share at least ``percent`` hundredths.
     """
-    with cleared(docs.sparkSession) as keep, small_batches(docs.sparkSession, BATCH_ROWS):
+    bounded_batches(docs.sparkSession)
+    with cleared(docs.sparkSession) as keep:
         return keep(_near_classes(docs, doc_id, text, k, percent), "near-classes")
 
 

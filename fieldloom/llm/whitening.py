@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from fieldloom.storage import cleared
 
-from .common import BATCH_ROWS, small_batches, written
+from .common import bounded_batches, written
 
 #: Rows of a matrix that travel together, and groups into which tasks' parts are added up first.
 STRIPE, GROUPS = 32, 64
@@ -147,7 +147,8 @@ def whitened(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     spark = vectors.sparkSession
     own = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), integers(F.col(f"`{vector}`"), scale, shift).alias("x")).where("x IS NOT NULL")
     outputs = "component int, n long, deviation long, whitened double, explained double, identity_error double"
-    with cleared(spark) as keep, small_batches(spark, BATCH_ROWS):
+    bounded_batches(spark)
+    with cleared(spark) as keep:
         rows = written(own, "white-rows")
         fit = written(rows.select("x").distinct(), "white-fit")
         parts = []
