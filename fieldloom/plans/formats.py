@@ -12,7 +12,8 @@ from fieldloom.functions import spectral
 from fieldloom.operators import catalog, plots, zonal
 from fieldloom.plans import inputs as I
 from fieldloom.plans.inputs import BOXES_SQL, PIXELS_SQL, PLOTS_SQL, RGB_SQL
-from fieldloom.sources import rasters, reports, shapefile, tiff
+from fieldloom.sources import raster_source, rasters, reports, shapefile, store, tiff
+from fieldloom.storage import scratch
 
 _NDVI = "CASE WHEN abs(nir + red) < 1e-8 THEN (nir - red) / 1e-8 ELSE (nir - red) / (nir + red) END"
 
@@ -27,8 +28,23 @@ def export_geotiff(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("boundary_id").agg(F.count("ndvi").alias("n"), F.round(F.sum("ndvi"), 3).alias("total"), F.round(F.min("ndvi"), 6).alias("low"), F.round(F.max("ndvi"), 6).alias("high"))
 
 
+def _put(files: DataFrame, key: str, data: str = "data", suffix: str = ".tif") -> DataFrame:
+    """(key, path): rows of files, written as files of a folder and listed; names are those of the key."""
+    kind = files.schema[key].dataType
+    named = files.select(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("name"), F.col(data).alias("data"))
+    found = store.put(named, scratch(files.sparkSession, "files"))
+    return found.select(F.regexp_extract("name", r"^(.*)\.", 1).cast(kind).alias(key), "path")
+
+
+def _content(files: DataFrame, key: str) -> DataFrame:
+    """(key, data): the bytes of files by path."""
+    read = lambda batches: (b.assign(data=[store.Ranged(p).whole() for p in b["path"]])[[key, "data"]] for b in batches)
+    return files.select(key, "path").mapInPandas(read, f"{key} {files.schema[key].dataType.simpleString()}, data binary")
+
+
 def raster_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    return tiff.inspect(_geotiffs(spark, sf), "boundary_id").withColumns({c: F.round(c, 6) for c in ("minx", "miny", "maxx", "maxy")})
+    """Headers of files, read by byte ranges."""
+    return tiff.inspect(_put(_geotiffs(spark, sf), "boundary_id"), "boundary_id").withColumns({c: F.round(c, 6) for c in ("minx", "miny", "maxx", "maxy")})
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +98,8 @@ def _cells(data: bytes) -> list[tuple]:
 
 def xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The sheets' cells, read back."""
-    got = _read(export_xlsx(spark, sf), "boundary_id", "data", "plot_id long, mean double, min double, max double, std double, pixel_count long", _cells)
+    files = _put(export_xlsx(spark, sf), "boundary_id", suffix=".xlsx")
+    got = _read(_content(files, "boundary_id"), "boundary_id", "data", "plot_id long, mean double, min double, max double, std double, pixel_count long", _cells)
     return got.withColumns({n: F.round(n, 6) for n in ("mean", "min", "max", "std")})
 
 
@@ -104,7 +121,8 @@ def report_text(spark: SparkSession, sf: str) -> DataFrame:
         told = dict(x.split(": ", 1) for x in lines)
         return [(title, told["plot_count"], told["mean"], told["pixel_count"])]
 
-    return _read(export_report(spark, sf), "boundary_id", "data", "title string, plot_count string, mean string, pixel_count string", shown)
+    files = _put(export_report(spark, sf), "boundary_id", suffix=".pdf")
+    return _read(_content(files, "boundary_id"), "boundary_id", "data", "title string, plot_count string, mean string, pixel_count string", shown)
 
 
 # Rasters in files: one for each boundary, 10 m a pixel in a UTM zone; a diamond round pixel (25, 25), carried into degrees, clips them.
@@ -132,21 +150,34 @@ def scene_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Red and near-infrared from one 16-bit file each, clipped, in reflectance."""
     pix = I.pixels(spark, sf).select(F.col("boundary_id").alias("scene_id"), "px_row", "px_col", *[F.round(F.col(n) * 10_000).cast("int").alias(n) for n in ("red", "nir")])
     files = [_written_rasters(pix, "scene_id", [n], "uint16").withColumn("role", F.lit(n)) for n in ("red", "nir")]
-    got, _ = rasters.scene_bands(files[0].unionByName(files[1]), _diamond(pix, "scene_id"), ["red", "nir"])
+    assets = files[0].unionByName(files[1]).withColumn("file", F.concat_ws("-", F.col("scene_id").cast("string"), "role"))
+    part = lambda k: F.element_at(F.split("file", "-"), k)
+    assets = _put(assets, "file").select(part(1).cast("long").alias("scene_id"), part(2).alias("role"), "path")
+    got, _ = rasters.scene_bands(assets, _diamond(pix, "scene_id"), ["red", "nir"])
     return got.withColumns({n: F.round(n, 9) for n in ("red", "nir")})
 
 
 def drone_bands_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Bands of an 8-bit file by a map of roles, clipped, in 0..1."""
     rgb = I.rgb(spark, sf)
-    got, _ = rasters.drone_bands(_written_rasters(rgb, "raster_id", ["r", "g", "b"], "uint8"), _diamond(rgb, "raster_id"), "raster_id", {"red": 1, "blue": 3})
+    got, _ = rasters.drone_bands(_put(_written_rasters(rgb, "raster_id", ["r", "g", "b"], "uint8"), "raster_id"), _diamond(rgb, "raster_id"), "raster_id", {"red": 1, "blue": 3})
     return got.withColumns({n: F.round(n, 9) for n in ("red", "blue")})
 
 
 def drone_rgb_clip(spark: SparkSession, sf: str) -> DataFrame:
     """The first three bands of an 8-bit file, black outside the boundary."""
     rgb = I.rgb(spark, sf)
-    return rasters.drone_rgb(_written_rasters(rgb, "raster_id", ["r", "g", "b"], "uint8"), "raster_id", _diamond(rgb, "raster_id"))[0]
+    return rasters.drone_rgb(_put(_written_rasters(rgb, "raster_id", ["r", "g", "b"], "uint8"), "raster_id"), "raster_id", _diamond(rgb, "raster_id"))[0]
+
+
+def raster_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Two of three bands and a window of each file of a folder, both pushed into the raster source."""
+    folder = scratch(spark, "rasters")
+    files = _written_rasters(I.rgb(spark, sf), "raster_id", ["r", "g", "b"], "uint8")
+    store.put(files.select(F.concat(F.col("raster_id").cast("string"), F.lit(".tif")).alias("name"), "data"), folder)
+    got = raster_source.registered(spark).read.format("fieldloom_raster").option("path", folder).option("bands", "g:2,b:3").load()
+    got = got.where("px_row >= 10 AND px_row < 30 AND px_col <= 20")
+    return got.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("raster_id"), "px_row", "px_col", "g", "b")
 
 
 def raster_resample(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +194,7 @@ def preview_png(spark: SparkSession, sf: str) -> DataFrame:
     return size.join(made.select("raster_id", F.round("west", 6).alias("west"), (F.col("south") < F.col("north")).alias("upright")), "raster_id")
 
 
-_OWN = (export_geotiff, raster_inspect, plot_import, export_xlsx, export_png, export_report, xlsx_cells, png_sums, report_text, scene_bands, drone_bands_clip, drone_rgb_clip, raster_resample, preview_png)
+_OWN = (export_geotiff, raster_inspect, plot_import, export_xlsx, export_png, export_report, xlsx_cells, png_sums, report_text, scene_bands, drone_bands_clip, drone_rgb_clip, raster_window, raster_resample, preview_png)
 QUERIES = {f.__name__: f for f in _OWN}
 
 _STATS = "round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std, count(v) AS pixel_count"
@@ -184,6 +215,7 @@ ORACLES = {
     "scene_bands": f"WITH {PIXELS_SQL} SELECT boundary_id AS scene_id, px_row - 6 AS px_row, px_col - 6 AS px_col, CASE WHEN {_CLIP} THEN round(round(red * 10000, 0) / 10000, 9) END AS red, CASE WHEN {_CLIP} THEN round(round(nir * 10000, 0) / 10000, 9) END AS nir FROM pixels WHERE {_WINDOW}",
     "drone_bands_clip": f"WITH {RGB_SQL} SELECT raster_id, px_row - 6 AS px_row, px_col - 6 AS px_col, CASE WHEN {_CLIP} AND r != 0 THEN round(r / 255e0, 9) END AS red, CASE WHEN {_CLIP} AND b != 0 THEN round(b / 255e0, 9) END AS blue FROM rgb WHERE {_WINDOW}",
     "drone_rgb_clip": f"WITH {RGB_SQL} SELECT raster_id, px_row - 6 AS px_row, px_col - 6 AS px_col, CASE WHEN {_CLIP} THEN r ELSE 0 END AS r, CASE WHEN {_CLIP} THEN g ELSE 0 END AS g, CASE WHEN {_CLIP} THEN b ELSE 0 END AS b FROM rgb WHERE {_WINDOW}",
+    "raster_window": f"WITH {RGB_SQL} SELECT raster_id, px_row, px_col, g::double AS g, b::double AS b FROM rgb WHERE px_row BETWEEN 10 AND 29 AND px_col <= 20",
     "raster_resample": f"WITH {RGB_SQL}, w AS (SELECT i::int AS cell, p::int AS px, least((p + 1) * 0.4e0, i + 1) - greatest(p * 0.4e0, i) AS share FROM range(20) a(i), range(50) b(p) WHERE least((p + 1) * 0.4e0, i + 1) - greatest(p * 0.4e0, i) > 1e-9) SELECT raster_id, y.cell AS px_row, x.cell AS px_col, round(sum(r * y.share * x.share) / sum(y.share * x.share), 6) AS r, round(sum(g * y.share * x.share) / sum(y.share * x.share), 6) AS g, round(sum(b * y.share * x.share) / sum(y.share * x.share), 6) AS b FROM rgb JOIN w y ON y.px = px_row JOIN w x ON x.px = px_col GROUP BY 1, 2, 3",
     "preview_png": f"WITH {RGB_SQL} SELECT DISTINCT raster_id, 20 AS height, 20 AS width, 400::bigint AS opaque, 9e0 AS west, true AS upright FROM rgb",
     "export_geotiff": f"WITH {PIXELS_SQL}, v AS (SELECT boundary_id, ({_NDVI})::float::double AS v FROM pixels) SELECT boundary_id, count(v) AS n, round(sum(v), 3) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM v GROUP BY 1",

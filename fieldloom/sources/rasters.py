@@ -1,8 +1,10 @@
 """Rasters from files to pixels in one step: a boundary in degrees is carried into each raster's own reference system, the
 raster is cropped to it, pixels whose centres lie outside are missing, and digital numbers are scaled.
 
-Files are rows (key, data); only the window of each file's wanted bands leaves the decoder. The mask is an expression
-on pixel rows, so one large raster is masked by all tasks.
+Files are rows (key, path) or (key, data). Of a path only byte ranges are read: the header, by one scan, then the blocks (strips or tiles) of
+the wanted bands that the window meets. A window is cut along its file's blocks into tiles of about TILE pixels, which are
+dealt to tasks, so one large raster is read by many; files given as bytes are decoded where they are. The mask is an
+expression on pixel rows.
 """
 
 from __future__ import annotations
@@ -17,23 +19,28 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 from fieldloom.functions.spectral import clip
 from fieldloom.sources import reports, tiff
+from fieldloom.storage import maybe_broadcast, written
 
+#: Pixels of a tile that a task reads at once, about.
+TILE = 1 << 18
 #: Digital numbers of a scene's bands and of 8-bit and other drone bands are divided by these; longest side
 #: of a preview.
 SCENE_SCALE, BYTE_SCALE, WORD_SCALE, PREVIEW_SIDE = 10_000.0, 255.0, 65_535.0, 1_400
 
 
 def windows(files: DataFrame, boundaries: DataFrame | None, key: str) -> DataFrame:
-    """One row for each file: its header, ring in its own system, and the window (row0, col0, height, width) that holds the ring.
+    """One row for each file, written, so headers are read once: its header, ring in its own system, and the window (row0, col0, height, width) that holds the ring.
 
     ``boundaries`` has the key and ring, in degrees; without it the window is the whole raster. A file whose raster the
     boundary doesn't meet raises.
     """
-    head = tiff.inspect(files, key).withColumn("crs", F.coalesce("crs", F.lit("EPSG:4326")))
+    head = tiff.inspect(files, key, blocks=True).withColumn("crs", F.coalesce("crs", F.lit("EPSG:4326")))
     head = head.withColumns({"step_x": (F.col("maxx") - F.col("minx")) / F.col("width"), "step_y": (F.col("maxy") - F.col("miny")) / F.col("height")})
     head = head.withColumnsRenamed({"width": "full_width", "height": "full_height"})
     if boundaries is None:
-        return head.withColumns({"ring": F.lit(None).cast(G.RING), "row0": F.lit(0), "col0": F.lit(0), "height": F.col("full_height"), "width": F.col("full_width")})
+        whole = head.withColumns({"ring": F.lit(None).cast(G.RING), "row0": F.lit(0), "col0": F.lit(0), "height": F.col("full_height"), "width": F.col("full_width")})
+        return written(whole, "raster-windows")
+    head = written(head, "raster-headers")
     codes = [r["crs"] for r in head.select("crs").distinct().collect()]  # as many as there are reference systems
     rows = head.join(boundaries.select(key, "ring"), key).withColumn("ring", G.ring_from_wgs84(F.col("ring"), F.col("crs"), codes)).withColumn("_b", G.bounds(F.col("ring")))
     low = lambda x, n: F.greatest(F.lit(0), F.least(n, F.floor(F.round(x, 6)).cast("int")))
@@ -44,7 +51,7 @@ def windows(files: DataFrame, boundaries: DataFrame | None, key: str) -> DataFra
     })
     rows = rows.withColumns({"height": F.col("_r1") - F.col("row0"), "width": F.col("_c1") - F.col("col0")}).drop("_r1", "_c1", "_b")
     met = (F.col("height") > 0) & (F.col("width") > 0)
-    return rows.withColumn("height", F.when(met, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("the boundary doesn't meet raster "), F.col(key).cast("string"))).cast("int")))
+    return written(rows.withColumn("height", F.when(met, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("the boundary doesn't meet raster "), F.col(key).cast("string"))).cast("int"))), "raster-windows")
 
 
 def affine(window: DataFrame, key: str) -> DataFrame:
@@ -54,35 +61,67 @@ def affine(window: DataFrame, key: str) -> DataFrame:
     return window.select(key, "crs", a.alias("affine"), "height", "width")
 
 
+def tiles(window: DataFrame) -> DataFrame:
+    """``window`` cut along its file's blocks: tile_row, tile_col, tile_height and tile_width, from the window's corner."""
+    wide = F.col("block_width") * F.greatest(F.lit(1), F.least(F.ceil(F.col("full_width") / F.col("block_width")), F.floor(TILE / (F.col("block_height") * F.col("block_width"))))).cast("int")
+    high = F.col("block_height") * F.greatest(F.lit(1), F.floor(TILE / (F.col("block_height") * F.col("_wide")))).cast("int")
+    cut = window.withColumn("_wide", wide).withColumn("_high", high)
+    for at, size, step, out in (("row0", "height", "_high", "row"), ("col0", "width", "_wide", "col")):
+        first, last = F.floor(F.col(at) / F.col(step)), F.floor((F.col(at) + F.col(size) - 1) / F.col(step))
+        cut = cut.withColumn("_k", F.explode(F.sequence(first, last)))
+        low, high = F.greatest(F.col(at), F.col("_k") * F.col(step)), F.least(F.col(at) + F.col(size), (F.col("_k") + 1) * F.col(step))
+        cut = cut.withColumns({f"tile_{out}": (low - F.col(at)).cast("int"), f"tile_{size}": (high - low).cast("int")})
+    return cut.drop("_k", "_wide", "_high")
+
+
+def _dealt(rows: DataFrame, source: str, key: str) -> DataFrame:
+    """Tiles of files that are read by path, dealt to tasks; files given as bytes are one tile."""
+    if source == "path":  # a stated number: rows are short, so adaptive execution would put them all into one task
+        return tiles(rows).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "tile_row", "tile_col")
+    return rows.withColumns({"tile_row": F.lit(0), "tile_col": F.lit(0), "tile_height": F.col("height"), "tile_width": F.col("width")})
+
+
+def _grid(height: int, width: int, row: int, col: int) -> dict[str, np.ndarray]:
+    r, c = np.divmod(np.arange(height * width), width)
+    return {"px_row": (r + row).astype(np.int32), "px_col": (c + col).astype(np.int32)}
+
+
+def _inside(geometry: str | None = None) -> Column:
+    """Whether a pixel's centre is in its file's ring; ``geometry`` names a struct that has the file's columns."""
+    at = (lambda n: F.col(f"{geometry}.{n}")) if geometry else F.col
+    x = at("minx") + (at("col0") + F.col("px_col") + 0.5) * at("step_x")
+    y = at("maxy") - (at("row0") + F.col("px_row") + 0.5) * at("step_y")
+    return F.when(at("ring").isNull(), F.lit(True)).otherwise(G.inside(x, y, at("ring")))
+
+
 def clipped(files: DataFrame, window: DataFrame, key: str, bands: dict[str, int]) -> DataFrame:
     """Pixels (key, px_row, px_col, bands, dtype, inside) of each file's window; ``bands`` is name to 1-based number.
 
     A number that a file doesn't have raises. ``inside`` says whether the pixel's centre is in the ring.
     """
-    kind = files.schema[key].dataType.simpleString()
+    kind, source = files.schema[key].dataType.simpleString(), tiff.source_of(files)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, d, r0, c0, h, w in zip(b[key], b["data"], b["row0"], b["col0"], b["height"], b["width"]):
-                a = tiff.read_bands(bytes(d))
-                if max(bands.values()) > len(a):
-                    raise ValueError(f"raster {k} has {len(a)} bands, not {max(bands.values())}")
-                row, col = np.divmod(np.arange(h * w), w)
-                cut = {n: a[i - 1, r0 : r0 + h, c0 : c0 + w].astype(float).ravel() for n, i in bands.items()}
-                yield pd.DataFrame({key: k, "px_row": row.astype(np.int32), "px_col": col.astype(np.int32), **cut})
-
-    wanted = files.select(key, "data").join(window.select(key, "row0", "col0", "height", "width"), key)
+            for k, d, r0, c0, r, c, h, w in zip(*(b[n] for n in (key, source, "row0", "col0", "tile_row", "tile_col", "tile_height", "tile_width"))):
+                try:
+                    a = tiff.read_window(tiff.reader(d), list(bands.values()), r0 + r, c0 + c, h, w)
+                except ValueError as e:
+                    raise ValueError(f"raster {k}: {e}") from e
+                yield pd.DataFrame({key: k, **_grid(h, w, r, c), **{n: a[i].astype(float).ravel() for i, n in enumerate(bands)}})
+
+    size = ["row0", "col0", "height", "width", "full_width", "block_height", "block_width"]
+    wanted = _dealt(files.select(key, source).join(window.select(key, *size), key), source, key)
     pixels = wanted.mapInPandas(scan, f"{key} {kind}, px_row int, px_col int, " + ", ".join(f"{n} double" for n in bands))
-    placed = pixels.join(window.select(key, "ring", "dtype", "minx", "maxy", "step_x", "step_y", "row0", "col0"), key)
-    x = F.col("minx") + (F.col("col0") + F.col("px_col") + 0.5) * F.col("step_x")
-    y = F.col("maxy") - (F.col("row0") + F.col("px_row") + 0.5) * F.col("step_y")
-    return placed.select(key, "px_row", "px_col", *bands, "dtype", F.when(F.col("ring").isNull(), F.lit(True)).otherwise(G.inside(x, y, F.col("ring"))).alias("inside"))
+    geometry = window.select(key, "ring", "dtype", "minx", "maxy", "step_x", "step_y", "row0", "col0")
+    placed = pixels.join(maybe_broadcast(geometry), key)  # a shuffle by key would put a large raster into one task
+    return placed.select(key, "px_row", "px_col", *bands, "dtype", _inside().alias("inside"))
 
 
-def _scaled(value: str, scale: Column) -> Column:
+def _scaled(value: str, scale: Column, inside: Column | None = None) -> Column:
     """0, NaN and pixels outside are missing."""
     v = F.col(value)
-    return F.when(F.col("inside") & ~F.isnan(v) & (v != 0), v / scale)
+    return F.when((F.col("inside") if inside is None else inside) & ~F.isnan(v) & (v != 0), v / scale)
 
 
 def drone_bands(files: DataFrame, boundaries: DataFrame, key: str, band_map: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +158,7 @@ def drone_rgb(files: DataFrame, key: str, boundaries: DataFrame | None = None) -
 def scene_bands(assets: DataFrame, boundaries: DataFrame, bands: list[str], key: str = "scene_id") -> tuple[DataFrame, DataFrame]:
     """One row for each pixel of a scene with its wanted ``bands``, clipped to its boundary and in reflectance; and the affines.
 
-    ``assets`` has the key, role and data: one single-band file for each role. A scene without a wanted role, or whose clipped
+    ``assets`` has the key, role and path or data: one single-band file for each role. A scene without a wanted role, or whose clipped
     bands differ in shape, raises.
     """
     wanted = assets.where(F.col("role").isin(*bands))
@@ -127,14 +166,35 @@ def scene_bands(assets: DataFrame, boundaries: DataFrame, bands: list[str], key:
     lacks = have.where(F.coalesce(F.size("have"), F.lit(0)) < len(set(bands))).limit(1).collect()
     if lacks:
         raise ValueError(f"scene {lacks[0][key]} is missing required band '{next(b for b in bands if b not in (lacks[0]['have'] or []))}'")
-    files = wanted.select(F.concat_ws("/", F.col(key).cast("string"), "role").alias("file"), key, "role", "data")
+    source = tiff.source_of(assets)
+    files = wanted.select(F.concat_ws("/", F.col(key).cast("string"), "role").alias("file"), key, "role", source)
     window = windows(files, files.select("file", key).join(boundaries.select(key, "ring"), key), "file").join(files.select("file", key, "role"), "file")
     odd = window.groupBy(key).agg(F.countDistinct("height", "width").alias("shapes")).where("shapes > 1").limit(1).collect()
     if odd:
         raise ValueError(f"the bands of scene {odd[0][key]} differ in shape")
-    pixels = clipped(files, window, "file", {"value": 1}).join(files.select("file", key, "role"), "file")
-    pixels = pixels.withColumn("value", _scaled("value", F.lit(SCENE_SCALE)))
-    wide = pixels.groupBy(key, "px_row", "px_col").agg(*[F.max(F.when(F.col("role") == b, F.col("value"))).alias(b) for b in bands])
+    # a scene's files in one row: all its bands of a tile are read by one task, and pixels come pivoted
+    pick = lambda role, value: F.max(F.when(F.col("role") == role, value))
+    geometry = F.struct("ring", "minx", "maxy", "step_x", "step_y", "row0", "col0")
+    scenes = window.groupBy(key).agg(*[pick(b, geometry).alias(f"_at_{b}") for b in bands], *[pick(bands[0], F.col(n)).alias(n) for n in ("row0", "col0", "height", "width", "full_width", "block_height", "block_width")])
+    sources = files.groupBy(key).agg(*[pick(b, F.col(source)).alias(f"_file_{b}") for b in bands])
+    places = [F.struct(f"_at_{b}.row0", f"_at_{b}.col0").alias(f"_place_{b}") for b in bands]
+    size = ["row0", "col0", "height", "width", "full_width", "block_height", "block_width"]
+    rows = _dealt(sources.join(scenes.select(key, *size, *places), key), source, key)
+    kind = assets.schema[key].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                r, c, h, w = (int(row[f"tile_{n}"]) for n in ("row", "col", "height", "width"))
+                read = {}
+                for b in bands:
+                    at = row[f"_place_{b}"]
+                    read[b] = tiff.read_window(tiff.reader(row[f"_file_{b}"]), [1], int(at["row0"]) + r, int(at["col0"]) + c, h, w)[0].astype(float).ravel()
+                yield pd.DataFrame({key: row[key], **_grid(h, w, r, c), **read})
+
+    pixels = rows.mapInPandas(scan, f"{key} {kind}, px_row int, px_col int, " + ", ".join(f"{b} double" for b in bands))
+    placed = pixels.join(maybe_broadcast(scenes.select(key, *[f"_at_{b}" for b in bands])), key)
+    wide = placed.select(key, "px_row", "px_col", *[_scaled(b, F.lit(SCENE_SCALE), _inside(f"_at_{b}")).alias(b) for b in bands])
     return wide, affine(window.where(F.col("role") == bands[0]), key)
 
 

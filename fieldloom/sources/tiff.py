@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.sources.store import Ranged
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 HEADER = "band_count int, width int, height int, crs string, resolution double, minx double, miny double, maxx double, maxy double, dtype string, nodata string"
@@ -92,7 +94,7 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def parse_header(data: bytes) -> dict:
+def parse_header(data) -> dict:
     """Tags of the first directory: number to tuple or text; ``order`` is the byte order."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
@@ -108,7 +110,7 @@ def parse_header(data: bytes) -> dict:
     return tags
 
 
-def describe(data: bytes) -> dict:
+def describe(data) -> dict:
     """Shape, type, reference system, resolution and bounds, from the header alone."""
     t = parse_header(data)
     w, h, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
@@ -122,31 +124,52 @@ def describe(data: bytes) -> dict:
     return {"band_count": bands, "width": w, "height": h, "crs": f"EPSG:{code}" if code else None, "resolution": sx, "minx": left, "miny": top - h * sy, "maxx": left + w * sx, "maxy": top, "dtype": kind, "nodata": t.get(42113)}
 
 
-def read_bands(data: bytes) -> np.ndarray:
-    """Array (bands, rows, columns)."""
+def block_size(t: dict) -> tuple[int, int]:
+    """Rows and columns of a file's blocks: its tiles, or its strips."""
+    return (t[323][0], t[322][0]) if 322 in t else (min(t[257][0], t.get(278, (t[257][0],))[0]), t[256][0])
+
+
+def read_window(data, bands: list[int] | None = None, row0: int = 0, col0: int = 0, height: int | None = None, width: int | None = None) -> np.ndarray:
+    """Array (bands, rows, columns) of a window; ``bands`` are 1-based, all if None.
+
+    ``data`` is bytes or anything with slices of bytes. Only blocks that the window meets are read and unpacked, and of a planar
+    file only those of the wanted bands.
+    """
     t = parse_header(data)
-    w, h, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
-    dtype = np.dtype(t["order"] + {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]] + str(t[258][0] // 8))
-    planar, tiled = t.get(284, (1,))[0] == 2, 322 in t
-    bw, bh = (t[322][0], t[323][0]) if tiled else (w, min(h, t.get(278, (h,))[0]))
-    offsets, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
+    w, h, n_bands = t[256][0], t[257][0], t.get(277, (1,))[0]
+    bands = list(range(1, n_bands + 1)) if bands is None else bands
+    if max(bands) > n_bands:
+        raise ValueError(f"it has {n_bands} bands, not {max(bands)}")
+    height, width = h if height is None else height, w if width is None else width
+    dtype = np.dtype(t["order"] + {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]] + str(t.get(258, (1,))[0] // 8))
+    planar, (bh, bw) = t.get(284, (1,))[0] == 2, block_size(t)
+    offsets, sizes = (t[324], t[325]) if 322 in t else (t[273], t[279])
     across, down = -(-w // bw), -(-h // bh)
-    per = 1 if planar else bands
-    out = np.zeros((bands, down * bh, across * bw), dtype)
-    for k, (o, n) in enumerate(zip(offsets, sizes)):
-        raw = data[o : o + n]
-        method = t.get(259, (1,))[0]
-        raw = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress}[method](raw)
-        plane, block = divmod(k, across * down) if planar else (0, k)
-        r, c = divmod(block, across)
-        a = np.frombuffer(raw, dtype)
-        rows = len(a) // (bw * per)
-        a = a[: rows * bw * per].reshape(rows, bw, per)
-        if t.get(317, (1,))[0] == 2:
-            a = np.cumsum(a, axis=1, dtype=dtype)
-        for b in range(per):
-            out[plane + b, r * bh : r * bh + rows, c * bw : c * bw + bw] = a[:, :, b]
-    return out[:, :h, :w]
+    per = 1 if planar else n_bands
+    unpack = {1: bytes, 5: lzw_decode, 8: zlib.decompress, 32946: zlib.decompress}[t.get(259, (1,))[0]]
+    out = np.zeros((len(bands), height, width), dtype)
+    if not height or not width:
+        return out
+    for r in range(row0 // bh, (row0 + height - 1) // bh + 1):
+        for c in range(col0 // bw, (col0 + width - 1) // bw + 1):
+            top, left = max(row0, r * bh), max(col0, c * bw)
+            for plane in sorted({b - 1 for b in bands}) if planar else [0]:
+                k = plane * across * down + r * across + c
+                a = np.frombuffer(unpack(data[offsets[k] : offsets[k] + sizes[k]]), dtype)
+                rows = len(a) // (bw * per)
+                a = a[: rows * bw * per].reshape(rows, bw, per)
+                if t.get(317, (1,))[0] == 2:
+                    a = np.cumsum(a, axis=1, dtype=dtype)
+                a = a[top - r * bh : row0 + height - r * bh, left - c * bw : col0 + width - c * bw]
+                for i, b in enumerate(bands):
+                    if not planar or b - 1 == plane:
+                        out[i, top - row0 : top - row0 + len(a), left - col0 : left - col0 + a.shape[1]] = a[:, :, 0 if planar else b - 1]
+    return out
+
+
+def read_bands(data) -> np.ndarray:
+    """All of a file: array (bands, rows, columns)."""
+    return read_window(data)
 
 
 def write_band(values: np.ndarray, x: float, y: float, dx: float, dy: float, epsg: int | None = 4326) -> bytes:
@@ -206,17 +229,32 @@ def export_geotiff(pixels: DataFrame, value: str, group: str = "boundary_id", x:
     return pixels.select(group, "px_row", "px_col", value).groupBy(group).applyInPandas(one, f"{group} {kind}, data binary")
 
 
-def inspect(files: DataFrame, key: str, data: str = "data") -> DataFrame:
-    """Header rows of a table of files (key, bytes): no pixel is decoded."""
-    kind = files.schema[key].dataType.simpleString()
-    names = [x.split()[0] for x in HEADER.split(", ")]
+def source_of(files: DataFrame, data: str = "data") -> str:
+    """The column that files are read from: ``path`` if there is one, by byte ranges, else their bytes."""
+    return "path" if "path" in files.columns else data
+
+
+def reader(value):
+    """A file by its URI or its bytes."""
+    return Ranged(value) if isinstance(value, str) else bytes(value)
+
+
+def inspect(files: DataFrame, key: str, data: str = "data", blocks: bool = False) -> DataFrame:
+    """Header rows of a table of files (key, path or bytes): no pixel is decoded, and of a path only its header is read.
+
+    ``blocks`` adds the rows and columns of a file's blocks.
+    """
+    kind, source = files.schema[key].dataType.simpleString(), source_of(files, data)
+    names = [x.split()[0] for x in HEADER.split(", ")] + ["block_height", "block_width"] * blocks
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [describe(bytes(d)) for d in b[data]]
+            rows = []
+            for d in map(reader, b[source]):
+                rows.append(describe(d) | dict(zip(("block_height", "block_width"), block_size(parse_header(d)))))
             yield pd.DataFrame({key: b[key].to_numpy(), **{n: [r[n] for r in rows] for n in names}}, columns=[key, *names])
 
-    return files.select(key, data).mapInPandas(scan, f"{key} {kind}, {HEADER}")
+    return files.select(key, source).mapInPandas(scan, f"{key} {kind}, {HEADER}" + ", block_height int, block_width int" * blocks)
 
 
 def pixels_of(files: DataFrame, key: str, bands: dict[str, int], data: str = "data") -> DataFrame:
