@@ -6,6 +6,7 @@ URIs are those of Spark's file listings (``file:/...``, ``hdfs://...``, ``s3a://
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,10 +73,12 @@ class FilesWriter(DataSourceWriter):
         self.folder, self.overwrite = folder.rstrip("/"), overwrite
         self.at = [names.index(c) for c in ("name", "data")]
         self.job = f"{self.folder}/{PENDING}/{uuid.uuid4().hex}"
+        where, job = opened(self.job)
+        where.create_dir(job, recursive=True)  # tasks that outlive an aborted job can't make it again
 
     def write(self, rows: Iterator) -> Landed:
         where, top = opened(f"{self.job}/{uuid.uuid4().hex}")
-        where.create_dir(top, recursive=True)
+        where.create_dir(top, recursive=False)
         names = []
         for row in rows:
             name, data = (row[k] for k in self.at)
@@ -109,13 +112,21 @@ class FilesWriter(DataSourceWriter):
         self._cleared()
 
     def _cleared(self) -> None:
+        """Deletes the job's folder, and that of pending jobs if it was the last; tasks that are being stopped may still add to it."""
         from pyarrow import fs
 
         where, pending = opened(self.job)
-        for folder in (pending, pending.rpartition("/")[0]):
-            left = where.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if folder != pending else []
-            if not left and where.get_file_info(folder).type == fs.FileType.Directory:
-                where.delete_dir(folder)
+        top = pending.rpartition("/")[0]
+        for wait in (0.0, 0.1, 0.3, 1.0):
+            time.sleep(wait)
+            try:
+                if where.get_file_info(pending).type == fs.FileType.Directory:
+                    where.delete_dir(pending)
+                if where.get_file_info(top).type == fs.FileType.Directory and not where.get_file_info(fs.FileSelector(top)):
+                    where.delete_dir(top)
+                return
+            except OSError:
+                continue
 
 
 class Files(DataSource):
