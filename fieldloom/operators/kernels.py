@@ -49,10 +49,35 @@ def squared_distance(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def distance_rows(pdf: pd.DataFrame, group: str, value: str) -> pd.DataFrame:
-    mask, r, c = dense(pdf, value)
-    d = np.sqrt(squared_distance(mask).astype(float))
-    return pd.DataFrame({group: pdf[group], "px_row": pdf["px_row"], "px_col": pdf["px_col"], "distance": d[r, c]})
+def row_envelopes(sizes: np.ndarray, columns: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Squared distances along rows: the least (c - q)^2 + up(q)^2 over the row's columns q.
+
+    Rows lie one after another, ``sizes`` long, columns rising; ``up`` is NaN where a column has no background.
+    """
+    out = np.full(len(columns), np.nan)
+    for low, high in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+        c, g = columns[low:high].astype(np.int64), up[low:high]
+        some = np.flatnonzero(~np.isnan(g.astype(float)))
+        if not len(some):
+            continue
+        q, f = c[some], g[some].astype(np.int64) ** 2
+        at, cut = [0], [-np.inf]
+        for k in range(1, len(q)):
+            while True:
+                p = at[-1]
+                s = (f[k] + q[k] * q[k] - f[p] - q[p] * q[p]) / (2 * (q[k] - q[p]))
+                if s > cut[-1]:
+                    at.append(k)
+                    cut.append(s)
+                    break
+                at.pop()
+                cut.pop()
+                if not at:
+                    at, cut = [k], [-np.inf]
+                    break
+        best = np.array(at)[np.searchsorted(cut, c, side="right") - 1]
+        out[low:high] = (c - q[best]) ** 2 + f[best]
+    return out
 
 
 def _windowed_max(a: np.ndarray, reach: int) -> np.ndarray:
@@ -68,10 +93,8 @@ def _windowed_max(a: np.ndarray, reach: int) -> np.ndarray:
     return a
 
 
-def watershed_labels(mask: np.ndarray, reach: int) -> np.ndarray:
-    """Labels from 1: markers are 4-connected distance peaks, floods go by falling distance, then by age."""
-    d = squared_distance(np.pad(mask, 1))[1:-1, 1:-1]
-    peak = mask & (d > 0) & (d == _windowed_max(d, reach))
+def flood(d: np.ndarray, peak: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Labels from 1: markers are 4-connected peaks, floods go by falling distance, then by age."""
     labels, count = np.zeros(mask.shape, np.int32), 0
     steps = ((-1, 0), (0, -1), (0, 1), (1, 0))
     queue: list[tuple[int, int, int, int]] = []
@@ -101,11 +124,35 @@ def watershed_labels(mask: np.ndarray, reach: int) -> np.ndarray:
     return labels
 
 
-def watershed_rows(pdf: pd.DataFrame, group: str, value: str, reach: int) -> pd.DataFrame:
-    mask, r, c = dense(pdf, value)
-    labels = watershed_labels(mask, reach)[r, c]
-    keep = labels > 0
-    return pd.DataFrame({group: pdf[group][keep], "px_row": pdf["px_row"][keep], "px_col": pdf["px_col"][keep], "plant_id": labels[keep]})
+def watershed_labels(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Labels of a whole raster, in one piece; its edge is no background."""
+    d = squared_distance(mask)
+    return flood(d, mask & (d > 0) & (d == _windowed_max(d, reach)), mask)
+
+
+def flood_regions(pdf: pd.DataFrame, group: str) -> pd.DataFrame:
+    """Floods of several connected regions (row0, col0), each in its own box: pixels with the first pixel of their marker."""
+    pdf = pdf.sort_values(["row0", "col0"], kind="stable")
+    r, c, d2, peak = (pdf[n].to_numpy() for n in ("px_row", "px_col", "d2", "peak"))
+    ids = pdf["row0"].to_numpy(np.int64) << 32 | pdf["col0"].to_numpy(np.int64)
+    cuts = np.flatnonzero(np.diff(ids, prepend=-1, append=-1))
+    first = np.full((len(pdf), 2), -1, np.int32)
+    for low, high in zip(cuts, cuts[1:]):
+        some = slice(low, high)
+        if not peak[some].any():
+            continue
+        top, left = r[some].min(), c[some].min()
+        y, x = r[some] - top, c[some] - left
+        d, on, tops = np.zeros((y.max() + 1, x.max() + 1), np.int64), np.zeros((y.max() + 1, x.max() + 1), bool), np.zeros((y.max() + 1, x.max() + 1), bool)
+        d[y, x], on[y, x], tops[y, x] = d2[some], True, peak[some]
+        labels = flood(d, tops, on)
+        at = np.argwhere(tops)  # in the order of the scan, so a label's first peak is its marker's first pixel
+        of, k = np.unique(labels[tops], return_index=True)
+        marker = np.zeros((labels.max() + 1, 2), np.int32)
+        marker[of] = at[k] + (top, left)
+        first[some] = np.where(labels[y, x][:, None] > 0, marker[labels[y, x]], -1)
+    keep = first[:, 0] >= 0
+    return pd.DataFrame({group: pdf[group][keep], "px_row": pdf["px_row"][keep], "px_col": pdf["px_col"][keep], "marker_row": first[keep, 0], "marker_col": first[keep, 1]})
 
 
 def boundary_rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -246,3 +293,42 @@ def contour_row(pdf: pd.DataFrame, group: str, simple: bool = True) -> pd.DataFr
     confidence = round(min(1.0, area / box), 2) if box else 0.0
     points = [{"x": float(x + c0), "y": float(y + r0)} for x, y in ring]
     return pd.DataFrame({group: [pdf[group].iloc[0]], "row0": [pdf["row0"].iloc[0]], "col0": [pdf["col0"].iloc[0]], "ring": [points], "area_px": [area], "confidence": [confidence]})
+
+
+def best_cuts(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the last cells of all but the last of the ``k`` stretches with the least squared distance to their means.
+
+    Cells come in order with their number, sum and sum of squares. Dynamic programming over the stretches' ends; the best
+    start of the last stretch never falls as its end rises, so each layer is solved by halving, a level at a time for all its parts.
+    """
+    m = len(n)
+    if m <= k:
+        return np.arange(m - 1)
+    N, S, Q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, s, q))
+    cost = lambda i, j: np.maximum((Q[j] - Q[i]) - (S[j] - S[i]) ** 2 / (N[j] - N[i]), 0.0)  # of cells i to j - 1
+    before = np.concatenate([[np.inf], cost(np.zeros(m, int), np.arange(1, m + 1))])  # least cost of the first j cells, by j
+    starts = []
+    for layer in range(1, k):
+        now, from_ = np.full(m + 1, np.inf), np.zeros(m + 1, int)
+        parts = np.array([[layer + 1, m, layer, m - 1]])  # ends j from low to high, starts from least to most
+        while len(parts):
+            low, high, least, most = parts.T
+            middle = (low + high) // 2
+            last = np.minimum(most, middle - 1)
+            sizes = last - least + 1
+            at = np.repeat(least - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            total = before[at] + cost(at, np.repeat(middle, sizes))
+            edges = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat(total, edges)
+            hit = np.flatnonzero(total == np.repeat(best, sizes))
+            first = hit[np.searchsorted(hit, edges)]
+            now[middle], from_[middle] = best, at[first]
+            left, right = low < middle, middle < high
+            parts = np.concatenate([np.stack([low, middle - 1, least, at[first]], 1)[left], np.stack([middle + 1, high, at[first], most], 1)[right]])
+        starts.append(from_)
+        before = now
+    ends, j = [], m
+    for from_ in reversed(starts):
+        j = from_[j]
+        ends.append(j - 1)
+    return np.array(ends[::-1])

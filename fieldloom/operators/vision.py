@@ -1,19 +1,24 @@
 """Neighbourhood operators on pixel tables (group, px_row, px_col, ...): windows along rows, then along columns.
 
-Segmentation steps that need an ordered sweep (distance transform, watershed, contours) run as grouped numpy kernels,
-one group per raster or per connected component; components are independent, so they spread over the cluster.
+Steps that need an ordered sweep run as numpy kernels over rows (distance transform) or connected regions (watershed,
+contours), which are independent, so they spread over the cluster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from . import kernels, plots, rings
+from fieldloom.storage import maybe_broadcast, written
+from . import kernels, plots, ranks, rings
 from .components import label_regions
 
 
@@ -88,7 +93,7 @@ def exg_mask(rgb: DataFrame, group: str = "raster_id") -> DataFrame:
 
 def percentile_stretch(df: DataFrame, value: str, out: str, group: str = "raster_id", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``value`` from its 1st to its 99th percentile (interpolated) onto 0..255, truncated."""
-    ends = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    ends = maybe_broadcast(ranks.quantiles(df, value, group, [low, high]))
     share = (F.col(value) - F.col("_p")[0]) / F.greatest(F.col("_p")[1] - F.col("_p")[0], F.lit(1e-6))
     return df.join(ends, group).withColumn(out, F.floor(spectral.clip(share, 0.0, 1.0) * 255.0).cast("int")).drop("_p")
 
@@ -122,24 +127,67 @@ def segment_filter(segments: DataFrame, shapes: DataFrame, least: float = 0.004,
 # Grouped kernels
 
 
+def squared_distance(mask: DataFrame, group: str = "raster_id", value: str = "plant") -> DataFrame:
+    """``mask`` with ``d2``, the exact squared distance of each pixel to the nearest that isn't in the mask; NULL if the raster has none.
+
+    Columns first: two window sweeps find the nearest such pixel above and below. Then each row takes the lower envelope of the
+    parabolas that its columns raise; rows go to tasks one by one, so no task holds a raster. Pixels that aren't there are no background.
+    """
+    here = mask.select(group, "px_row", "px_col", F.coalesce(F.col(value), F.lit(False)).alias("_on"))
+    column = W.partitionBy(group, "px_col").orderBy("px_row")
+    zero = F.when(~F.col("_on"), F.col("px_row"))
+    up = F.last(zero, True).over(column.rowsBetween(W.unboundedPreceding, 0))
+    down = F.first(zero, True).over(column.rowsBetween(0, W.unboundedFollowing))
+    away = here.select(group, "px_row", "px_col", F.least(F.col("px_row") - up, down - F.col("px_row")).cast("long").alias("_g"))
+    lines = away.groupBy(group, "px_row").agg(F.array_sort(F.collect_list(F.struct("px_col", "_g"))).alias("_line"))
+    kind = mask.schema[group].dataType.simpleString()
+
+    def envelope(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            line = b.column("_line")
+            at = line.flatten()
+            d2 = kernels.row_envelopes(np.diff(line.offsets.to_numpy()), at.field("px_col").to_numpy(), at.field("_g").to_numpy(zero_copy_only=False))
+            found = pa.StructArray.from_arrays([at.field("px_col"), pa.array(np.nan_to_num(d2, nan=0).astype(np.int64), mask=np.isnan(d2))], ["px_col", "d2"])
+            offsets = pa.array(np.append(0, np.cumsum(np.diff(line.offsets.to_numpy()))), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(group), b.column("px_row"), pa.ListArray.from_arrays(offsets, found)], [group, "px_row", "_line"])
+
+    done = lines.mapInArrow(envelope, f"{group} {kind}, px_row int, _line array<struct<px_col:int,d2:bigint>>")
+    return done.select(group, "px_row", F.inline("_line"))
+
+
 def distance_transform(mask: DataFrame, group: str = "raster_id", value: str = "plant") -> DataFrame:
     """Exact Euclidean distance of each mask pixel to the nearest pixel that is not: group, px_row, px_col, distance."""
+    return squared_distance(mask, group, value).select(group, "px_row", "px_col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernels.distance_rows(pdf, group, value)
 
-    kind = mask.schema[group].dataType.simpleString()
-    return mask.select(group, "px_row", "px_col", value).groupBy(group).applyInPandas(one, f"{group} {kind}, px_row int, px_col int, distance double")
+#: Pixels of connected regions that one task floods at once, about.
+FLOOD = 1 << 18
+#: Squared distance in a raster without background.
+_NO_BACKGROUND = 1 << 40
 
 
 def watershed(mask: DataFrame, group: str = "raster_id", value: str = "plant", reach: int = 8) -> DataFrame:
-    """Mask pixels with ``plant_id``: flooding from the distance peaks; peaks that touch are one marker."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernels.watershed_rows(pdf, group, value, reach)
+    """Mask pixels with ``plant_id``: flooding from the distance peaks; peaks that touch are one marker.
 
+    The raster's edge is no background. Distances, peaks and connected regions are found by all tasks; floods don't cross from one
+    4-connected region to another, so regions, not rasters, are dealt to tasks: a region must fit one. Plants are numbered from 1 in the order
+    of their markers' first pixels, row by row. Regions without a peak have no plant.
+    """
     kind = mask.schema[group].dataType.simpleString()
-    return mask.select(group, "px_row", "px_col", value).groupBy(group).applyInPandas(one, f"{group} {kind}, px_row int, px_col int, plant_id int")
+    far = squared_distance(mask, group, value).withColumn("d2", F.coalesce("d2", F.lit(_NO_BACKGROUND)))
+    peaks = written(local_maxima(far, "d2", reach, group).where("d2 > 0"), "flood-pixels")
+    regions = label_regions(peaks, group)
+    sizes = regions.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / FLOOD).alias("_tasks"))
+    dealt = regions.join(maybe_broadcast(sizes), group).withColumn("_deal", F.pmod(F.xxhash64("region"), "_tasks"))
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernels.flood_regions(pdf, group)
+
+    flat = dealt.select(group, "_deal", "px_row", "px_col", "d2", "peak", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
+    flooded = written(flat.groupBy(group, "_deal").applyInPandas(flood, f"{group} {kind}, px_row int, px_col int, marker_row int, marker_col int"), "flood-labels")
+    order = W.partitionBy(group).orderBy("marker_row", "marker_col")
+    plants = flooded.select(group, "marker_row", "marker_col").distinct().withColumn("plant_id", F.row_number().over(order))
+    return flooded.join(maybe_broadcast(plants), [group, "marker_row", "marker_col"]).select(group, "px_row", "px_col", "plant_id")
 
 
 def plant_blobs(labels: DataFrame, group: str = "raster_id", least: int = 15) -> DataFrame:

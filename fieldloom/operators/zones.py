@@ -1,14 +1,13 @@
-"""Management zones: one-dimensional k-means on a value, labels ordered by centre, application rates."""
+"""Management zones: one-dimensional k-means on a value, labels in the order of the values, application rates."""
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.storage import written
+from fieldloom.storage import maybe_broadcast, written
+from . import kernels
 
 #: Suggested rates of three and of five zones, from the lowest value to the highest.
 RATES = {
@@ -23,81 +22,47 @@ def rate_of(zone: Column, n_zones: int) -> Column:
     return F.element_at(F.array(*[F.lit(r) for r in RATES[n_zones]]), zone + 1)
 
 
-#: Rounds after which a clustering that hasn't settled raises, rounds that one job makes, digits of the centres, and the starts.
-MOST_ROUNDS, AT_ONCE, DIGITS, STARTS = 300, 3, 12, ("even", "spread")
+#: Distinct values of a group up to which each is a cell of its own, and the cells of equal width that larger groups get.
+CELLS = 1 << 20
 
 
-def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, rounds: int = MOST_ROUNDS, few: str = "null") -> DataFrame:
-    """``pixels`` with ``zone``: 0 is the zone of the lowest centre, NULL where the value is.
+def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: str = "null", cells: int = CELLS) -> DataFrame:
+    """``pixels`` with ``zone``: 0 is the zone of the lowest values, NULL where the value is.
 
-    Lloyd's algorithm to convergence from two starts, centres spread evenly over the range and centres spread by the
-    standard deviation round the mean; each group keeps the start with the least squared distance, the first one of equals.
-    The distinct values of a group and their numbers are clustered, all starts in one aggregation a round; centres,
-    rounded to DIGITS digits, are written every AT_ONCE rounds, and groups that have settled drop out. Groups with fewer values than
-    zones get no zone, or raise with ``few="raise"``. Ties go to the lower centre.
+    One-dimensional k-means at its global optimum: of all ways to cut a group's sorted values into ``n_zones`` stretches the one with the
+    least squared distance to the stretches' means (the lowest cuts, if several), so no start is drawn and no round made. The
+    distinct values of a group are counted by all tasks, and one task cuts at most ``cells`` of them; a group with more is first
+    dealt into that many cells of equal width, each with its number, sum and sum of squares, and cut between cells. Values are
+    then compared with the cuts. Groups of fewer values than zones get no zone, or raise with ``few="raise"``; with
+    fewer distinct values than zones each is a zone, from 0 on.
     """
-    seen = written(pixels.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w")), "zone-values")
-    span = seen.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("w").alias("n"), F.sum(F.col("v") * F.col("w")).alias("s"), F.sum(F.col("v") * F.col("v") * F.col("w")).alias("q"))
+    counted = pixels.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = written(counted, "zone-values")
+    span = seen.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_all"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    span = written(span, "zone-spans")  # a row for each group
     if few == "raise":
-        short = span.where(F.col("n") < n_zones).limit(1).collect()
+        short = span.where(F.col("_all") < n_zones).limit(1).collect()
         if short:
-            raise ValueError(f"{short[0][group]} has {short[0]['n']} values for {n_zones} zones")
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    even = F.array(*[F.col("low") + (F.col("high") - F.col("low")) * ((2 * k + 1) / (2 * n_zones)) for k in range(n_zones)])
-    spread = F.array(*[mean + std * (1.5 * (2 * k + 1 - n_zones) / n_zones) for k in range(n_zones)])
-    digits = lambda a: F.transform(a, lambda c: F.round(c, DIGITS))
-    starts = F.array(*[F.struct(F.lit(i).alias("start"), digits({"even": even, "spread": spread}[s]).alias("centres")) for i, s in enumerate(STARTS)])
-    moving = written(span.where(F.col("n") >= n_zones).select(group, F.explode(starts).alias("s")).select(group, "s.*"), "zone-centres")
-    settled = []
-    for _ in range(0, rounds, AT_ONCE):
-        after = moving
-        for _ in range(AT_ONCE):
-            near = seen.join(after, group).withColumn("zone", nearest(F.col("v"), F.col("centres"), n_zones))
-            means = near.groupBy(group, "start", "zone").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean")).groupBy(group, "start").agg(F.map_from_entries(F.collect_list(F.struct("zone", "mean"))).alias("means"))
-            moved = F.array(*[F.round(F.coalesce(F.try_element_at("means", F.lit(k)), F.col("centres")[k]), DIGITS) for k in range(n_zones)])
-            after = after.join(means, [group, "start"]).select(group, "start", moved.alias("centres"), (moved == F.col("centres")).alias("still"))
-        after = written(after, "zone-centres")
-        settled.append(after.where("still").drop("still"))
-        moving = after.where("NOT still").drop("still")
-        if moving.isEmpty():
-            break
-    else:
-        raise ValueError(f"zones haven't settled in {rounds} rounds")
-    centres = reduce(DataFrame.unionByName, settled)
-    distance = F.pow(F.col("v") - F.element_at("centres", nearest(F.col("v"), F.col("centres"), n_zones) + 1), 2) * F.col("w")
-    inertia = seen.join(centres, group).groupBy(group, "start").agg(F.round(F.sum(distance), 9).alias("inertia"))
-    best = inertia.groupBy(group).agg(F.min(F.struct("inertia", "start"))["start"].alias("start"))
-    centres = written(centres.join(best, [group, "start"]).select(group, F.array_sort("centres").alias("centres")), "zone-best")
-    labelled = pixels.join(centres, group, "left")
-    return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("centres").isNotNull(), nearest(F.col(value), F.col("centres"), n_zones))).drop("centres")
+            raise ValueError(f"{short[0]['_g']} has {short[0]['_all']} values for {n_zones} zones")
+    enough = span.where(F.col("_all") >= n_zones)
+    width = (F.col("_high") - F.col("_low")) / F.lit(float(cells))
+    cell = F.when(F.col("_distinct") > cells, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(cells - 1)).cast("double")).otherwise(F.col("_v"))
+    own = F.col("_v") - F.col("_mean")  # sums of squares keep their digits
+    moments = seen.join(maybe_broadcast(enough), "_g").groupBy("_g", cell.alias("_cell")).agg(F.sum("_n").alias("n"), F.sum(own * F.col("_n")).alias("s"), F.sum(own * own * F.col("_n")).alias("q"), F.max("_v").alias("top"))
+    kind = seen.schema["_g"].dataType.simpleString()
 
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_cell")
+        ends = kernels.best_cuts(*(pdf[c].to_numpy(float) for c in ("n", "s", "q")), n_zones)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_cuts": [pdf["top"].to_numpy()[ends].tolist()]})
 
-def nearest(value: Column, centres: Column, n: int) -> Column:
-    best = F.lit(0)
-    for k in range(1, n):
-        best = F.when(F.abs(value - centres[k]) < F.abs(value - F.element_at(centres, best + 1)), F.lit(k)).otherwise(best)
-    return best
+    cuts = written(moments.groupBy("_g").applyInPandas(cut, f"_g {kind}, _cuts array<double>"), "zone-cuts")
+    labelled = pixels.join(maybe_broadcast(cuts.withColumnRenamed("_g", group)), group, "left")
+    zone = F.aggregate("_cuts", F.lit(0), lambda z, c: z + (F.col(value) > c).cast("int"))
+    return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("_cuts").isNotNull(), zone)).drop("_cuts")
 
 
 def summary(zoned: DataFrame, group: str, n_zones: int, region: str | None = None) -> DataFrame:
     """pixel_count, region_count (if a region column is given) and suggested rate of each zone, in order."""
     counts = [F.count(F.lit(1)).alias("pixel_count")] + ([F.countDistinct(region).alias("region_count")] if region else [])
     return zoned.where("zone IS NOT NULL").groupBy(group, "zone").agg(*counts).withColumn("suggested_rate", rate_of(F.col("zone"), n_zones)).orderBy(group, "zone")
-
-
-def classify_kmeans(pixels: DataFrame, value: str, n_zones: int = 3, seed: int = 42) -> DataFrame:
-    """The zones of one raster by the library's k-means, with labels ordered by centre."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    seen = VectorAssembler(inputCols=[value], outputCol="_v").transform(pixels.where(F.col(value).isNotNull()))
-    model = KMeans(k=n_zones, seed=seed, featuresCol="_v", predictionCol="_cluster").fit(seen)
-    order = sorted(range(n_zones), key=lambda k: float(model.clusterCenters()[k][0]))
-    rank = F.array(*[F.lit(order.index(k)) for k in range(n_zones)])
-    return model.transform(seen).withColumn("zone", F.element_at(rank, F.col("_cluster") + 1)).drop("_v", "_cluster")
-
-
-def lowest_first(centres: DataFrame, group: str, centre: str) -> DataFrame:
-    """Rank of each cluster by its centre."""
-    return centres.withColumn("zone", F.row_number().over(W.partitionBy(group).orderBy(centre)) - 1)

@@ -519,8 +519,8 @@ def plots_from_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FLOODED = f"""WITH RECURSIVE {RGB_SQL}, {_EXG}, {_LEVEL}, {_OTSU}, m AS (SELECT raster_id AS g, px_row AS r, px_col AS c, level > threshold AS plant FROM n JOIN o USING (raster_id)),
-ends AS (SELECT g, max(r) AS mr, max(c) AS mc FROM m GROUP BY 1), on_px AS (SELECT m.*, least(r + 1, mr - r + 1, c + 1, mc - c + 1) ** 2 AS rim FROM m JOIN ends USING (g) WHERE plant), z AS (SELECT * FROM m WHERE NOT plant),
-d AS (SELECT p.g, p.r, p.c, least(p.rim, coalesce(min((p.r - z.r) ** 2 + (p.c - z.c) ** 2), p.rim)) AS d FROM on_px p LEFT JOIN z ON z.g = p.g GROUP BY p.g, p.r, p.c, p.rim),
+on_px AS (SELECT * FROM m WHERE plant), z AS (SELECT * FROM m WHERE NOT plant),
+d AS (SELECT p.g, p.r, p.c, min((p.r - z.r) ** 2 + (p.c - z.c) ** 2) AS d FROM on_px p LEFT JOIN z ON z.g = p.g GROUP BY p.g, p.r, p.c),
 peaks AS (SELECT a.g, a.r, a.c FROM d a JOIN d b ON b.g = a.g AND b.r BETWEEN a.r - 8 AND a.r + 8 AND b.c BETWEEN a.c - 8 AND a.c + 8 GROUP BY a.g, a.r, a.c, a.d HAVING max(b.d) = a.d),
 step AS (SELECT a.g, a.r, a.c, b.r AS r2, b.c AS c2 FROM on_px a JOIN on_px b ON a.g = b.g AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
 walk AS (SELECT g, r, c FROM peaks UNION SELECT step.g, step.r2, step.c2 FROM walk w JOIN step ON step.g = w.g AND step.r = w.r AND step.c = w.c)

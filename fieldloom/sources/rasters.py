@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions.spectral import clip
+from fieldloom.operators import ranks
 from fieldloom.sources import reports, tiff
 from fieldloom.storage import maybe_broadcast, written
 
@@ -137,8 +138,8 @@ def joint_stretch(pixels: DataFrame, key: str, values: list[str], wanted: Column
     ``wanted`` says which rows are stretched; the others stay. Percentiles are interpolated over value counts.
     """
     wanted = F.lit(True) if wanted is None else wanted
-    one = pixels.where(wanted).select(key, F.explode(F.array(*values)).alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    ends = one.groupBy(key).agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("_p"))
+    one = pixels.where(wanted).select(key, F.explode(F.array(*values)).alias("v"))
+    ends = maybe_broadcast(ranks.quantiles(one, "v", key, [0.01, 0.99]))
     level = lambda n: F.floor(clip((F.col(n) - F.col("_p")[0]) / F.greatest(F.col("_p")[1] - F.col("_p")[0], F.lit(1e-6)), 0.0, 1.0) * 255.0)
     joined = pixels.join(ends, key, "left")
     return joined.withColumns({n: F.when(wanted, level(n)).otherwise(F.col(n)) for n in values}).drop("_p")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
-from fieldloom.operators import catalog, rings, vision, zones
+from fieldloom.operators import catalog, kernels, ranks, rings, vision, zones
 from fieldloom.sources import rasters, reports, shapefile, tiff
 
 SQUARE = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
@@ -144,23 +144,55 @@ def lloyd(v, centres):
         centres = after
 
 
-def test_zones_settle(spark):
-    """Eight rounds don't do here; the better of two starts is kept."""
+def test_zones_are_the_optimum(spark):
+    """As good as every way to cut the sorted values, and never worse than Lloyd's rounds from any of many starts."""
     rng = np.random.default_rng(11)
-    groups = {1: np.concatenate([rng.normal(0, 1, 120), rng.normal(1.5, 0.3, 80), [40.0]]), 2: rng.exponential(1.0, 200)}
-    px = spark.createDataFrame([(g, i, float(x)) for g, v in groups.items() for i, x in enumerate(v)], "g long, i int, v double")
+    groups = {1: np.concatenate([rng.normal(0, 1, 50), rng.normal(1.5, 0.3, 30), [40.0]]), 2: rng.exponential(1.0, 70), 3: rng.integers(0, 6, 90).astype(float), 4: np.array([5.0, 5.0, 7.0]), 5: np.array([1.0, 2.0])}
+    px = spark.createDataFrame([(g, i, float(x)) for g, v in groups.items() for i, x in enumerate(v)] + [(1, -1, None)], "g long, i int, v double").repartition(3)
     got = {(r.g, r.i): r.zone for r in zones.classify(px, "v", "g", 3).collect()}
-    for g, v in groups.items():
-        starts = (v.min() + (v.max() - v.min()) * np.array([1, 3, 5]) / 6, v.mean() + v.std() * np.array([-1.0, 0, 1]))
-        best = min((lloyd(v, s) for s in starts), key=lambda r: round(r[1], 9))[0]
-        want = np.abs(v[:, None] - np.sort(best)[None]).argmin(1)
-        assert [got[g, i] for i in range(len(v))] == want.tolist()
-    with pytest.raises(ValueError, match="haven't settled"):
-        zones.classify(px, "v", "g", 3, 6)
+    assert got[1, -1] is None and got[5, 0] is None and [got[4, i] for i in range(3)] == [0, 0, 1]
+    spread = lambda x: float(((x - x.mean()) ** 2).sum()) if len(x) else 0.0
+    for g in (1, 2, 3):
+        v = groups[g]
+        zone = np.array([got[g, i] for i in range(len(v))])
+        mine = sum(spread(v[zone == z]) for z in range(3))
+        u = np.sort(v)
+        assert mine <= min(spread(u[:i]) + spread(u[i:j]) + spread(u[j:]) for i in range(1, len(u)) for j in range(i, len(u))) + 1e-9
+        assert all(mine <= lloyd(v, rng.choice(v, 3, replace=False))[1] + 1e-9 for _ in range(40))
+        assert max(v[zone == 0]) < min(v[zone == 1]) and max(v[zone == 1]) < min(v[zone == 2])
+    coarse = {(r.g, r.i): r.zone for r in zones.classify(px.where("g = 2"), "v", "g", 3, cells=32).collect()}
+    assert sum(coarse[2, i] != got[2, i] for i in range(70)) <= 3
     with pytest.raises(ValueError, match="values for 300 zones"):
         zones.classify(px, "v", "g", 300, few="raise")
 
 
+def test_order_statistics(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 400).astype(float), "c": np.array([2.5]), "d": np.full(50, 3.0)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("a", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r._p for r in ranks.quantiles(df, "v", "g", [0.01, 0.5, 0.99, 0.0, 1.0]).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert got[g] == pytest.approx(np.quantile(v, [0.01, 0.5, 0.99, 0.0, 1.0]).tolist(), rel=1e-12)
+
+
+def test_distances_and_floods_across_tasks(spark):
+    """Masks against brute force: open edges, columns and rasters without background, a raster without plants."""
+    rng = np.random.default_rng(8)
+    masks = {1: rng.random((23, 31)) < 0.85, 2: np.ones((5, 6), bool), 3: np.zeros((4, 4), bool), 4: np.ones((9, 40), bool), 5: rng.random((40, 40)) < 0.6}
+    masks[4][3, 17] = False
+    px = spark.createDataFrame([(g, int(r), int(c), bool(m[r, c])) for g, m in masks.items() for r, c in np.ndindex(m.shape)], "raster_id long, px_row int, px_col int, plant boolean").repartition(4)
+    far = {(r.raster_id, r.px_row, r.px_col): r.d2 for r in vision.squared_distance(px).collect()}
+    ids = {(r.raster_id, r.px_row, r.px_col): r.plant_id for r in vision.watershed(px).collect()}
+    for g, m in masks.items():
+        zeros = np.argwhere(~m)
+        labels = kernels.watershed_labels(m, 8)
+        for r, c in np.ndindex(m.shape):
+            assert far[g, r, c] == (min(((zeros - (r, c)) ** 2).sum(1)) if len(zeros) else None)
+            assert ids.get((g, r, c), 0) == labels[r, c]
+
+
 def test_methods_of_extraction():
     class Segmenter:
         def __init__(self, reason):
