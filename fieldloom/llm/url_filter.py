@@ -3,7 +3,7 @@
 A list is a log of dated entries: (list_name, kind, pattern, listed_at, action). Entries become validity
 intervals: an ``add`` holds from its date to the next entry of the same list, kind and pattern. Every capture is
 judged by the entries active at its fetch time: its host, the host's parent domains and its path prefixes are
-looked up by equality, and an as-of join finds the last interval of each list that began by the fetch time; it counts
+looked up by equality, as far as the list has patterns of their length, and an as-of join finds the last interval of each list that began by the fetch time; it counts
 if it hasn't ended. Kinds: ``host`` (the whole host), ``domain`` (the host or any parent domain), ``url`` (host and
 leading path segments).
 
@@ -48,12 +48,27 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return once.withColumn("valid_to", later).where("action = 'add'").select("list_name", "kind", "pattern", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
-def lookups(host: Column, path: Column) -> Column:
-    """The (kind, pattern) pairs under which a capture may be listed."""
-    labels = F.split(host, "\\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.concat(F.array(host), F.slice(steps, 1, n)), "/"))
+def sizes_of(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels that listed domains have, and of path segments that listed urls have: each distinct number once.
+
+    A list with patterns of n different sizes has at least n * n / 2 characters, so these are few.
+    """
+    known = entries.where("kind IN ('domain', 'url') AND pattern IS NOT NULL")
+    size = F.regexp_count("pattern", F.when(F.col("kind") == "domain", F.lit("\\.")).otherwise(F.lit("/")))
+    found = known.groupBy("kind", size.alias("n")).agg(F.lit(1).alias("one")).collect()
+    return sorted(r["n"] + 1 for r in found if r["kind"] == "domain"), sorted(r["n"] for r in found if r["kind"] == "url")
+
+
+def lookups(host: Column, path: Column, labels: list[int], segments: list[int]) -> Column:
+    """The (kind, pattern) pairs under which a capture may be listed: parents and prefixes of the sizes that the list has.
+
+    No other size can match, so a url of very many segments or labels is cut only where the list has patterns as long.
+    """
+    sizes = lambda n: F.array(*[F.lit(x) for x in n]).cast("array<int>")
+    names = F.slice(F.reverse(F.split(host, "\\.")), 1, max(labels, default=1))
+    parents = F.transform(F.filter(sizes(labels), lambda n: n <= F.size(names)), lambda n: F.array_join(F.reverse(F.slice(names, 1, n)), "."))
+    steps = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, max(segments, default=0) or 1)
+    prefixes = F.transform(F.filter(sizes(segments), lambda n: n <= F.size(steps)), lambda n: F.array_join(F.concat(F.array(host), F.slice(steps, 1, n)), "/"))
     pair = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern"))
     return F.concat(F.array(pair("host")(host)), F.transform(parents, pair("domain")), F.transform(prefixes, pair("url")))
 
@@ -62,7 +77,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """One row for each distinct (url, fetched_at): host, n_entries, lists (sorted, comma-joined) and blocked."""
     base = captures.select(F.col(f"`{url}`").alias("url"), F.col(f"`{fetched_at}`").alias("fetched_at")).distinct()
     base = base.withColumn("host", host_of(F.col("url")))
-    sought = base.where("host != '' AND fetched_at IS NOT NULL").select("url", "fetched_at", F.explode(F.array_distinct(lookups(F.col("host"), path_of(F.col("url"))))).alias("at")).select("url", "fetched_at", "at.*")
+    sought = base.where("host != '' AND fetched_at IS NOT NULL").select("url", "fetched_at", F.explode(F.array_distinct(lookups(F.col("host"), path_of(F.col("url")), *sizes_of(entries)))).alias("at")).select("url", "fetched_at", "at.*")
     spans = validity_intervals(entries)
     at = ["list_name", "kind", "pattern"]
     listed = written(sought.join(spans.select(*at).distinct(), ["kind", "pattern"]), "url-listed")

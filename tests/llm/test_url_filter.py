@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 from fieldloom.llm import url_filter
@@ -39,3 +40,15 @@ def test_crowded_patterns_and_clashing_names(spark, monkeypatch):
     for r in url_filter.judged(captures, entries).collect():
         assert (r._u, r._t, r.verdict, r.c0) == ("u", "t", "own", 5)
         assert r.verdict_2.blocked == (DAY[2] <= r.fetched_at < DAY[6] or DAY[9] <= r.fetched_at)
+
+
+def test_very_many_segments_and_labels(spark):
+    """Urls of 100,000 segments or labels, in seconds; what the list names is found at any depth."""
+    deep = "/".join(f"s{i}" for i in range(300))
+    entries = spark.createDataFrame([("a", "url", f"long.org/{deep}", DAY[1], "add"), ("b", "url", "long.org", DAY[1], "add"), ("c", "domain", "x.y.org", DAY[1], "add"), ("d", "url", "long.org/s0/s1/", DAY[1], "add")], "list_name string, kind string, pattern string, listed_at timestamp, action string")
+    many = "/".join(f"s{i}" for i in range(100_000))
+    rows = [(1, f"http://long.org/{many}", DAY[3]), (2, f"http://long.org//{many}?q", DAY[3]), (3, f"http://other.org/{many}", DAY[3]), (4, "http://" + "z." * 100_000 + "x.y.org/", DAY[3]), (5, "http://long.org/s0", DAY[3]), (6, "http://" + "z." * 100_000 + "w.org/", DAY[3])]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp")
+    began = time.time()
+    got = {r.page_id: r.lists for r in url_filter.judged(captures, entries).select("page_id", "verdict.lists").collect()}
+    assert got == {1: "a,b", 2: "a,b", 3: "", 4: "c", 5: "b", 6: ""} and time.time() - began < 60
