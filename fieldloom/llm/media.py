@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.storage import cleared
+
 from .common import bounded_batches, located, maybe_broadcast, scratch, written
 
 WIDTH, PAD = 24, b"\xff"
 UNIT = WIDTH * WIDTH
 #: Chunk sizes in bytes: least, aimed at (a power of two) and most.
 LEAST, AIM, MOST = 256, 2_048, 16_384
+#: Places that want a chunk that one task serves.
+SALT_ROWS = 1_000
 _GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
 _MASK = np.uint32((AIM - 1) << (32 - AIM.bit_length() + 1))
 _FACTS = "medium binary, verified boolean, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -206,14 +210,20 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     packs = spark.read.schema("medium binary, chunks array<struct<digest binary, size int>>, away array<int>, data binary").parquet(path)
     whole = packs.where(F.size("away") == 0).select("medium", "data").mapInArrow(_read_whole, _FACTS)
     partial = packs.where(F.size("away") > 0)
-    wanted = partial.select("medium", F.explode("away").alias("pos"), "chunks").select("medium", "pos", F.element_at("chunks", F.col("pos") + 1)["digest"].alias("digest"))
-    wanted = written(wanted, "media-wanted")
-    owned = packs.select("medium", "away", F.posexplode("chunks").alias("pos", "chunk")).where(~F.array_contains("away", F.col("pos")))
-    found = owned.select("medium", "pos", "chunk.digest").join(maybe_broadcast(written(wanted.select("digest").distinct(), "media-digests")), "digest", "left_semi")
+    # places and digests are paired before they become rows, so no row carries a medium's lists
+    digests = lambda places: F.explode(F.transform(places, lambda k: F.struct(k.alias("pos"), F.element_at("chunks", k + 1)["digest"].alias("digest")))).alias("at")
+    owns = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("away"))
+    wanted = written(partial.select("medium", digests(F.col("away"))).select("medium", "at.*"), "media-wanted")
+    asked = written(wanted.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")), "media-digests")
+    found = packs.select("medium", digests(owns)).select("medium", "at.*").join(maybe_broadcast(asked.select("digest")), "digest", "left_semi")
     found = written(found.groupBy("medium").agg(F.collect_list("pos").alias("give")), "media-give")
     given = _slices(packs.join(maybe_broadcast(found), "medium")).select("digest", "piece")
-    fetched = wanted.join(given, "digest").select("medium", "pos", "piece")
-    own = _slices(partial.withColumn("give", F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("away")))).select("medium", "pos", "piece")
+    # a chunk that very many media share goes to as many tasks as it takes
+    crowds = maybe_broadcast(written(asked.where("salts > 1"), "media-crowds"))
+    salted = wanted.join(crowds, "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("medium", "pos"), "salts"), F.lit(0))).drop("salts")
+    spread = given.join(crowds, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    fetched = salted.join(spread, ["digest", "salt"]).select("medium", "pos", "piece")
+    own = _slices(partial.withColumn("give", owns)).select("medium", "pos", "piece")
     pieces = fetched.unionByName(own)
     joined = pieces.groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
     return whole.unionByName(joined.select("medium", F.transform("p", lambda x: x["piece"]).alias("pieces")).mapInArrow(_read_pieces, _FACTS))
@@ -222,7 +232,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Store every document's payload, read the store back: one row of facts for each document."""
     spark = docs.sparkSession
-    path = path or scratch(spark, "media")
-    manifest = store(docs, path)
-    found = written(read_back(spark, path), "media-facts")
-    return manifest.join(found, "medium").drop("medium")
+    with cleared(spark) as keep:
+        path = path or scratch(spark, "media")
+        manifest = store(docs, path)
+        found = written(read_back(spark, path), "media-facts")
+        return keep(manifest.join(found, "medium").drop("medium"), "media-columns")

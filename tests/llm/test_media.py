@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 from fieldloom.llm import media
@@ -33,3 +34,36 @@ def test_round_trip(spark, tmp_path):
     kept = sum(len(r.data) for r in stored.collect())
     assert kept < len(long) * 1.1 * 1.5 + 120_000
     assert media.media_columns(docs.where("false")).count() == 0
+
+
+def test_media_fields_by_their_definition(spark):
+    """Payload, image and feature recomputed from the text alone."""
+    texts = ["", None, "plain words", "é" * 500, "b" * 1_151, "0123456789" * 3_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in media.media_columns(docs).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        blocks = max(1, (len(raw) + 575) // 576)
+        payload = raw.ljust(576 * blocks, b"\xff")
+        image = f"P5\n24 {24 * blocks}\n255\n".encode() + payload
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), 576 * blocks, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        shape, chunks, total, distinct = r.feature.split(";")
+        assert (shape, total, distinct) == (f"24x{24 * blocks}", f"sum={sum(payload)}", f"distinct={len(set(payload))}")
+        assert 1 <= int(chunks.removeprefix("chunks=")) <= len(image) // media.LEAST + 1
+
+
+def test_long_media_that_share_nearly_all(spark, monkeypatch):
+    """Two media of some 4 MB and many short ones with one chunk in common; crowded chunks are salted."""
+    monkeypatch.setattr(media, "SALT_ROWS", 5)
+    rng = random.Random(9)
+    long = rng.randbytes(2_000_000).hex()
+    shared = rng.randbytes(20_000).hex()
+    texts = [long, long[:1_000_000] + "x" + long[1_000_000:], *[f"{i} {shared}" for i in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(6)
+    began = time.time()
+    got = {r.doc_id: r for r in media.media_columns(docs).collect()}
+    assert time.time() - began < 100
+    for i, t in enumerate(texts):
+        assert got[i].verified and (got[i].payload_sha256, got[i].tail_crc32, got[i].payload_bytes) == want(t)
