@@ -16,6 +16,7 @@ are not looked at, whatever their names, since the tokenizer maps one column to
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 
 import pyarrow as pa
@@ -139,7 +140,7 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 def codec_of(raw: bytes, pattern: str) -> Codec:
     """This process's codec, made once."""
-    key = (raw[:64] + raw[-64:] + len(raw).to_bytes(8, "little"), pattern)
+    key = (hashlib.sha256(raw).digest(), pattern)
     if key not in _CODECS:
         _CODECS[key] = Codec(read_ranks(raw), pattern)
     return _CODECS[key]
