@@ -184,13 +184,6 @@ def boundary_rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     return rings
 
 
-def region_rings(pdf: pd.DataFrame, group: str) -> pd.DataFrame:
-    r0, c0 = int(pdf["px_row"].min()), int(pdf["px_col"].min())
-    mask, _, _ = dense(pdf.assign(_v=True), "_v")
-    rings = [[{"x": float(x + c0), "y": float(y + r0)} for x, y in ring] for ring in boundary_rings(mask)]
-    return pd.DataFrame({group: [pdf[group].iloc[0]], "zone": [int(pdf["zone"].iloc[0])], "rings": [rings], "pixel_count": [len(pdf)]})
-
-
 def outer_contour(mask: np.ndarray) -> list[tuple[int, int]]:
     """Pixel centres (x, y) along the outside of one 8-connected region, by border following."""
     padded = np.pad(mask, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
+from . import rings
 
 
 def grid_estimate(width: Column, height: Column, target: Column) -> dict[str, Column]:
@@ -17,10 +18,11 @@ def grid_estimate(width: Column, height: Column, target: Column) -> dict[str, Co
 
 
 def grid_plots(boundaries: DataFrame, rows: Column | int, cols: Column | int, row_gap_m: float = 0.0, col_gap_m: float = 0.0) -> DataFrame:
-    """Cells of each boundary's bounding box, clipped to it: boundary_id, plot_id, row_idx, col_idx, ring, area_m2.
+    """Cells of each boundary's bounding box, clipped to it: boundary_id, plot_id, row_idx, col_idx, polygons, ring, area_m2.
 
-    ``boundaries`` has boundary_id and ring, in degrees. Rows count from the south; plots are numbered in row-major
-    order over the cells that remain. Rows and columns below 1 give no cell.
+    ``boundaries`` has boundary_id and ring, in degrees, and may have ``holes``, an array of rings. A cell's polygons (outer,
+    holes) are its true parts, largest first, without bridges between them; ``ring`` is the outer ring of the first. Rows count from
+    the south; plots are numbered in row-major order over the cells that remain. Rows and columns below 1 give no cell.
     """
     rows, cols = (F.lit(v) if isinstance(v, int) else v for v in (rows, cols))
     base = boundaries.withColumns({"_b": G.bounds(F.col("ring")), "_c": G.centroid(F.col("ring")), "_rows": rows.cast("long"), "_cols": cols.cast("long")}).where("_rows >= 1 AND _cols >= 1")
@@ -31,10 +33,13 @@ def grid_plots(boundaries: DataFrame, rows: Column | int, cols: Column | int, ro
     low_x, low_y = F.col("_b.minx") + F.col("col_idx") * F.col("_w") + F.col("_gx"), F.col("_b.miny") + F.col("row_idx") * F.col("_h") + F.col("_gy")
     high_x, high_y = F.col("_b.minx") + (F.col("col_idx") + 1) * F.col("_w") - F.col("_gx"), F.col("_b.miny") + (F.col("row_idx") + 1) * F.col("_h") - F.col("_gy")
     cells = cells.withColumns({"_x0": low_x, "_y0": low_y, "_x1": high_x, "_y1": high_y}).where("_x1 > _x0 AND _y1 > _y0")
-    cells = cells.withColumn("_part", G.clip_to_box(F.col("ring"), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))).withColumn("_area", G.ring_area(F.col("_part"))).where("_area > 0")
+    holes = F.col("holes") if "holes" in boundaries.columns else F.array().cast(f"array<{G.RING}>")
+    cells = cells.withColumn("polygons", rings.polygons_in_box(F.col("ring"), holes, *[F.col(c) for c in ("_x0", "_y0", "_x1", "_y1")]))
+    covered = F.transform("polygons", lambda p: G.polygon_area(F.concat(F.array(p["outer"]), p["holes"])))
+    cells = cells.withColumn("_area", F.aggregate(covered, F.lit(0.0), lambda s, a: s + a)).where("_area > 0")
     order = W.partitionBy("boundary_id").orderBy("row_idx", "col_idx")
     area = G.rint(F.col("_area") * G.METRES_PER_DEGREE * F.col("_per_lon"), 1)
-    return cells.select("boundary_id", (F.row_number().over(order) - 1).alias("plot_id"), F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.col("_part").alias("ring"), area.alias("area_m2"))
+    return cells.select("boundary_id", (F.row_number().over(order) - 1).alias("plot_id"), F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), "polygons", F.col("polygons")[0]["outer"].alias("ring"), area.alias("area_m2"))
 
 
 def grid_positions(candidates: DataFrame, group: list[str], tolerance: float = 0.6) -> DataFrame:

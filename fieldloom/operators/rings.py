@@ -16,6 +16,8 @@ from .kernels import simplify_ring
 _POINT = T.StructType().add("x", "double").add("y", "double")
 _RING, _RINGS = T.ArrayType(_POINT), T.ArrayType(T.ArrayType(_POINT))
 _ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_POLYGONS = T.ArrayType(T.StructType().add("outer", _RING).add("holes", _RINGS))
+_ARROW_POLYGONS = pa.list_(pa.struct([("outer", _ARROW_RING), ("holes", pa.list_(_ARROW_RING))]))
 
 
 def area_of(p: np.ndarray) -> float:
@@ -107,14 +109,18 @@ def simplified(points: np.ndarray, tolerance: float | None = None) -> np.ndarray
 
 
 def _half(rings: list[np.ndarray], axis: int, bound: float, sign: float) -> list[np.ndarray]:
-    """The parts of rings where sign * (coordinate - bound) > 0: chains inside are closed along the line, nearest ends together."""
-    out = []
+    """The parts of rings where sign * (coordinate - bound) > 0: chains inside are closed along the line, nearest ends together.
+
+    Rings of one polygon are cut together: its outer ring runs one way and its holes the other, so a hole that the line meets becomes
+    part of the outline.
+    """
+    out, chains = [], []
     for p in rings:
         f = sign * (p[:, axis] - bound)
         if (f > 0).all() or not (f > 0).any():
             out += [p] if (f > 0).all() else []
             continue
-        n, chains = len(p), []
+        n = len(p)
         for i in (int(k) for k in np.flatnonzero((f <= 0) & (np.roll(f, -1) > 0))):  # the sides that enter
             point = lambda a, b: p[a] + (p[b] - p[a]) * (f[a] / (f[a] - f[b]))
             j, chain = (i + 1) % n, [point(i, (i + 1) % n)]
@@ -123,32 +129,46 @@ def _half(rings: list[np.ndarray], axis: int, bound: float, sign: float) -> list
                 j = (j + 1) % n
             chain.append(point(j - 1, j))
             chains.append(np.array(chain))
-        ends = sorted((float(c[k][1 - axis]), m, k) for m, c in enumerate(chains) for k in (0, -1))
-        mate = {}
-        for a, b in zip(ends[::2], ends[1::2]):
-            mate[a[1:]], mate[b[1:]] = b[1:], a[1:]
-        left = set(range(len(chains)))
-        while left:
-            first = m = min(left)
-            loop = []
-            while m in left:
-                left.discard(m)
-                loop.append(chains[m])
-                m, end = mate[m, -1]
-                if end != 0:  # ends that tie: the part is degenerate
-                    break
-            loop = opened(np.vstack(loop))
-            if first is not None and len(loop) >= 3 and area_of(loop) != 0:
-                out.append(loop)
+    ends = sorted((float(c[k][1 - axis]), m, k) for m, c in enumerate(chains) for k in (0, -1))
+    mate = {}
+    for a, b in zip(ends[::2], ends[1::2]):
+        mate[a[1:]], mate[b[1:]] = b[1:], a[1:]
+    left = set(range(len(chains)))
+    while left:
+        m = min(left)
+        loop = []
+        while m in left:
+            left.discard(m)
+            loop.append(chains[m])
+            m, end = mate[m, -1]
+            if end != 0:  # ends that tie: the part is degenerate
+                break
+        loop = opened(np.vstack(loop))
+        if len(loop) >= 3 and area_of(loop) != 0:
+            out.append(loop)
     return out
 
 
 def clip_parts(points: np.ndarray, minx: float, miny: float, maxx: float, maxy: float) -> list[np.ndarray]:
     """The parts of a valid ring within a rectangle, each a ring of its own, largest first."""
-    rings = [opened(points)]
+    return [outer for outer, _ in clip_polygon(points, [], minx, miny, maxx, maxy)]
+
+
+def clip_polygon(points: np.ndarray, holes: list[np.ndarray], minx: float, miny: float, maxx: float, maxy: float) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """The parts of a valid polygon within a rectangle: outer ring and holes of each, largest first.
+
+    Outer rings keep the direction of ``points``, holes get the other.
+    """
+    way = np.sign(area_of(opened(points)))
+    turned = [h if np.sign(area_of(h)) == -way else h[::-1] for h in map(opened, holes) if len(h) >= 3 and area_of(h) != 0]
+    rings = [opened(points), *turned]
     for axis, bound, sign in ((0, minx, 1.0), (0, maxx, -1.0), (1, miny, 1.0), (1, maxy, -1.0)):
         rings = _half(rings, axis, bound, sign)
-    return sorted(rings, key=lambda r: -abs(area_of(r)))
+    parts = sorted(((r, []) for r in rings if np.sign(area_of(r)) == way), key=lambda p: -abs(area_of(p[0])))
+    for h in (r for r in rings if np.sign(area_of(r)) == -way):
+        around = [p for p in parts if _inside((h[0] + h[1]) / 2, p[0])]
+        (around or parts)[-1][1].append(h)  # the smallest
+    return parts
 
 
 def meets_ring(a: np.ndarray, b: np.ndarray) -> bool:
@@ -207,6 +227,15 @@ def _parts(rings: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy
     return pa.array(([_structs(p) for p in clip_parts(_points(r), *(v.as_py() for v in box))] for r, *box in zip(rings, minx, miny, maxx, maxy)), pa.list_(_ARROW_RING))
 
 
+@F.arrow_udf(_POLYGONS)
+def _polygons(rings: pa.Array, holes: pa.Array, minx: pa.Array, miny: pa.Array, maxx: pa.Array, maxy: pa.Array) -> pa.Array:
+    out = []
+    for r, inner, *box in zip(rings, holes, minx, miny, maxx, maxy):
+        own = [np.array([(p["x"], p["y"]) for p in h], float).reshape(-1, 2) for h in inner.as_py() or ()]
+        out.append([{"outer": _structs(p), "holes": [_structs(h) for h in q]} for p, q in clip_polygon(_points(r), own, *(v.as_py() for v in box))])
+    return pa.array(out, _ARROW_POLYGONS)
+
+
 @F.arrow_udf(T.BooleanType())
 def _meet(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array((meets_ring(_points(a), _points(b)) for a, b in zip(one, two)), pa.bool_())
@@ -232,6 +261,11 @@ def parts_in_box(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: C
     return _parts(ring, minx, miny, maxx, maxy)
 
 
+def polygons_in_box(ring: Column, holes: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """``clip_polygon`` of each ring and its holes: array of (outer, holes)."""
+    return _polygons(ring, holes, minx, miny, maxx, maxy)
+
+
 def meet(one: Column, two: Column) -> Column:
     """Whether two rings share a point, borders included."""
     return _meet(one, two)

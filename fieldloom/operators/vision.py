@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
 from fieldloom.storage import maybe_broadcast, written
-from . import kernels, plots, ranks, rings
+from . import kernels, outlines, plots, ranks, rings
 from .components import label_regions
 
 
@@ -317,16 +317,8 @@ def extraction_methods(segmenter=None) -> list[tuple[str, bool, str | None]]:
 
 
 def zone_polygons(zoned: DataFrame, group: str = "boundary_id") -> DataFrame:
-    """Rings of each zone in pixel coordinates: sides of pixels that meet in opposite directions cancel, the rest chain.
+    """Each zone as a MultiPolygon in pixel coordinates: group, zone, polygons (outer ring and its holes), rings, pixel_count, region_count.
 
-    group, zone, rings: outer rings run one way and holes the other, so the signed areas add up to the pixel count.
+    Outer rings run one way and holes the other, so the signed areas of ``rings`` add up to the pixel count.
     """
-    regions = label_regions(zoned.where("zone IS NOT NULL").select(group, "px_row", "px_col", "zone"), group, "zone")
-    flat = regions.select(group, "zone", "px_row", "px_col", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
-    kind = flat.schema[group].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernels.region_rings(pdf, group)
-
-    rings = flat.groupBy(group, "zone", "row0", "col0").applyInPandas(one, f"{group} {kind}, zone int, rings array<array<struct<x:double,y:double>>>, pixel_count long")
-    return rings.groupBy(group, "zone").agg(F.flatten(F.collect_list("rings")).alias("rings"), F.sum("pixel_count").alias("pixel_count"), F.count(F.lit(1)).alias("region_count"))
+    return outlines.multipolygons(outlines.regions(zoned, group, "zone"), group, "zone")

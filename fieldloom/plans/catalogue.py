@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from fieldloom.operators import catalog, components, plots, rings, vision, zonal, zones
+from fieldloom.operators import catalog, components, outlines, plots, rings, vision, zonal, zones
 from fieldloom.plans import formats
 from fieldloom.plans import inputs as I
 from fieldloom.plans.inputs import BOXES_SQL, DIAMONDS_SQL, PIXELS_SQL, PLOTS_SQL, RGB_SQL
@@ -194,7 +194,7 @@ def grid_estimate(spark: SparkSession, sf: str) -> DataFrame:
 ) SELECT boundary_id, (row_number() OVER (PARTITION BY boundary_id ORDER BY r, c) - 1)::int AS plot_id, r::int AS row_idx, c::int AS col_idx, round(round_even((x1 - x0) * (y1 - y0) * 111320e0 * per_lon * 10, 0) / 10, 0) AS area_m2 FROM k WHERE x1 > x0 AND y1 > y0""")
 def grid_plots(spark: SparkSession, sf: str) -> DataFrame:
     b = I.boxes(spark, sf).select("boundary_id", G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]).alias("ring"))
-    return plots.grid_plots(b, 3, 4, 8.0, 5.0).drop("ring").withColumn("area_m2", F.round("area_m2", 0))
+    return plots.grid_plots(b, 3, 4, 8.0, 5.0).drop("ring", "polygons").withColumn("area_m2", F.round("area_m2", 0))
 
 
 @query("grid_positions", """WITH c AS (
@@ -420,6 +420,21 @@ def zone_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("boundary_id", "zone", "pixel_count", area.alias("area_px"))
 
 
+_EULER = """px AS (SELECT boundary_id AS g, zone AS z, px_row AS r, px_col AS c FROM zoned WHERE zone IS NOT NULL),
+near AS (SELECT a.g, a.z, b.r - a.r AS dr, count(*) AS n FROM px a JOIN px b ON a.g = b.g AND a.z = b.z AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)) GROUP BY 1, 2, 3),
+block AS (SELECT a.g, a.z, count(*) AS n FROM px a JOIN px b ON a.g = b.g AND a.z = b.z AND b.r = a.r AND b.c = a.c + 1 JOIN px d ON a.g = d.g AND a.z = d.z AND d.r = a.r + 1 AND d.c = a.c JOIN px e ON a.g = e.g AND a.z = e.z AND e.r = a.r + 1 AND e.c = a.c + 1 GROUP BY 1, 2),
+euler AS (SELECT g, z, count(*) - coalesce((SELECT sum(n) FROM near x WHERE x.g = px.g AND x.z = px.z), 0) + coalesce((SELECT sum(n) FROM block x WHERE x.g = px.g AND x.z = px.z), 0) AS chi, count(*) AS pixels FROM px GROUP BY g, z)"""
+
+
+# Regions less holes are pixels less neighbours and blocks of four: that counts the holes.
+@query("zone_regions", "WITH " + _REGIONS.format(pixels=PIXELS_SQL, mask=_ZONED + ", m AS (SELECT * FROM zoned)", value="zone", where="zone IS NOT NULL") + f", {_EULER}, t AS (SELECT m.boundary_id AS g, zone AS z, count(DISTINCT region) AS regions FROM m JOIN lab ON g = m.boundary_id AND r = px_row AND c = px_col GROUP BY 1, 2) SELECT g AS boundary_id, z AS zone, regions::bigint AS region_count, (regions - chi)::bigint AS hole_count, pixels::double AS area_px FROM t JOIN euler USING (g, z)")
+def zone_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Polygons, holes and areas of the zones' outlines, each hole within its outer ring."""
+    found = vision.zone_polygons(_zoned(spark, sf))
+    total = lambda of, start: F.aggregate(F.transform("polygons", of), F.lit(start), lambda s, v: s + v)
+    return found.select("boundary_id", "zone", "region_count", total(lambda p: F.size(p["holes"]), 0).cast("long").alias("hole_count"), total(outlines.covered, 0.0).alias("area_px"))
+
+
 @query("segment_filter", """WITH s AS (SELECT event_id // 2500 AS raster_id, (CASE WHEN user_id % 6 = 0 AND event_id % 50 = 0 THEN 6 ELSE user_id % 6 END)::int AS segment, (event_id % 2500) // 50 AS r, event_id % 50 AS c FROM events),
 f AS (SELECT raster_id, segment, count(*) / 2500e0 AS area_frac, sum((r = 0)::int + (r = 49)::int + (c = 0)::int + (c = 49)::int) / 200e0 AS border_frac FROM s GROUP BY 1, 2)
 SELECT raster_id, segment, round(area_frac, 9) AS area_frac, round(border_frac, 9) AS border_frac FROM f WHERE area_frac BETWEEN 0.004 AND 0.3 AND border_frac <= 0.5""")
@@ -546,6 +561,32 @@ def plant_totals(spark: SparkSession, sf: str) -> DataFrame:
 _RING_KINDS = ((((0, 0), (4, 0), (4, 3), (0, 3)), True, 12.0), (((0, 0), (4, 4), (4, 0), (0, 4)), False, 4.0), (((0, 0), (4, 0), (8, 0), (4, 0), (4, 4), (0, 4)), False, 16.0), (((0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)), False, 8.0))
 
 
+# Concave fields: a U whose notch comes from the north, sizes by supplier, and a pond in its base; units of 0.0001 degrees at the equator.
+_FIELDS_SQL = "u AS (SELECT s_suppkey::bigint AS boundary_id, 60 + s_suppkey % 7 * 4 AS w, 50 + s_suppkey % 5 * 6 AS h, 14 + s_suppkey % 3 * 6 AS nx, 8 + s_suppkey % 4 * 4 AS nw, 22 + s_suppkey % 6 * 3 AS ny FROM supplier)"
+
+
+def _fields(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    u = I.table(spark, sf, "supplier").select(k.cast("long").alias("boundary_id"), (60 + k % 7 * 4).alias("w"), (50 + k % 5 * 6).alias("h"), (14 + k % 3 * 6).alias("nx"), (8 + k % 4 * 4).alias("nw"), (22 + k % 6 * 3).alias("ny"))
+    ring = lambda *points: F.array(*[F.struct((F.lit(x) * 0.0001).alias("x"), (F.lit(y) * 0.0001).alias("y")) for x, y in points])
+    w, h, nx, nw, ny = (F.col(c) for c in ("w", "h", "nx", "nw", "ny"))
+    outer = ring((0, 0), (w, 0), (w, h), (nx + nw, h), (nx + nw, ny), (nx, ny), (nx, h), (0, h))
+    return u.select("boundary_id", outer.alias("ring"), F.array(ring((10, 5), (30, 5), (30, 12), (10, 12))).alias("holes"))
+
+
+# Of a cell, the notch and the pond are taken; two parts where the notch crosses the whole cell's height between its sides.
+@query("grid_parts", f"""WITH {_FIELDS_SQL}, c AS (SELECT u.*, r, c, c * w / 3e0 AS x0, (c + 1) * w / 3e0 AS x1, r * h / 4e0 AS y0, (r + 1) * h / 4e0 AS y1 FROM u, range(4) a(r), range(3) b(c)),
+o AS (SELECT *, greatest(0, least(x1, nx + nw) - greatest(x0, nx)) AS ox, greatest(0, least(y1, h) - greatest(y0, ny)) AS oy, greatest(0, least(x1, 30) - greatest(x0, 10)) * greatest(0, least(y1, 12) - greatest(y0, 5)) AS pond FROM c),
+k AS (SELECT *, ox > 0 AND nx > x0 AND nx + nw < x1 AND oy >= y1 - y0 - 1e-9 AS cut, ox >= x1 - x0 - 1e-9 AND oy >= y1 - y0 - 1e-9 AS gone, 10 > x0 AND 30 < x1 AND 5 > y0 AND 12 < y1 AS whole FROM o),
+m AS (SELECT *, y1 < ny AND y0 < 5 AND y1 > 12 AND x0 > 10 AND x1 < 30 AS split FROM k)
+SELECT boundary_id, r::int AS row_idx, c::int AS col_idx, CASE WHEN cut OR split THEN 2 ELSE 1 END AS parts, CASE WHEN whole THEN 1 ELSE 0 END AS ponds, round((x1 - x0) * (y1 - y0) - ox * oy - pond, 4) AS area FROM m WHERE NOT gone""")
+def grid_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts, whole ponds and area of the grid cells of concave fields with a pond, in squares of 0.0001 degrees."""
+    cells = plots.grid_plots(_fields(spark, sf), 4, 3)
+    total = lambda of, start: F.aggregate(F.transform("polygons", of), F.lit(start), lambda s, v: s + v)
+    return cells.select("boundary_id", "row_idx", "col_idx", F.size("polygons").alias("parts"), total(lambda p: F.size(p["holes"]), 0).alias("ponds"), F.round(total(outlines.covered, 0.0) * 1e8, 4).alias("area"))
+
+
 @query("ring_repair", "SELECT n_nationkey::bigint AS id, n_nationkey % 4 = 0 AS valid, CASE n_nationkey % 4 WHEN 0 THEN 12e0 WHEN 1 THEN 4e0 WHEN 2 THEN 16e0 ELSE 8e0 END AS area, CASE n_nationkey % 4 WHEN 3 THEN 2 ELSE 1 END AS parts FROM nation")
 def ring_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Validity of rings, and the area and number of their repaired parts."""
@@ -557,13 +598,14 @@ def ring_repair(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "valid", F.round(area, 9).alias("area"), F.size("fixed").alias("parts"))
 
 
-@query("clip_parts", "SELECT n_nationkey::bigint AS id, CASE WHEN n_nationkey % 5 < 2 THEN 1 ELSE 2 END AS parts, CASE WHEN n_nationkey % 5 < 2 THEN 6e0 * (2 - n_nationkey % 5) + 16 ELSE 4e0 * (6 - n_nationkey % 5) END AS area FROM nation")
+@query("clip_parts", f"WITH {_FIELDS_SQL}, b AS (SELECT u.*, s AS low, ny + (h - ny) * s / 5e0 AS y FROM u, range(5) a(s)) SELECT boundary_id, low::int AS low, 2 AS parts, round((w - nw) * (h - y), 6) AS area FROM b WHERE low > 0 UNION ALL SELECT boundary_id, 0, 1, round(w * 1e0 * (ny - 1) + (w - nw) * 1e0 * (h - ny), 6) FROM u")
 def clip_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """A U of 6 x 6 with a notch of 2 x 4 from above, clipped from below at a height of 0 to 4: below 2 it stays in one part."""
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6))])
-    low = (F.col("n_nationkey") % 5).cast("double")
-    rows = I.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), rings.parts_in_box(ring, F.lit(-1.0), low, F.lit(7.0), F.lit(7.0)).alias("p"))
-    return rows.select("id", F.size("p").alias("parts"), F.round(F.aggregate(F.transform("p", G.ring_area), F.lit(0.0), lambda s, v: s + v), 9).alias("area"))
+    """Fields in the form of a U, clipped from below at five heights: above the base they fall into two parts."""
+    low = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("low")
+    fields = _fields(spark, sf).select("boundary_id", "ring", low, (F.col("ring")[4]["y"] * 1e4).alias("ny"), (F.col("ring")[2]["y"] * 1e4).alias("h"))
+    at = F.when(F.col("low") == 0, F.lit(1.0)).otherwise(F.col("ny") + (F.col("h") - F.col("ny")) * F.col("low") / 5) * 1e-4
+    rows = fields.select("boundary_id", "low", rings.parts_in_box(F.col("ring"), F.lit(-1.0), at, F.lit(1.0), F.lit(1.0)).alias("p"))
+    return rows.select("boundary_id", "low", F.size("p").alias("parts"), F.round(F.aggregate(F.transform("p", G.ring_area), F.lit(0.0), lambda s, v: s + v) * 1e8, 6).alias("area"))
 
 
 @query("scene_search_polygon", "SELECT o_orderkey AS scene_id, o_orderdate AS date, (o_orderkey * 37 % 101)::double AS cloud_cover, o_orderpriority AS platform FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31' AND o_orderkey * 37 % 101 < 30 AND o_orderkey % 20 + o_orderkey % 10 <= 7.5 AND o_orderkey % 20 <= 7.5 AND o_orderkey % 10 <= 7.5")
