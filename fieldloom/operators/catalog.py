@@ -21,8 +21,8 @@ from fieldloom.operators import rings
 
 
 def current(log: DataFrame, key: list[str], version: str = "version", deleted: str = "deleted") -> DataFrame:
-    """The last version of each key, without deleted ones."""
-    last = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version)))
+    """The last version of each key, without deleted ones; of one version's rows of a key, one that isn't deleted counts."""
+    last = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version), deleted))
     return log.withColumn("_k", last).where(f"_k = 1 AND NOT {deleted}").drop("_k", version, deleted)
 
 
@@ -33,11 +33,6 @@ def replaced(now: DataFrame, new: DataFrame, group: str, version: int) -> DataFr
     return gone.unionByName(put)
 
 
-def append(log_path: str, rows: DataFrame, version: int, deleted: bool = False) -> None:
-    """Append ``rows`` to the change log at ``log_path`` as one version: inserts and edits, or deletes."""
-    rows.withColumns({"version": F.lit(version), "deleted": F.lit(deleted)}).write.mode("append").parquet(log_path)
-
-
 def existing(wanted: DataFrame, now: DataFrame, key: list[str]) -> DataFrame:
     """The rows of ``wanted`` whose key is in the current table."""
     return wanted.join(now.select(*key).distinct(), key, "left_semi")

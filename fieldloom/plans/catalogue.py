@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from fieldloom.operators import catalog, components, outlines, plots, rings, vision, zonal, zones
+from fieldloom.operators import catalog, changelog, components, outlines, plots, rings, vision, zonal, zones
 from fieldloom.plans import formats
 from fieldloom.plans import inputs as I
 from fieldloom.plans.inputs import BOXES_SQL, DIAMONDS_SQL, PIXELS_SQL, PLOTS_SQL, RGB_SQL
@@ -618,11 +618,29 @@ def scene_search_polygon(spark: SparkSession, sf: str) -> DataFrame:
 @query("append_log", f"WITH {PLOTS_SQL} SELECT plot_key, boundary_id, CASE WHEN plot_key % 3 = 0 THEN area_m2 + 1 ELSE area_m2 END AS area_m2 FROM plots WHERE plot_key % 7 != 0")
 def append_log(spark: SparkSession, sf: str) -> DataFrame:
     """Inserts, edits and deletes appended to a change log, and the table that it gives."""
-    path, base = scratch(spark, "plot-log"), I.plots(spark, sf).select("plot_key", "boundary_id", "area_m2")
-    catalog.append(path, base, 1)
-    catalog.append(path, base.where("plot_key % 3 = 0").withColumn("area_m2", F.col("area_m2") + 1), 2)
-    catalog.append(path, base.where("plot_key % 7 = 0"), 3, deleted=True)
-    return catalog.current(spark.read.parquet(path), ["plot_key"])
+    base = I.plots(spark, sf).select("plot_key", "boundary_id", "area_m2")
+    log = changelog.ChangeLog(spark, scratch(spark, "plot-log"), ["plot_key"])
+    log.commit(base)
+    log.commit(base.where("plot_key % 3 = 0").withColumn("area_m2", F.col("area_m2") + 1), base.where("plot_key % 7 = 0 AND plot_key % 3 != 0"))
+    log.commit(gone=base.where("plot_key % 21 = 0"))
+    return log.table()
+
+
+@query("replaced_in_one_commit", f"WITH {PLOTS_SQL} SELECT plot_key, boundary_id, area_m2 FROM plots WHERE boundary_id NOT IN (3, 4) UNION ALL SELECT plot_key, boundary_id, area_m2 * 2 FROM plots WHERE boundary_id = 3 AND plot_key % 2 = 0 UNION ALL SELECT plot_key + 1000000, boundary_id, area_m2 FROM plots WHERE boundary_id = 3")
+def replaced_in_one_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """A field's plots replaced by fewer and new ones, another's by none, a version each; a late writer changes nothing."""
+    base = I.plots(spark, sf).select("plot_key", "boundary_id", "area_m2")
+    log = changelog.ChangeLog(spark, scratch(spark, "plot-log"), ["plot_key"])
+    first = log.commit(base)
+    kept = base.where("boundary_id = 3 AND plot_key % 2 = 0").withColumn("area_m2", F.col("area_m2") * 2)
+    added = base.where("boundary_id = 3").withColumn("plot_key", F.col("plot_key") + 1_000_000)
+    log.replace(kept.unionByName(added), "boundary_id", 3)
+    log.replace(base.where("false"), "boundary_id", 4)
+    try:
+        log.commit(gone=base, after=first)
+    except changelog.Conflict:
+        return log.table()
+    raise AssertionError("a late writer must not commit")
 
 
 @query("existing_plots", f"WITH {PLOTS_SQL} SELECT DISTINCT c_custkey + 5 AS plot_key FROM customer WHERE c_custkey + 5 IN (SELECT plot_key FROM plots)")
