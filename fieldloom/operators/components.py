@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.storage import maybe_broadcast, written
 
@@ -13,6 +16,8 @@ from fieldloom.storage import maybe_broadcast, written
 AT_ONCE = 1
 #: Columns of a stretch by which runs of neighbouring rows meet.
 STRETCH = 64
+#: Rows of a band whose runs one task joins up.
+BAND = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,19 +52,85 @@ def runs(mask: DataFrame, group: str, value: str | None = None) -> DataFrame:
     return found.withColumn("run", F.struct(group, "px_row", "c0"))
 
 
-def label_regions(mask: DataFrame, group: str = "boundary_id", value: str | None = None, diagonal: bool = False) -> DataFrame:
-    """``mask`` pixels with ``region``: the least pixel (row, col) of their connected region, 4- or 8-connected.
+def local_roots(rows: np.ndarray, c0: np.ndarray, c1: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """For runs sorted by row and column, the first run of each one's connected region among them."""
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    starts = np.append(np.flatnonzero(np.diff(rows, prepend=-2)), len(rows)).tolist()
+    row_at, low, high, kind = rows.tolist(), c0.tolist(), c1.tolist(), value.tolist()
+    for one, two, end in zip(starts, starts[1:], starts[2:]):
+        if row_at[two] != row_at[one] + 1:
+            continue
+        j = two
+        for i in range(one, two):
+            while j < end and high[j] + reach < low[i]:
+                j += 1
+            k = j
+            while k < end and low[k] <= high[i] + reach:
+                if kind[i] == kind[k]:
+                    x, y = find(i), find(k)
+                    root[max(x, y)] = min(x, y)
+                k += 1
+    return np.array([find(i) for i in range(len(root))], np.int64)
+
+
+def _banded(reach: int):
+    """The root (px_row, c0) of each run of a band of rows, in the order of the runs."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("px_row", "integer").add("c0", "integer")))
+    def roots(bands: pa.Array) -> pa.Array:
+        size = np.diff(bands.offsets.to_numpy())
+        flat = bands.flatten()
+        rows, c0, c1 = (flat.field(n).to_numpy() for n in ("px_row", "c0", "c1"))
+        value = flat.field("value").dictionary_encode().indices.fill_null(-1).to_numpy()
+        at = np.empty(len(rows), np.int64)
+        for end, n in zip(np.cumsum(size), size):
+            at[end - n : end] = local_roots(rows[end - n : end], c0[end - n : end], c1[end - n : end], value[end - n : end], reach) + (end - n)
+        found = pa.StructArray.from_arrays([pa.array(rows[at], pa.int32()), pa.array(c0[at], pa.int32())], ["px_row", "c0"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), found)
+
+    return roots
 
-    Runs, not pixels, are the nodes; the runs of adjacent rows are joined by row and stretch of columns where they overlap.
+
+def label_runs(mask: DataFrame, group: str = "boundary_id", value: str | None = None, diagonal: bool = False) -> DataFrame:
+    """Runs (group, value, px_row, c0, c1) of ``mask`` with ``region``: the least pixel (row, col) of their connected region, 4- or 8-connected.
+
+    Runs, not pixels, are the nodes. Bands of BAND rows are joined up first, each in one task, so only what crosses from band to band
+    is left for the rounds of ``components``: their number follows the bands that a region winds through, not its length in pixels.
+    The runs at the bands' edges are joined by stretch of columns where they overlap. The mask is computed once.
     """
-    table = written(runs(mask, group, value), "cc-runs")
     reach = 1 if diagonal else 0
-    # runs meet by stretches of columns, so a row of many runs isn't compared with all of the next
+    found = runs(mask, group, value).withColumn("_band", F.floor(F.col("px_row") / BAND).cast("int"))
+    bands = found.groupBy(group, "_band").agg(F.array_sort(F.collect_list(F.struct("px_row", "c0", "c1", "value"))).alias("_runs"))
+    both = F.explode(F.arrays_zip(F.col("_runs"), _banded(reach)(F.col("_runs")).alias("_roots"))).alias("z")
+    rooted = bands.select(group, both).select(group, "z._runs.*", F.struct(group, "z._roots.px_row", "z._roots.c0").alias("root"))
+    table = written(rooted, "cc-runs")
     stretch = lambda low, high: F.explode(F.sequence(F.floor(low / STRETCH).cast("int"), F.floor(high / STRETCH).cast("int")))
-    up = table.select(F.col("run").alias("a"), group, "value", "px_row", F.col("c0").alias("u0"), F.col("c1").alias("u1")).withColumn("_s", stretch(F.col("u0") - reach, F.col("u1") + reach))
-    down = table.select(F.col("run").alias("b"), group, "value", (F.col("px_row") - 1).alias("px_row"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).withColumn("_s", stretch(F.col("d0"), F.col("d1")))
-    edges = up.join(down, [group, "value", "px_row", "_s"]).where((F.col("u0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("u1") + reach)).select("a", "b")
-    labels = components(edges)
-    named = table.join(labels.withColumnRenamed("node", "run"), "run", "left").withColumn("region", F.coalesce("component", "run"))
-    pixels = named.select(group, "px_row", F.explode(F.sequence("c0", "c1")).alias("px_col"), F.struct(F.col("region.px_row").alias("row"), F.col("region.c0").alias("col")).alias("region"))
-    return mask.join(pixels, [group, "px_row", "px_col"])
+    last, first = table.where(F.pmod("px_row", F.lit(BAND)) == BAND - 1), table.where(F.pmod("px_row", F.lit(BAND)) == 0)
+    up = last.select(F.col("root").alias("a"), group, "value", "px_row", F.col("c0").alias("u0"), F.col("c1").alias("u1")).withColumn("_s", stretch(F.col("u0") - reach, F.col("u1") + reach))
+    down = first.select(F.col("root").alias("b"), group, "value", (F.col("px_row") - 1).alias("px_row"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).withColumn("_s", stretch(F.col("d0"), F.col("d1")))
+    edges = up.join(down, [group, "value", "px_row", "_s"]).where((F.col("u0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("u1") + reach)).select("a", "b").distinct()
+    edges = written(edges, "cc-crossing")
+    named = table.withColumn("_least", F.col("root"))
+    if not edges.isEmpty():
+        labels = maybe_broadcast(components(edges).withColumnRenamed("node", "root"))
+        named = table.join(labels, "root", "left").withColumn("_least", F.coalesce("component", "root"))
+    return named.select(group, "value", "px_row", "c0", "c1", F.struct(F.col("_least.px_row").alias("row"), F.col("_least.c0").alias("col")).alias("region"))
+
+
+def label_regions(mask: DataFrame, group: str = "boundary_id", value: str | None = None, diagonal: bool = False) -> DataFrame:
+    """``mask`` pixels with ``region``: the least pixel (row, col) of their connected region, 4- or 8-connected.
+
+    Pixels come out of the runs; only further columns of ``mask`` need a join with it.
+    """
+    named = label_runs(mask, group, value, diagonal)
+    place = [group, "px_row", "px_col"]
+    pixels = named.select(group, "px_row", F.explode(F.sequence("c0", "c1")).alias("px_col"), F.col("value").alias(value or "_value"), "region")
+    if set(mask.columns) <= {*place, value}:
+        return pixels.select(*mask.columns, "region")
+    return mask.join(pixels.select(*place, "region"), place)

@@ -8,15 +8,6 @@ import numpy as np
 import pandas as pd
 
 
-def dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Boolean array of the group's bounding box, and each row's position in it."""
-    r, c = pdf["px_row"].to_numpy(), pdf["px_col"].to_numpy()
-    r, c = r - r.min(), c - c.min()
-    out = np.zeros((r.max() + 1, c.max() + 1), bool)
-    out[r, c] = pdf[value].fillna(False).to_numpy(bool)
-    return out, r, c
-
-
 def squared_distance(mask: np.ndarray) -> np.ndarray:
     """Squared distance to the nearest False pixel: per column by two sweeps, per row by the lower envelope of parabolas."""
     h, w = mask.shape
@@ -81,16 +72,41 @@ def row_envelopes(sizes: np.ndarray, columns: np.ndarray, up: np.ndarray) -> np.
 
 
 def _windowed_max(a: np.ndarray, reach: int) -> np.ndarray:
-    for axis in (0, 1):
-        b = a.copy()
-        for k in range(1, reach + 1):
-            lead, lag = [slice(None)] * 2, [slice(None)] * 2
-            lead[axis], lag[axis] = slice(k, None), slice(None, -k)
-            if a.shape[axis] > k:
-                b[tuple(lag)] = np.maximum(b[tuple(lag)], a[tuple(lead)])
-                b[tuple(lead)] = np.maximum(b[tuple(lead)], a[tuple(lag)])
-        a = b
-    return a
+    return _lines(_lines(a, (0, reach), np.maximum), (reach, 0), np.maximum)
+
+
+def stencil(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, steps: list[tuple[str, int]]) -> np.ndarray:
+    """``values`` of pixels after steps of largest (max) or least (min) values in squares; NaN counts nowhere."""
+    r, c = rows - rows.min(), cols - cols.min()
+    for kind, reach in steps:
+        of, none = (np.maximum, -np.inf) if kind == "max" else (np.minimum, np.inf)
+        # along rows, then along columns: what isn't there takes no part in either
+        for reach_ in ((0, reach), (reach, 0)):
+            a = np.full((r.max() + 1, c.max() + 1), none)
+            a[r, c] = np.where(np.isnan(values), none, values)
+            values = _lines(a, reach_, of)[r, c]
+            values = np.where(np.isinf(values), np.nan, values)
+    return values
+
+
+def _lines(a: np.ndarray, reach: tuple[int, int], of) -> np.ndarray:
+    """``of`` over stretches along one axis."""
+    axis = 0 if reach[0] else 1
+    most, n = min(reach[axis], a.shape[axis] - 1), a.shape[axis]
+    if most <= 0:
+        return a
+    part = lambda low, high: tuple(slice(low, high) if k == axis else slice(None) for k in (0, 1))
+    out = a.copy()
+    for way in (1, -1):
+        done, left, span = a.copy(), most, 1  # of the next ``span`` places on one side
+        while left:
+            step = min(span, left)
+            to, of_ = (part(0, n - step), part(step, n)) if way == 1 else (part(step, n), part(0, n - step))
+            grown = done.copy()
+            grown[to] = of(done[to], done[of_])
+            done, span, left = grown, span + step, left - step
+        out = of(out, done)
+    return out
 
 
 def flood(d: np.ndarray, peak: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -275,9 +291,12 @@ def least_rectangle(points: np.ndarray) -> float:
 
 
 def contour_row(pdf: pd.DataFrame, group: str, simple: bool = True) -> pd.DataFrame:
-    """The outer contour of one region; ``simple``: with fewer points."""
-    r0, c0 = int(pdf["px_row"].min()), int(pdf["px_col"].min())
-    mask, _, _ = dense(pdf.assign(_v=True), "_v")
+    """The outer contour of one region, given by its runs (px_row, c0, c1); ``simple``: with fewer points."""
+    rows, low, high = (pdf[n].to_numpy() for n in ("px_row", "c0", "c1"))
+    r0, c0 = int(rows.min()), int(low.min())
+    mask = np.zeros((rows.max() - r0 + 1, high.max() - c0 + 1), bool)
+    for r, a, b in zip(rows - r0, low - c0, high - c0):
+        mask[r, a : b + 1] = True
     path = np.array(outer_contour(mask), float)
     area = shoelace(path) if len(path) > 2 else 0.0
     perimeter = float(np.hypot(*(np.roll(path, -1, axis=0) - path).T).sum())

@@ -1,4 +1,4 @@
-"""Neighbourhood operators on pixel tables (group, px_row, px_col, ...): windows along rows, then along columns.
+"""Neighbourhood operators on pixel tables (group, px_row, px_col, ...), in tiles that overlap as far as they reach.
 
 Steps that need an ordered sweep run as numpy kernels over rows (distance transform) or connected regions (watershed,
 contours), which are independent, so they spread over the cluster.
@@ -19,38 +19,66 @@ from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
 from fieldloom.storage import maybe_broadcast, written
 from . import kernels, outlines, plots, ranks, rings
-from .components import label_regions
+from .components import label_regions, label_runs
 
 
-def _along(df: DataFrame, group: str, value: str, reach: int, agg) -> DataFrame:
-    """``agg`` of ``value`` over a square of side 2 * reach + 1; what lies outside the raster is left out."""
-    rows = W.partitionBy(group, "px_row").orderBy("px_col").rangeBetween(-reach, reach)
-    cols = W.partitionBy(group, "px_col").orderBy("px_row").rangeBetween(-reach, reach)
-    return df.withColumn(value, agg(value).over(rows)).withColumn(value, agg(value).over(cols))
+#: Side of the tiles in which neighbourhoods are computed.
+TILE = 256
+
+
+def stencil(df: DataFrame, group: str, value: str, steps: list[tuple[str, int]]) -> DataFrame:
+    """``df`` with ``value`` after the ``steps`` (max or min, reach) over squares of side 2 * reach + 1, one after another.
+
+    Pixels are dealt into tiles once, those near an edge into the neighbouring tiles too, as far as all steps reach; so any number of
+    steps costs one shuffle, and a task holds a tile. What lies outside the raster, missing pixels and NULLs are left out.
+    """
+    halo = sum(reach for _, reach in steps)
+    side = max(TILE, 2 * halo)
+    tiles = lambda at: F.explode(F.sequence(F.floor((F.col(at) - halo) / side).cast("int"), F.floor((F.col(at) + halo) / side).cast("int")))
+    dealt = df.withColumn("_tr", tiles("px_row")).withColumn("_tc", tiles("px_col"))
+
+    def one(t: pa.Table) -> pa.Table:
+        r, c = t.column("px_row").to_numpy(), t.column("px_col").to_numpy()
+        core = (r // side == t.column("_tr")[0].as_py()) & (c // side == t.column("_tc")[0].as_py())
+        kind = t.schema.field(value).type
+        after = kernels.stencil(r, c, t.column(value).cast(pa.float64()).to_numpy(), steps)[core]
+        t = t.drop_columns(["_tr", "_tc"]).filter(pa.array(core))
+        return t.set_column(t.schema.get_field_index(value), value, pa.array(np.nan_to_num(after), pa.float64(), mask=np.isnan(after)).cast(kind))
+
+    return dealt.groupBy(group, "_tr", "_tc").applyInArrow(one, df.schema)
 
 
 def dilate(df: DataFrame, value: str, size: int = 3, group: str = "boundary_id") -> DataFrame:
-    return _along(df, group, value, size // 2, F.max)
+    return stencil(df, group, value, [("max", size // 2)])
 
 
 def erode(df: DataFrame, value: str, size: int = 3, group: str = "boundary_id") -> DataFrame:
-    return _along(df, group, value, size // 2, F.min)
+    return stencil(df, group, value, [("min", size // 2)])
+
+
+def _open(size: int, times: int) -> list[tuple[str, int]]:
+    """n passes of a square equal one pass of a square n times as far."""
+    return [("min", size // 2 * times), ("max", size // 2 * times)]
 
 
 def morph_open(df: DataFrame, value: str, size: int = 3, times: int = 1, group: str = "boundary_id") -> DataFrame:
-    """``times`` erosions, then as many dilations; n passes of a square equal one pass of a square n times as far."""
-    side = 2 * (size // 2) * times + 1
-    return dilate(erode(df, value, side, group), value, side, group)
+    """``times`` erosions, then as many dilations."""
+    return stencil(df, group, value, _open(size, times))
 
 
 def morph_close(df: DataFrame, value: str, size: int = 3, times: int = 1, group: str = "boundary_id") -> DataFrame:
-    side = 2 * (size // 2) * times + 1
-    return erode(dilate(df, value, side, group), value, side, group)
+    return stencil(df, group, value, _open(size, times)[::-1])
+
+
+def morph_close_open(df: DataFrame, value: str, close: int, close_times: int, opened: int, group: str = "boundary_id") -> DataFrame:
+    """A closing, then an opening of one pass; a size of 0 leaves its step out."""
+    steps = (_open(close, close_times)[::-1] if close else []) + (_open(opened, 1) if opened else [])
+    return stencil(df, group, value, steps) if steps else df
 
 
 def local_maxima(df: DataFrame, value: str, reach: int = 8, group: str = "boundary_id") -> DataFrame:
     """``df`` with ``peak``: positive values that no value within ``reach`` in both axes exceeds; plateaus are peaks whole."""
-    top = _along(df.withColumn("_top", F.col(value)), group, "_top", reach, F.max)
+    top = stencil(df.withColumn("_top", F.col(value)), group, "_top", [("max", reach)])
     return top.withColumn("peak", (F.col(value) > 0) & (F.col(value) == F.col("_top"))).drop("_top")
 
 
@@ -221,18 +249,18 @@ def field_boundaries(mask: DataFrame, group: str = "boundary_id", value: str = "
     group's candidates from 0 by falling area, then from the north, then from the west.
     """
     m = mask.select(group, "px_row", "px_col", F.col(value).cast("int").alias("_v"))
-    if close:
-        m = morph_close(m, "_v", close, close_times, group)
-    if opened:
-        m = morph_open(m, "_v", opened, 1, group)
-    regions = label_regions(m.where("_v = 1").drop("_v"), group, diagonal=True)
-    kind = regions.schema[group].dataType.simpleString()
+    m = morph_close_open(m, "_v", close, close_times, opened, group)
+    labelled = written(label_runs(m.where("_v = 1").drop("_v"), group, diagonal=True).select(group, "px_row", "c0", "c1", F.col("region.row").alias("row0"), F.col("region.col").alias("col0")), "contour-runs")
+    # a contour's area is at most that of the box through its outermost pixel centres
+    box = labelled.groupBy(group, "row0", "col0").agg(((F.max("px_row") - F.min("px_row")) * (F.max("c1") - F.min("c0"))).alias("_box"))
+    large = maybe_broadcast(box.where(F.col("_box") >= least).select(group, "row0", "col0"))
+    flat = labelled.join(large, [group, "row0", "col0"], "left_semi")
+    kind = flat.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return kernels.contour_row(pdf, group)
 
     schema = f"{group} {kind}, row0 int, col0 int, ring array<struct<x:double,y:double>>, area_px double, confidence double"
-    flat = regions.select(group, "px_row", "px_col", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
     found = flat.groupBy(group, "row0", "col0").applyInPandas(one, schema).where((F.col("area_px") >= least) & (F.size("ring") >= 3))
     whole = found.withColumn("_ok", rings.valid(F.col("ring")))
     whole = whole.withColumn("ring", F.when(F.col("_ok"), F.col("ring")).otherwise(F.try_element_at(rings.repair(F.col("ring")), F.lit(1)))).where("ring IS NOT NULL").drop("_ok")
@@ -281,15 +309,15 @@ def plots_from_segments(segments: DataFrame, shapes: DataFrame, rasters: DataFra
     coordinates. Corners, not centres, are carried back through the original's affine.
     """
     kept = segment_filter(segments, shapes, least, most, border).select("raster_id", "segment")
-    flat = segments.join(kept, ["raster_id", "segment"]).withColumn("seg", F.struct("raster_id", "segment"))
-    regions = label_regions(flat.select("seg", "px_row", "px_col"), "seg", diagonal=True)
+    flat = segments.join(maybe_broadcast(kept), ["raster_id", "segment"]).withColumn("seg", F.struct("raster_id", "segment"))
+    regions = label_runs(flat.select("seg", "px_row", "px_col"), "seg", diagonal=True)
     schema = "raster_id long, segment long, ring array<struct<x:double,y:double>>, area_px double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         row = kernels.contour_row(pdf, "raster_id", simple=False)
         return pd.DataFrame({"raster_id": row["raster_id"], "segment": [pdf["segment"].iloc[0]], "ring": row["ring"], "area_px": row["area_px"]})
 
-    pieces = regions.select(F.col("seg.raster_id").cast("long").alias("raster_id"), F.col("seg.segment").cast("long").alias("segment"), "px_row", "px_col", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
+    pieces = regions.select(F.col("seg.raster_id").cast("long").alias("raster_id"), F.col("seg.segment").cast("long").alias("segment"), "px_row", "c0", "c1", F.col("region.row").alias("row0"), F.col("region.col").alias("col0"))
     contours = pieces.groupBy("raster_id", "segment", "row0", "col0").applyInPandas(one, schema)
     largest = contours.groupBy("raster_id", "segment").agg(F.max_by("ring", "area_px").alias("ring")).where(F.size("ring") >= 3)
     largest = largest.withColumn("ring", F.try_element_at(rings.repair(F.col("ring")), F.lit(1))).where("ring IS NOT NULL")

@@ -346,7 +346,7 @@ def morph_open(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("morph_close_open", f"WITH {PIXELS_SQL}, {_MASK}, {_near('d1', 'm', 'max', 4)}, {_near('e1', 'd1', 'min', 4)}, {_near('e2', 'e1', 'min', 2)}, {_near('d2', 'e2', 'max', 2)} SELECT * FROM d2")
 def morph_close_open(spark: SparkSession, sf: str) -> DataFrame:
-    return vision.morph_open(vision.morph_close(_vegetation(spark, sf), "v", 5, 2), "v", 5)
+    return vision.morph_close_open(_vegetation(spark, sf), "v", 5, 2, 5)
 
 
 @query("local_maxima", f"WITH {PIXELS_SQL}, m AS (SELECT boundary_id, px_row, px_col, nir AS v FROM pixels), {_near('t', 'm', 'max', 8)} SELECT m.boundary_id, m.px_row, m.px_col, m.v > 0 AND m.v = t.v AS peak FROM m JOIN t USING (boundary_id, px_row, px_col)")
