@@ -181,12 +181,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int
     if last is None:
         return Model(np.zeros(WIDTH), 0.0, accuracies)
     sample = seen.select(order.alias("place"), _pattern("text").alias("pattern"), "text").where(F.col("place") <= last)
-    got = sample.dropDuplicates(["place"]).select("place", "pattern", _features("text").alias("x")).orderBy("place").toPandas()  # at most ``rows`` rows
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH)
-    row, column = np.nonzero(x)
-    sparse = linear.Rows([], None, WIDTH)
-    sparse.n, sparse.row, sparse.column, sparse.value = len(x), row, column, x[row, column].astype(float)
-    w, b = linear.fit(sparse, np.array([posterior[p] for p in got["pattern"]]), L2, steps=250)
+    got = sample.dropDuplicates(["place"]).select("place", "pattern", _features("text").alias("x")).orderBy("place").toArrow()  # at most ``rows`` rows
+    sparse, parts = linear.Rows([], None, WIDTH), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for chunk in got["x"].chunks:  # dense rows are never held all at once
+        x = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(len(chunk), WIDTH)
+        row, column = np.nonzero(x)
+        parts.append((row + sparse.n, column, x[row, column].astype(float)))
+        sparse.n += len(x)
+    sparse.row, sparse.column, sparse.value = map(np.concatenate, zip(*parts))
+    target = np.array([posterior[p] for p in got["pattern"].to_pylist()])
+    del got, parts
+    w, b = linear.fit(sparse, target, L2, steps=250)
     return Model(w, b, accuracies, share, off)
 
 
