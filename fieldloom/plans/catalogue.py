@@ -61,9 +61,17 @@ def index_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return zonal.by_key(long.select("boundary_id", "i.*"), F.col("value"), "boundary_id", "name").withColumns(six("mean", "min", "max", "std"))
 
 
-@query("index_registry", "SELECT * FROM (VALUES ('ndvi', 'NDVI (Vegetation)', ['red', 'nir'], -0.2e0, 0.9e0), ('ndre', 'NDRE (Crop Vigor / Nitrogen)', ['rededge', 'nir'], -0.1e0, 0.6e0), ('ndwi', 'NDWI (Surface Water)', ['green', 'nir'], -0.3e0, 0.6e0), ('ndmi', 'NDMI (Crop Water Stress)', ['nir', 'swir1'], -0.4e0, 0.5e0), ('savi', 'SAVI (Soil-Adjusted Vegetation)', ['red', 'nir'], -0.2e0, 0.7e0), ('evi', 'EVI (Enhanced Vegetation)', ['blue', 'red', 'nir'], -0.2e0, 0.8e0)) t(name, label, bands, low, high)")
+_REGISTRY = "(VALUES ('ndvi', 'NDVI (Vegetation)', ['red', 'nir'], -0.2e0, 0.9e0), ('ndre', 'NDRE (Crop Vigor / Nitrogen)', ['rededge', 'nir'], -0.1e0, 0.6e0), ('ndwi', 'NDWI (Surface Water)', ['green', 'nir'], -0.3e0, 0.6e0), ('ndmi', 'NDMI (Crop Water Stress)', ['nir', 'swir1'], -0.4e0, 0.5e0), ('savi', 'SAVI (Soil-Adjusted Vegetation)', ['red', 'nir'], -0.2e0, 0.7e0), ('evi', 'EVI (Enhanced Vegetation)', ['blue', 'red', 'nir'], -0.2e0, 0.8e0)) t(name, label, bands, low, high)"
+_EVERY_INDEX = f"v AS (SELECT boundary_id, unnest(['ndvi', 'ndre', 'ndwi', 'ndmi', 'savi', 'evi']) AS name, unnest([{', '.join(INDEX_SQL[n] for n in ('ndvi', 'ndre', 'ndwi', 'ndmi', 'savi', 'evi'))}]) AS value FROM pixels)"
+
+
+@query("index_registry", f"WITH {PIXELS_SQL}, {_EVERY_INDEX} SELECT t.name, label, bands, low, high, count(value) AS pixel_count, count(*) FILTER (value BETWEEN low AND high) AS in_range FROM {_REGISTRY} JOIN v ON v.name = t.name GROUP BY ALL")
 def index_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return spectral.registry(spark).where(F.col("name").isin(*INDEX_SQL))
+    """The registered indices, and how many of the rasters' values lie in each one's range."""
+    long = I.pixels(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), spectral.index_column(n).alias("value")) for n in INDEX_SQL])).alias("i")).select("i.*")
+    known = spectral.registry(spark).where(F.col("name").isin(*INDEX_SQL))
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    return long.join(F.broadcast(known), "name").groupBy("name", "label", "bands", "low", "high").agg(F.count("value").alias("pixel_count"), F.count_if(inside).alias("in_range"))  # the registry is fixed and short
 
 
 def _channel(k: int) -> str:
@@ -397,9 +405,11 @@ def zone_classify(spark: SparkSession, sf: str) -> DataFrame:
     return _zoned(spark, sf).select(*PIX, "zone")
 
 
-@query("zone_rates", "SELECT n, z AS zone, CASE WHEN n = 3 THEN ['High (low vigor -> more input)', 'Standard', 'Low (already vigorous)'][z + 1] WHEN n = 5 THEN ['Very high', 'High', 'Standard', 'Low', 'Very low'][z + 1] ELSE 'Zone ' || z END AS suggested_rate FROM (VALUES (3), (4), (5)) t(n), (VALUES (0), (1), (2), (3), (4)) u(z) WHERE z < n")
+@query("zone_rates", "WITH e AS (SELECT n, (event_id % n)::int AS zone FROM events, (VALUES (3), (4), (5)) t(n)) SELECT n, zone, count(*) AS pixel_count, CASE WHEN n = 3 THEN ['High (low vigor -> more input)', 'Standard', 'Low (already vigorous)'][zone + 1] WHEN n = 5 THEN ['Very high', 'High', 'Standard', 'Low', 'Very low'][zone + 1] ELSE 'Zone ' || zone END AS suggested_rate FROM e GROUP BY 1, 2")
 def zone_rates(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda n: spark.range(n).select(F.lit(n).alias("n"), F.col("id").cast("int").alias("zone")).withColumn("suggested_rate", zones.rate_of(F.col("zone"), n))
+    """Rates of three, four and five zones, over pixels of events."""
+    event = I.table(spark, sf, "events").select("event_id")
+    one = lambda n: event.groupBy((F.col("event_id") % n).cast("int").alias("zone")).agg(F.count(F.lit(1)).alias("pixel_count")).select(F.lit(n).alias("n"), "zone", "pixel_count").withColumn("suggested_rate", zones.rate_of(F.col("zone"), n))
     return one(3).unionByName(one(4)).unionByName(one(5))
 
 
@@ -446,10 +456,12 @@ def segment_filter(spark: SparkSession, sf: str) -> DataFrame:
     return vision.segment_filter(s, shapes).withColumns({n: F.round(n, 9) for n in ("area_frac", "border_frac")})
 
 
-@query("extraction_methods", "SELECT * FROM (VALUES ('vegetation', true, NULL), ('segmenter', false, 'no segmenter is registered')) t(method, available, reason)")
+@query("extraction_methods", f"WITH {RGB_SQL}, {{}} SELECT raster_id, method, available, reason, CASE WHEN available THEN plants END AS candidates FROM p, (VALUES ('vegetation', true, NULL), ('segmenter', false, 'no segmenter is registered')) t(method, available, reason)".format(f"{_EXG}, {_LEVEL}, {_OTSU}, p AS (SELECT raster_id, count(*) FILTER (level > threshold) AS plants FROM n JOIN o USING (raster_id) GROUP BY 1)"))
 def extraction_methods(spark: SparkSession, sf: str) -> DataFrame:
-    """What can be used here: no segmenter is shipped, so the probe finds none."""
-    return spark.createDataFrame(vision.extraction_methods(), "method string, available boolean, reason string")
+    """What can be used on each raster: the vegetation mask with its candidate pixels; no segmenter is shipped, so the probe finds none."""
+    masks = vision.exg_mask(I.rgb(spark, sf)).groupBy("raster_id").agg(F.count_if("plant").alias("plants"))
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(ok).alias("available"), F.lit(why).cast("string").alias("reason")) for m, ok, why in vision.extraction_methods()])
+    return masks.withColumn("m", F.explode(methods)).select("raster_id", "m.*", F.when(F.col("m.available"), F.col("plants")).alias("candidates"))
 
 
 # Composites, tested on analytic fixtures: two discs that touch, blocks and rings.
@@ -557,10 +569,6 @@ def plant_totals(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("raster_id", (F.col("plant_count") == F.coalesce("listed", F.lit(0))).alias("counts_agree"), F.when(F.col("raster_id") == 1, F.col("plant_count").cast("int")).alias("known_plants"))
 
 
-# Rings by kind: a rectangle, one that crosses itself, one with a spike, one that touches itself.
-_RING_KINDS = ((((0, 0), (4, 0), (4, 3), (0, 3)), True, 12.0), (((0, 0), (4, 4), (4, 0), (0, 4)), False, 4.0), (((0, 0), (4, 0), (8, 0), (4, 0), (4, 4), (0, 4)), False, 16.0), (((0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)), False, 8.0))
-
-
 # Concave fields: a U whose notch comes from the north, sizes by supplier, and a pond in its base; units of 0.0001 degrees at the equator.
 _FIELDS_SQL = "u AS (SELECT s_suppkey::bigint AS boundary_id, 60 + s_suppkey % 7 * 4 AS w, 50 + s_suppkey % 5 * 6 AS h, 14 + s_suppkey % 3 * 6 AS nx, 8 + s_suppkey % 4 * 4 AS nw, 22 + s_suppkey % 6 * 3 AS ny FROM supplier)"
 
@@ -587,13 +595,61 @@ def grid_parts(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("boundary_id", "row_idx", "col_idx", F.size("polygons").alias("parts"), total(lambda p: F.size(p["holes"]), 0).alias("ponds"), F.round(total(outlines.covered, 0.0) * 1e8, 4).alias("area"))
 
 
-@query("ring_repair", "SELECT n_nationkey::bigint AS id, n_nationkey % 4 = 0 AS valid, CASE n_nationkey % 4 WHEN 0 THEN 12e0 WHEN 1 THEN 4e0 WHEN 2 THEN 16e0 ELSE 8e0 END AS area, CASE n_nationkey % 4 WHEN 3 THEN 2 ELSE 1 END AS parts FROM nation")
+# Plants by supplier, nine a raster, each in a cell of 30 x 30 pixels: discs, diamonds and rectangles that don't touch; 0.25 m a pixel in a UTM zone.
+_SHAPES_SQL = """shape AS (SELECT (s_suppkey - 1) // 9 AS raster_id, (s_suppkey - 1) % 9 AS k, s_suppkey % 3 AS kind, 1 + s_suppkey * 7 % 11 AS s, 15 + s_suppkey % 2 AS dy, 15 - s_suppkey % 3 AS dx FROM supplier),
+grid AS (SELECT DISTINCT raster_id, r::int AS r, c::int AS c FROM shape, range(90) a(r), range(90) b(c)),
+m AS (SELECT g.*, s.k, coalesce(CASE s.kind WHEN 0 THEN (r % 30 - dy) ** 2 + (c % 30 - dx) ** 2 <= s * s WHEN 1 THEN abs(r % 30 - dy) + abs(c % 30 - dx) <= s ELSE abs(r % 30 - dy) <= s AND abs(c % 30 - dx) <= s // 2 + 1 END, false)::int AS v FROM grid g LEFT JOIN shape s ON s.raster_id = g.raster_id AND s.k = r // 30 * 3 + c // 30),
+er AS (SELECT raster_id, k, r, c, min(v) OVER (PARTITION BY raster_id, r ORDER BY c RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM m),
+ec AS (SELECT raster_id, k, r, c, min(v) OVER (PARTITION BY raster_id, c ORDER BY r RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM er),
+dr AS (SELECT raster_id, k, r, c, max(v) OVER (PARTITION BY raster_id, r ORDER BY c RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM ec),
+dc AS (SELECT raster_id, k, r, c, max(v) OVER (PARTITION BY raster_id, c ORDER BY r RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM dr),
+blob AS (SELECT raster_id, k, count(*) AS area_px, avg(r) AS row, avg(c) AS col FROM dc WHERE v = 1 GROUP BY 1, 2 HAVING count(*) >= 15)"""
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """RGB rasters of the suppliers' plants: green on grey."""
+    k = F.col("s_suppkey")
+    shape = I.table(spark, sf, "supplier").select(F.expr("(s_suppkey - 1) div 9").alias("raster_id"), ((k - 1) % 9).cast("int").alias("k"), (k % 3).alias("kind"), (1 + k * 7 % 11).alias("s"), (15 + k % 2).alias("dy"), (15 - k % 3).alias("dx"))
+    px = shape.select("raster_id").distinct().withColumn("px_row", F.explode(F.sequence(F.lit(0), F.lit(89)))).withColumn("px_col", F.explode(F.sequence(F.lit(0), F.lit(89))))
+    px = px.withColumn("k", F.expr("cast(px_row div 30 * 3 + px_col div 30 as int)")).join(shape, ["raster_id", "k"], "left")
+    y, x, s = F.abs(F.col("px_row") % 30 - F.col("dy")), F.abs(F.col("px_col") % 30 - F.col("dx")), F.col("s")
+    green = F.when(F.col("kind") == 0, y * y + x * x <= s * s).when(F.col("kind") == 1, y + x <= s).otherwise((y <= s) & (x <= F.expr("s div 2 + 1")))
+    return px.select("raster_id", "px_row", "px_col", F.lit(60).alias("r"), F.when(green, 200).otherwise(60).alias("g"), F.lit(60).alias("b"))
+
+
+@query("plant_shapes", f"WITH {_SHAPES_SQL} SELECT raster_id, area_px, round(row, 6) AS row, round(col, 6) AS col FROM blob")
+def plant_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Area and place of every plant that is found; those of fewer than 15 pixels go."""
+    found = vision.count_plants(_shapes(spark, sf))
+    return found.select("raster_id", "area_px", F.round("row", 6).alias("row"), F.round("col", 6).alias("col"))
+
+
+@query("plant_shape_counts", f"WITH {_SHAPES_SQL} SELECT r.raster_id, count(area_px) AS plant_count, round(coalesce(avg(area_px), 0), 6) AS mean_area_px FROM (SELECT DISTINCT raster_id FROM shape) r LEFT JOIN blob b ON b.raster_id = r.raster_id GROUP BY 1")
+def plant_shape_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return vision.plant_summary(_shapes(spark, sf)).withColumn("mean_area_px", F.round("mean_area_px", 6))
+
+
+@query("plant_shape_labels", f"WITH {_SHAPES_SQL} SELECT raster_id, count(DISTINCT k) AS plants, count(*) AS pixels, count(DISTINCT k) AS shapes FROM dc WHERE v = 1 GROUP BY 1")
+def plant_shape_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of the flood against the cells that the plants stand in: as many plants as shapes, none in two cells."""
+    mask = vision.exg_mask(_shapes(spark, sf)).select("raster_id", "px_row", "px_col", F.col("plant").cast("int").alias("plant"))
+    mask = vision.morph_open(mask, "plant", 3, 1, "raster_id").withColumn("plant", F.col("plant") == 1)
+    cell = F.expr("px_row div 30 * 3 + px_col div 30")
+    pairs = vision.watershed(mask).groupBy("raster_id", "plant_id", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("raster_id").agg(F.countDistinct("plant_id").alias("plants"), F.sum("n").alias("pixels"), F.count(F.lit(1)).alias("shapes"))
+
+
+# Rings by kind, sizes by supplier: a rectangle, one that crosses itself, one with a spike, one that touches itself.
+@query("ring_repair", "WITH r AS (SELECT s_suppkey::bigint AS id, 2 + s_suppkey % 9 * 2 AS w, 4 + s_suppkey % 7 * 2 AS h, s_suppkey % 4 AS k FROM supplier) SELECT id, k = 0 AS valid, CASE k WHEN 0 THEN w * h WHEN 1 THEN w * h / 4 WHEN 2 THEN w * h ELSE w * h / 2 END::double AS area, CASE k WHEN 3 THEN 2 ELSE 1 END AS parts FROM r")
 def ring_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Validity of rings, and the area and number of their repaired parts."""
-    made = [F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points]) for points, _, _ in _RING_KINDS]
-    k = F.col("n_nationkey")
-    ring = F.when(k % 4 == 0, made[0]).when(k % 4 == 1, made[1]).when(k % 4 == 2, made[2]).otherwise(made[3])
-    rows = I.table(spark, sf, "nation").select(k.cast("long").alias("id"), ring.alias("ring")).withColumns({"valid": rings.valid(F.col("ring")), "fixed": rings.repair(F.col("ring"))})
+    k = F.col("s_suppkey")
+    r = I.table(spark, sf, "supplier").select(k.cast("long").alias("id"), (2 + k % 9 * 2).cast("double").alias("w"), (4 + k % 7 * 2).cast("double").alias("h"), (k % 4).alias("k"))
+    w, h, o = F.col("w"), F.col("h"), F.lit(0.0)
+    ring = lambda *points: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])
+    made = (ring((o, o), (w, o), (w, h), (o, h)), ring((o, o), (w, h), (w, o), (o, h)), ring((o, o), (w, o), (2 * w, o), (w, o), (w, h), (o, h)), ring((o, o), (w, o), (w / 2, h / 2), (w, h), (o, h), (w / 2, h / 2)))
+    rows = r.select("id", F.when(F.col("k") == 0, made[0]).when(F.col("k") == 1, made[1]).when(F.col("k") == 2, made[2]).otherwise(made[3]).alias("ring"))
+    rows = rows.withColumns({"valid": rings.valid(F.col("ring")), "fixed": rings.repair(F.col("ring"))})
     area = F.aggregate(F.transform("fixed", G.ring_area), F.lit(0.0), lambda s, v: s + v)
     return rows.select("id", "valid", F.round(area, 9).alias("area"), F.size("fixed").alias("parts"))
 
