@@ -110,4 +110,15 @@ FROM t
     "op2_source_mixing": mixing.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op4_warc": warc.ORACLE,
+    # the exact search: the operator may miss some, at a rate that its bound sets; it finds all on the given tables
+    "op11_neighbours": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0e0, list_transform(list_zip(q.v, c.v), lambda s: (s[1] - s[2]) * (s[1] - s[2]))), lambda a, b: a + b)) AS score
+  FROM e q JOIN e c ON len(q.v) = len(c.v) AND c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id NULLS LAST)::int AS rank, vec_id, score FROM p QUALIFY rank <= 10
+""",
 }
