@@ -67,3 +67,16 @@ def test_columns(spark, library):
 def test_unknown_id(codec):
     with pytest.raises(ValueError):
         codec.decode((10**6).to_bytes(4, "little"))
+
+
+def test_round_trip_is_the_librarys(spark, library):
+    """The column that the query reads, for null, repeated, clashing and very long rows."""
+    rng = random.Random(12)
+    texts = [None, "", " \n\t", "héllo 日本 😀", "x" * 5_000, "word " * 8_000, "same", "same", *["".join(rng.choice("ab é\n'1.日 ") for _ in range(rng.randrange(80))) for _ in range(100)]]
+    docs = spark.createDataFrame([(i, t, b"own", b"own") for i, t in enumerate(texts)], "doc_id int, text string, ids binary, decoded binary").repartition(3)
+    codec = bpe.Tokenizer(spark, PATH, public_tokenizers.PATTERN)
+    done = docs.select("doc_id", "ids", codec.round_trip(F.col("text")).alias("done")).select("doc_id", F.col("ids").alias("own"), "done.*").collect()
+    for r in done:
+        text = texts[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert bytes(r.decoded) == text.encode() == library.decode_bytes(np.frombuffer(r.ids, "<u4").tolist()) and bytes(r.own) == b"own"
