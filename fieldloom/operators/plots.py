@@ -34,6 +34,8 @@ def grid_plots(boundaries: DataFrame, rows: Column | int, cols: Column | int, ro
     high_x, high_y = F.col("_b.minx") + (F.col("col_idx") + 1) * F.col("_w") - F.col("_gx"), F.col("_b.miny") + (F.col("row_idx") + 1) * F.col("_h") - F.col("_gy")
     cells = cells.withColumns({"_x0": low_x, "_y0": low_y, "_x1": high_x, "_y1": high_y}).where("_x1 > _x0 AND _y1 > _y0")
     holes = F.col("holes") if "holes" in boundaries.columns else F.array().cast(f"array<{G.RING}>")
+    # few boundaries make many cells, and clipping them is the work: it goes to all tasks
+    cells = cells.repartition(int(boundaries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "boundary_id", "_k")
     cells = cells.withColumn("polygons", rings.polygons_in_box(F.col("ring"), holes, *[F.col(c) for c in ("_x0", "_y0", "_x1", "_y1")]))
     covered = F.transform("polygons", lambda p: G.polygon_area(F.concat(F.array(p["outer"]), p["holes"])))
     cells = cells.withColumn("_area", F.aggregate(covered, F.lit(0.0), lambda s, a: s + a)).where("_area > 0")

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from .kernels import simplify_ring
 
 _POINT = T.StructType().add("x", "double").add("y", "double")
+#: Width of a part, against its length, that is taken for rounding.
+SLIVER = 1e-12
 _RING, _RINGS = T.ArrayType(_POINT), T.ArrayType(T.ArrayType(_POINT))
 _ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 _POLYGONS = T.ArrayType(T.StructType().add("outer", _RING).add("holes", _RINGS))
@@ -157,13 +159,15 @@ def clip_parts(points: np.ndarray, minx: float, miny: float, maxx: float, maxy:
 def clip_polygon(points: np.ndarray, holes: list[np.ndarray], minx: float, miny: float, maxx: float, maxy: float) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """The parts of a valid polygon within a rectangle: outer ring and holes of each, largest first.
 
-    Outer rings keep the direction of ``points``, holes get the other.
+    Outer rings keep the direction of ``points``, holes get the other. Parts as thin as rounding (SLIVER of their length), which a side along
+    the rectangle's edge may leave, are none.
     """
     way = np.sign(area_of(opened(points)))
     turned = [h if np.sign(area_of(h)) == -way else h[::-1] for h in map(opened, holes) if len(h) >= 3 and area_of(h) != 0]
     rings = [opened(points), *turned]
     for axis, bound, sign in ((0, minx, 1.0), (0, maxx, -1.0), (1, miny, 1.0), (1, maxy, -1.0)):
         rings = _half(rings, axis, bound, sign)
+    rings = [r for r in rings if abs(area_of(r)) > SLIVER * np.ptp(r, axis=0).max() ** 2]
     parts = sorted(((r, []) for r in rings if np.sign(area_of(r)) == way), key=lambda p: -abs(area_of(p[0])))
     for h in (r for r in rings if np.sign(area_of(r)) == -way):
         around = [p for p in parts if _inside((h[0] + h[1]) / 2, p[0])]
@@ -236,6 +240,9 @@ def _polygons(rings: pa.Array, holes: pa.Array, minx: pa.Array, miny: pa.Array,
     return pa.array(out, _ARROW_POLYGONS)
 
 
+_polygons_once = _polygons.asNondeterministic()  # else the optimizer would write the call out again for each use of its result
+
+
 @F.arrow_udf(T.BooleanType())
 def _meet(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array((meets_ring(_points(a), _points(b)) for a, b in zip(one, two)), pa.bool_())
@@ -263,7 +270,7 @@ def parts_in_box(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: C
 
 def polygons_in_box(ring: Column, holes: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """``clip_polygon`` of each ring and its holes: array of (outer, holes)."""
-    return _polygons(ring, holes, minx, miny, maxx, maxy)
+    return _polygons_once(ring, holes, minx, miny, maxx, maxy)
 
 
 def meet(one: Column, two: Column) -> Column:
