@@ -109,9 +109,15 @@ def _pattern(texts: pa.Array) -> pa.Array:
     return pa.array((int("".join(map(str, votes(x.as_py()))), 3) for x in texts), pa.int32())
 
 
+def _sparse(x: np.ndarray) -> bytes:
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
 @F.arrow_udf(T.BinaryType())
 def _features(texts: pa.Array) -> pa.Array:
-    return pa.array((features(x.as_py()).tobytes() for x in texts), pa.binary())
+    """Places and values of the features that aren't 0, six bytes each."""
+    return pa.array((_sparse(features(x.as_py())) for x in texts), pa.binary())
 
 
 def unpacked(pattern: int) -> list[int]:
@@ -181,16 +187,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int
     if last is None:
         return Model(np.zeros(WIDTH), 0.0, accuracies)
     sample = seen.select(order.alias("place"), _pattern("text").alias("pattern"), "text").where(F.col("place") <= last)
-    got = sample.dropDuplicates(["place"]).select("place", "pattern", _features("text").alias("x")).orderBy("place").toArrow()  # at most ``rows`` rows
-    sparse, parts = linear.Rows([], None, WIDTH), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    for chunk in got["x"].chunks:  # dense rows are never held all at once
-        x = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(len(chunk), WIDTH)
-        row, column = np.nonzero(x)
-        parts.append((row + sparse.n, column, x[row, column].astype(float)))
-        sparse.n += len(x)
-    sparse.row, sparse.column, sparse.value = map(np.concatenate, zip(*parts))
-    target = np.array([posterior[p] for p in got["pattern"].to_pylist()])
-    del got, parts
+    got = sample.dropDuplicates(["place"]).select("place", "pattern", _features("text").alias("x")).orderBy("place").collect()  # at most ``rows`` rows
+    size = np.array([len(r["x"]) // 6 for r in got], int)
+    sparse = linear.Rows([], None, WIDTH)
+    sparse.n, sparse.row = len(got), np.repeat(np.arange(len(got)), size)
+    sparse.column = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["x"], "<u2", n) for r, n in zip(got, size.tolist()))]).astype(np.int64)
+    sparse.value = np.concatenate([np.empty(0), *(np.frombuffer(r["x"], "<f4", n, 2 * n) for r, n in zip(got, size.tolist()))]).astype(float)
+    target = np.array([posterior[r["pattern"]] for r in got])
+    del got
     w, b = linear.fit(sparse, target, L2, steps=250)
     return Model(w, b, accuracies, share, off)
 
