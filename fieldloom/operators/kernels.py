@@ -344,3 +344,29 @@ def best_cuts(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> np.ndarray
         j = from_[j]
         ends.append(j - 1)
     return np.array(ends[::-1])
+
+
+def _digits(x: np.ndarray | float, digits: int) -> np.ndarray:
+    """Rounded, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
+
+
+def settled_centres(v: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Centres at which Lloyd's rounds over values ``v`` that occur ``n`` times end: the better of two starts, even over the range and by the deviation round the mean."""
+    order = np.argsort(v)
+    v, n = v[order].astype(float), n[order].astype(float)
+    mean = (v * n).sum() / n.sum()
+    std = np.sqrt(((v - mean) ** 2 * n).sum() / n.sum())
+    place = np.array([(2 * i + 1) / (2 * k) for i in range(k)])
+    best, least = None, np.inf
+    for centres in (_digits(v[0] + (v[-1] - v[0]) * place, 12), _digits(mean + std * (3 * place - 1.5), 12)):
+        while True:
+            zone = np.abs(v[:, None] - centres).argmin(1)
+            after = np.array([_digits((v[own] * n[own]).sum() / n[own].sum(), 12) if (own := zone == i).any() else c for i, c in enumerate(centres)])
+            if (after == centres).all():
+                break
+            centres = after
+        cost = float(_digits(((v - centres[zone]) ** 2 * n).sum(), 9))
+        if cost < least:
+            best, least = centres, cost
+    return best

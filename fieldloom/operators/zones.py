@@ -1,7 +1,9 @@
-"""Management zones: one-dimensional k-means on a value, labels in the order of the values, application rates."""
+"""Management zones: one-dimensional k-means on a value, by its optimum or by Lloyd's rounds; labels in the order of the values, application rates."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ def rate_of(zone: Column, n_zones: int) -> Column:
 CELLS = 1 << 20
 
 
+def _values(pixels: DataFrame, value: str, group: str, n_zones: int, few: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct values of each group with their numbers, and a row for each group."""
+    counted = pixels.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = written(counted, "zone-values")
+    span = seen.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_all"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    span = written(span, "zone-spans")  # a row for each group
+    if few == "raise":
+        short = span.where(F.col("_all") < n_zones).limit(1).collect()
+        if short:
+            raise ValueError(f"{short[0]['_g']} has {short[0]['_all']} values for {n_zones} zones")
+    return seen, span
+
+
 def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: str = "null", cells: int = CELLS) -> DataFrame:
     """``pixels`` with ``zone``: 0 is the zone of the lowest values, NULL where the value is.
 
@@ -36,14 +51,7 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: s
     then compared with the cuts. Groups of fewer values than zones get no zone, or raise with ``few="raise"``; with
     fewer distinct values than zones each is a zone, from 0 on.
     """
-    counted = pixels.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    seen = written(counted, "zone-values")
-    span = seen.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_all"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"))
-    span = written(span, "zone-spans")  # a row for each group
-    if few == "raise":
-        short = span.where(F.col("_all") < n_zones).limit(1).collect()
-        if short:
-            raise ValueError(f"{short[0]['_g']} has {short[0]['_all']} values for {n_zones} zones")
+    seen, span = _values(pixels, value, group, n_zones, few)
     enough = span.where(F.col("_all") >= n_zones)
     width = (F.col("_high") - F.col("_low")) / F.lit(float(cells))
     cell = F.when(F.col("_distinct") > cells, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(cells - 1)).cast("double")).otherwise(F.col("_v"))
@@ -62,6 +70,63 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: s
     return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("_cuts").isNotNull(), zone)).drop("_cuts")
 
 
+def nearest(value: Column, centres: Column, n: int) -> Column:
+    """The number of the centre nearest to a value, the lower one of two as near."""
+    away = F.array(*[F.abs(value - centres[k]) for k in range(n)])
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
+
+
+def settle(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: str = "null", cells: int = CELLS) -> DataFrame:
+    """``pixels`` with ``zone``: 0 is the zone of the lowest centre, NULL where the value is.
+
+    Lloyd's rounds until none moves a centre, from two starts: centres spread evenly over the range, and by the standard deviation round the
+    mean. The start with the least squared distance counts, the even one of equals; centres are rounded to 12 digits, squared
+    distances to 9; ties go to the lower centre, and one without values stays. Groups of up to ``cells`` distinct values settle in
+    one task each, larger ones in rounds of all tasks. Groups of fewer values than zones get no zone, or raise with ``few="raise"``.
+    """
+    seen, span = _values(pixels, value, group, n_zones, few)
+    kind = seen.schema["_g"].dataType.simpleString()
+
+    def centres_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        centres = kernels.settled_centres(pdf["_v"].to_numpy(), pdf["_n"].to_numpy(), n_zones)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_centres": [centres.tolist()]})
+
+    enough = span.where(F.col("_all") >= n_zones)
+    small = maybe_broadcast(enough.where(F.col("_distinct") <= cells).select("_g"))
+    centres = seen.join(small, "_g", "left_semi").groupBy("_g").applyInPandas(centres_of, f"_g {kind}, _centres array<double>")
+    large = enough.where(F.col("_distinct") > cells)
+    if not large.isEmpty():
+        centres = centres.unionByName(_in_rounds(seen, large, n_zones))
+    centres = written(centres, "zone-centres").withColumnRenamed("_g", group)
+    labelled = pixels.join(maybe_broadcast(centres), group, "left")
+    known = F.col(value).isNotNull() & F.col("_centres").isNotNull()
+    return labelled.withColumn("zone", F.when(known, nearest(F.col(value), F.col("_centres"), n_zones))).drop("_centres")
+
+
+def _in_rounds(seen: DataFrame, large: DataFrame, n_zones: int) -> DataFrame:
+    """The centres (_g, _centres) of groups (a row each) whose values are too many for one task: a job a round, for all groups that still move."""
+    seen = seen.join(maybe_broadcast(large.select("_g", "_low", "_high", "_mean")), "_g")
+    std = F.sqrt(F.sum(F.pow(F.col("_v") - F.col("_mean"), 2) * F.col("_n")) / F.sum("_n")).alias("_std")
+    place = lambda k: (2 * k + 1) / (2 * n_zones)
+    even = F.array(*[F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * place(k), 12) for k in range(n_zones)])
+    spread = F.array(*[F.round(F.col("_mean") + F.col("_std") * (3 * place(k) - 1.5), 12) for k in range(n_zones)])
+    starts = F.posexplode(F.array(even, spread)).alias("_start", "_centres")
+    moving = written(seen.groupBy("_g", "_low", "_high", "_mean").agg(std).select("_g", starts), "zone-rounds")
+    seen, done = seen.select("_g", "_v", "_n"), []
+    zone = nearest(F.col("_v"), F.col("_centres"), n_zones)
+    while not moving.isEmpty():
+        of = lambda k, x: F.sum(F.when(F.col("_zone") == k, x))
+        means = F.array(*[F.round(F.coalesce(of(k, F.col("_v") * F.col("_n")) / of(k, F.col("_n")), F.col("_centres")[k]), 12) for k in range(n_zones)])
+        after = seen.join(maybe_broadcast(moving), "_g").withColumn("_zone", zone).groupBy("_g", "_start", "_centres").agg(means.alias("_after"))
+        after = written(after, "zone-rounds")
+        done.append(after.where("_after = _centres").drop("_after"))
+        moving = after.where("_after != _centres").select("_g", "_start", F.col("_after").alias("_centres"))
+    settled = reduce(DataFrame.unionByName, done)
+    away = F.sum(F.pow(F.col("_v") - F.get("_centres", zone), 2) * F.col("_n"))
+    cost = seen.join(maybe_broadcast(settled), "_g").groupBy("_g", "_start", "_centres").agg(F.round(away, 9).alias("_cost"))
+    return cost.groupBy("_g").agg(F.min_by("_centres", F.struct("_cost", "_start")).alias("_centres"))
+
+
 def summary(zoned: DataFrame, group: str, n_zones: int, region: str | None = None) -> DataFrame:
     """pixel_count, region_count (if a region column is given) and suggested rate of each zone, in order."""
     counts = [F.count(F.lit(1)).alias("pixel_count")] + ([F.countDistinct(region).alias("region_count")] if region else [])

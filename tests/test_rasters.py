@@ -4,11 +4,13 @@ import json
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.operators import catalog, kernels, ranks, rings, vision, zones
+from fieldloom.plans import catalogue
 from fieldloom.sources import rasters, reports, shapefile, tiff
 
 SQUARE = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
@@ -166,6 +168,36 @@ def test_zones_are_the_optimum(spark):
         zones.classify(px, "v", "g", 300, few="raise")
 
 
+def test_zones_settle(spark):
+    """Lloyd's rounds from two starts, as the zone queries' SQL states them, in one task and in rounds of all tasks."""
+    rng = np.random.default_rng(5)
+    groups = {1: np.concatenate([rng.normal(0, 1, 50), rng.normal(1.5, 0.3, 30), [40.0]]), 2: rng.exponential(1.0, 70), 3: rng.integers(0, 6, 90).astype(float), 4: np.full(4, 2.5), 5: np.array([1.0, 2.0])}
+    px = spark.createDataFrame([(g, i, float(x)) for g, v in groups.items() for i, x in enumerate(v)] + [(1, -1, None)], "g long, i int, v double").repartition(3)
+    got = {(r.g, r.i): r.zone for r in zones.settle(px, "v", "g", 3).collect()}
+    assert got[1, -1] is None and got[5, 0] is None and {got[4, i] for i in range(4)} == {0}
+    for g in (1, 2, 3):
+        v = groups[g]
+        starts = (v.min() + np.ptp(v) * np.array([1, 3, 5]) / 6, v.mean() + v.std() * np.array([-1, 0, 1]))
+        centres = min((lloyd(v, c) for c in starts), key=lambda found: round(found[1], 9))[0]
+        assert [got[g, i] for i in range(len(v))] == np.abs(v[:, None] - centres[None]).argmin(1).tolist()
+    assert {(r.g, r.i): r.zone for r in zones.settle(px, "v", "g", 3, cells=2).collect()} == got
+    with pytest.raises(ValueError, match="values for 300 zones"):
+        zones.settle(px, "v", "g", 300, few="raise")
+
+
+def test_zone_query_follows_its_sql(spark, tmp_path):
+    """On rasters whose optimum isn't where the rounds end."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    pd.DataFrame({"event_id": np.arange(20_000), "user_id": rng.integers(0, 5_000, 20_000), "event_type": rng.choice(["view", "error", "click"], 20_000)}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(f"SELECT boundary_id, px_row, px_col, zone FROM ({catalogue.ORACLES['zone_classify']})").fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["zone_classify"](spark, str(tmp_path)).select("boundary_id", "px_row", "px_col", "zone").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_order_statistics(spark):
     rng = np.random.default_rng(7)
     groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 400).astype(float), "c": np.array([2.5]), "d": np.full(50, 3.0)}
