@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.storage import maybe_broadcast, written
+from fieldloom.storage import by_size, maybe_broadcast, shuffled, written
 
 
 #: Rounds that one job makes.
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "cc-labels")
-    sent = F.broadcast if maybe_broadcast(both) is not both else lambda df: df  # there are no more labels than edges
+    sent = F.broadcast if maybe_broadcast(both) is not both else shuffled  # there are no more labels than edges
     while True:
         after = labels.withColumn("was", F.col("component"))
         for _ in range(AT_ONCE):
@@ -114,11 +114,11 @@ def label_runs(mask: DataFrame, group: str = "boundary_id", value: str | None =
     last, first = table.where(F.pmod("px_row", F.lit(BAND)) == BAND - 1), table.where(F.pmod("px_row", F.lit(BAND)) == 0)
     up = last.select(F.col("root").alias("a"), group, "value", "px_row", F.col("c0").alias("u0"), F.col("c1").alias("u1")).withColumn("_s", stretch(F.col("u0") - reach, F.col("u1") + reach))
     down = first.select(F.col("root").alias("b"), group, "value", (F.col("px_row") - 1).alias("px_row"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).withColumn("_s", stretch(F.col("d0"), F.col("d1")))
-    edges = up.join(down, [group, "value", "px_row", "_s"]).where((F.col("u0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("u1") + reach)).select("a", "b").distinct()
+    edges = up.join(shuffled(down), [group, "value", "px_row", "_s"]).where((F.col("u0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("u1") + reach)).select("a", "b").distinct()
     edges = written(edges, "cc-crossing")
     named = table.withColumn("_least", F.col("root"))
     if not edges.isEmpty():
-        labels = maybe_broadcast(components(edges).withColumnRenamed("node", "root"))
+        labels = by_size(components(edges).withColumnRenamed("node", "root"))
         named = table.join(labels, "root", "left").withColumn("_least", F.coalesce("component", "root"))
     return named.select(group, "value", "px_row", "c0", "c1", F.struct(F.col("_least.px_row").alias("row"), F.col("_least.c0").alias("col")).alias("region"))
 
@@ -133,4 +133,4 @@ def label_regions(mask: DataFrame, group: str = "boundary_id", value: str | None
     pixels = named.select(group, "px_row", F.explode(F.sequence("c0", "c1")).alias("px_col"), F.col("value").alias(value or "_value"), "region")
     if set(mask.columns) <= {*place, value}:
         return pixels.select(*mask.columns, "region")
-    return mask.join(pixels.select(*place, "region"), place)
+    return mask.join(shuffled(pixels.select(*place, "region")), place)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import spectral
-from fieldloom.storage import maybe_broadcast, written
+from fieldloom.storage import by_size, shuffled, written
 from . import kernels, outlines, plots, ranks, rings
 from .components import label_regions, label_runs
 
@@ -82,10 +82,15 @@ def local_maxima(df: DataFrame, value: str, reach: int = 8, group: str = "bounda
     return top.withColumn("peak", (F.col(value) > 0) & (F.col(value) == F.col("_top"))).drop("_top")
 
 
+def _of_rasters(df: DataFrame) -> DataFrame:
+    """A table of a row for each raster, to be joined with the pixels that it was made from: computed once, and sent by its measured size."""
+    return by_size(written(df, "rasters"))
+
+
 def excess_green(rgb: DataFrame, group: str = "raster_id") -> DataFrame:
     """``rgb`` with ``exg``; whether channels are scaled depends on the whole raster's largest value."""
     top = rgb.groupBy(group).agg(F.max(F.greatest("r", "g", "b")).alias("_top"))
-    joined = rgb.join(top, group)
+    joined = rgb.join(_of_rasters(top), group)
     return joined.withColumn("exg", spectral.excess_green(F.col("r"), F.col("g"), F.col("b"), F.col("_top"))).drop("_top")
 
 
@@ -94,7 +99,7 @@ def normalize(df: DataFrame, value: str, out: str, group: str = "raster_id") ->
     span = df.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     wide = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
     scaled = F.coalesce(F.floor((F.col(value) - F.col("_low")) / wide * 255.0), F.when(F.col(value).isNotNull(), F.lit(0).cast("long")))
-    return df.join(span, group).withColumn(out, scaled.cast("int")).drop("_low", "_high")
+    return df.join(_of_rasters(span), group).withColumn(out, scaled.cast("int")).drop("_low", "_high")
 
 
 def otsu(df: DataFrame, value: str, group: str = "raster_id") -> DataFrame:
@@ -116,12 +121,12 @@ def otsu(df: DataFrame, value: str, group: str = "raster_id") -> DataFrame:
 def exg_mask(rgb: DataFrame, group: str = "raster_id") -> DataFrame:
     """Excess green, its 0..255 level and whether the level exceeds the raster's Otsu threshold."""
     levels = normalize(excess_green(rgb, group), "exg", "level", group)
-    return levels.join(otsu(levels, "level", group), group).withColumn("plant", F.col("level") > F.col("threshold"))
+    return levels.join(_of_rasters(otsu(levels, "level", group)), group).withColumn("plant", F.col("level") > F.col("threshold"))
 
 
 def percentile_stretch(df: DataFrame, value: str, out: str, group: str = "raster_id", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``value`` from its 1st to its 99th percentile (interpolated) onto 0..255, truncated."""
-    ends = maybe_broadcast(ranks.quantiles(df, value, group, [low, high]))
+    ends = by_size(ranks.quantiles(df, value, group, [low, high]))
     share = (F.col(value) - F.col("_p")[0]) / F.greatest(F.col("_p")[1] - F.col("_p")[0], F.lit(1e-6))
     return df.join(ends, group).withColumn(out, F.floor(spectral.clip(share, 0.0, 1.0) * 255.0).cast("int")).drop("_p")
 
@@ -143,7 +148,7 @@ def segment_filter(segments: DataFrame, shapes: DataFrame, least: float = 0.004,
     ``shapes`` has raster_id, height and width. The border share is the mean over the four edge strips; a corner
     pixel is in two of them.
     """
-    s = segments.join(shapes, "raster_id")
+    s = segments.join(by_size(shapes), "raster_id")
     edges = lambda c, end: (F.col(c) == 0).cast("int") + (F.col(c) == F.col(end) - 1).cast("int")
     s = s.withColumn("_e", edges("px_row", "height") + edges("px_col", "width"))
     size = F.first("height").cast("double") * F.first("width")
@@ -204,9 +209,9 @@ def watershed(mask: DataFrame, group: str = "raster_id", value: str = "plant", r
     kind = mask.schema[group].dataType.simpleString()
     far = squared_distance(mask, group, value).withColumn("d2", F.coalesce("d2", F.lit(_NO_BACKGROUND)))
     peaks = written(local_maxima(far, "d2", reach, group).where("d2 > 0"), "flood-pixels")
-    regions = label_regions(peaks, group)
+    regions = written(label_regions(peaks, group), "flood-regions")
     sizes = regions.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / FLOOD).alias("_tasks"))
-    dealt = regions.join(maybe_broadcast(sizes), group).withColumn("_deal", F.pmod(F.xxhash64("region"), "_tasks"))
+    dealt = regions.join(by_size(sizes), group).withColumn("_deal", F.pmod(F.xxhash64("region"), "_tasks"))
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
         return kernels.flood_regions(pdf, group)
@@ -215,7 +220,7 @@ def watershed(mask: DataFrame, group: str = "raster_id", value: str = "plant", r
     flooded = written(flat.groupBy(group, "_deal").applyInPandas(flood, f"{group} {kind}, px_row int, px_col int, marker_row int, marker_col int"), "flood-labels")
     order = W.partitionBy(group).orderBy("marker_row", "marker_col")
     plants = flooded.select(group, "marker_row", "marker_col").distinct().withColumn("plant_id", F.row_number().over(order))
-    return flooded.join(maybe_broadcast(plants), [group, "marker_row", "marker_col"]).select(group, "px_row", "px_col", "plant_id")
+    return flooded.join(by_size(plants), [group, "marker_row", "marker_col"]).select(group, "px_row", "px_col", "plant_id")
 
 
 def plant_blobs(labels: DataFrame, group: str = "raster_id", least: int = 15) -> DataFrame:
@@ -233,7 +238,7 @@ def count_plants(rgb: DataFrame, group: str = "raster_id", least: int = 15, reac
 def plant_summary(rgb: DataFrame, group: str = "raster_id", least: int = 15, reach: int = 8) -> DataFrame:
     blobs = count_plants(rgb, group, least, reach).groupBy(group).agg(F.count(F.lit(1)).alias("plant_count"), F.avg("area_px").alias("mean_area_px"))
     rasters = rgb.select(group).distinct()
-    return rasters.join(blobs, group, "left").select(group, F.coalesce("plant_count", F.lit(0).cast("long")).alias("plant_count"), F.coalesce("mean_area_px", F.lit(0.0)).alias("mean_area_px"))
+    return rasters.join(shuffled(blobs), group, "left").select(group, F.coalesce("plant_count", F.lit(0).cast("long")).alias("plant_count"), F.coalesce("mean_area_px", F.lit(0.0)).alias("mean_area_px"))
 
 
 def canopy_area(area_px: Column, a: Column, e: Column) -> Column:
@@ -253,7 +258,7 @@ def field_boundaries(mask: DataFrame, group: str = "boundary_id", value: str = "
     labelled = written(label_runs(m.where("_v = 1").drop("_v"), group, diagonal=True).select(group, "px_row", "c0", "c1", F.col("region.row").alias("row0"), F.col("region.col").alias("col0")), "contour-runs")
     # a contour's area is at most that of the box through its outermost pixel centres
     box = labelled.groupBy(group, "row0", "col0").agg(((F.max("px_row") - F.min("px_row")) * (F.max("c1") - F.min("c0"))).alias("_box"))
-    large = maybe_broadcast(box.where(F.col("_box") >= least).select(group, "row0", "col0"))
+    large = by_size(box.where(F.col("_box") >= least).select(group, "row0", "col0"))
     flat = labelled.join(large, [group, "row0", "col0"], "left_semi")
     kind = flat.schema[group].dataType.simpleString()
 
@@ -275,7 +280,7 @@ def georeferenced(candidates: DataFrame, rasters: DataFrame, group: str, anchor:
     area is that of the ring in the raster's system, rounded to 2 digits; in a system of degrees it is the local metric one.
     """
     codes = [r["crs"] for r in rasters.select("crs").distinct().collect()]  # as many as there are reference systems
-    rows = candidates.join(rasters.select(group, "crs", "affine"), group)
+    rows = candidates.join(by_size(rasters.select(group, "crs", "affine")), group)
     by = F.col(scale) if scale else F.lit(1.0)
     own = F.transform("ring", lambda p: G.pixel_to_map(p["y"] * by, p["x"] * by, F.col("affine"), anchor))
     rows = rows.withColumn("_own", own)
@@ -308,8 +313,8 @@ def plots_from_segments(segments: DataFrame, shapes: DataFrame, rasters: DataFra
     counts; it is repaired, simplified keeping its topology, and goes below an area of 4 or if it isn't valid in map
     coordinates. Corners, not centres, are carried back through the original's affine.
     """
-    kept = segment_filter(segments, shapes, least, most, border).select("raster_id", "segment")
-    flat = segments.join(maybe_broadcast(kept), ["raster_id", "segment"]).withColumn("seg", F.struct("raster_id", "segment"))
+    kept = written(segment_filter(segments, shapes, least, most, border).select("raster_id", "segment"), "kept-segments")
+    flat = segments.join(by_size(kept), ["raster_id", "segment"]).withColumn("seg", F.struct("raster_id", "segment"))
     regions = label_runs(flat.select("seg", "px_row", "px_col"), "seg", diagonal=True)
     schema = "raster_id long, segment long, ring array<struct<x:double,y:double>>, area_px double"
 
@@ -323,7 +328,7 @@ def plots_from_segments(segments: DataFrame, shapes: DataFrame, rasters: DataFra
     largest = largest.withColumn("ring", F.try_element_at(rings.repair(F.col("ring")), F.lit(1))).where("ring IS NOT NULL")
     largest = largest.withColumn("ring", rings.simplify(F.col("ring"))).where(G.ring_area(F.col("ring")) >= 4)
     counts = segments.groupBy("raster_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("stability"), 3).alias("confidence"))
-    found = largest.join(counts, ["raster_id", "segment"]).join(shapes.select("raster_id", "scale"), "raster_id")
+    found = largest.join(shuffled(counts), ["raster_id", "segment"]).join(by_size(shapes.select("raster_id", "scale")), "raster_id")
     found = found.withColumn("area_px", F.floor(F.col("n") * F.col("scale") * F.col("scale")).cast("long"))
     found = georeferenced(found, rasters, "raster_id", "corner", "scale").where(rings.valid(F.col("ring")))
     order = F.row_number().over(W.partitionBy("raster_id").orderBy(F.desc("area_px"), "segment"))

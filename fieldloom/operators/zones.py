@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.storage import maybe_broadcast, written
+from fieldloom.storage import by_size, written
 from . import kernels
 
 #: Suggested rates of three and of five zones, from the lowest value to the highest.
@@ -56,7 +56,7 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: s
     width = (F.col("_high") - F.col("_low")) / F.lit(float(cells))
     cell = F.when(F.col("_distinct") > cells, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(cells - 1)).cast("double")).otherwise(F.col("_v"))
     own = F.col("_v") - F.col("_mean")  # sums of squares keep their digits
-    moments = seen.join(maybe_broadcast(enough), "_g").groupBy("_g", cell.alias("_cell")).agg(F.sum("_n").alias("n"), F.sum(own * F.col("_n")).alias("s"), F.sum(own * own * F.col("_n")).alias("q"), F.max("_v").alias("top"))
+    moments = seen.join(by_size(enough), "_g").groupBy("_g", cell.alias("_cell")).agg(F.sum("_n").alias("n"), F.sum(own * F.col("_n")).alias("s"), F.sum(own * own * F.col("_n")).alias("q"), F.max("_v").alias("top"))
     kind = seen.schema["_g"].dataType.simpleString()
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +65,7 @@ def classify(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: s
         return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_cuts": [pdf["top"].to_numpy()[ends].tolist()]})
 
     cuts = written(moments.groupBy("_g").applyInPandas(cut, f"_g {kind}, _cuts array<double>"), "zone-cuts")
-    labelled = pixels.join(maybe_broadcast(cuts.withColumnRenamed("_g", group)), group, "left")
+    labelled = pixels.join(by_size(cuts.withColumnRenamed("_g", group)), group, "left")
     zone = F.aggregate("_cuts", F.lit(0), lambda z, c: z + (F.col(value) > c).cast("int"))
     return labelled.withColumn("zone", F.when(F.col(value).isNotNull() & F.col("_cuts").isNotNull(), zone)).drop("_cuts")
 
@@ -92,20 +92,20 @@ def settle(pixels: DataFrame, value: str, group: str, n_zones: int = 3, few: str
         return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_centres": [centres.tolist()]})
 
     enough = span.where(F.col("_all") >= n_zones)
-    small = maybe_broadcast(enough.where(F.col("_distinct") <= cells).select("_g"))
+    small = by_size(enough.where(F.col("_distinct") <= cells).select("_g"))
     centres = seen.join(small, "_g", "left_semi").groupBy("_g").applyInPandas(centres_of, f"_g {kind}, _centres array<double>")
     large = enough.where(F.col("_distinct") > cells)
     if not large.isEmpty():
         centres = centres.unionByName(_in_rounds(seen, large, n_zones))
     centres = written(centres, "zone-centres").withColumnRenamed("_g", group)
-    labelled = pixels.join(maybe_broadcast(centres), group, "left")
+    labelled = pixels.join(by_size(centres), group, "left")
     known = F.col(value).isNotNull() & F.col("_centres").isNotNull()
     return labelled.withColumn("zone", F.when(known, nearest(F.col(value), F.col("_centres"), n_zones))).drop("_centres")
 
 
 def _in_rounds(seen: DataFrame, large: DataFrame, n_zones: int) -> DataFrame:
     """The centres (_g, _centres) of groups (a row each) whose values are too many for one task: a job a round, for all groups that still move."""
-    seen = seen.join(maybe_broadcast(large.select("_g", "_low", "_high", "_mean")), "_g")
+    seen = seen.join(by_size(large.select("_g", "_low", "_high", "_mean")), "_g")
     std = F.sqrt(F.sum(F.pow(F.col("_v") - F.col("_mean"), 2) * F.col("_n")) / F.sum("_n")).alias("_std")
     place = lambda k: (2 * k + 1) / (2 * n_zones)
     even = F.array(*[F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * place(k), 12) for k in range(n_zones)])
@@ -117,13 +117,13 @@ def _in_rounds(seen: DataFrame, large: DataFrame, n_zones: int) -> DataFrame:
     while not moving.isEmpty():
         of = lambda k, x: F.sum(F.when(F.col("_zone") == k, x))
         means = F.array(*[F.round(F.coalesce(of(k, F.col("_v") * F.col("_n")) / of(k, F.col("_n")), F.col("_centres")[k]), 12) for k in range(n_zones)])
-        after = seen.join(maybe_broadcast(moving), "_g").withColumn("_zone", zone).groupBy("_g", "_start", "_centres").agg(means.alias("_after"))
+        after = seen.join(by_size(moving), "_g").withColumn("_zone", zone).groupBy("_g", "_start", "_centres").agg(means.alias("_after"))
         after = written(after, "zone-rounds")
         done.append(after.where("_after = _centres").drop("_after"))
         moving = after.where("_after != _centres").select("_g", "_start", F.col("_after").alias("_centres"))
     settled = reduce(DataFrame.unionByName, done)
     away = F.sum(F.pow(F.col("_v") - F.get("_centres", zone), 2) * F.col("_n"))
-    cost = seen.join(maybe_broadcast(settled), "_g").groupBy("_g", "_start", "_centres").agg(F.round(away, 9).alias("_cost"))
+    cost = seen.join(by_size(settled), "_g").groupBy("_g", "_start", "_centres").agg(F.round(away, 9).alias("_cost"))
     return cost.groupBy("_g").agg(F.min_by("_centres", F.struct("_cost", "_start")).alias("_centres"))
 
 

@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all tasks: few rows that make many would else be exploded by the one task that reads them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _place(df: DataFrame, group: str, *values) -> DataFrame:
     return df.select(F.expr("event_id div 2500").alias(group), F.expr("cast(event_id % 2500 div 50 as int)").alias("px_row"), F.expr("cast(event_id % 50 as int)").alias("px_col"), *values)
 

@@ -90,6 +90,17 @@ def _width(value: Column, kind: T.DataType) -> Column:
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a table for broadcast when its measured bytes are within ``limit``; else the join shuffles it."""
+    """Mark a table for broadcast when its measured bytes are within ``limit``; else it stays as it is."""
     row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24).cast("long"))
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a table so that neither side of its join is sent whole: Spark's own guess knows neither exploded rows nor what compressed files hold."""
+    return df.hint("merge")
+
+
+def by_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast when its measured bytes are within ``limit``, else its join for a shuffle of both sides."""
+    marked = maybe_broadcast(df, limit)
+    return shuffled(df) if marked is df else marked

@@ -50,3 +50,50 @@ def test_no_key_is_crowded(spark, monkeypatch):
     shapes = spark.range(1).select(F.lit(1).alias("g"), ring.alias("ring"))
     assert spatial.points_in_polygons(rows, shapes, ["g"], 16.0, crowd=500).count() == 20_000
     assert seen["most"] <= 800
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_are_not_sent_whole(spark, tmp_path):
+    """Rows exploded from few have small estimates, but are many: no join may broadcast them."""
+    import pandas as pd
+
+    from fieldloom.operators import components, vision
+    from fieldloom.plans import catalogue
+
+    pd.DataFrame({"s_suppkey": range(30)}).to_parquet(tmp_path / "supplier.parquet")
+    pixels = catalogue._blocks(spark, str(tmp_path)).withColumn("d2", F.lit(4))
+    rgb = catalogue._shapes(spark, str(tmp_path))
+    assert "SortMergeJoin" in plan(rgb) and "Broadcast" not in plan(rgb)
+    labelled = plan(components.label_regions(pixels, "raster_id"))
+    assert "SortMergeJoin [raster_id" in labelled and "BroadcastHashJoin [raster_id" not in labelled  # labels of roots were measured
+    levels = plan(vision.exg_mask(rgb))
+    assert levels.count("BroadcastHashJoin") == levels.count("BuildRight") == 3  # each of a table that was measured
+
+
+def test_few_rows_that_make_many_are_dealt(spark, tmp_path):
+    """Rings are clipped by all tasks and once for each row, whatever is made of their parts."""
+    import pandas as pd
+
+    from fieldloom.plans import catalogue
+
+    pd.DataFrame({"s_suppkey": range(30)}).to_parquet(tmp_path / "supplier.parquet")
+    clipped = catalogue.QUERIES["clip_parts"](spark, str(tmp_path))
+    assert plan(clipped).count("_parts(") == 1 and clipped.rdd.getNumPartitions() == 8
+    assert catalogue._blocks(spark, str(tmp_path)).rdd.getNumPartitions() == 8
+
+
+def test_rings_of_many_sides():
+    """Blocks of pairs of sides find the touch that a look at all pairs finds."""
+    import numpy as np
+
+    from fieldloom.operators import rings
+
+    angle = np.linspace(0, 2 * np.pi, 3_000, endpoint=False)
+    circle = np.stack([np.cos(angle), np.sin(angle)], 1) * 100
+    assert rings.is_valid(circle)
+    circle[2_500] = -circle[2_500]
+    i, j, _ = rings.first_touch(circle)
+    assert i < 1_100 and j in (2_499, 2_500)
