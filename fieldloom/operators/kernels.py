@@ -291,7 +291,7 @@ def least_rectangle(points: np.ndarray) -> float:
 
 
 def contour_row(pdf: pd.DataFrame, group: str, simple: bool = True) -> pd.DataFrame:
-    """The outer contour of one region, given by its runs (px_row, c0, c1); ``simple``: with fewer points."""
+    """The outer contour of one region, given by its runs (px_row, c0, c1); ``simple``: with fewer points and its confidence."""
     rows, low, high = (pdf[n].to_numpy() for n in ("px_row", "c0", "c1"))
     r0, c0 = int(rows.min()), int(low.min())
     mask = np.zeros((rows.max() - r0 + 1, high.max() - c0 + 1), bool)
@@ -301,7 +301,7 @@ def contour_row(pdf: pd.DataFrame, group: str, simple: bool = True) -> pd.DataFr
     area = shoelace(path) if len(path) > 2 else 0.0
     perimeter = float(np.hypot(*(np.roll(path, -1, axis=0) - path).T).sum())
     ring = simplify_ring(path, 0.01 * perimeter) if simple else path
-    box = least_rectangle(path)
+    box = least_rectangle(path) if simple else 0.0
     confidence = round(min(1.0, area / box), 2) if box else 0.0
     points = [{"x": float(x + c0), "y": float(y + r0)} for x, y in ring]
     return pd.DataFrame({group: [pdf[group].iloc[0]], "row0": [pdf["row0"].iloc[0]], "col0": [pdf["col0"].iloc[0]], "ring": [points], "area_px": [area], "confidence": [confidence]})
