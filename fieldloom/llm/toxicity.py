@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,34 +161,51 @@ class Model:
         return score(text)
 
 
-def fit_rows(rows: list[list[np.ndarray]], y: np.ndarray, pair_penalty: float = PAIR_PENALTY) -> Model:
-    """A model from each row's features, followed by what goes and what comes with each of its twins."""
+def _unpacked(packed: bytes) -> Iterator[np.ndarray]:
+    """The runs of 32-bit numbers of a text."""
+    a, at = np.frombuffer(packed, "<u4"), 0
+    while at < len(a):
+        n = int(a[at])
+        yield a[at + 1 : at + 1 + n]
+        at += 1 + n
+
+
+def fit_rows(rows: Iterable[Iterable[np.ndarray]], y: np.ndarray, pair_penalty: float = PAIR_PENALTY) -> Model:
+    """A model from each row's features, followed by what goes and what comes with each of its twins.
+
+    Rows are gone through once: of a twin only its number is kept, so the driver holds each row's features, in 32 bits, and the distinct twins.
+    """
     if len(y) == 0 or y.min() == y.max():
         return Model({}, 0.0)
-    every = np.concatenate([r[0] for r in rows])
-    label = np.repeat(y, [len(r[0]) for r in rows])
-    ids, back = np.unique(every, return_inverse=True)
-    pos, n1, n = np.bincount(back, label, len(ids)), float(y.sum()), len(y)
-    df = np.bincount(back, minlength=len(ids)).astype(float)
+    own, times = [], Counter()
+    for r in rows:
+        runs = iter(r)
+        own.append(np.array(next(runs), np.uint32))
+        times.update((gone.astype(np.uint32).tobytes(), come.astype(np.uint32).tobytes()) for gone, come in zip(runs, runs))
+    counted = [np.unique(np.concatenate([x for x, label in zip(own, y) if label == one] or [np.empty(0, np.uint32)]), return_counts=True) for one in (0, 1)]
+    ids = np.union1d(counted[0][0], counted[1][0])
+    neg, pos = np.zeros(len(ids)), np.zeros(len(ids))
+    for into, (seen, count) in zip((neg, pos), counted):
+        into[np.searchsorted(ids, seen)] = count
+    n1, n, df = float(y.sum()), len(y), neg + pos
     ratio = np.zeros(len(ids))
     for seen, expected in ((pos, df * n1 / n), (df - pos, df * (n - n1) / n), (n1 - pos, (n - df) * n1 / n), (n - n1 - df + pos, (n - df) * (n - n1) / n)):
         ratio += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
     good = np.flatnonzero((df >= MIN_ROWS) & (ratio >= MIN_RATIO))
     good = good[np.lexsort((ids[good], -ratio[good]))][:MAX_FEATURES]
-    swapped = [s for r in rows for s in r[1:]]
-    chosen = np.unique(np.concatenate([ids[good], *swapped])).astype(np.int64)
+    swapped = [np.frombuffer(s, np.uint32) for pair in times for s in pair]
+    chosen = np.unique(np.concatenate([ids[good], *swapped])).astype(np.uint32)
 
     def kept(a: np.ndarray) -> np.ndarray:
         at = np.searchsorted(chosen, a)
         at[at == len(chosen)] = 0
         return at[chosen[at] == a] if len(chosen) else at[:0]
 
-    x = linear.Rows([kept(r[0]) for r in rows], None, len(chosen))
+    x = linear.Rows([kept(r) for r in own], None, len(chosen))
     # equal twins once, with the root of their number as weight
-    times = Counter(zip((g.tobytes() for g in swapped[::2]), (c.tobytes() for c in swapped[1::2])))
     total, diffs, signs = sum(times.values()), [], []
     for (gone, come), n_equal in sorted(times.items()):
-        gone, come = kept(np.frombuffer(gone, np.int64)), kept(np.frombuffer(come, np.int64))
+        gone, come = kept(np.frombuffer(gone, np.uint32)), kept(np.frombuffer(come, np.uint32))
         diffs.append(np.concatenate([gone, come]))
         signs.append(np.concatenate([np.ones(len(gone)), -np.ones(len(come))]) * (n_equal * len(times) / total) ** 0.5)
     w, b = linear.fit(x, y, L2, pairs=linear.Rows(diffs, signs, len(chosen)), pair_penalty=pair_penalty)
@@ -205,15 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pair_penal
     texts = written(texts, "toxic-sample")
     derived = derived_terms(texts)
     terms = swaps(identities, derived)
-    got = texts.select("doc_id", "toxic", _packed(terms)("text").alias("packed")).orderBy("doc_id").toPandas()  # at most 2 * rows rows
-    parts = []
-    for packed in got["packed"]:
-        a, at, each = np.frombuffer(packed, "<u4").astype(np.int64), 0, []
-        while at < len(a):
-            each.append(a[at + 1 : at + 1 + a[at]])
-            at += 1 + a[at]
-        parts.append(each)
-    model = fit_rows(parts, got["toxic"].to_numpy(float), pair_penalty)
+    packed = written(texts.select("doc_id", "toxic", _packed(terms)("text").alias("packed")), "toxic-features")
+    # at most 2 * rows rows, a partition at a time
+    got = [(r["toxic"], bytes(r["packed"])) for r in packed.orderBy("doc_id").toLocalIterator()]
+    model = fit_rows((_unpacked(x) for _, x in got), np.array([toxic for toxic, _ in got], float), pair_penalty)
     model.terms = tuple(terms)
     return model
 
