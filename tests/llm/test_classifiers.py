@@ -193,3 +193,12 @@ def test_derived_terms_and_edge_cases(spark):
     long = spark.createDataFrame([(1, "word " * 200_000 + "idiot"), (2, "alpha gamma")], "doc_id long, text string").withColumns({"score": F.lit("own"), "toxic": F.lit(9)})
     got = {r.doc_id: r.predicted for r in toxicity.scored(long, labels).collect()}
     assert got[2] == 0 and len(got) == 2
+
+
+def test_toxicity_rows_are_gone_through_once():
+    """The fit needs no list of rows, so the driver holds none; features come in 32 bits, and the numbers of equal twins count."""
+    rng = np.random.default_rng(4)
+    y = (np.arange(60) % 2).astype(float)
+    rows = [[np.unique(np.append(rng.integers(0, 40, 8), 100 + int(label))), np.array([3]), np.array([5])] for label in y]
+    one, two = toxicity.fit_rows(rows, y), toxicity.fit_rows((iter([x.astype(np.uint32) for x in r]) for r in rows), y)
+    assert one == two and one.n_twins == 60 and {100, 101, 3, 5} >= set(one.weights) >= {100, 101}
